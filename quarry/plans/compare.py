@@ -1 +1,136 @@
-"""Placeholder."""
+"""Result comparison jobs on result sets derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.operators import compare as cmp
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables
+
+
+def _status_counts(t: Tables):
+    return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _verdicts(t: Tables, rows):
+    return t.spark.createDataFrame(rows, "case_name string, verdict boolean")
+
+
+@query("compare_norm", "C-NORM")
+def compare_norm(t: Tables):
+    """Normalised cells of a mixed-type result (text, double, timestamp, int)."""
+    return cmp.normalise(t.orders.select("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderkey"))
+
+
+_G = "(SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)"
+
+
+def _same(a: str, b: str) -> str:
+    a, b = f"SELECT * FROM ({a})", f"SELECT * FROM ({b})"
+    return (f"((SELECT count(*) FROM ({a} EXCEPT ALL {b})) = 0 AND "
+            f"(SELECT count(*) FROM ({b} EXCEPT ALL {a})) = 0)")
+
+
+@query("compare_bag", "C-EX", f"""
+SELECT 'equal' AS case_name, {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G}')} AS verdict
+UNION ALL SELECT 'permuted', {_same(f'SELECT s, n FROM {_G}', f'SELECT s, n FROM (SELECT n, s FROM {_G})')}
+UNION ALL SELECT 'duplicated', {_same(f'SELECT * FROM {_G}',
+                                      f'SELECT * FROM {_G} UNION ALL SELECT * FROM {_G} WHERE s = $$F$$')}
+UNION ALL SELECT 'missing_row', {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G} WHERE s <> $$P$$')}
+UNION ALL SELECT 'reordered', {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G} ORDER BY n DESC')}
+""".replace("$$", "'"))
+def compare_bag(t: Tables):
+    g = _status_counts(t)
+    cases = {
+        "equal": _status_counts(t),
+        "permuted": _status_counts(t).select("n", "o_orderstatus"),
+        "duplicated": g.unionByName(g.filter(F.col("o_orderstatus") == "F")),
+        "missing_row": g.filter(F.col("o_orderstatus") != "P"),
+        "reordered": _status_counts(t).orderBy(F.desc("n")),
+    }
+    return _verdicts(t, [(k, cmp.result_eq(g, p)) for k, p in cases.items()])
+
+
+_M = ("(SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n "
+      "FROM orders GROUP BY 1)")
+
+
+@query("compare_ordered", "C-ORDERED", f"""
+WITH g AS (SELECT row_number() OVER (ORDER BY month) AS pos, month, n FROM {_M}),
+     p AS (SELECT row_number() OVER (ORDER BY n DESC, month) AS pos, month, n FROM {_M})
+SELECT 'same_order' AS case_name, {_same('SELECT * FROM g', 'SELECT * FROM g')} AS verdict
+UNION ALL SELECT 'other_order', {_same('SELECT * FROM g', 'SELECT * FROM p')}
+UNION ALL SELECT 'other_order_unordered', {_same('SELECT month, n FROM g', 'SELECT month, n FROM p')}""")
+def compare_ordered(t: Tables):
+    from quarry.functions.scalar import month_ntz
+    # Monthly counts: ~80 rows, so the position windows are over a bounded result.
+    m = t.orders.groupBy(month_ntz("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    g = m.withColumn("pos", F.row_number().over(Window.orderBy("month")))
+    p = m.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "month")))
+    return _verdicts(t, [
+        ("same_order", cmp.result_eq(g, g, order_matters=True, pos="pos")),
+        ("other_order", cmp.result_eq(g, p, order_matters=True, pos="pos")),
+        ("other_order_unordered", cmp.result_eq(g.drop("pos"), p.drop("pos"))),
+    ])
+
+
+@query("soft_f1", "C-SOFTF1", """
+WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS m FROM orders GROUP BY 1, 2),
+     p AS (SELECT o_orderstatus, o_orderpriority, count(*) AS m FROM orders o
+           JOIN customer c ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY 1, 2)
+SELECT round(2.0 * (SELECT sum(least(g.m, p.m)) FROM g JOIN p USING (o_orderstatus, o_orderpriority))
+       / ((SELECT sum(m) FROM g) + (SELECT sum(m) FROM p)), 6) AS soft_f1""")
+def soft_f1(t: Tables):
+    gold = t.orders.select("o_orderstatus", "o_orderpriority")
+    building = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    pred = t.orders.join(building, "o_custkey", "left_semi").select("o_orderstatus", "o_orderpriority")
+    score = cmp.soft_f1(gold, pred)
+    return t.spark.createDataFrame([(round(score, 6),)], "soft_f1 double")
+
+
+@query("bag_diff", "C-DIFF", """
+WITH a AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+     b AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1, 2)
+SELECT coalesce(a.l_returnflag, b.l_returnflag) AS l_returnflag,
+       coalesce(a.l_linestatus, b.l_linestatus) AS l_linestatus,
+       coalesce(a.m, 0) AS n_left, coalesce(b.m, 0) AS n_right,
+       CASE WHEN b.m IS NULL THEN 'left_only' WHEN a.m IS NULL THEN 'right_only' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus
+WHERE coalesce(a.m, 0) <> coalesce(b.m, 0)""")
+def bag_diff(t: Tables):
+    """Keyed report of the rows whose multiplicity differs between even- and
+    odd-keyed lineitems (both sides complete; the split is the comparison)."""
+    cols = ["l_returnflag", "l_linestatus"]
+    li = t.lineitem.select("l_orderkey", *cols)
+    left = cmp.normalise(li.filter(F.col("l_orderkey") % 2 == 0).select(*cols))
+    right = cmp.normalise(li.filter(F.col("l_orderkey") % 2 == 1).select(*cols))
+    d = cmp.bag_diff(left, right)
+    parts = F.split("row", cmp._SEP)
+    return d.select(F.substring(parts[0], 3, 1 << 20).alias("l_returnflag"),
+                    F.substring(parts[1], 3, 1 << 20).alias("l_linestatus"),
+                    "n_left", "n_right", "status")
+
+
+@query("compare_subset", "C-SUBSET", """
+WITH g AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1),
+     p AS (SELECT round(sum(o_totalprice), 2) AS total, count(*) AS n, o_orderstatus FROM orders GROUP BY 3)
+SELECT (SELECT count(*) FROM (SELECT o_orderstatus, n FROM g EXCEPT ALL SELECT o_orderstatus, n FROM p)) = 0
+       AS contained""")
+def compare_subset(t: Tables):
+    gold = _status_counts(t)
+    pred = t.orders.groupBy("o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2).alias("total"),
+                                                 F.count(F.lit(1)).alias("n")) \
+        .select("total", "n", "o_orderstatus")
+    return t.spark.createDataFrame([(cmp.contains(gold, pred),)], "contained boolean")
+
+
+@query("multi_state", "C-MULTISTATE", """
+WITH s AS (SELECT user_id, event_id % 3 AS state, bool_and(event_type <> 'error') AS ex
+           FROM events GROUP BY 1, 2)
+SELECT user_id, count(*) AS n_states, bool_and(ex) AS ex_all FROM s GROUP BY user_id""")
+def multi_state(t: Tables):
+    s = (t.events.groupBy("user_id", (F.col("event_id") % 3).alias("state"))
+         .agg(F.bool_and(F.col("event_type") != "error").alias("ex")))
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_states"), F.bool_and("ex").alias("ex_all"))
