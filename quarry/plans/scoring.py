@@ -1 +1,285 @@
-"""Placeholder."""
+"""Scoring and leaderboard jobs over run rows derived from events.
+
+Crosswalk: run = user_id, question = event_id, correct = purchase,
+error = error event, exec time = value, generation time = 10 * props.k,
+tokens = metered 50 * props.k (not metered on views) else self-reported
+floor(value); shape/retrieval buckets cycle by event_id; the model cycles
+over the price keys by run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import scoring as sc
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables
+
+MODELS = ["gpt-4o", "gpt-4o-mini", "gpt-4.1", "gpt-4.1-mini", "o4-mini", "openai/gpt-4o", "local-model"]
+BOARD_MODEL = "gpt-4o"
+PASS_K = 5
+
+
+def _lit_array(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+def run_rows(t: Tables):
+    e = t.events
+    k = F.get_json_object("props", "$.k").cast("long")
+    et = F.col("event_type")
+    return e.select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("qid"),
+        (et == "purchase").alias("ex"), (et == "error").alias("error"),
+        F.when(et == "purchase", 1.0).when(et == "click", 0.5).otherwise(0.0).alias("soft"),
+        (k * 10).cast("double").alias("gen_ms"),
+        F.col("value").alias("exec_ms"), F.lit(50.0).alias("gold_ms"),
+        F.coalesce(F.when(et != "view", k * 50), F.floor("value").cast("long")).alias("tokens"),
+        F.element_at(_lit_array(sc.SHAPES), (F.col("event_id") % 4 + 1).cast("int")).alias("shape"),
+        F.element_at(_lit_array(sc.RETRIEVALS), ((F.col("event_id") / 4).cast("long") % 4 + 1).cast("int"))
+        .alias("retrieval"),
+        F.element_at(_lit_array(MODELS), (F.col("user_id") % len(MODELS) + 1).cast("int")).alias("model"),
+        F.hour("ts").alias("hr"), F.col("value").alias("claim_value"),
+    )
+
+
+def _arr(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+RUNS_SQL = f"""runs AS (
+  SELECT user_id AS run, event_id AS qid, event_type = 'purchase' AS ex, event_type = 'error' AS error,
+         CAST(CASE WHEN event_type = 'purchase' THEN 1.0 WHEN event_type = 'click' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS soft,
+         CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS DOUBLE) AS gen_ms,
+         value AS exec_ms, CAST(50.0 AS DOUBLE) AS gold_ms,
+         coalesce(CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 END,
+                  CAST(floor(value) AS BIGINT)) AS tokens,
+         ({_arr(sc.SHAPES)})[event_id % 4 + 1] AS shape,
+         ({_arr(sc.RETRIEVALS)})[(event_id // 4) % 4 + 1] AS retrieval,
+         ({_arr(MODELS)})[user_id % {len(MODELS)} + 1] AS model,
+         hour(ts) AS hr, value AS claim_value
+  FROM events)"""
+
+
+def r1(num: str, den: str) -> str:
+    return f"(CASE WHEN ({den}) > 0 THEN floor((20 * ({num}) + ({den})) / (2 * ({den}))) / 10.0 END)"
+
+
+def p1(k: str, n: str) -> str:
+    return r1(f"100 * ({k})", n)
+
+
+def cents(x: str) -> str:
+    return f"CAST(round(({x}) * 100) AS BIGINT)"
+
+
+SUMMARY_SQL = RUNS_SQL + f""",
+summary AS (
+  SELECT run, count(*) AS n, count(*) FILTER (WHERE error) AS errors,
+         {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS ex_at_1,
+         round(100 * avg(CASE WHEN ex AND gold_ms > 0 AND exec_ms > 0
+                              THEN least(3.0, sqrt(gold_ms / exec_ms)) ELSE 0.0 END), 1) AS ves,
+         {r1(f"sum({cents('gen_ms')})", "count(gen_ms) * 100")} AS avg_gen_ms,
+         {r1(f"sum({cents('exec_ms')})", "count(exec_ms) * 100")} AS avg_exec_ms,
+         {r1(f"sum(coalesce({cents('gen_ms')}, 0) + coalesce({cents('exec_ms')}, 0))", "count(*) * 100")} AS avg_total_ms,
+         {r1(f"sum({cents('gold_ms')})", "count(gold_ms) * 100")} AS avg_gold_ms,
+         CAST(sum(tokens) AS BIGINT) AS total_tokens,
+         {r1("sum(tokens)", "count(tokens)")} AS avg_tokens,
+         CAST(count(tokens) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS token_coverage
+  FROM runs GROUP BY run)"""
+
+GRADE_SQL = SUMMARY_SQL + f""",
+mins AS (SELECT min(CASE WHEN avg_tokens > 0 THEN avg_tokens END) AS mt,
+                min(CASE WHEN avg_total_ms > 0 THEN avg_total_ms END) AS ml FROM summary),
+d AS (SELECT run, ex_at_1 AS ex, least(CAST(100.0 AS DOUBLE), ves) AS eff, {p1("n - errors", "n")} AS rel,
+             CASE WHEN avg_tokens > 0 AND mt IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), CAST(100.0 AS DOUBLE) * mt / avg_tokens) END AS tok,
+             CASE WHEN avg_total_ms > 0 AND ml IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), CAST(100.0 AS DOUBLE) * ml / avg_total_ms) END AS lat
+      FROM summary, mins),
+w AS (SELECT *, {' + '.join(['CAST(0.0 AS DOUBLE)'] + [f'coalesce(CAST({wt} AS DOUBLE) * {nm}, 0.0)' for nm, wt in sc.GRADE_WEIGHTS])} AS num,
+             {' + '.join(['CAST(0.0 AS DOUBLE)'] + [f'(CASE WHEN {nm} IS NOT NULL THEN CAST({wt} AS DOUBLE) ELSE 0.0 END)' for nm, wt in sc.GRADE_WEIGHTS])} AS den
+      FROM d),
+graded AS (SELECT run, ex, eff, rel, tok, lat, CASE WHEN den > 0 THEN round(num / den, 1) END AS grade FROM w)"""
+
+ISSUES_SQL = f""",
+issues AS (
+  SELECT run, 'missing_ids' AS issue FROM runs GROUP BY run
+    HAVING count(DISTINCT hr) < (SELECT count(DISTINCT hr) FROM runs)
+  UNION ALL SELECT run, 'other_model' FROM runs GROUP BY run HAVING replace(min(model), 'openai/', '') <> '{BOARD_MODEL}'
+  UNION ALL SELECT run, 'inflated_claim' FROM runs GROUP BY run
+    HAVING {p1("count(*) FILTER (WHERE claim_value > 250)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(*)")} > 2.0
+  UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING coalesce(sum(tokens), 0) = 0)"""
+
+
+def summary(t: Tables):
+    return sc.summarise(run_rows(t))
+
+
+def issues(t: Tables):
+    """E-VALID in one aggregation pass per run; the expected question count
+    is a scalar subquery."""
+    r = run_rows(t)
+    n_questions = r.agg(F.count_distinct("hr")).scalar()
+    per = r.groupBy("run").agg(
+        F.count_distinct("hr").alias("nq"),
+        F.replace(F.min("model"), F.lit("openai/"), F.lit("")).alias("model"),
+        sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("claimed"),
+        sc.pct1(F.count_if("ex"), F.count(F.lit(1))).alias("verified"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tok"))
+    per = per.withColumn("missing", F.col("nq") < n_questions)
+    flags = F.array(
+        F.when(F.col("missing"), F.lit("missing_ids")),
+        F.when(F.col("model") != BOARD_MODEL, F.lit("other_model")),
+        F.when(F.col("claimed") - F.col("verified") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
+        F.when(F.col("tok") == 0, F.lit("zero_tokens")))
+    return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
+
+
+@query("ves", "E-VES", "WITH " + SUMMARY_SQL + " SELECT run, ves FROM summary")
+def ves(t: Tables):
+    return summary(t).select("run", "ves")
+
+
+_ROLLUP_COLS = ["ex_" + v.replace("-", "_").replace("+", "_plus") for v in sc.SHAPES + sc.RETRIEVALS]
+
+
+def _rollup_sql():
+    cols = []
+    for col, values in (("shape", sc.SHAPES), ("retrieval", sc.RETRIEVALS)):
+        for v in values:
+            name = "ex_" + v.replace("-", "_").replace("+", "_plus")
+            cols.append(f"{p1(f'count(*) FILTER (WHERE {col} = $${v}$$ AND ex)', f'count(*) FILTER (WHERE {col} = $${v}$$)')} AS {name}")
+    return ("WITH " + RUNS_SQL + f""" SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS ex_at_1,
+    {r1("sum(CAST(round(soft * 2) AS BIGINT)) * 100", "count(*) * 2")} AS soft_f1, """
+            + ", ".join(cols) + " FROM runs GROUP BY run").replace("$$", "'")
+
+
+@query("rollup_buckets", "E-ROLLUP", _rollup_sql())
+def rollup_buckets(t: Tables):
+    return sc.ex_rollup(run_rows(t))
+
+
+@query("latency_avg", "E-LAT", "WITH " + SUMMARY_SQL +
+       " SELECT run, avg_gen_ms, avg_exec_ms, avg_total_ms, avg_gold_ms FROM summary")
+def latency_avg(t: Tables):
+    return summary(t).select("run", "avg_gen_ms", "avg_exec_ms", "avg_total_ms", "avg_gold_ms")
+
+
+def _price_sql(col: str) -> str:
+    keys = sorted(sc.PRICES, key=lambda p: -len(p[0]))
+    cin = " ".join(f"WHEN starts_with({col}, '{k}') THEN {pi}" for k, pi, _ in keys)
+    cout = " ".join(f"WHEN starts_with({col}, '{k}') THEN {po}" for k, _, po in keys)
+    return (f"CAST(CASE {cin} ELSE {sc.DEFAULT_PRICE[0]} END AS DOUBLE)",
+            f"CAST(CASE {cout} ELSE {sc.DEFAULT_PRICE[1]} END AS DOUBLE)")
+
+
+_PIN, _POUT = _price_sql("replace(m.model, 'openai/', '')")
+
+
+@query("token_rollup", "E-TOKENS", "WITH " + SUMMARY_SQL + f""",
+m AS (SELECT run, min(model) AS model FROM runs GROUP BY run)
+SELECT s.run, s.total_tokens, s.avg_tokens, s.token_coverage,
+       round(CAST(s.total_tokens AS DOUBLE) * 0.75 / 1e6 * {_PIN} + CAST(s.total_tokens AS DOUBLE) * 0.25 / 1e6 * {_POUT}, 6)
+         AS est_cost_usd
+FROM summary s JOIN m USING (run)""")
+def token_rollup(t: Tables):
+    """Token totals/means/coverage plus the run cost: tokens split 3:1 into
+    prompt/completion, priced by the longest model-key prefix."""
+    s = summary(t)
+    m = run_rows(t).groupBy("run").agg(F.min("model").alias("model"))
+    pin, pout = sc.prefix_price_columns(F.replace(F.col("model"), F.lit("openai/"), F.lit("")))
+    tok = F.col("total_tokens").cast("double")
+    return (s.join(m, "run").select(
+        "run", "total_tokens", "avg_tokens", "token_coverage",
+        F.round(tok * 0.75 / 1e6 * pin + tok * 0.25 / 1e6 * pout, 6).alias("est_cost_usd")))
+
+
+COST_PREFIXES = [("P", 1.0, 2.0), ("PRO", 3.0, 6.0), ("S", 0.5, 1.5), ("ST", 0.8, 2.4), ("SM", 0.2, 0.6),
+                 ("E", 0.1, 0.3)]
+
+
+@query("cost_prefix", "E-COST", f"""
+WITH prices(prefix, price_in, price_out) AS (VALUES {', '.join(f"('{k}', {a}, {b})" for k, a, b in COST_PREFIXES)}),
+hits AS (SELECT p.p_partkey, pr.prefix, pr.price_in, pr.price_out,
+                row_number() OVER (PARTITION BY p.p_partkey ORDER BY length(pr.prefix) DESC) AS rn
+         FROM part p JOIN prices pr ON starts_with(p.p_type, pr.prefix))
+SELECT p.p_partkey, h.prefix,
+       round(CAST(p.p_size AS DOUBLE) * 1000 / 1e6 * coalesce(CAST(h.price_in AS DOUBLE), {sc.DEFAULT_PRICE[0]})
+             + CAST(p.p_size AS DOUBLE) * 500 / 1e6 * coalesce(CAST(h.price_out AS DOUBLE), {sc.DEFAULT_PRICE[1]}), 6) AS cost
+FROM part p LEFT JOIN hits h ON h.p_partkey = p.p_partkey AND h.rn = 1""")
+def cost_prefix(t: Tables):
+    """Price every part by the longest matching prefix of its type among a
+    fixed key list (p_size thousand prompt + half as many completion tokens)."""
+    prices = t.spark.createDataFrame(COST_PREFIXES, "prefix string, price_in double, price_out double")
+    priced = sc.longest_prefix_price(t.part.select("p_partkey", "p_type", "p_size"), F.col("p_type"),
+                                     F.broadcast(prices))
+    size = F.col("p_size").cast("double")
+    return priced.select("p_partkey", "prefix", F.round(
+        size * 1000 / 1e6 * F.coalesce("price_in", F.lit(sc.DEFAULT_PRICE[0]))
+        + size * 500 / 1e6 * F.coalesce("price_out", F.lit(sc.DEFAULT_PRICE[1])), 6).alias("cost"))
+
+
+@query("grade", "E-GRADE", "WITH " + GRADE_SQL + " SELECT * FROM graded")
+def grade(t: Tables):
+    return sc.grade(summary(t))
+
+
+@query("validate_runs", "E-VALID", "WITH " + RUNS_SQL + ISSUES_SQL + " SELECT run, issue FROM issues")
+def validate_runs(t: Tables):
+    return issues(t)
+
+
+@query("leaderboard", "E-BOARD", "WITH " + GRADE_SQL + ISSUES_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
+FROM graded WHERE run NOT IN (SELECT run FROM issues)""")
+def leaderboard(t: Tables):
+    return sc.leaderboard(sc.grade(summary(t)), issues(t))
+
+
+@query("rescore", "E-RESCORE", f"""
+WITH j AS (SELECT l.doc_id, l.quality, d.doc_id IS NOT NULL AS has_pred,
+                  CASE WHEN d.doc_id IS NULL THEN NULL ELSE CAST(d.n_chars >= 1000 AS INTEGER) END AS pred
+           FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)
+SELECT count(*) AS n, {p1("count(*) FILTER (WHERE has_pred AND pred = quality)", "count(*)")} AS ex_at_1,
+       count(*) FILTER (WHERE NOT has_pred) AS errors
+FROM j""")
+def rescore(t: Tables):
+    """Gold answers (labels.quality) joined to predictions (documents: long
+    text -> quality 1); a missing prediction is an error and not correct."""
+    pred = t.documents.select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("pred"),
+                              F.lit(True).alias("has_pred"))
+    j = t.labels.select("doc_id", "quality").join(pred, "doc_id", "left") \
+        .withColumn("has_pred", F.coalesce("has_pred", F.lit(False)))
+    ok = F.col("has_pred") & (F.col("pred") == F.col("quality"))
+    return j.agg(F.count(F.lit(1)).alias("n"),
+                 sc.pct1(F.count_if(F.coalesce(ok, F.lit(False))), F.count(F.lit(1))).alias("ex_at_1"),
+                 F.count_if(~F.col("has_pred")).alias("errors"))
+
+
+@query("oracle_gap", "E-GAP", "WITH " + RUNS_SQL + f"""
+SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS own_ex,
+       {p1("count(*) FILTER (WHERE NOT error)", "count(*)")} AS oracle_ex,
+       round({p1("count(*) FILTER (WHERE NOT error)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(*)")}, 1) AS gap
+FROM runs GROUP BY run""")
+def oracle_gap(t: Tables):
+    """Oracle EX (any non-error answer counts) minus the run's own EX."""
+    r = run_rows(t).groupBy("run").agg(
+        sc.pct1(F.count_if("ex"), F.count(F.lit(1))).alias("own_ex"),
+        sc.pct1(F.count_if(~F.col("error")), F.count(F.lit(1))).alias("oracle_ex"))
+    return r.withColumn("gap", F.round(F.col("oracle_ex") - F.col("own_ex"), 1))
+
+
+def _passk_sql(k: int) -> str:
+    prod = "1.0"
+    for i in range(k):
+        prod = f"({prod}) * ((n - c - {i}) / (n - {i}))"
+    return f"CASE WHEN n >= {k} THEN round(1.0 - {prod}, 6) END"
+
+
+@query("pass_at_k", "E-PASSK", f"""
+WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS c
+           FROM events GROUP BY user_id)
+SELECT user_id, n, c, {_passk_sql(PASS_K)} AS pass_at_k FROM s""")
+def pass_at_k(t: Tables):
+    s = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
+                                        F.count_if(F.col("event_type") == "purchase").alias("c"))
+    return s.withColumn("pass_at_k", F.round(sc.pass_at_k(F.col("n"), F.col("c"), PASS_K), 6))
