@@ -1 +1,173 @@
-"""Placeholder."""
+"""Retrieval jobs: text and vector ranking, FK-graph expansion,
+and retrieval metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.operators.graph import bfs
+from quarry.operators.text import tfidf_topk as _tfidf
+from quarry.operators.vectors import centroids, knn
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables
+
+TFIDF_K = 5
+VECTOR_K = 10
+FALLBACK_MIN_SCORE = 0.05
+FALLBACK_KEEP = 3
+MAX_HOPS = 25
+
+_TOK = "regexp_split_to_array(lower({t}), '[^a-z]+')"
+TFIDF_SQL = f"""
+dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS term FROM documents)
+       WHERE term <> '' GROUP BY 1, 2),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+dw AS (SELECT dt.doc_id, dt.term, dt.tf * ln(1.0 + nd.n / df.df) AS w FROM dt JOIN df USING (term), nd),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK.format(t='text')}) AS term FROM benchmark)
+       WHERE term <> '' GROUP BY 1, 2),
+qw AS (SELECT qt.item_id, qt.term, qt.tf * ln(1.0 + nd.n / df.df) AS w FROM qt JOIN df USING (term), nd),
+qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY item_id),
+s AS (SELECT qw.item_id, dw.doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USING (term) GROUP BY 1, 2),
+r AS (SELECT s.item_id, s.doc_id, round(s.dot / (qn.norm * dn.norm), 6) AS score
+      FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+        WHERE rank <= {TFIDF_K})"""
+
+
+def _tfidf_top(t: Tables) -> DataFrame:
+    return _tfidf(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", TFIDF_K)
+
+
+@query("tfidf_topk", "R-TFIDF", "WITH " + TFIDF_SQL + " SELECT item_id, doc_id, score, rank FROM top")
+def tfidf_topk(t: Tables):
+    """Top-5 documents per benchmark item by TF-IDF cosine over the whole corpus."""
+    return _tfidf_top(t)
+
+
+@query("retrieve_fallback", "R-FALLBACK", "WITH " + TFIDF_SQL + f""",
+f AS (SELECT *, max(CASE WHEN score >= {FALLBACK_MIN_SCORE} THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS has_any
+      FROM top)
+SELECT item_id, doc_id, rank FROM f
+WHERE score >= {FALLBACK_MIN_SCORE} OR (has_any = 0 AND rank <= {FALLBACK_KEEP})""")
+def retrieve_fallback(t: Tables):
+    """Keep hits above the score floor; a query with none keeps its best 3."""
+    top = _tfidf_top(t)
+    w = Window.partitionBy("item_id")   # k rows per item
+    f = top.withColumn("has_any", F.max((F.col("score") >= FALLBACK_MIN_SCORE).cast("int")).over(w))
+    return f.filter((F.col("score") >= FALLBACK_MIN_SCORE) | ((F.col("has_any") == 0) & (F.col("rank") <= FALLBACK_KEEP))) \
+        .select("item_id", "doc_id", "rank")
+
+
+VECTOR_SQL = f"""
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e)
+      GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label),
+s AS (SELECT c.label, e.vec_id,
+             round(list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))), 6)
+               AS score
+      FROM c, e),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= {VECTOR_K})"""
+
+
+def _vector_top(t: Tables) -> DataFrame:
+    q = centroids(t.embeddings, "label", "embedding")
+    return knn(t.embeddings, "vec_id", "embedding", q, "label", "c", VECTOR_K).withColumn("label", F.col("label"))
+
+
+@query("vector_topk", "R-VECTOR", "WITH " + VECTOR_SQL + " SELECT label, vec_id, score, rank FROM top")
+def vector_topk(t: Tables):
+    """Ten nearest embeddings (cosine) to every label centroid."""
+    return _vector_top(t)
+
+
+def _metrics(t: Tables) -> DataFrame:
+    """Per query (label): hits = |retrieved n gold|, gold = vectors of that label."""
+    r = _vector_top(t).select("label", "vec_id")
+    g = t.embeddings.select("label", "vec_id")
+    hits = r.join(g, ["label", "vec_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
+    ng = g.groupBy("label").agg(F.count(F.lit(1)).alias("n_gold"))
+    nr = r.groupBy("label").agg(F.count(F.lit(1)).alias("n_ret"))
+    return ng.join(nr, "label").join(hits, "label", "left").fillna(0, ["hits"])
+
+
+_METRICS_SQL = "WITH " + VECTOR_SQL + """,
+m AS (SELECT g.label, g.n_gold, r.n_ret, coalesce(h.hits, 0) AS hits
+      FROM (SELECT label, count(*) AS n_gold FROM embeddings GROUP BY label) g
+      JOIN (SELECT label, count(*) AS n_ret FROM top GROUP BY label) r USING (label)
+      LEFT JOIN (SELECT top.label, count(*) AS hits FROM top JOIN embeddings e
+                 ON e.label = top.label AND e.vec_id = top.vec_id GROUP BY top.label) h USING (label))"""
+
+
+@query("set_recall", "R-SETRECALL", _METRICS_SQL +
+       " SELECT round(avg(CASE WHEN hits = n_gold THEN 1.0 ELSE 0.0 END), 6) AS set_recall, count(*) AS n_queries FROM m")
+def set_recall(t: Tables):
+    """Share of queries whose retrieved set covers the whole gold set (U-SUBSET by counts)."""
+    return _metrics(t).agg(F.round(F.avg((F.col("hits") == F.col("n_gold")).cast("double")), 6).alias("set_recall"),
+                           F.count(F.lit(1)).alias("n_queries"))
+
+
+@query("table_recall", "R-TABLERECALL", _METRICS_SQL +
+       " SELECT round(avg(CAST(hits AS DOUBLE) / n_gold), 6) AS table_recall FROM m")
+def table_recall(t: Tables):
+    return _metrics(t).agg(F.round(F.avg(F.col("hits").cast("double") / F.col("n_gold")), 6).alias("table_recall"))
+
+
+@query("precision_at_k", "R-PRECISION", _METRICS_SQL +
+       " SELECT round(avg(CAST(hits AS DOUBLE) / n_ret), 6) AS precision_at_k FROM m")
+def precision_at_k(t: Tables):
+    return _metrics(t).agg(F.round(F.avg(F.col("hits").cast("double") / F.col("n_ret")), 6).alias("precision_at_k"))
+
+
+def _node(kind: str, key) -> F.Column:
+    return F.concat(F.lit(kind + ":"), key.cast("string"))
+
+
+@query("fk_expand", "R-EXPAND", """
+WITH seeds AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
+h1 AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey IN (SELECT c_custkey FROM seeds)),
+h2c AS (SELECT c_custkey AS k FROM customer
+        WHERE c_nationkey IN (SELECT k FROM h1) AND c_custkey NOT IN (SELECT c_custkey FROM seeds)),
+h2s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM h1))
+SELECT 0 AS hop, 'customer' AS kind, CAST(c_custkey AS BIGINT) AS node_key FROM seeds
+UNION ALL SELECT 1, 'nation', CAST(k AS BIGINT) FROM h1
+UNION ALL SELECT 2, 'customer', CAST(k AS BIGINT) FROM h2c
+UNION ALL SELECT 2, 'supplier', CAST(k AS BIGINT) FROM h2s""")
+def fk_expand(t: Tables):
+    """Grow a node set along FK edges (customer-nation-supplier), two hops,
+    from the customers with a negative balance."""
+    c, s = t.customer, t.supplier
+    cn = c.select(_node("customer", F.col("c_custkey")).alias("src"), _node("nation", F.col("c_nationkey")).alias("dst"))
+    sn = s.select(_node("supplier", F.col("s_suppkey")).alias("src"), _node("nation", F.col("s_nationkey")).alias("dst"))
+    fwd = cn.unionByName(sn)
+    edges = fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seeds = c.filter(F.col("c_acctbal") < 0).select(_node("customer", F.col("c_custkey")).alias("node"))
+    v = bfs(seeds, edges, 2)
+    parts = F.split("node", ":")
+    return v.select(F.col("hop").cast("int").alias("hop"), parts[0].alias("kind"),
+                    parts[1].cast("long").alias("node_key"))
+
+
+@query("fk_hops", "R-HOPS", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b
+                     FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+                     JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey),
+ue AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, hop) AS (SELECT 0, 0 UNION SELECT ue.b, r.hop + 1 FROM r JOIN ue ON ue.a = r.node WHERE r.hop < {MAX_HOPS})
+SELECT CAST(node AS BIGINT) AS nation, CAST(min(hop) AS BIGINT) AS hops FROM r GROUP BY node""")
+def fk_hops(t: Tables):
+    """FK distance between nations: edge a-b when a customer of a bought from a
+    supplier of b; BFS from nation 0."""
+    li = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    oc = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")) \
+        .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    pairs = (li.join(oc, "o_orderkey").join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+             .select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seeds = t.dim("nation").filter(F.col("n_nationkey") == 0).select(F.col("n_nationkey").alias("node"))
+    v = bfs(seeds, edges, MAX_HOPS)
+    return v.select(F.col("node").cast("long").alias("nation"), F.col("hop").cast("long").alias("hops"))
