@@ -11,6 +11,16 @@ Everything here builds lazy DataFrames. Sub-packages:
 - ``streaming`` intentionally empty (the reference has no streaming work)
 """
 
+import sys as _sys
+
 from quarry.session import get_session, checkpoint_dir
 
+# Python UDFs (mapInPandas/applyInPandas) defined in this package are pickled
+# by value, so executors need no copy of the package on their path.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older pyspark without the hook
+    pass
+
 __all__ = ["get_session", "checkpoint_dir"]

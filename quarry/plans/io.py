@@ -1 +1,192 @@
-"""Placeholder."""
+"""Source/sink jobs and the plug-in surface (§2.10).
+
+Every writer targets a fresh folder under the session's checkpoint folder
+(``spark.checkpoint.dir``), i.e. shared storage on a cluster.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.plans.registry import query
+from quarry.plans.scoring import RUNS_SQL, SUMMARY_SQL, run_rows
+from quarry.plans import scoring as scp
+from quarry.session import scratch_dir
+from quarry.sources import files
+from quarry.sources.tables import Tables
+
+RESULT_SCHEMA = T.StructType([
+    T.StructField("qid", T.LongType()), T.StructField("ex", T.BooleanType()), T.StructField("error", T.BooleanType()),
+    T.StructField("exec_ms", T.DoubleType()), T.StructField("tokens", T.LongType()), T.StructField("run", T.LongType()),
+])
+
+
+def _meta(t: Tables):
+    return (t.events.select(F.col("user_id").alias("run")).distinct()
+            .select("run", F.concat(F.lit("tool-"), F.col("run").cast("string")).alias("tool"),
+                    F.lit("1.0").alias("version")))
+
+
+def _write_runs(t: Tables) -> str:
+    root = scratch_dir(t.spark, "runs")
+    files.write_run_folders(run_rows(t).select("run", "qid", "ex", "error", "exec_ms", "tokens"), _meta(t), root)
+    return root
+
+
+@query("roundtrip_region", "S-LOAD", "SELECT * FROM region")
+def roundtrip_region(t: Tables):
+    """Truncate-and-reload: overwrite a Parquet copy, read it back."""
+    path = scratch_dir(t.spark, "region")
+    t.region.write.mode("overwrite").parquet(path)
+    t.region.write.mode("overwrite").parquet(path)   # reload replaces, never duplicates
+    return t.spark.read.parquet(path)
+
+
+@query("json_results", "S-JSON", "WITH " + RUNS_SQL + """
+SELECT run, qid, ex, error, exec_ms, tokens, 'tool-' || CAST(run AS VARCHAR) AS tool, '1.0' AS version FROM runs""")
+def json_results(t: Tables):
+    """Write per-run result files, read them back merged with their meta."""
+    root = _write_runs(t)
+    return files.read_run_folders(t.spark, root, RESULT_SCHEMA).select(
+        "run", "qid", "ex", "error", "exec_ms", "tokens", "tool", "version")
+
+
+@query("multi_file_scan", "S-MULTI", """
+SELECT 'run=' || CAST(user_id AS VARCHAR) AS folder, count(*) AS n_results FROM events GROUP BY user_id""")
+def multi_file_scan(t: Tables):
+    """Scan every run folder; tag rows with the folder they were read from."""
+    root = _write_runs(t)
+    return (files.read_run_folders(t.spark, root, RESULT_SCHEMA)
+            .groupBy(F.col("_folder").alias("folder")).agg(F.count(F.lit(1)).alias("n_results")))
+
+
+LEDGER_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("n", T.LongType()),
+                              T.StructField("total_tokens", T.LongType())])
+
+
+@query("append_ledger", "S-APPEND", "WITH " + SUMMARY_SQL + " SELECT run, n, total_tokens FROM summary")
+def append_ledger(t: Tables):
+    """A cumulative ledger appended in two batches (even runs, then odd runs)."""
+    path = scratch_dir(t.spark, "ledger")
+    s = scp.summary(t).select("run", "n", "total_tokens")
+    files.append_ledger(s.filter(F.col("run") % 2 == 0), path)
+    files.append_ledger(s.filter(F.col("run") % 2 == 1), path)
+    return files.read_ledger(t.spark, path, LEDGER_SCHEMA)
+
+
+@query("export_csv", "S-EXPORT")
+def export_csv(t: Tables):
+    """Leaderboard written as JSON and CSV in the fixed field order."""
+    board = scp.leaderboard(t).withColumn("tool", F.concat(F.lit("tool-"), F.col("run").cast("string")))
+    path = scratch_dir(t.spark, "export")
+    files.export(board, path)
+    return t.spark.read.option("header", True).csv(f"{path}/csv")
+
+
+# ---------------------------------------------------------------- X-* ----
+
+PREDICT_SCHEMA = "qid long, answer int, error string, prompt_tokens int, completion_tokens int"
+Predictor = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def run_predictor(questions: DataFrame, predict: Predictor, qid: str) -> DataFrame:
+    """X-PREDICT: apply a plug-in to every question, batch by batch (Arrow),
+    on the executors. A batch that raises is retried row by row so only the
+    failing questions get ``error`` set; nothing stops the job."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                yield _conform(predict(pdf), pdf[qid])
+            except Exception:
+                rows = []
+                for i in range(len(pdf)):
+                    one = pdf.iloc[i:i + 1]
+                    try:
+                        rows.append(_conform(predict(one), one[qid]))
+                    except Exception as e:  # noqa: BLE001 -- plug-in errors become data
+                        rows.append(pd.DataFrame({"qid": one[qid].astype("int64").to_numpy(), "answer": [None],
+                                                  "error": [f"{type(e).__name__}: {e}"[:500]],
+                                                  "prompt_tokens": [None], "completion_tokens": [None]}))
+                yield pd.concat(rows, ignore_index=True)
+    return questions.mapInPandas(fn, PREDICT_SCHEMA)
+
+
+def _conform(out: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
+    out = out.copy()
+    out["qid"] = ids.astype("int64").to_numpy()
+    for c in ("answer", "prompt_tokens", "completion_tokens"):
+        if c not in out:
+            out[c] = None
+        out[c] = out[c].astype("Int32")
+    if "error" not in out:
+        out["error"] = None
+    return out[["qid", "answer", "error", "prompt_tokens", "completion_tokens"]]
+
+
+def gold_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rule-based gold plug-in: answers with the gold value."""
+    return pd.DataFrame({"answer": pdf["quality"].to_numpy()})
+
+
+def picky_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A plug-in that fails on toxic questions (exercises per-row errors)."""
+    if (pdf["toxic"] == 1).any():
+        raise ValueError("refused")
+    return pd.DataFrame({"answer": pdf["quality"].to_numpy(), "prompt_tokens": [10] * len(pdf)})
+
+
+@query("predict_gold", "X-PREDICT", """
+SELECT 'gold' AS plugin, count(*) AS n, CAST(1.0 AS DOUBLE) AS accuracy, CAST(0 AS BIGINT) AS errors FROM labels
+UNION ALL
+SELECT 'picky', count(*), round(CAST(count(*) FILTER (WHERE toxic <> 1) AS DOUBLE) / count(*), 6),
+       count(*) FILTER (WHERE toxic = 1) FROM labels""")
+def predict_gold(t: Tables):
+    """Plug-ins scored against labels: the gold plug-in must reach 1.0."""
+    q = t.labels.select(F.col("doc_id").alias("qid"), "quality", "toxic")
+    out = []
+    for name, fn in (("gold", gold_predictor), ("picky", picky_predictor)):
+        p = run_predictor(q, fn, "qid").join(q, "qid")
+        out.append(p.agg(F.lit(name).alias("plugin"), F.count(F.lit(1)).alias("n"),
+                         F.round(F.count_if(F.col("error").isNull() & (F.col("answer") == F.col("quality")))
+                                 / F.count(F.lit(1)), 6).alias("accuracy"),
+                         F.count_if(F.col("error").isNotNull()).alias("errors")))
+    return out[0].unionByName(out[1])
+
+
+def _recipe_orders(df: DataFrame) -> DataFrame:
+    from quarry.plans.synth import PAYMENT_MIX, SEED
+    from quarry.operators.synth import uniform
+    u = uniform("pay", SEED, F.col("o_orderkey"))
+    st = F.lit("captured")
+    for name, hi in reversed(PAYMENT_MIX):
+        st = F.when(u < hi, F.lit(name)).otherwise(st)
+    return df.withColumn("status", st)
+
+
+def _recipe_customer(df: DataFrame) -> DataFrame:
+    from quarry.plans.synth import PLAN_CODES
+    return df.withColumn("status", F.element_at(F.array(*[F.lit(c) for c in PLAN_CODES]),
+                                                (F.col("c_custkey") % len(PLAN_CODES) + 1).cast("int")))
+
+
+RECIPES: dict[str, Callable[[DataFrame], DataFrame]] = {"orders": _recipe_orders, "customer": _recipe_customer}
+
+
+def apply_recipe(table: str, df: DataFrame) -> DataFrame:
+    """X-RECIPE: generic columns first, then the table's recipe if registered."""
+    return df.transform(RECIPES.get(table, lambda d: d))
+
+
+@query("recipe_transform", "X-RECIPE")
+def recipe_transform(t: Tables):
+    parts = []
+    for table, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        generic = t.read(table).select(key).withColumn("status", F.lit("generic"))
+        parts.append(apply_recipe(table, generic).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+                     .withColumn("table_name", F.lit(table)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
