@@ -54,9 +54,10 @@ def _cell(field: T.StructField, nan_salt: Column | None = None) -> Column:
     return F.concat(F.lit("s:"), c.cast("string"))
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """C-NORM: every column -> tagged text cell (``c0..cN``), NULL kept."""
-    salt = F.monotonically_increasing_id()
+def normalise(df: DataFrame, side: str = "") -> DataFrame:
+    """C-NORM: every column -> tagged text cell (``c0..cN``), NULL kept.
+    ``side`` tags NaN cells so that two sides never share a NaN token."""
+    salt = F.concat(F.lit(side), F.monotonically_increasing_id().cast("string"))
     return df.select(*[_cell(f, salt).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
 
 
@@ -130,8 +131,8 @@ def result_eq(gold: DataFrame, pred: DataFrame | None, order_matters: bool = Fal
     if g_empty or p_empty or len(g_cols) != len(p_cols):
         return False
     use_pos = pos if order_matters else None
-    gn = _with_pos(normalise(gold.select(*g_cols)), gold, use_pos)
-    pn = _with_pos(normalise(pred.select(*p_cols)), pred, use_pos)
+    gn = _with_pos(normalise(gold.select(*g_cols), "g"), gold, use_pos, "g")
+    pn = _with_pos(normalise(pred.select(*p_cols), "p"), pred, use_pos, "p")
     if gold.count() != pred.count():
         return False
     for perm in candidate_orders(gn, pn, len(g_cols)):
@@ -140,12 +141,12 @@ def result_eq(gold: DataFrame, pred: DataFrame | None, order_matters: bool = Fal
     return False
 
 
-def _with_pos(norm: DataFrame, orig: DataFrame, pos: str | None) -> DataFrame:
+def _with_pos(norm: DataFrame, orig: DataFrame, pos: str | None, side: str) -> DataFrame:
     if not pos:
         return norm
     # normalise() is a pure projection of orig; re-project with pos kept.
     fields = [f for f in orig.schema.fields if f.name != pos]
-    salt = F.monotonically_increasing_id()
+    salt = F.concat(F.lit(side), F.monotonically_increasing_id().cast("string"))
     return orig.select(*[_cell(f, salt).alias(f"c{i}") for i, f in enumerate(fields)], F.col(pos).alias(pos))
 
 
@@ -185,7 +186,7 @@ def soft_f1(gold: DataFrame, pred: DataFrame | None) -> float:
     if g_empty or p_empty or len(gold.columns) != len(pred.columns):
         return 0.0
     ncols = len(gold.columns)
-    gn, pn = normalise(gold), normalise(pred)
+    gn, pn = normalise(gold, "g"), normalise(pred, "p")
     ng, np_ = gold.count(), pred.count()
     if ncols > MAX_PERMUTED_COLUMNS:
         perms = [(None, list(range(ncols)))]
@@ -207,7 +208,7 @@ def contains(gold: DataFrame, pred: DataFrame) -> bool:
     order ignored; extra prediction columns allowed)."""
     if gold.isEmpty():
         return True
-    gn, pn = normalise(gold), normalise(pred)
+    gn, pn = normalise(gold, "g"), normalise(pred, "p")
     kg, kp = len(gold.columns), len(pred.columns)
     if kg > kp:
         return False

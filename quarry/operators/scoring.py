@@ -93,7 +93,7 @@ def grade(summary: DataFrame) -> DataFrame:
     d = summary.select(
         "run",
         F.col("ex_at_1").alias("ex"),
-        F.least(F.lit(100.0), F.col("ves")).alias("eff"),
+        F.when(F.col("ves").isNotNull(), F.least(F.lit(100.0), F.col("ves"))).alias("eff"),
         pct1(F.col("n") - F.col("errors"), F.col("n")).alias("rel"),
         F.when((F.col("avg_tokens") > 0) & min_tok.isNotNull(),
                F.least(F.lit(100.0), 100.0 * min_tok / F.col("avg_tokens"))).alias("tok"),

@@ -91,7 +91,7 @@ summary AS (
 GRADE_SQL = SUMMARY_SQL + f""",
 mins AS (SELECT min(CASE WHEN avg_tokens > 0 THEN avg_tokens END) AS mt,
                 min(CASE WHEN avg_total_ms > 0 THEN avg_total_ms END) AS ml FROM summary),
-d AS (SELECT run, ex_at_1 AS ex, least(CAST(100.0 AS DOUBLE), ves) AS eff, {p1("n - errors", "n")} AS rel,
+d AS (SELECT run, ex_at_1 AS ex, CASE WHEN ves IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), ves) END AS eff, {p1("n - errors", "n")} AS rel,
              CASE WHEN avg_tokens > 0 AND mt IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), CAST(100.0 AS DOUBLE) * mt / avg_tokens) END AS tok,
              CASE WHEN avg_total_ms > 0 AND ml IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), CAST(100.0 AS DOUBLE) * ml / avg_total_ms) END AS lat
       FROM summary, mins),
