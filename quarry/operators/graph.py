@@ -1,36 +1,37 @@
 """Breadth-first expansion over an edge table by repeated joins.
 
 Each hop joins the frontier with the edges and anti-joins the visited set,
-so only new nodes move on. Every few hops the visited set is checkpointed
-to the shared checkpoint folder to cut the growing lineage (a lost executor
-then recomputes from the checkpoint, not from hop 0).
+so only new nodes move on. Each new frontier is checkpointed to the shared
+checkpoint folder (``spark.checkpoint.dir``): the lineage never grows with
+the hop count, a lost executor recomputes one hop at most, and the empty
+test that ends the search reads the materialised frontier.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir
 
-CHECKPOINT_EVERY = 4
-
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """seeds: (node); edges: (src, dst), directed (add both directions for an
     undirected graph). Returns (node, hop) with the smallest hop per node."""
-    visited = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    frontier = visited.select("node")
+    checkpoint_dir(seeds.sparkSession)
+    frontier = seeds.select("node").distinct().checkpoint(eager=True)
+    parts = [frontier.withColumn("hop", F.lit(0))]
+    visited = frontier
     for hop in range(1, max_hops + 1):
         nxt = (frontier.join(edges.withColumnRenamed("src", "node"), "node")
                .select(F.col("dst").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti"))
-        visited = visited.unionByName(nxt.withColumn("hop", F.lit(hop)))
+               .join(visited, "node", "left_anti")
+               .checkpoint(eager=True))
+        if nxt.isEmpty():
+            break
+        parts.append(nxt.withColumn("hop", F.lit(hop)))
+        visited = visited.unionByName(nxt)
         frontier = nxt
-        if hop % CHECKPOINT_EVERY == 0:
-            checkpoint_dir(visited.sparkSession)
-            visited = visited.checkpoint(eager=True)
-            frontier = visited.filter(F.col("hop") == hop).select("node")
-            if frontier.isEmpty():
-                break
-    return visited
+    return reduce(DataFrame.unionByName, parts)

@@ -17,14 +17,41 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule given by its violating rows."""
     name: str
     violations: Callable[..., DataFrame]
 
 
-def counts(rules: Iterable[Rule], *args) -> DataFrame:
+@dataclass(frozen=True)
+class RowRule:
+    """A rule that is a row predicate over a shared source (a table or a join).
+
+    Row rules with the same ``source`` function are fused: one scan of the
+    source, one ``count_if`` per rule."""
+    name: str
+    source: Callable[..., DataFrame]
+    violated: Callable[[], Column]
+
+    def violations(self, *args) -> DataFrame:
+        return self.source(*args).filter(self.violated())
+
+
+def counts(rules: Iterable[Rule | RowRule], *args) -> DataFrame:
     """(rule, violations) for every rule, violated or not."""
-    parts = [r.violations(*args).agg(F.count(F.lit(1)).alias("violations"))
-             .select(F.lit(r.name).alias("rule"), "violations") for r in rules]
+    rules = list(rules)
+    parts, fused = [], {}
+    for r in rules:
+        if isinstance(r, RowRule):
+            fused.setdefault(r.source, []).append(r)
+        else:
+            parts.append(r.violations(*args).agg(F.count(F.lit(1)).alias("violations"))
+                         .select(F.lit(r.name).alias("rule"), "violations"))
+    for source, group in fused.items():
+        row = source(*args).agg(*[F.count_if(F.coalesce(r.violated(), F.lit(False))).alias(f"v{i}")
+                                  for i, r in enumerate(group)])
+        parts.append(row.select(F.explode(F.array(*[
+            F.struct(F.lit(r.name).alias("rule"), F.col(f"v{i}").alias("violations"))
+            for i, r in enumerate(group)])).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -17,23 +17,27 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN_SPLIT = "[^a-z]+"
-BROADCAST_QUERY_TERMS = 2_000_000      # max (query, term) rows broadcast to every task
+BROADCAST_QUERY_TERMS = 2_000_000      # max (query, term) rows collected for broadcast
+BROADCAST_QUERY_MATRIX = 16_000_000    # max dense query-term x query entries broadcast to tasks
 DOCS_PER_BUCKET = 2_000
+CHUNK_ENTRIES = 4_000_000              # per-task working set: doc-term rows x queries
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased ASCII-letter runs; empty strings removed."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda s: s != "")
+    """Lower-cased runs of ASCII letters (empty strings are removed after explode)."""
+    return F.split(F.lower(text), TOKEN_SPLIT)
 
 
 def term_freq(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf) -- explode + partial-aggregated count."""
     return (df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
+            .filter(F.col("term") != "")
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -48,46 +52,84 @@ def weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, q_id: str, q_text: str,
                k: int) -> DataFrame:
-    """(q_id, doc_id, score, rank) for the k best documents of every query."""
+    """(q_id, doc_id, score, rank) for the k best documents of every query.
+
+    The corpus is tokenised once into a (doc, term, tf) table written to the
+    shared checkpoint folder (an index build that also cuts the lineage);
+    statistics and scoring read that table.
+    """
+    from quarry.session import scratch_dir
     spark = docs.sparkSession
-    doc_tf = term_freq(docs, doc_id, doc_text)
-    n_docs_val = docs.count()
-    idf = idf_table(doc_tf, F.lit(float(n_docs_val)))
-    dw = weights(doc_tf, idf)
+    tf_path = scratch_dir(spark, "doc-tf")
+    term_freq(docs, doc_id, doc_text).write.mode("overwrite").parquet(tf_path)
+    doc_tf = spark.read.parquet(tf_path)
+    n_docs = docs.count()                                   # Parquet footer metadata
+    idf = idf_table(doc_tf, F.lit(float(n_docs)))
     qw = weights(term_freq(queries, q_id, q_text), idf)
-    n_qterms = qw.count()
-    if n_qterms <= BROADCAST_QUERY_TERMS:
-        cand = _score_buckets(spark, dw, qw.toPandas(), k, max(1, math.ceil(n_docs_val / DOCS_PER_BUCKET)))
+    qp = qw.limit(BROADCAST_QUERY_TERMS + 1).toPandas()     # size check and collect in one pass
+    n_q, n_t = qp["id"].nunique(), qp["term"].nunique()
+    if len(qp) <= BROADCAST_QUERY_TERMS and n_q * n_t <= BROADCAST_QUERY_MATRIX:
+        n_buckets = max(spark.sparkContext.defaultParallelism * 4, math.ceil(n_docs / DOCS_PER_BUCKET))
+        cand = _score_buckets(spark, weights(doc_tf, idf), qp, k, n_buckets)
     else:
-        cand = _score_join(dw, qw)
+        cand = _score_join(weights(doc_tf, idf), qw)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
     return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(q_id), F.col("did").alias(doc_id), "score", "rank"))
 
 
 def _score_buckets(spark, dw: DataFrame, q: pd.DataFrame, k: int, n_buckets: int) -> DataFrame:
-    qnorm = q.assign(w2=q.w * q.w).groupby("id").w2.sum().pow(0.5).rename("qn")
-    q = q.merge(qnorm, left_on="id", right_index=True).rename(columns={"id": "qid", "w": "wq"})
-    bq = spark.sparkContext.broadcast(q[["qid", "term", "wq", "qn"]])
+    """Broadcast the query side as a dense (query term x query) matrix with
+    unit-norm columns; score buckets of whole documents with numpy."""
+    terms = np.sort(q["term"].unique())
+    qids = np.sort(q["id"].unique()).astype(np.int64)
+    qn = (q.assign(w2=q.w * q.w).groupby("id").w2.sum() ** 0.5)
+    mat = np.zeros((len(terms), len(qids)), dtype=np.float64)
+    mat[np.searchsorted(terms, q["term"].to_numpy()), np.searchsorted(qids, q["id"].to_numpy())] = \
+        q["w"].to_numpy() / qn.loc[q["id"]].to_numpy()
+    bc = spark.sparkContext.broadcast((terms, qids, mat))
+    qterms = spark.createDataFrame(pd.DataFrame({"term": terms}))
+    # Norms need every term of a document; scoring needs only the query vocabulary,
+    # so only those rows (a broadcast semi-join) travel to the scoring buckets.
+    dn = dw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    rel = dw.join(F.broadcast(qterms), "term", "left_semi").join(dn, "id")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qq = bq.value
-        dn = (pdf.w * pdf.w).groupby(pdf.id).sum().pow(0.5).rename("dn")
-        pairs = pdf.merge(qq, on="term")
-        if pairs.empty:
+        terms_, qids_, mat_ = bc.value
+        pdf = pdf.sort_values("id", kind="stable")
+        ids = pdf["id"].to_numpy(dtype=np.int64)
+        tix = np.searchsorted(terms_, pdf["term"].to_numpy())
+        w = pdf["w"].to_numpy(dtype=np.float64)
+        dnv = pdf["dn"].to_numpy(dtype=np.float64)
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        out = []
+        step = max(1, CHUNK_ENTRIES // max(1, len(qids_)))
+        i = 0
+        while i < len(starts):                      # chunks end on document boundaries
+            j = min(len(starts), i + max(1, step // max(1, (len(ids) // max(1, len(starts))))))
+            lo = starts[i]
+            hi = starts[j] if j < len(starts) else len(ids)
+            seg = starts[i:j] - lo
+            dots = np.add.reduceat(w[lo:hi, None] * mat_[tix[lo:hi]], seg, axis=0)
+            sc = np.round(dots / dnv[lo + seg][:, None], 6)
+            dids = ids[lo + seg]
+            kk = min(k, len(dids))
+            for c in range(len(qids_)):
+                col = sc[:, c]
+                nz = np.flatnonzero(col != 0)
+                if len(nz) == 0:
+                    continue
+                order = nz[np.lexsort((dids[nz], -col[nz]))[:kk]]
+                out.append(pd.DataFrame({"qid": np.full(len(order), qids_[c]), "did": dids[order],
+                                         "score": col[order]}))
+            i = j
+        if not out:
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "did": pd.Series(dtype="int64"),
                                  "score": pd.Series(dtype="float64")})
-        pairs["p"] = pairs.w * pairs.wq
-        s = pairs.groupby(["qid", "id"], as_index=False).agg(dp=("p", "sum"), qn=("qn", "first"))
-        s = s.merge(dn, left_on="id", right_index=True)
-        s["score"] = (s["dp"] / (s["qn"] * s["dn"])).round(6)
-        s = s.sort_values(["qid", "score", "id"], ascending=[True, False, True])
-        top = s.groupby("qid", sort=False).head(k)
-        return pd.DataFrame({"qid": top.qid.astype("int64"), "did": top.id.astype("int64"),
-                             "score": top.score.astype("float64")})
+        return pd.concat(out, ignore_index=True)
 
     bucket = F.pmod(F.xxhash64("id"), F.lit(n_buckets))
-    return (dw.withColumn("_b", bucket).groupBy("_b")
+    return (rel.withColumn("_b", bucket).groupBy("_b")
             .applyInPandas(lambda pdf: score(pdf.drop(columns=["_b"])), "qid long, did long, score double"))
 
 
