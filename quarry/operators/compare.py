@@ -67,6 +67,12 @@ def _row_key(ncols: int, order: list[int] | None = None) -> Column:
     return F.concat_ws(_SEP, *[F.coalesce(F.col(f"c{i}"), F.lit("\u0000")) for i in idx])
 
 
+def ordered_by_text(sql: Column) -> Column:
+    """Fallback order rule when no parse tree is available: the query text
+    contains ORDER BY (any case, any whitespace between the words)."""
+    return F.lower(sql).rlike(r"order\s+by")
+
+
 def bag(df_norm: DataFrame, order: list[int] | None = None, pos: str | None = None) -> DataFrame:
     """Multiset of normalised rows: (row, m). ``pos`` keeps an explicit position."""
     key = _row_key(len([c for c in df_norm.columns if c.startswith("c")]), order)

@@ -623,6 +623,28 @@ def regex_urls(t: Tables):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("regex_findall", "F-FINDALL", """
+WITH known AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term
+                                          FROM benchmark) WHERE term <> ''),
+l AS (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1) AS links FROM pages),
+x AS (SELECT page_id, lower(unnest(links)) AS target, unnest(range(1, len(links) + 1)) AS pos FROM l),
+f AS (SELECT page_id, target, min(pos) AS pos FROM x WHERE target IN (SELECT term FROM known) GROUP BY 1, 2)
+SELECT page_id, string_agg(target, ',' ORDER BY pos) AS known_links FROM f GROUP BY page_id""")
+def regex_findall(t: Tables):
+    """All link targets of a page, kept if known (a term of the benchmark
+    vocabulary), de-duplicated in first-seen order. The known set is a
+    distributed table (semi join), not a literal list."""
+    from quarry.operators.text import term_freq
+    known = term_freq(t.benchmark, "item_id", "text").select("term").distinct()
+    x = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1)))
+                       .alias("pos", "target")).withColumn("target", F.lower("target"))
+    first = (x.join(known.withColumnRenamed("term", "target"), "target", "left_semi")
+             .groupBy("page_id", "target").agg(F.min("pos").alias("pos")))
+    return first.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda s: s["target"]),
+                     ",").alias("known_links"))
+
+
 @query("json_props", "F-JSONARR", """
 SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) :: BIGINT AS sum_k,
        count(json_extract_string(props, '$.k')) AS n_k

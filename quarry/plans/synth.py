@@ -15,13 +15,13 @@ from quarry.functions.scalar import hash_int, slug
 from quarry.operators import synth as sy
 from quarry.plans.quality import row_counts
 from quarry.plans.registry import query
-from quarry.sources.tables import TABLE_NAMES, Tables
+from quarry.sources.tables import FIXED_SIZE_DIMENSIONS, TABLE_NAMES, Tables
 
 SEED = 42
 
 # Fixed values of the generator being rebuilt ------------------------------
 SCALE_MULT = [("tiny", 0.002), ("small", 0.05), ("bench", 1.0), ("large", 5.0)]
-TENANTS = [("tiny", 5), ("small", 25), ("bench", 50), ("large", 150)]
+# Reference tables keep their size at every scale (only "tiny" shrinks them, to a quarter, at least 5 rows).
 HISTORY_DAYS = 730
 REF_DATE = "2026-06-01"
 EVENT_NAMES = ["page_view", "product_viewed", "add_to_cart", "checkout_started", "order_completed", "search",
@@ -52,15 +52,26 @@ def _u(stream: str, key: str):
     return sy.uniform(stream, SEED, F.col(key))
 
 
+def _target_sql(tb: str, s: str, m: float) -> str:
+    if tb in FIXED_SIZE_DIMENSIONS:
+        f = 0.25 if s == "tiny" else 1.0
+        return f"CAST(greatest(5, floor(count(*) * {f})) AS BIGINT)"
+    return f"CAST(greatest(1, floor(count(*) * {m})) AS BIGINT)"
+
+
 @query("gen_rows", "G-ROWS", " UNION ALL ".join(
-    f"SELECT '{tb}' AS table_name, '{s}' AS scale, CAST(greatest(1, floor(count(*) * {m})) AS BIGINT) AS target_rows "
+    f"SELECT '{tb}' AS table_name, '{s}' AS scale, {_target_sql(tb, s, m)} AS target_rows "
     f"FROM {tb}" for tb in TABLE_NAMES for s, m in SCALE_MULT))
 def gen_rows(t: Tables):
-    """Target rows per (table, scale) = max(1, floor(rows x multiplier))."""
+    """Target rows per (table, scale): max(1, floor(rows x multiplier)); fixed
+    reference tables keep their size (tiny: a quarter, at least 5)."""
     scales = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(m).alias("mult")) for s, m in SCALE_MULT]))
+    fixed = F.col("table_name").isin(*FIXED_SIZE_DIMENSIONS)
+    tiny = F.col("s.scale") == "tiny"
+    target = F.when(fixed, F.greatest(F.lit(5), F.floor(F.col("n") * F.when(tiny, 0.25).otherwise(1.0)))) \
+        .otherwise(F.greatest(F.lit(1), F.floor(F.col("n") * F.col("s.mult"))))
     return (row_counts(t).select("table_name", "n", scales.alias("s"))
-            .select("table_name", "s.scale",
-                    F.greatest(F.lit(1), F.floor(F.col("n") * F.col("s.mult"))).cast("long").alias("target_rows")))
+            .select("table_name", "s.scale", target.cast("long").alias("target_rows")))
 
 
 @query("gen_uniform", "G-STREAM", f"SELECT o_orderkey, {U('u', 'o_orderkey')} AS u FROM orders")

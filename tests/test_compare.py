@@ -104,3 +104,8 @@ def test_bag_diff_statuses(spark):
     b = cmp.normalise(df(spark, [("x", 1), ("z", 3)]))
     got = {r["status"]: (r["n_left"], r["n_right"]) for r in cmp.bag_diff(a, b).collect()}
     assert got == {"changed": (2, 1), "left_only": (1, 0), "right_only": (0, 1)}
+
+
+def test_ordered_by_text(spark):
+    df = spark.createDataFrame([("SELECT a FROM t ORDER  BY a",), ("select a from t",), ("x order\nby y",)], "q string")
+    assert [r[0] for r in df.select(cmp.ordered_by_text(F.col("q"))).collect()] == [True, False, True]
