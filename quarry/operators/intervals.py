@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.windows import previous_max
+from quarry.operators.windows import HOT_KEY_ROWS, previous_max, split_hot
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -20,32 +20,43 @@ def epoch_micros(ts: str) -> Column:
 
 
 def count_overlapping_pairs(df: DataFrame, key: str, start: str, tie: str,
-                            length_us: int) -> DataFrame:
+                            length_us: int, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Per key, the number of unordered pairs whose ``[start, start+length)``
     windows overlap (equal lengths: ``|s_a - s_b| < length``).
 
-    Rows are bucketed by ``floor(start/length)``; a window can only reach the
-    next bucket, so each bucket also sees a shadow copy of the next one. In a
-    (key, bucket) partition sorted by (start, tie), a row's later partners
-    are ``count(start < s + length) - position``: counted, never listed.
+    Sorted by (start, tie), a row's later partners number
+    ``count(start < s + length) - position``: a RANGE-frame count and a row
+    number, so pairs are counted, never listed. Ordinary keys run that per
+    key. Hot keys run it per (key, bucket) with ``bucket = floor(start /
+    length)``: a window reaches at most the next bucket, so each bucket also
+    sees a shadow copy of the next one.
     """
     s = df.select(F.col(key).alias("_k"), epoch_micros(start).alias("_s"), F.col(tie).alias("_t"))
-    s = s.withColumn("_b", F.floor(F.col("_s") / F.lit(length_us)))
-    own = s.withColumn("_own", F.lit(True))
-    shadow = s.withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(shadow)
-    part = Window.partitionBy("_k", "_b")
-    reach = part.orderBy("_s").rangeBetween(Window.unboundedPreceding, length_us - 1)
-    pos = part.orderBy("_s", F.col("_own").desc(), "_t")
-    scored = (both.withColumn("_reach", F.count(F.lit(1)).over(reach))
-              .withColumn("_pos", F.row_number().over(pos))
-              .filter("_own"))
+    hot, cold = split_hot(s, ["_k"], hot_rows)
+    parts = []
+    if cold is not None:
+        part = Window.partitionBy("_k")
+        reach = part.orderBy("_s").rangeBetween(Window.unboundedPreceding, length_us - 1)
+        parts.append(cold.withColumn("_reach", F.count(F.lit(1)).over(reach))
+                     .withColumn("_pos", F.row_number().over(part.orderBy("_s", "_t")))
+                     .select("_k", "_reach", "_pos"))
+    if hot is not None:
+        hb = hot.withColumn("_b", F.floor(F.col("_s") / F.lit(length_us)))
+        both = (hb.withColumn("_own", F.lit(True))
+                .unionByName(hb.withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))))
+        part = Window.partitionBy("_k", "_b")
+        reach = part.orderBy("_s").rangeBetween(Window.unboundedPreceding, length_us - 1)
+        pos = part.orderBy("_s", F.col("_own").desc(), "_t")
+        parts.append(both.withColumn("_reach", F.count(F.lit(1)).over(reach))
+                     .withColumn("_pos", F.row_number().over(pos))
+                     .filter("_own").select("_k", "_reach", "_pos"))
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return (scored.groupBy("_k").agg(F.sum(F.col("_reach") - F.col("_pos")).alias("n_pairs"))
             .filter("n_pairs > 0").withColumnRenamed("_k", key))
 
 
 def overlapping_rows(df: DataFrame, key: list[str], start: str, end: str, tie: str,
-                     bucket: Column) -> DataFrame:
+                     bucket: Column, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Rows whose ``[start, end)`` overlaps some earlier row of the same key.
 
     Sorted by (start, tie), a row overlaps an earlier one iff its start is
@@ -53,5 +64,5 @@ def overlapping_rows(df: DataFrame, key: list[str], start: str, end: str, tie: s
     The running maximum is split by ``bucket`` (see ``previous_max``).
     """
     far = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    flagged = previous_max(df, key, [start, tie], F.coalesce(F.col(end), far), bucket, "_prev_end")
+    flagged = previous_max(df, key, [start, tie], F.coalesce(F.col(end), far), bucket, "_prev_end", hot_rows)
     return flagged.filter(F.col(start) < F.col("_prev_end")).drop("_prev_end")

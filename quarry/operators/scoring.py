@@ -127,17 +127,19 @@ def price_table(spark, prices=PRICES) -> DataFrame:
 def longest_prefix_price(df: DataFrame, name: Column, prices: DataFrame, max_len: int = 64) -> DataFrame:
     """E-COST pricing: the longest key ``name`` starts with, as an equi-join.
 
-    Every prefix of ``name`` (up to ``max_len`` chars) is generated and
-    equi-joined to the keys, so no row is compared with every key; the
-    longest hit per row wins. Adds ``prefix, price_in, price_out``.
+    Prices depend on the name only, so each distinct name is priced once:
+    every prefix of it (up to ``max_len`` chars) is generated and equi-joined
+    to the keys, the longest hit wins, and the result joins back on the name
+    value. Deterministic under recomputation (no generated row ids).
+    Adds ``prefix, price_in, price_out`` (NULL when no key matches).
     """
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_name", name)
-    cand = keyed.select("_rid", F.explode(F.sequence(F.lit(1), F.least(F.length("_name"), F.lit(max_len))))
-                        .alias("_len"), "_name") \
-        .select("_rid", "_len", F.expr("substring(_name, 1, _len)").alias("prefix"))
-    hits = cand.join(prices, "prefix").groupBy("_rid").agg(
+    keyed = df.withColumn("_name", name)
+    names = keyed.select("_name").distinct()
+    cand = names.select("_name", F.explode(F.sequence(F.lit(1), F.least(F.length("_name"), F.lit(max_len))))
+                        .alias("_len")).select("_name", "_len", F.expr("substring(_name, 1, _len)").alias("prefix"))
+    hits = cand.join(prices, "prefix").groupBy("_name").agg(
         F.max_by(F.struct("prefix", "price_in", "price_out"), "_len").alias("_p"))
-    return (keyed.join(hits, "_rid", "left")
+    return (keyed.join(hits, "_name", "left")
             .select(*df.columns, "_p.prefix", "_p.price_in", "_p.price_out"))
 
 

@@ -1,13 +1,17 @@
-"""Per-key running aggregates that never send a whole key to one task.
+"""Per-key running aggregates that never send a hot key to one task.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` moves every row of a key into
-one task; if one key holds a third of the data that task holds a third of
-the data. Running sums and maxima are prefix scans, so they split:
+one task; if one key holds a third of the data, that task holds a third of
+the data. Keys are therefore split first (``split_hot``): a partial-
+aggregated count per key finds the keys above ``hot_rows``; those keys take
+the bucketed path below, all others the plain window (one shuffle, one sort).
+
+Bucketed path -- running sums and maxima are prefix scans, so they split:
 
 1. pre-aggregate per (key, bucket) where ``bucket`` is monotone in the order
-   column (e.g. the month) -- a partial aggregation, tiny output;
-2. per key, a prefix over the bucket totals gives the carry-in of each
-   bucket (rows per key = number of buckets, bounded by the time span);
+   column (e.g. the year) -- a partial aggregation, tiny output;
+2. per key, a prefix over the bucket totals gives each bucket's carry-in
+   (rows per key = number of buckets, bounded by the time span);
 3. the row-level window runs per (key, bucket), plus the carry-in.
 
 Peers (equal order values) always share a bucket, so RANGE-frame semantics
@@ -19,16 +23,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows per key above which a key is treated as hot. A task sorting this many
+# rows fits comfortably in executor memory; hot keys are at most rows/HOT_KEY_ROWS,
+# which bounds the broadcast hot-key list.
+HOT_KEY_ROWS = 2_000_000
+
+
+def split_hot(df: DataFrame, key: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(hot rows, other rows). ``hot_rows <= 0`` treats every key as hot."""
+    if hot_rows <= 0:
+        return df, None
+    hot_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > hot_rows).select(*key))
+    hk = F.broadcast(hot_keys)    # size bound: at most rows / hot_rows keys
+    return df.join(hk, key, "left_semi"), df.join(hk, key, "left_anti")
+
 
-def _bucketed(df: DataFrame, key: list[str], bucket: Column) -> DataFrame:
-    return df.withColumn("_bucket", bucket)
+def _union(a: DataFrame | None, b: DataFrame | None) -> DataFrame:
+    if a is None:
+        return b
+    if b is None:
+        return a
+    return a.unionByName(b)
 
 
 def running_sum(df: DataFrame, key: list[str], order: str, value: Column, bucket: Column,
-                out: str = "running") -> DataFrame:
+                out: str = "running", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """``sum(value) OVER (PARTITION BY key ORDER BY order)`` with the default
-    RANGE UNBOUNDED PRECEDING frame, split by ``bucket`` (monotone in ``order``)."""
-    b = df.withColumn("_bucket", bucket).withColumn("_v", value)
+    RANGE UNBOUNDED PRECEDING frame; hot keys split by ``bucket``."""
+    b = df.withColumn("_v", value)
+    hot, cold = split_hot(b, key, hot_rows)
+    plain = None if cold is None else cold.withColumn(
+        out, F.sum("_v").over(Window.partitionBy(*key).orderBy(order))).drop("_v")
+    return _union(plain, _running_sum_bucketed(hot, key, order, bucket, out))
+
+
+def _running_sum_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
+    b = b.withColumn("_bucket", bucket)
     parts = key + ["_bucket"]
     totals = b.groupBy(*parts).agg(F.sum("_v").alias("_bt"))
     carry = totals.withColumn(
@@ -44,11 +75,20 @@ def running_sum(df: DataFrame, key: list[str], order: str, value: Column, bucket
 
 
 def previous_max(df: DataFrame, key: list[str], order: list[str], value: Column, bucket: Column,
-                 out: str = "prev_max") -> DataFrame:
-    """``max(value)`` over all rows of the key strictly before this one in ``order``
-    (ROWS UNBOUNDED PRECEDING .. 1 PRECEDING), split by ``bucket`` (monotone in
-    the first order column). NULL for the first row of a key."""
-    b = df.withColumn("_bucket", bucket).withColumn("_v", value)
+                 out: str = "prev_max", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``max(value)`` over all rows of the key strictly before this one in
+    ``order`` (ROWS UNBOUNDED PRECEDING .. 1 PRECEDING); NULL for a key's
+    first row. Hot keys split by ``bucket`` (monotone in the first order column)."""
+    b = df.withColumn("_v", value)
+    hot, cold = split_hot(b, key, hot_rows)
+    plain = None if cold is None else cold.withColumn(
+        out, F.max("_v").over(Window.partitionBy(*key).orderBy(*order)
+                              .rowsBetween(Window.unboundedPreceding, -1))).drop("_v")
+    return _union(plain, _previous_max_bucketed(hot, key, order, bucket, out))
+
+
+def _previous_max_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
+    b = b.withColumn("_bucket", bucket)
     parts = key + ["_bucket"]
     maxima = b.groupBy(*parts).agg(F.max("_v").alias("_bm"))
     carry = maxima.withColumn(

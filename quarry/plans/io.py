@@ -109,9 +109,12 @@ def run_predictor(questions: DataFrame, predict: Predictor, qid: str) -> DataFra
                     try:
                         rows.append(_conform(predict(one), one[qid]))
                     except Exception as e:  # noqa: BLE001 -- plug-in errors become data
-                        rows.append(pd.DataFrame({"qid": one[qid].astype("int64").to_numpy(), "answer": [None],
-                                                  "error": [f"{type(e).__name__}: {e}"[:500]],
-                                                  "prompt_tokens": [None], "completion_tokens": [None]}))
+                        rows.append(pd.DataFrame({
+                            "qid": one[qid].astype("int64").to_numpy(),
+                            "answer": pd.array([None], dtype="Int32"),
+                            "error": pd.array([f"{type(e).__name__}: {e}"[:500]], dtype="object"),
+                            "prompt_tokens": pd.array([None], dtype="Int32"),
+                            "completion_tokens": pd.array([None], dtype="Int32")}))
                 yield pd.concat(rows, ignore_index=True)
     return questions.mapInPandas(fn, PREDICT_SCHEMA)
 
@@ -124,7 +127,7 @@ def _conform(out: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
             out[c] = None
         out[c] = out[c].astype("Int32")
     if "error" not in out:
-        out["error"] = None
+        out["error"] = pd.Series([None] * len(out), dtype="object", index=out.index)
     return out[["qid", "answer", "error", "prompt_tokens", "completion_tokens"]]
 
 

@@ -21,25 +21,41 @@ def _events(spark, n=400, keys=3, seed=7):
     return spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v double")
 
 
-def test_running_sum_equals_plain_window(spark):
+# hot_rows: 0 = every key hot (bucketed path), 10**9 = none hot (plain window),
+# 120 = only the hot key 0 (mixed).
+HOT = [0, 120, 10**9]
+
+
+@pytest.mark.parametrize("hot_rows", HOT)
+def test_running_sum_equals_plain_window(spark, hot_rows):
     df = _events(spark)
-    got = windows.running_sum(df, ["k"], "ts", F.col("v"), F.year("ts"), "r")
+    got = windows.running_sum(df, ["k"], "ts", F.col("v"), F.year("ts"), "r", hot_rows)
     want = df.withColumn("r", F.sum("v").over(Window.partitionBy("k").orderBy("ts")))
     assert sorted(got.select("id", "r").collect()) == sorted(want.select("id", "r").collect())
 
 
-def test_previous_max_equals_plain_window(spark):
+@pytest.mark.parametrize("hot_rows", HOT)
+def test_previous_max_equals_plain_window(spark, hot_rows):
     df = _events(spark)
-    got = windows.previous_max(df, ["k"], ["ts", "id"], F.col("v"), F.year("ts"), "m")
+    got = windows.previous_max(df, ["k"], ["ts", "id"], F.col("v"), F.year("ts"), "m", hot_rows)
     w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("m", F.max("v").over(w))
     assert sorted(got.select("id", "m").collect()) == sorted(want.select("id", "m").collect())
 
 
-def test_overlapping_pairs_brute_force(spark):
+def test_hot_key_split(spark):
+    df = _events(spark)
+    hot, cold = windows.split_hot(df, ["k"], 120)
+    assert {r["k"] for r in hot.select("k").distinct().collect()} == {0}
+    assert hot.count() + cold.count() == df.count()
+
+
+@pytest.mark.parametrize("hot_rows", HOT)
+def test_overlapping_pairs_brute_force(spark, hot_rows):
     df = _events(spark, 300)
     length = 30 * 86_400_000_000
-    got = {r["k"]: r["n_pairs"] for r in intervals.count_overlapping_pairs(df, "k", "ts", "id", length).collect()}
+    got = {r["k"]: r["n_pairs"] for r in
+           intervals.count_overlapping_pairs(df, "k", "ts", "id", length, hot_rows).collect()}
     rows = df.collect()
     want = {}
     for a, b in itertools.combinations(rows, 2):
@@ -48,7 +64,8 @@ def test_overlapping_pairs_brute_force(spark):
     assert got == want
 
 
-def test_overlapping_rows_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", HOT)
+def test_overlapping_rows_brute_force(spark, hot_rows):
     rnd = random.Random(3)
     base = datetime(2021, 1, 1)
     rows = []
@@ -57,7 +74,7 @@ def test_overlapping_rows_brute_force(spark):
         e = None if rnd.random() < 0.05 else s + timedelta(days=rnd.randint(1, 40))
         rows.append((rnd.randint(0, 4), s, e, i))
     df = spark.createDataFrame(rows, "k long, s timestamp_ntz, e timestamp_ntz, id long")
-    got = {r["id"] for r in intervals.overlapping_rows(df, ["k"], "s", "e", "id", F.year("s")).collect()}
+    got = {r["id"] for r in intervals.overlapping_rows(df, ["k"], "s", "e", "id", F.year("s"), hot_rows).collect()}
     far = datetime(9999, 1, 1)
     srt = sorted(rows, key=lambda r: (r[0], r[1], r[3]))
     want = set()
