@@ -72,7 +72,7 @@ def base26(n: Column, width: int = 3) -> Column:
 def slug(text: Column, key: Column | None = None) -> Column:
     """Lower-case, runs of non-alphanumerics -> '-', trimmed of '-'; salted with ``key``."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return s if key is None else F.concat_ws("-", s, key.cast("string"))
+    return s if key is None else F.concat(s, F.lit("-"), key.cast("string"))
 
 
 def hash_int(stream: str, seed: int, key: Column) -> Column:

@@ -21,7 +21,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """seeds: (node); edges: (src, dst), directed (add both directions for an
     undirected graph). Returns (node, hop) with the smallest hop per node."""
     checkpoint_dir(seeds.sparkSession)
-    frontier = seeds.select("node").distinct().checkpoint(eager=True)
+    edges = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())   # a NULL FK is no edge
+    frontier = seeds.select("node").filter(F.col("node").isNotNull()).distinct().checkpoint(eager=True)
     parts = [frontier.withColumn("hop", F.lit(0))]
     visited = frontier
     for hop in range(1, max_hops + 1):

@@ -31,7 +31,8 @@ def count_overlapping_pairs(df: DataFrame, key: str, start: str, tie: str,
     length)``: a window reaches at most the next bucket, so each bucket also
     sees a shadow copy of the next one.
     """
-    s = df.select(F.col(key).alias("_k"), epoch_micros(start).alias("_s"), F.col(tie).alias("_t"))
+    s = (df.filter(F.col(key).isNotNull() & F.col(start).isNotNull())   # NULL never equals / overlaps
+         .select(F.col(key).alias("_k"), epoch_micros(start).alias("_s"), F.col(tie).alias("_t")))
     hot, cold = split_hot(s, ["_k"], hot_rows)
     parts = []
     if cold is not None:
@@ -64,5 +65,9 @@ def overlapping_rows(df: DataFrame, key: list[str], start: str, end: str, tie: s
     The running maximum is split by ``bucket`` (see ``previous_max``).
     """
     far = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    # A row without a start or without a key has no validity range to conflict.
+    df = df.filter(F.col(start).isNotNull())
+    for k in key:
+        df = df.filter(F.col(k).isNotNull())
     flagged = previous_max(df, key, [start, tie], F.coalesce(F.col(end), far), bucket, "_prev_end", hot_rows)
     return flagged.filter(F.col(start) < F.col("_prev_end")).drop("_prev_end")

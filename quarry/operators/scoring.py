@@ -115,7 +115,8 @@ def weighted_grade() -> Column:
 def leaderboard(graded: DataFrame, rejected: DataFrame) -> DataFrame:
     """E-BOARD: rejected runs dropped, grade desc (NULL last), ranks 1..n.
     The window runs over one row per run (an aggregated result)."""
-    kept = graded.join(rejected.select("run").distinct(), "run", "left_anti")
+    rej = rejected.select(F.col("run").alias("_rej")).distinct()
+    kept = graded.join(rej, graded["run"].eqNullSafe(rej["_rej"]), "left_anti")
     w = Window.orderBy(F.desc_nulls_last("grade"), "run")
     return kept.select(F.row_number().over(w).cast("long").alias("rank"), "run", "grade")
 

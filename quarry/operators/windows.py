@@ -54,7 +54,7 @@ def running_sum(df: DataFrame, key: list[str], order: str, value: Column, bucket
     b = df.withColumn("_v", value)
     hot, cold = split_hot(b, key, hot_rows)
     plain = None if cold is None else cold.withColumn(
-        out, F.sum("_v").over(Window.partitionBy(*key).orderBy(order))).drop("_v")
+        out, F.sum("_v").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(order)))).drop("_v")
     return _union(plain, _running_sum_bucketed(hot, key, order, bucket, out))
 
 
@@ -64,12 +64,13 @@ def _running_sum_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
     totals = b.groupBy(*parts).agg(F.sum("_v").alias("_bt"))
     carry = totals.withColumn(
         "_carry",
-        F.coalesce(F.sum("_bt").over(Window.partitionBy(*key).orderBy("_bucket")
+        F.coalesce(F.sum("_bt").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("_bucket"))
                                      .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0).cast(totals.schema["_bt"].dataType)),
     ).drop("_bt")
-    w = Window.partitionBy(*parts).orderBy(order)  # default frame: RANGE to CURRENT ROW
-    return (b.join(carry, parts, "inner")
+    w = Window.partitionBy(*parts).orderBy(F.asc_nulls_last(order))  # default frame: RANGE to CURRENT ROW
+    return (b.join(carry, [b[c].eqNullSafe(carry[c]) for c in parts], "inner")
+            .drop(*[carry[c] for c in parts])
             .withColumn(out, F.col("_carry") + F.sum("_v").over(w))
             .drop("_bucket", "_v", "_carry"))
 
@@ -82,7 +83,7 @@ def previous_max(df: DataFrame, key: list[str], order: list[str], value: Column,
     b = df.withColumn("_v", value)
     hot, cold = split_hot(b, key, hot_rows)
     plain = None if cold is None else cold.withColumn(
-        out, F.max("_v").over(Window.partitionBy(*key).orderBy(*order)
+        out, F.max("_v").over(Window.partitionBy(*key).orderBy(*[F.asc_nulls_last(o) for o in order])
                               .rowsBetween(Window.unboundedPreceding, -1))).drop("_v")
     return _union(plain, _previous_max_bucketed(hot, key, order, bucket, out))
 
@@ -92,10 +93,12 @@ def _previous_max_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
     parts = key + ["_bucket"]
     maxima = b.groupBy(*parts).agg(F.max("_v").alias("_bm"))
     carry = maxima.withColumn(
-        "_carry", F.max("_bm").over(Window.partitionBy(*key).orderBy("_bucket")
+        "_carry", F.max("_bm").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("_bucket"))
                                     .rowsBetween(Window.unboundedPreceding, -1))
     ).drop("_bm")
-    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(carry, parts, "inner")
+    w = Window.partitionBy(*parts).orderBy(*[F.asc_nulls_last(o) for o in order]) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return (b.join(carry, [b[c].eqNullSafe(carry[c]) for c in parts], "inner")
+            .drop(*[carry[c] for c in parts])
             .withColumn(out, F.greatest(F.col("_carry"), F.max("_v").over(w)))
             .drop("_bucket", "_v", "_carry"))

@@ -57,7 +57,8 @@ def json_results(t: Tables):
 
 
 @query("multi_file_scan", "S-MULTI", """
-SELECT 'run=' || CAST(user_id AS VARCHAR) AS folder, count(*) AS n_results FROM events GROUP BY user_id""")
+SELECT coalesce('run=' || CAST(user_id AS VARCHAR), 'run=__HIVE_DEFAULT_PARTITION__') AS folder, count(*) AS n_results
+FROM events GROUP BY user_id""")
 def multi_file_scan(t: Tables):
     """Scan every run folder; tag rows with the folder they were read from."""
     root = _write_runs(t)
@@ -74,8 +75,9 @@ def append_ledger(t: Tables):
     """A cumulative ledger appended in two batches (even runs, then odd runs)."""
     path = scratch_dir(t.spark, "ledger")
     s = scp.summary(t).select("run", "n", "total_tokens")
-    files.append_ledger(s.filter(F.col("run") % 2 == 0), path)
-    files.append_ledger(s.filter(F.col("run") % 2 == 1), path)
+    even = F.coalesce(F.col("run") % 2 == 0, F.lit(False))     # every row lands in exactly one batch
+    files.append_ledger(s.filter(even), path)
+    files.append_ledger(s.filter(~even), path)
     return files.read_ledger(t.spark, path, LEDGER_SCHEMA)
 
 
@@ -146,7 +148,7 @@ def picky_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
 @query("predict_gold", "X-PREDICT", """
 SELECT 'gold' AS plugin, count(*) AS n, CAST(1.0 AS DOUBLE) AS accuracy, CAST(0 AS BIGINT) AS errors FROM labels
 UNION ALL
-SELECT 'picky', count(*), round(CAST(count(*) FILTER (WHERE toxic <> 1) AS DOUBLE) / count(*), 6),
+SELECT 'picky', count(*), round(CAST(count(*) FILTER (WHERE toxic IS DISTINCT FROM 1) AS DOUBLE) / count(*), 6),
        count(*) FILTER (WHERE toxic = 1) FROM labels""")
 def predict_gold(t: Tables):
     """Plug-ins scored against labels: the gold plug-in must reach 1.0."""
@@ -155,7 +157,7 @@ def predict_gold(t: Tables):
     for name, fn in (("gold", gold_predictor), ("picky", picky_predictor)):
         p = run_predictor(q, fn, "qid").join(q, "qid")
         out.append(p.agg(F.lit(name).alias("plugin"), F.count(F.lit(1)).alias("n"),
-                         F.round(F.count_if(F.col("error").isNull() & (F.col("answer") == F.col("quality")))
+                         F.round(F.count_if(F.col("error").isNull() & F.col("answer").eqNullSafe(F.col("quality")))
                                  / F.count(F.lit(1)), 6).alias("accuracy"),
                          F.count_if(F.col("error").isNotNull()).alias("errors")))
     return out[0].unionByName(out[1])

@@ -78,9 +78,10 @@ _RULES_SQL = [
     ("check:discount_0_1", "SELECT count(*) FROM lineitem WHERE NOT coalesce(l_discount BETWEEN 0 AND 1, true)"),
     ("domain:order_status", "SELECT count(*) FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O')"),
     ("overlap:part_ship_window", """SELECT count(*) FROM (
-       SELECT l_shipdate AS s, max(l_shipdate + to_days(CAST(l_quantity AS INTEGER))) OVER (
+       SELECT l_shipdate AS s,
+              max(coalesce(l_shipdate + to_days(CAST(l_quantity AS INTEGER)), TIMESTAMP '9999-12-31 00:00:00')) OVER (
          PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
-       FROM lineitem) WHERE s < pm"""),
+       FROM lineitem WHERE l_shipdate IS NOT NULL AND l_partkey IS NOT NULL) WHERE s < pm"""),
 ]
 _SQL = dict(_RULES_SQL)
 

@@ -183,11 +183,13 @@ def join_fanout(t: Tables):
     customer costs one row, not orders x events.
     """
     o = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(
-        F.count(F.lit(1)).alias("no"), F.sum("o_totalprice").alias("so"))
+        F.count(F.lit(1)).alias("no"), F.count("o_totalprice").alias("nv"), F.sum("o_totalprice").alias("so"))
     e = t.events.groupBy(F.col("user_id").alias("k"), "event_type").agg(F.count(F.lit(1)).alias("ne"))
+    # avg skips NULL prices: the denominator counts priced orders only.
     return (e.join(o, "k").groupBy("event_type")
             .agg(F.sum(F.col("ne") * F.col("no")).alias("n_pairs"),
-                 F.round(F.sum(F.col("ne") * F.col("so")) / F.sum(F.col("ne") * F.col("no")), 4).alias("avg_price")))
+                 F.round(F.try_divide(F.sum(F.col("ne") * F.col("so")), F.sum(F.col("ne") * F.col("nv"))), 4)
+                 .alias("avg_price")))
 
 
 @query("join_anti", "J-ANTI", """
@@ -396,11 +398,11 @@ def bag_counts(t: Tables):
 
 @query("rank_segments", "W-RANK", """
 SELECT c.c_mktsegment, round(sum(o.o_totalprice), 2) AS revenue,
-       rank() OVER (ORDER BY round(sum(o.o_totalprice), 2) DESC) AS rnk
+       rank() OVER (ORDER BY round(sum(o.o_totalprice), 2) DESC NULLS FIRST) AS rnk
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment""")
 def rank_segments(t: Tables):
     seg = group_join(t).select("c_mktsegment", "revenue")
-    return seg.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("revenue"))).cast("long"))
+    return seg.withColumn("rnk", F.rank().over(Window.orderBy(F.desc_nulls_first("revenue"))).cast("long"))
 
 
 RUNNING_MONTH_SQL = """
@@ -409,7 +411,7 @@ WITH m AS (
          sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue
   FROM orders GROUP BY 1)
 SELECT month, CAST(revenue AS DOUBLE) AS revenue,
-       CAST(sum(revenue) OVER (ORDER BY month) AS DOUBLE) AS running_revenue
+       CAST(sum(revenue) OVER (ORDER BY month NULLS LAST) AS DOUBLE) AS running_revenue
 FROM m"""
 
 
@@ -417,12 +419,12 @@ FROM m"""
 def running_month(t: Tables):
     m = t.orders.groupBy(month_ntz("o_orderdate").alias("month")).agg(F.sum(money("o_totalprice")).alias("r"))
     return m.select("month", F.col("r").cast("double").alias("revenue"),
-                    F.sum("r").over(Window.orderBy("month")).cast("double").alias("running_revenue"))
+                    F.sum("r").over(Window.orderBy(F.asc_nulls_last("month"))).cast("double").alias("running_revenue"))
 
 
 RUNNING_CUSTOMER_SQL = """
 SELECT o_custkey, o_orderkey, o_orderdate,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS DOUBLE)
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST) AS DOUBLE)
          AS running_total
 FROM orders"""
 
@@ -444,10 +446,10 @@ def running_customer(t: Tables):
 @query("lag_month", "W-LAG", """
 WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n_orders
            FROM orders GROUP BY 1)
-SELECT month, n_orders, n_orders - lag(n_orders) OVER (ORDER BY month) AS delta FROM m""")
+SELECT month, n_orders, n_orders - lag(n_orders) OVER (ORDER BY month NULLS LAST) AS delta FROM m""")
 def lag_month(t: Tables):
     m = t.orders.groupBy(month_ntz("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return m.withColumn("delta", F.col("n_orders") - F.lag("n_orders").over(Window.orderBy("month")))
+    return m.withColumn("delta", F.col("n_orders") - F.lag("n_orders").over(Window.orderBy(F.asc_nulls_last("month"))))
 
 
 # ------------------------------------------------------------ sort/top-k ----
@@ -458,7 +460,7 @@ def sort_revenue(t: Tables):
 
 
 @query("sort_multi", "T-SORTMULTI", """
-SELECT c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC""")
+SELECT c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey NULLS LAST, c_acctbal DESC NULLS FIRST""")
 def sort_multi(t: Tables):
     return t.customer.select("c_nationkey", "c_custkey", "c_acctbal") \
         .orderBy(F.asc_nulls_last("c_nationkey"), F.desc_nulls_first("c_acctbal"))
@@ -466,25 +468,26 @@ def sort_multi(t: Tables):
 
 @query("topk_orders", "T-TOPK", """
 SELECT l_orderkey, round(sum(l_extendedprice), 2) AS gross FROM lineitem
-GROUP BY l_orderkey ORDER BY gross DESC, l_orderkey LIMIT 10""")
+GROUP BY l_orderkey ORDER BY gross DESC NULLS FIRST, l_orderkey NULLS LAST LIMIT 10""")
 def topk_orders(t: Tables):
     # orderBy+limit plans as TakeOrderedAndProject: per-partition top 10,
     # then a 10 x partitions merge -- no global sort.
     return (t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("gross"))
-            .orderBy(F.desc("gross"), "l_orderkey").limit(10))
+            .orderBy(F.desc_nulls_first("gross"), F.asc_nulls_last("l_orderkey")).limit(10))
 
 
 @query("top1_hour", "T-TOP1", """
-SELECT CAST(hour(ts) AS BIGINT) AS hr, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, hr LIMIT 1""")
+SELECT CAST(hour(ts) AS BIGINT) AS hr, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC NULLS FIRST, hr NULLS LAST LIMIT 1""")
 def top1_hour(t: Tables):
     return (t.events.groupBy(F.hour("ts").cast("long").alias("hr")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "hr").limit(1))
+            .orderBy(F.desc_nulls_first("n"), F.asc_nulls_last("hr")).limit(1))
 
 
 @query("firstn_running", "T-FIRSTN",
-       RUNNING_CUSTOMER_SQL + " ORDER BY o_custkey, o_orderdate NULLS LAST, o_orderkey LIMIT 50")
+       RUNNING_CUSTOMER_SQL + " ORDER BY o_custkey NULLS LAST, o_orderdate NULLS LAST, o_orderkey NULLS LAST LIMIT 50")
 def firstn_running(t: Tables):
-    return _running_customer(t).orderBy("o_custkey", F.asc_nulls_last("o_orderdate"), "o_orderkey").limit(50)
+    return _running_customer(t).orderBy(F.asc_nulls_last("o_custkey"), F.asc_nulls_last("o_orderdate"),
+                                        F.asc_nulls_last("o_orderkey")).limit(50)
 
 
 # ------------------------------------------------------------- bag/set ops --
@@ -493,7 +496,8 @@ def firstn_running(t: Tables):
 WITH a AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
      b AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1, 2)
 SELECT a.l_returnflag, a.l_linestatus, least(a.m, b.m) AS common
-FROM a JOIN b ON a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus""")
+FROM a JOIN b ON a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag
+             AND a.l_linestatus IS NOT DISTINCT FROM b.l_linestatus""")
 def bag_intersect(t: Tables):
     """INTERSECT ALL size per value: sum of min multiplicities, from two
     partial-aggregated count tables instead of shuffling raw rows."""
@@ -505,16 +509,15 @@ def bag_intersect(t: Tables):
 
 
 @query("set_diff", "U-DIFF", """
-SELECT DISTINCT o_custkey AS k, 'orders_only' AS side FROM orders
-WHERE o_custkey NOT IN (SELECT user_id FROM events)
+(SELECT o_custkey AS k, 'orders_only' AS side FROM (SELECT o_custkey FROM orders EXCEPT SELECT user_id FROM events))
 UNION ALL
-SELECT DISTINCT user_id AS k, 'events_only' AS side FROM events
-WHERE user_id NOT IN (SELECT o_custkey FROM orders)""")
+(SELECT user_id AS k, 'events_only' AS side FROM (SELECT user_id FROM events EXCEPT SELECT o_custkey FROM orders))""")
 def set_diff(t: Tables):
-    o = t.orders.select(F.col("o_custkey").alias("k")).distinct()
-    e = t.events.select(F.col("user_id").alias("k")).distinct()
-    return (o.join(e, "k", "left_anti").withColumn("side", F.lit("orders_only"))
-            .unionByName(e.join(o, "k", "left_anti").withColumn("side", F.lit("events_only"))))
+    # EXCEPT (distinct, NULL equals NULL) -- Spark plans it as a null-safe anti join.
+    o = t.orders.select(F.col("o_custkey").alias("k"))
+    e = t.events.select(F.col("user_id").alias("k"))
+    return (o.subtract(e).withColumn("side", F.lit("orders_only"))
+            .unionByName(e.subtract(o).withColumn("side", F.lit("events_only"))))
 
 
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -524,7 +527,7 @@ _TIE = [c for c in LINEITEM_COLS if c not in ("l_orderkey", "l_linenumber")]
 
 @query("dedup_lineitem", "U-DEDUP", f"""
 SELECT {', '.join(LINEITEM_COLS)} FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_TIE)}) AS rn
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' NULLS LAST' for c in _TIE)}) AS rn
   FROM lineitem) WHERE rn = 1""")
 def dedup_lineitem(t: Tables):
     """First row per (orderkey, linenumber) under a full tie-break order.
@@ -533,8 +536,10 @@ def dedup_lineitem(t: Tables):
     partial aggregation, so a key repeated a billion times is reduced inside
     every map task instead of being gathered into one window partition.
     """
-    first = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*_TIE)).alias("r"))
-    return first.select("l_orderkey", "l_linenumber", "r.*").select(*LINEITEM_COLS)
+    # (isNull(c), c) pairs make NULLs sort last inside the struct order.
+    key = F.struct(*[x for c in _TIE for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c))])
+    first = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(key).alias("r"))
+    return first.select("l_orderkey", "l_linenumber", *[F.col(f"r.{c}").alias(c) for c in _TIE]).select(*LINEITEM_COLS)
 
 
 # ---------------------------------------------------------- scalar funcs ----

@@ -155,7 +155,8 @@ def fk_expand(t: Tables):
 @query("fk_hops", "R-HOPS", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b
                      FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-                     JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey),
+                     JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
+                     WHERE c.c_nationkey IS NOT NULL AND s.s_nationkey IS NOT NULL),
 ue AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, hop) AS (SELECT 0, 0 UNION SELECT ue.b, r.hop + 1 FROM r JOIN ue ON ue.a = r.node WHERE r.hop < {MAX_HOPS})
 SELECT CAST(node AS BIGINT) AS nation, CAST(min(hop) AS BIGINT) AS hops FROM r GROUP BY node""")

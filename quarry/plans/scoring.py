@@ -104,7 +104,8 @@ ISSUES_SQL = f""",
 issues AS (
   SELECT run, 'missing_ids' AS issue FROM runs GROUP BY run
     HAVING count(DISTINCT hr) < (SELECT count(DISTINCT hr) FROM runs)
-  UNION ALL SELECT run, 'other_model' FROM runs GROUP BY run HAVING replace(min(model), 'openai/', '') <> '{BOARD_MODEL}'
+  UNION ALL SELECT run, 'other_model' FROM runs GROUP BY run
+    HAVING replace(min(model), 'openai/', '') IS DISTINCT FROM '{BOARD_MODEL}'
   UNION ALL SELECT run, 'inflated_claim' FROM runs GROUP BY run
     HAVING {p1("count(*) FILTER (WHERE claim_value > 250)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(*)")} > 2.0
   UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING coalesce(sum(tokens), 0) = 0)"""
@@ -128,7 +129,7 @@ def issues(t: Tables):
     per = per.withColumn("missing", F.col("nq") < n_questions)
     flags = F.array(
         F.when(F.col("missing"), F.lit("missing_ids")),
-        F.when(F.col("model") != BOARD_MODEL, F.lit("other_model")),
+        F.when(~F.col("model").eqNullSafe(BOARD_MODEL), F.lit("other_model")),   # a missing model is another model
         F.when(F.col("claimed") - F.col("verified") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
         F.when(F.col("tok") == 0, F.lit("zero_tokens")))
     return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
@@ -230,7 +231,7 @@ def validate_runs(t: Tables):
 
 @query("leaderboard", "E-BOARD", "WITH " + GRADE_SQL + ISSUES_SQL + """
 SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
-FROM graded WHERE run NOT IN (SELECT run FROM issues)""")
+FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run)""")
 def leaderboard(t: Tables):
     return sc.leaderboard(sc.grade(summary(t)), issues(t))
 

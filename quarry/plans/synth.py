@@ -244,23 +244,26 @@ def gen_anchor(t: Tables):
 
 @query("gen_natural_fk", "G-NATFK", f"""
 WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS idx, count(*) OVER () AS nb
-           FROM (SELECT DISTINCT p_brand FROM part)),
+           FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)),
 nb AS (SELECT DISTINCT nb FROM b),
 d AS (SELECT o_orderkey, {U('natnull', 'o_orderkey')} < 0.1 AS is_null, {H('natfk', 'o_orderkey')} % nb.nb AS idx FROM orders, nb)
 SELECT CASE WHEN d.is_null THEN NULL ELSE b.p_brand END AS brand, count(*) AS n
 FROM d JOIN b ON b.idx = d.idx GROUP BY 1""")
 def gen_natural_fk(t: Tables):
     """FK to a natural key (brand code), NULL with probability 0.1."""
-    brands = sy.dense_index(t.part.select("p_brand").distinct(), [], ["p_brand"], F.lit(0), 1)
+    # a natural key is never NULL: NULL brands are not part of the code list
+    brands = sy.dense_index(t.part.select("p_brand").filter(F.col("p_brand").isNotNull()).distinct(), [],
+                            ["p_brand"], F.lit(0), 1)
     nb = brands.agg(F.count(F.lit(1))).scalar()
     d = t.orders.select(_u("natnull", "o_orderkey").__lt__(0.1).alias("is_null"),
                         F.pmod(hash_int("natfk", SEED, F.col("o_orderkey")), nb).alias("_idx"))
-    j = d.join(F.broadcast(brands.select("p_brand", "_idx")), "_idx")  # distinct brands: a code list
+    j = d.join(brands.select("p_brand", "_idx"), "_idx")
     return j.groupBy(F.when(~F.col("is_null"), F.col("p_brand")).alias("brand")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("gen_nulls", "G-NULLS", f"""
-SELECT 'c_nationkey' AS col, CAST({NULL_P_FK} AS DOUBLE) AS p, count(*) FILTER (WHERE {U('null.fk', 'c_custkey')} < {NULL_P_FK}) AS n_null,
+SELECT 'c_nationkey' AS col, CAST({NULL_P_FK} AS DOUBLE) AS p,
+       count(*) FILTER (WHERE {U('null.fk', 'c_custkey')} < {NULL_P_FK} OR c_nationkey IS NULL) AS n_null,
        count(*) AS n FROM customer
 UNION ALL
 SELECT 'parent_custkey', CAST({NULL_P_PARENT} AS DOUBLE), count(*) FILTER (WHERE {U('null.parent', 'c_custkey')} < {NULL_P_PARENT}), count(*)

@@ -34,8 +34,9 @@ def read_run_folders(spark: SparkSession, root: str, schema: T.StructType | None
     reader = spark.read.schema(schema) if schema is not None else spark.read
     res = reader.json(f"{root}/results").withColumn("_folder", F.regexp_extract(
         F.col("_metadata.file_path"), r"/([^/]+=[^/]+)/[^/]*$", 1))
-    meta = spark.read.json(f"{root}/meta")
-    return res.join(meta, run_col, "left")
+    meta = spark.read.json(f"{root}/meta").withColumnRenamed(run_col, "_mrun")
+    # null-safe: a NULL run is written to (and read back from) the default partition
+    return res.join(meta, res[run_col].eqNullSafe(meta["_mrun"]), "left").drop("_mrun")
 
 
 def read_run_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("QUARRY_TEST_SF", "/root/testdata/sf0.01")
 
@@ -25,3 +26,18 @@ def sf_dir():
 def duck(sf_dir):
     from quarry.oracle import duckdb_views
     return duckdb_views(sf_dir)
+
+
+@pytest.fixture(scope="session")
+def null_dir():
+    """A NULL-bearing copy of sf0.001 in a fresh scratch folder."""
+    import tempfile
+    import nullfixture
+    d = tempfile.mkdtemp(prefix="quarry-nulls-", dir="/tmp")
+    return nullfixture.build("/root/testdata/sf0.001", d)
+
+
+@pytest.fixture(scope="session")
+def null_duck(null_dir):
+    from quarry.oracle import duckdb_views
+    return duckdb_views(null_dir)

@@ -24,3 +24,11 @@ def test_oracle_keys_subset_of_queries():
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) == len(REGISTRY)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle_with_nulls(spark, null_duck, null_dir, name):
+    """Same parity on a copy of the tables with ~8 % NULLs in keys, dates,
+    measures and texts: join/group/sort/bag semantics around NULL."""
+    ok, msg = compare(spark, null_duck, REGISTRY[name], null_dir)
+    assert ok, msg
