@@ -8,12 +8,12 @@ from quarry.operators import scoring as sc
 
 def test_published_grade(spark):
     # Two tools whose field minima are the published anchors (tokens 1999.9, latency 1406.3).
-    rows = [("promptquery", 100, 0, 72.0, 72.0, 4689.0, 2547.8),
+    rows = [("tool_a", 100, 0, 72.0, 72.0, 4689.0, 2547.8),
             ("anchor", 100, 0, 10.0, 10.0, 1999.9, 1406.3)]
     s = spark.createDataFrame(rows, "run string, n long, errors long, ex_at_1 double, ves double, "
                                     "avg_tokens double, avg_total_ms double")
     g = {r["run"]: r["grade"] for r in sc.grade(s).collect()}
-    assert g["promptquery"] == 68.7
+    assert g["tool_a"] == 68.7
 
 
 def test_grade_renormalises_missing_dims(spark):
