@@ -82,23 +82,27 @@ def summarise(results: DataFrame) -> DataFrame:
     )
 
 
-def field_min(df: DataFrame, col: str) -> Column:
-    """Smallest non-zero value of ``col`` over all runs, as a scalar subquery."""
-    return df.agg(F.min(F.when(F.col(col) > 0, F.col(col)))).scalar()
+def field_minima(df: DataFrame, cols: list[str]) -> Column:
+    """Smallest non-zero value of each column over all runs: ONE scalar
+    subquery (a partial-aggregated global aggregate) returning a struct."""
+    return df.agg(F.struct(*[F.min(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in cols])).scalar()
+
+
+def _cap100(v: Column) -> Column:
+    # least() would turn a NULL dimension into 100; this keeps NULL as NULL.
+    return F.when(v > 100.0, F.lit(100.0)).otherwise(v)
 
 
 def grade(summary: DataFrame) -> DataFrame:
     """E-GRADE: five dimensions, absent ones dropped and weights renormalised."""
-    min_tok, min_lat = field_min(summary, "avg_tokens"), field_min(summary, "avg_total_ms")
+    m = field_minima(summary, ["avg_tokens", "avg_total_ms"])
     d = summary.select(
         "run",
         F.col("ex_at_1").alias("ex"),
-        F.when(F.col("ves").isNotNull(), F.least(F.lit(100.0), F.col("ves"))).alias("eff"),
+        _cap100(F.col("ves")).alias("eff"),
         pct1(F.col("n") - F.col("errors"), F.col("n")).alias("rel"),
-        F.when((F.col("avg_tokens") > 0) & min_tok.isNotNull(),
-               F.least(F.lit(100.0), 100.0 * min_tok / F.col("avg_tokens"))).alias("tok"),
-        F.when((F.col("avg_total_ms") > 0) & min_lat.isNotNull(),
-               F.least(F.lit(100.0), 100.0 * min_lat / F.col("avg_total_ms"))).alias("lat"),
+        _cap100(F.when(F.col("avg_tokens") > 0, 100.0 * m["avg_tokens"] / F.col("avg_tokens"))).alias("tok"),
+        _cap100(F.when(F.col("avg_total_ms") > 0, 100.0 * m["avg_total_ms"] / F.col("avg_total_ms"))).alias("lat"),
     )
     return d.withColumn("grade", weighted_grade())
 

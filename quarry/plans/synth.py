@@ -178,9 +178,8 @@ FROM orders o, p""")
 def gen_fk(t: Tables):
     """Uniform parent over an identity key range: lo + hash mod n (n, lo are
     scalar subqueries); ``resolves`` confirms the parent exists."""
-    lo = t.customer.agg(F.min("c_custkey")).scalar()
-    n = t.customer.agg(F.count(F.lit(1))).scalar()
-    child = t.orders.select("o_orderkey", (lo + F.pmod(hash_int("fk", SEED, F.col("o_orderkey")), n))
+    p = t.customer.agg(F.struct(F.min("c_custkey").alias("lo"), F.count(F.lit(1)).alias("n"))).scalar()
+    child = t.orders.select("o_orderkey", (p["lo"] + F.pmod(hash_int("fk", SEED, F.col("o_orderkey")), p["n"]))
                             .alias("parent_custkey"))
     parents = t.customer.select(F.col("c_custkey").alias("parent_custkey"), F.lit(True).alias("resolves"))
     return (child.join(parents, "parent_custkey", "left")
