@@ -6,26 +6,26 @@ absent from the corpus carry no weight. Ties break on the smaller doc id.
 
 Scoring strategy. Term statistics are ordinary aggregates (partial +
 final). For scoring, the query side is broadcast only after its size is
-checked; documents are then scored bucket by bucket (a bucket = all terms
-of a hash-chosen set of whole documents) in ``applyInPandas``, and only a
-per-bucket top-k leaves each task -- (query, document) pairs are never
+checked; one aggregate per document gathers its norm and its weights on
+query terms, ``mapInArrow`` scores those documents in place, and only a
+per-chunk top-k leaves each task -- (query, document) pairs are never
 shuffled. If the query side is over the bound, scoring falls back to the
 inverted-index equi-join on term with map-side partial sums per (query, doc).
 """
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import spread
+
 TOKEN_SPLIT = "[^a-z]+"
 BROADCAST_QUERY_TERMS = 2_000_000      # max (query, term) rows collected for broadcast
 BROADCAST_QUERY_MATRIX = 16_000_000    # max dense query-term x query entries broadcast to tasks
-DOCS_PER_BUCKET = 2_000
 CHUNK_ENTRIES = 4_000_000              # per-task working set: doc-term rows x queries
 
 
@@ -61,7 +61,7 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     from quarry.session import scratch_dir
     spark = docs.sparkSession
     tf_path = scratch_dir(spark, "doc-tf")
-    term_freq(docs, doc_id, doc_text).write.mode("overwrite").parquet(tf_path)
+    term_freq(spread(docs.select(doc_id, doc_text)), doc_id, doc_text).write.mode("overwrite").parquet(tf_path)
     doc_tf = spark.read.parquet(tf_path)
     n_docs = docs.count()                                   # Parquet footer metadata
     idf = idf_table(doc_tf, F.lit(float(n_docs)))
@@ -69,8 +69,7 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     qp = qw.limit(BROADCAST_QUERY_TERMS + 1).toPandas()     # size check and collect in one pass
     n_q, n_t = qp["id"].nunique(), qp["term"].nunique()
     if len(qp) <= BROADCAST_QUERY_TERMS and n_q * n_t <= BROADCAST_QUERY_MATRIX:
-        n_buckets = max(spark.sparkContext.defaultParallelism * 4, math.ceil(n_docs / DOCS_PER_BUCKET))
-        cand = _score_buckets(spark, weights(doc_tf, idf), qp, k, n_buckets)
+        cand = _score_docs(spark, weights(doc_tf, idf), qp, k)
     else:
         cand = _score_join(weights(doc_tf, idf), qw)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
@@ -78,59 +77,68 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
             .select(F.col("qid").alias(q_id), F.col("did").alias(doc_id), "score", "rank"))
 
 
-def _score_buckets(spark, dw: DataFrame, q: pd.DataFrame, k: int, n_buckets: int) -> DataFrame:
+def _score_docs(spark, dw: DataFrame, q: pd.DataFrame, k: int) -> DataFrame:
     """Broadcast the query side as a dense (query term x query) matrix with
-    unit-norm columns; score buckets of whole documents with numpy."""
+    unit-norm columns. One aggregate per document yields its norm (over all
+    its terms) and its query-vocabulary weights; ``mapInArrow`` scores those
+    documents where they land and emits a per-chunk top-k for every query."""
+    import pyarrow as pa
     terms = np.sort(q["term"].unique())
     qids = np.sort(q["id"].unique()).astype(np.int64)
     qn = (q.assign(w2=q.w * q.w).groupby("id").w2.sum() ** 0.5)
     mat = np.zeros((len(terms), len(qids)), dtype=np.float64)
     mat[np.searchsorted(terms, q["term"].to_numpy()), np.searchsorted(qids, q["id"].to_numpy())] = \
         q["w"].to_numpy() / qn.loc[q["id"]].to_numpy()
-    bc = spark.sparkContext.broadcast((terms, qids, mat))
-    qterms = spark.createDataFrame(pd.DataFrame({"term": terms}))
-    # Norms need every term of a document; scoring needs only the query vocabulary,
-    # so only those rows (a broadcast semi-join) travel to the scoring buckets.
-    dn = dw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    rel = dw.join(F.broadcast(qterms), "term", "left_semi").join(dn, "id")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms_, qids_, mat_ = bc.value
-        pdf = pdf.sort_values("id", kind="stable")
-        ids = pdf["id"].to_numpy(dtype=np.int64)
-        tix = np.searchsorted(terms_, pdf["term"].to_numpy())
-        w = pdf["w"].to_numpy(dtype=np.float64)
-        dnv = pdf["dn"].to_numpy(dtype=np.float64)
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        out = []
-        step = max(1, CHUNK_ENTRIES // max(1, len(qids_)))
-        i = 0
-        while i < len(starts):                      # chunks end on document boundaries
-            j = min(len(starts), i + max(1, step // max(1, (len(ids) // max(1, len(starts))))))
-            lo = starts[i]
-            hi = starts[j] if j < len(starts) else len(ids)
-            seg = starts[i:j] - lo
-            dots = np.add.reduceat(w[lo:hi, None] * mat_[tix[lo:hi]], seg, axis=0)
-            sc = np.round(dots / dnv[lo + seg][:, None], 6)
-            dids = ids[lo + seg]
-            kk = min(k, len(dids))
-            for c in range(len(qids_)):
-                col = sc[:, c]
-                nz = np.flatnonzero(col != 0)
-                if len(nz) == 0:
-                    continue
-                order = nz[np.lexsort((dids[nz], -col[nz]))[:kk]]
-                out.append(pd.DataFrame({"qid": np.full(len(order), qids_[c]), "did": dids[order],
-                                         "score": col[order]}))
-            i = j
-        if not out:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "did": pd.Series(dtype="int64"),
-                                 "score": pd.Series(dtype="float64")})
-        return pd.concat(out, ignore_index=True)
-
-    bucket = F.pmod(F.xxhash64("id"), F.lit(n_buckets))
-    return (rel.withColumn("_b", bucket).groupBy("_b")
-            .applyInPandas(lambda pdf: score(pdf.drop(columns=["_b"])), "qid long, did long, score double"))
+    bc = spark.sparkContext.broadcast((qids, mat))
+    qterms = spark.createDataFrame(pd.DataFrame({"term": terms, "tix": np.arange(len(terms), dtype=np.int32)}))
+    # A document's hit list holds at most one entry per query term (terms are
+    # unique per document after the tf aggregate), so it is bounded by the
+    # size-checked query vocabulary.
+    hit = F.when(F.col("tix").isNotNull(), F.struct("tix", "w"))
+    per_doc = (dw.join(F.broadcast(qterms), "term", "left")
+               .groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"),
+                                  F.collect_list(hit).alias("hits"))
+               .filter(F.size("hits") > 0)
+               .select("id", "dn", F.col("hits.tix").alias("tix"), F.col("hits.w").alias("w")))
+    out_schema = pa.schema([("qid", pa.int64()), ("did", pa.int64()), ("score", pa.float64())])
+
+    def score(batches):
+        qids_, mat_ = bc.value
+        budget = max(1, CHUNK_ENTRIES // max(1, len(qids_)))
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ids = b.column("id").to_numpy()
+            dn = b.column("dn").to_numpy()
+            offs = b.column("tix").offsets.to_numpy()
+            offs = offs - offs[0]
+            tix = b.column("tix").flatten().to_numpy()
+            w = b.column("w").flatten().to_numpy()
+            n, lo_doc = len(ids), 0
+            while lo_doc < n:                       # chunks end on document boundaries
+                hi_doc = min(n, max(lo_doc + 1, int(np.searchsorted(offs, offs[lo_doc] + budget, "right")) - 1))
+                lo, hi = offs[lo_doc], offs[hi_doc]
+                dots = np.add.reduceat(w[lo:hi, None] * mat_[tix[lo:hi]], offs[lo_doc:hi_doc] - lo, axis=0)
+                sc = np.round(dots / dn[lo_doc:hi_doc, None], 6)
+                dids = ids[lo_doc:hi_doc]
+                kk = min(k, len(dids))
+                q_out, d_out, s_out = [], [], []
+                for c in range(len(qids_)):
+                    col = sc[:, c]
+                    nz = np.flatnonzero(col != 0)
+                    if len(nz) == 0:
+                        continue
+                    order = nz[np.lexsort((dids[nz], -col[nz]))[:kk]]
+                    q_out.append(np.full(len(order), qids_[c]))
+                    d_out.append(dids[order])
+                    s_out.append(col[order])
+                if q_out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(q_out)), pa.array(np.concatenate(d_out)),
+                         pa.array(np.concatenate(s_out))], schema=out_schema)
+                lo_doc = hi_doc
+
+    return per_doc.mapInArrow(score, "qid long, did long, score double")
 
 
 def _score_join(dw: DataFrame, qw: DataFrame) -> DataFrame:

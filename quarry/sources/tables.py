@@ -22,6 +22,21 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
 FIXED_SIZE_DIMENSIONS = {"region": 5, "nation": 25}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a narrow scan over every core before CPU-heavy per-row work
+    (tokenising or regex over long texts).
+
+    A Parquet row group is read by one task, so a small file feeds one core.
+    Only a scan with fewer partitions than cores is spread; any large input
+    already has many partitions per core and is returned as is, with no
+    shuffle added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2)
+
+
 class Tables:
     """Attribute access to the fixture tables: ``Tables(spark, d).orders``."""
 
