@@ -13,9 +13,11 @@ binary ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.windows import global_row_number
+
 # Fixed values the benchmark defines ------------------------------------
 SHAPES = ["single", "join", "multi-join", "analytical"]
 RETRIEVALS = ["named", "1-hop", "2-hop+", "lexical-gap"]
@@ -64,8 +66,13 @@ def ex_rollup(results: DataFrame) -> DataFrame:
     return results.groupBy("run").agg(*aggs)
 
 
-def summarise(results: DataFrame) -> DataFrame:
-    """Run summary: n, errors, EX, VES, latency means, token stats."""
+SUMMARY_COLUMNS = ["run", "n", "errors", "ex_at_1", "ves", "avg_gen_ms", "avg_exec_ms", "avg_total_ms",
+                   "avg_gold_ms", "total_tokens", "avg_tokens", "token_coverage"]
+
+
+def summarise(results: DataFrame, *extra: Column) -> DataFrame:
+    """Run summary: n, errors, EX, VES, latency means, token stats (plus any
+    ``extra`` aggregates, computed in the same pass)."""
     total_c = F.coalesce(cents(F.col("gen_ms")), F.lit(0)) + F.coalesce(cents(F.col("exec_ms")), F.lit(0))
     return results.groupBy("run").agg(
         F.count(F.lit(1)).alias("n"),
@@ -79,6 +86,7 @@ def summarise(results: DataFrame) -> DataFrame:
         F.sum("tokens").alias("total_tokens"),
         round1_ratio(F.sum("tokens"), F.count("tokens")).alias("avg_tokens"),
         F.concat_ws("/", F.count("tokens").cast("string"), F.count(F.lit(1)).cast("string")).alias("token_coverage"),
+        *extra,
     )
 
 
@@ -118,11 +126,12 @@ def weighted_grade() -> Column:
 
 def leaderboard(graded: DataFrame, rejected: DataFrame) -> DataFrame:
     """E-BOARD: rejected runs dropped, grade desc (NULL last), ranks 1..n.
-    The window runs over one row per run (an aggregated result)."""
+    One row per run; the number of runs grows with the input, so ranks come
+    from the range-partitioned ``global_row_number``, not a one-task window."""
     rej = rejected.select(F.col("run").alias("_rej")).distinct()
     kept = graded.join(rej, graded["run"].eqNullSafe(rej["_rej"]), "left_anti")
-    w = Window.orderBy(F.desc_nulls_last("grade"), "run")
-    return kept.select(F.row_number().over(w).cast("long").alias("rank"), "run", "grade")
+    ranked = global_row_number(kept.select("run", "grade"), [F.desc_nulls_last("grade"), F.asc_nulls_last("run")])
+    return ranked.select("rank", "run", "grade")
 
 
 def price_table(spark, prices=PRICES) -> DataFrame:

@@ -9,6 +9,8 @@ over the price keys by run.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from quarry.operators import scoring as sc
@@ -111,27 +113,33 @@ issues AS (
   UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING coalesce(sum(tokens), 0) = 0)"""
 
 
+def run_stats(t: Tables):
+    """Per-run summary and validation aggregates in ONE groupBy pass over the
+    run rows; queries that need only part of it get the rest pruned."""
+    return sc.summarise(
+        run_rows(t),
+        # Question coverage as a bitmask of hours (0..23): bit_or is a plain
+        # partial aggregate, where a per-run count(DISTINCT) adds a shuffle.
+        F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), hr)")).alias("_hours"),
+        F.replace(F.min("model"), F.lit("openai/"), F.lit("")).alias("_model"),
+        sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("_claimed"))
+
+
 def summary(t: Tables):
-    return sc.summarise(run_rows(t))
+    return run_stats(t).select(*sc.SUMMARY_COLUMNS)
 
 
 def issues(t: Tables):
-    """E-VALID in one aggregation pass per run; the expected question count
-    is a scalar subquery."""
-    r = run_rows(t)
-    n_questions = r.agg(F.count_distinct("hr")).scalar()
-    per = r.groupBy("run").agg(
-        F.count_distinct("hr").alias("nq"),
-        F.replace(F.min("model"), F.lit("openai/"), F.lit("")).alias("model"),
-        sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("claimed"),
-        sc.pct1(F.count_if("ex"), F.count(F.lit(1))).alias("verified"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tok"))
-    per = per.withColumn("missing", F.col("nq") < n_questions)
+    """E-VALID from the per-run stats; the expected question count is a
+    scalar subquery over the same (reused) aggregate."""
+    per = run_stats(t)
+    n_questions = per.agg(F.coalesce(F.bit_count(F.bit_or("_hours")), F.lit(0))).scalar()
+    per = per.withColumn("_missing", F.coalesce(F.bit_count("_hours"), F.lit(0)) < n_questions)
     flags = F.array(
-        F.when(F.col("missing"), F.lit("missing_ids")),
-        F.when(~F.col("model").eqNullSafe(BOARD_MODEL), F.lit("other_model")),   # a missing model is another model
-        F.when(F.col("claimed") - F.col("verified") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
-        F.when(F.col("tok") == 0, F.lit("zero_tokens")))
+        F.when(F.col("_missing"), F.lit("missing_ids")),
+        F.when(~F.col("_model").eqNullSafe(BOARD_MODEL), F.lit("other_model")),   # a missing model is another model
+        F.when(F.col("_claimed") - F.col("ex_at_1") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
+        F.when(F.coalesce(F.col("total_tokens"), F.lit(0)) == 0, F.lit("zero_tokens")))
     return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
 
 
@@ -169,8 +177,8 @@ def _price_sql(col: str) -> str:
     keys = sorted(sc.PRICES, key=lambda p: -len(p[0]))
     cin = " ".join(f"WHEN starts_with({col}, '{k}') THEN {pi}" for k, pi, _ in keys)
     cout = " ".join(f"WHEN starts_with({col}, '{k}') THEN {po}" for k, _, po in keys)
-    return (f"CAST(CASE {cin} ELSE {sc.DEFAULT_PRICE[0]} END AS DOUBLE)",
-            f"CAST(CASE {cout} ELSE {sc.DEFAULT_PRICE[1]} END AS DOUBLE)")
+    return (f"CAST(CASE {cin} ELSE {sc.DEFAULT_PRICE[0]} END AS DECIMAL(6, 2))",
+            f"CAST(CASE {cout} ELSE {sc.DEFAULT_PRICE[1]} END AS DECIMAL(6, 2))")
 
 
 _PIN, _POUT = _price_sql("replace(m.model, 'openai/', '')")
@@ -179,19 +187,21 @@ _PIN, _POUT = _price_sql("replace(m.model, 'openai/', '')")
 @query("token_rollup", "E-TOKENS", "WITH " + SUMMARY_SQL + f""",
 m AS (SELECT run, min(model) AS model FROM runs GROUP BY run)
 SELECT s.run, s.total_tokens, s.avg_tokens, s.token_coverage,
-       round(CAST(s.total_tokens AS DOUBLE) * 0.75 / 1e6 * {_PIN} + CAST(s.total_tokens AS DOUBLE) * 0.25 / 1e6 * {_POUT}, 6)
-         AS est_cost_usd
+       CAST(round(CAST(s.total_tokens AS DECIMAL(20, 0)) * 0.75 * {_PIN} * 0.000001
+                  + CAST(s.total_tokens AS DECIMAL(20, 0)) * 0.25 * {_POUT} * 0.000001, 6) AS DOUBLE) AS est_cost_usd
 FROM summary s JOIN m USING (run)""")
 def token_rollup(t: Tables):
     """Token totals/means/coverage plus the run cost: tokens split 3:1 into
     prompt/completion, priced by the longest model-key prefix."""
-    s = summary(t)
-    m = run_rows(t).groupBy("run").agg(F.min("model").alias("model"))
-    pin, pout = sc.prefix_price_columns(F.replace(F.col("model"), F.lit("openai/"), F.lit("")))
-    tok = F.col("total_tokens").cast("double")
-    return (s.join(m, "run").select(
+    pin, pout = sc.prefix_price_columns(F.col("_model"))      # the run's model, provider prefix removed
+    # Exact decimal arithmetic: the double product can sit on a rounding tie.
+    tok = F.col("total_tokens").cast("decimal(20,0)")
+    per_token = F.lit(Decimal("0.000001"))
+    pin, pout = pin.cast("decimal(6,2)"), pout.cast("decimal(6,2)")
+    return (run_stats(t).select(
         "run", "total_tokens", "avg_tokens", "token_coverage",
-        F.round(tok * 0.75 / 1e6 * pin + tok * 0.25 / 1e6 * pout, 6).alias("est_cost_usd")))
+        F.round(tok * F.lit(Decimal("0.75")) * pin * per_token + tok * F.lit(Decimal("0.25")) * pout * per_token, 6)
+        .cast("double").alias("est_cost_usd")))
 
 
 COST_PREFIXES = [("P", 1.0, 2.0), ("PRO", 3.0, 6.0), ("S", 0.5, 1.5), ("ST", 0.8, 2.4), ("SM", 0.2, 0.6),
