@@ -1,7 +1,7 @@
 """Breadth-first expansion over an edge table by repeated joins.
 
 Each hop joins the frontier with the edges and anti-joins the visited set,
-so only new nodes move on. Each new frontier is checkpointed to the shared
+so only new nodes move on. The edge table is checkpointed once, and each new frontier is checkpointed to the shared
 checkpoint folder (``spark.checkpoint.dir``): the lineage never grows with
 the hop count, a lost executor recomputes one hop at most, and the empty
 test that ends the search reads the materialised frontier.
@@ -21,7 +21,9 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """seeds: (node); edges: (src, dst), directed (add both directions for an
     undirected graph). Returns (node, hop) with the smallest hop per node."""
     checkpoint_dir(seeds.sparkSession)
-    edges = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())   # a NULL FK is no edge
+    # Edges are materialised once (a NULL FK is no edge): every hop reads the
+    # written table instead of recomputing the joins that derive it.
+    edges = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).checkpoint(eager=True)
     frontier = seeds.select("node").filter(F.col("node").isNotNull()).distinct().checkpoint(eager=True)
     parts = [frontier.withColumn("hop", F.lit(0))]
     visited = frontier
