@@ -103,7 +103,10 @@ def _cap100(v: Column) -> Column:
 
 def grade(summary: DataFrame) -> DataFrame:
     """E-GRADE: five dimensions, absent ones dropped and weights renormalised."""
-    m = field_minima(summary, ["avg_tokens", "avg_total_ms"])
+    # One column holds the minima struct, so the scalar subquery is planned
+    # once rather than once per reference.
+    summary = summary.withColumn("_m", field_minima(summary, ["avg_tokens", "avg_total_ms"]))
+    m = F.col("_m")
     d = summary.select(
         "run",
         F.col("ex_at_1").alias("ex"),

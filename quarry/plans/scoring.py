@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import scoring as sc
 from quarry.plans.registry import query
+from quarry.session import materialise
 from quarry.sources.tables import Tables
 
 MODELS = ["gpt-4o", "gpt-4o-mini", "gpt-4.1", "gpt-4.1-mini", "o4-mini", "openai/gpt-4o", "local-model"]
@@ -130,9 +131,12 @@ def summary(t: Tables):
 
 
 def issues(t: Tables):
+    return issues_from(run_stats(t))
+
+
+def issues_from(per):
     """E-VALID from the per-run stats; the expected question count is a
-    scalar subquery over the same (reused) aggregate."""
-    per = run_stats(t)
+    scalar subquery over the same stats."""
     n_questions = per.agg(F.coalesce(F.bit_count(F.bit_or("_hours")), F.lit(0))).scalar()
     per = per.withColumn("_missing", F.coalesce(F.bit_count("_hours"), F.lit(0)) < n_questions)
     flags = F.array(
@@ -243,7 +247,11 @@ def validate_runs(t: Tables):
 SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
 FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run)""")
 def leaderboard(t: Tables):
-    return sc.leaderboard(sc.grade(summary(t)), issues(t))
+    """Grades and validation both read the per-run stats; they are written
+    once to the checkpoint folder (one row per run) so the events are
+    aggregated once, not once per consumer."""
+    stats = materialise(run_stats(t))
+    return sc.leaderboard(sc.grade(stats.select(*sc.SUMMARY_COLUMNS)), issues_from(stats))
 
 
 @query("rescore", "E-RESCORE", f"""

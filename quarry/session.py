@@ -67,3 +67,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df):
+    """Checkpoint ``df`` into the shared checkpoint folder (reliable, not
+    local): consumers that read it several times scan the written rows once
+    each instead of recomputing its plan, and the lineage is cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
