@@ -202,7 +202,8 @@ def token_rollup(t: Tables):
     tok = F.col("total_tokens").cast("decimal(20,0)")
     per_token = F.lit(Decimal("0.000001"))
     pin, pout = pin.cast("decimal(6,2)"), pout.cast("decimal(6,2)")
-    return (run_stats(t).select(
+    # A run is priced through its key, so a NULL run (no key) has no cost row.
+    return (run_stats(t).filter(F.col("run").isNotNull()).select(
         "run", "total_tokens", "avg_tokens", "token_coverage",
         F.round(tok * F.lit(Decimal("0.75")) * pin * per_token + tok * F.lit(Decimal("0.25")) * pout * per_token, 6)
         .cast("double").alias("est_cost_usd")))
