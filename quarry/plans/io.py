@@ -81,7 +81,14 @@ def append_ledger(t: Tables):
     return files.read_ledger(t.spark, path, LEDGER_SCHEMA)
 
 
-@query("export_csv", "S-EXPORT")
+def _export_sql() -> str:
+    """The board as the CSV reads back: every field text, absent fields NULL."""
+    given = {"rank": "CAST(rank AS VARCHAR)", "tool": "'tool-' || CAST(run AS VARCHAR)", "grade": "CAST(grade AS VARCHAR)"}
+    cols = ", ".join(f"{given.get(f, 'CAST(NULL AS VARCHAR)')} AS {f}" for f in files.EXPORT_FIELDS)
+    return f"SELECT {cols} FROM ({scp.BOARD_SQL})"
+
+
+@query("export_csv", "S-EXPORT", _export_sql())
 def export_csv(t: Tables):
     """Leaderboard written as JSON and CSV in the fixed field order."""
     board = scp.leaderboard(t).withColumn("tool", F.concat(F.lit("tool-"), F.col("run").cast("string")))
@@ -187,7 +194,21 @@ def apply_recipe(table: str, df: DataFrame) -> DataFrame:
     return df.transform(RECIPES.get(table, lambda d: d))
 
 
-@query("recipe_transform", "X-RECIPE")
+def _recipe_sql() -> str:
+    from quarry.plans.synth import PAYMENT_MIX, PLAN_CODES, U
+    pay = " ".join(f"WHEN u < {hi} THEN '{name}'" for name, hi in PAYMENT_MIX)
+    plans = "[" + ", ".join(f"'{c}'" for c in PLAN_CODES) + "]"
+    return f"""
+SELECT status, n, table_name FROM (
+  SELECT CASE {pay} ELSE 'captured' END AS status, count(*) AS n, 'orders' AS table_name
+  FROM (SELECT {U('pay', 'o_orderkey')} AS u FROM orders) GROUP BY 1
+  UNION ALL
+  SELECT ({plans})[c_custkey % {len(PLAN_CODES)} + 1], count(*), 'customer' FROM customer GROUP BY 1
+  UNION ALL
+  SELECT 'generic', count(*), 'supplier' FROM supplier GROUP BY 1)"""
+
+
+@query("recipe_transform", "X-RECIPE", _recipe_sql())
 def recipe_transform(t: Tables):
     parts = []
     for table, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):

@@ -156,7 +156,27 @@ def row_counts(t: Tables) -> DataFrame:
                                           .select(F.lit(tb).alias("table_name"), "n") for tb in TABLE_NAMES])
 
 
-@query("audit_empty", "D-EMPTY")
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _empty_sql(rel: str, cols: list[str]) -> str:
+    """No rows, or exactly one row whose cells are all NULL."""
+    all_null = " AND ".join(f"{c} IS NULL" for c in cols)
+    n = f"(SELECT count(*) FROM ({rel}) q)"
+    return f"({n} = 0 OR ({n} = 1 AND (SELECT count(*) FROM ({rel}) q WHERE NOT ({all_null})) = 0))"
+
+
+_EMPTY_CASES_SQL = [
+    ("orders_without_lines", "SELECT * FROM orders o WHERE NOT EXISTS "
+                             "(SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)", _ORDERS_COLS),
+    ("orders_status_x", "SELECT * FROM orders WHERE o_orderstatus = 'X'", _ORDERS_COLS),
+    ("max_of_nothing", "SELECT max(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'X'", ["m"]),
+    ("customers", "SELECT c_custkey FROM customer", ["c_custkey"]),
+]
+
+
+@query("audit_empty", "D-EMPTY", " UNION ALL ".join(
+    f"SELECT '{name}' AS result, {_empty_sql(rel, cols)} AS is_empty" for name, rel, cols in _EMPTY_CASES_SQL))
 def audit_empty(t: Tables):
     """Empty-result audit: a result is empty if it has no rows or a single
     row of NULLs. Applied to a few derived results; one job each."""

@@ -693,8 +693,10 @@ def crc_names(t: Tables):
     return t.customer.select("c_custkey", F.crc32("c_name").alias("crc"))
 
 
-@query("json_out", "F-JSONOUT")
+@query("json_out", "F-JSONOUT", """
+SELECT n_nationkey, to_json(struct_pack(name := n_name, region := n_regionkey)) AS json FROM nation""")
 def json_out(t: Tables):
+    """One compact JSON object per row; a NULL field is written as null, not dropped."""
     return t.nation.select("n_nationkey",
-                           F.to_json(F.struct(F.col("n_name").alias("name"),
-                                              F.col("n_regionkey").alias("region"))).alias("json"))
+                           F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")),
+                                     {"ignoreNullFields": "false"}).alias("json"))

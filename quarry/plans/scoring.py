@@ -244,9 +244,12 @@ def validate_runs(t: Tables):
     return issues(t)
 
 
-@query("leaderboard", "E-BOARD", "WITH " + GRADE_SQL + ISSUES_SQL + """
+BOARD_SQL = "WITH " + GRADE_SQL + ISSUES_SQL + """
 SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
-FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run)""")
+FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run)"""
+
+
+@query("leaderboard", "E-BOARD", BOARD_SQL)
 def leaderboard(t: Tables):
     """Grades and validation both read the per-run stats; they are written
     once to the checkpoint folder (one row per run) so the events are
