@@ -51,6 +51,12 @@ def days_between(later: str, earlier: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {earlier}, {later}) / 86400e6")
 
 
+def epoch_micros(col: str) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp, with no
+    time-zone conversion."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
+
+
 def iso_date(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 

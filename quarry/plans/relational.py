@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import base26, days_between, iso_date, iso_ts, money, month_ntz, slug
+from quarry.functions.scalar import base26, epoch_micros, iso_date, iso_ts, money, month_ntz, slug
 from quarry.operators.intervals import count_overlapping_pairs
 from quarry.operators.windows import running_sum
 from quarry.plans.registry import query
@@ -560,10 +560,24 @@ def event_hours(t: Tables):
 SELECT o.o_orderstatus, round(avg(epoch(l.l_shipdate - o.o_orderdate) / 86400.0), 6) AS avg_days
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderstatus""")
 def avg_ship_days(t: Tables):
-    l = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    return (l.join(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderkey")
-            .groupBy("o_orderstatus")
-            .agg(F.round(F.avg(days_between("l_shipdate", "o_orderdate")), 6).alias("avg_days")))
+    """avg(ship - order) = (sum(ship) - n * order) / n, so lines are reduced to
+    one row per order before the join. Exact without overflow: ship times are
+    summed as three long parts (days since 1970, seconds in the day, micros in
+    the second), each small enough that a key may hold ~10^13 lines.
+    A status group exists when some line joins an order of that status."""
+    us = epoch_micros("l_shipdate")
+    lines = (t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"))
+             .agg(F.sum(F.floor(us / 86400000000)).alias("sd"), F.sum(F.floor(F.pmod(us, F.lit(86400000000)) / 1000000)).alias("ss"),
+                  F.sum(F.pmod(us, F.lit(1000000))).alias("su"), F.count("l_shipdate").alias("k")))
+    o = t.orders.select("o_orderkey", "o_orderstatus", epoch_micros("o_orderdate").alias("od"))
+    has = F.col("od").isNotNull() & (F.col("k") > 0)
+    dec = "decimal(38,0)"
+    diff = (F.col("sd").cast(dec) * 86400000000 + F.col("ss").cast(dec) * 1000000 + F.col("su").cast(dec)
+            - F.col("k").cast(dec) * F.col("od").cast(dec))          # per order: one row, decimal is cheap here
+    per = (lines.join(o, "o_orderkey").groupBy("o_orderstatus")
+           .agg(F.sum(F.when(has, diff)).alias("d"), F.sum(F.when(has, F.col("k"))).alias("n")))
+    return per.select("o_orderstatus", F.when(F.col("n") > 0, F.round(F.col("d").cast("double") / F.col("n") / 86400e6, 6))
+                      .alias("avg_days"))
 
 
 @query("ts_add", "F-TSADD", """
