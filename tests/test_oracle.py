@@ -32,3 +32,20 @@ def test_query_matches_oracle_with_nulls(spark, null_duck, null_dir, name):
     measures and texts: join/group/sort/bag semantics around NULL."""
     ok, msg = compare(spark, null_duck, REGISTRY[name], null_dir)
     assert ok, msg
+
+
+_TIME_QUERIES = sorted(n for n, q in REGISTRY.items() if q.oracle and __import__("re").search(
+    r"(_ts\b|\bts\b|date|hour|month|epoch|year|time)", q.oracle))
+
+
+@pytest.mark.parametrize("name", _TIME_QUERIES)
+def test_time_queries_independent_of_session_zone(spark, duck, sf_dir, name):
+    """Fixture timestamps are wall-clock (NTZ): results must not move with
+    the session time zone a cluster happens to run in."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, msg = compare(spark, duck, REGISTRY[name], sf_dir)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
