@@ -9,18 +9,22 @@ final). For scoring, the query side is broadcast only after its size is
 checked; one aggregate per document gathers its norm and its weights on
 query terms, ``mapInArrow`` scores those documents in place, and only a
 per-chunk top-k leaves each task -- (query, document) pairs are never
-shuffled. If the query side is over the bound, scoring falls back to the
-inverted-index equi-join on term with map-side partial sums per (query, doc).
+shuffled. If the query side is over the bound, it is split by a hash of the
+query id into batches that each fit (``operators/batching.py``), scored one
+broadcast at a time; no term join emits (query, document) pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.batching import collect_in_batches
+from quarry.session import materialise
 from quarry.sources.tables import spread
 
 TOKEN_SPLIT = "[^a-z]+"
@@ -67,16 +71,23 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     idf = idf_table(doc_tf, F.lit(float(n_docs)))
     qw = weights(term_freq(queries, q_id, q_text), idf)
     qp = qw.limit(BROADCAST_QUERY_TERMS + 1).toPandas()     # size check and collect in one pass
-    n_q, n_t = qp["id"].nunique(), qp["term"].nunique()
-    if len(qp) <= BROADCAST_QUERY_TERMS and n_q * n_t <= BROADCAST_QUERY_MATRIX:
-        cand = _score_docs(spark, weights(doc_tf, idf), qp, k)
-    else:
-        cand = _score_join(weights(doc_tf, idf), qw)
+    # Over the bound, the query side is scored in hash batches of whole
+    # queries, each within the bound; per-query top-k is unaffected.
+    pieces = [qp] if _fits(qp) else collect_in_batches(qw, "id", F.lit(1), BROADCAST_QUERY_TERMS, _fits)
+    dw = weights(doc_tf, idf)
+    if len(pieces) > 1:
+        dw = materialise(dw)                                # each batch scans the written doc weights
+    cand = reduce(DataFrame.unionByName, [_score_docs(spark, dw, p, k) for p in pieces])
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
     return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(q_id), F.col("did").alias(doc_id), "score", "rank"))
 
 
+def _fits(q: pd.DataFrame) -> bool:
+    """The query side fits one broadcast: row count and dense matrix size."""
+    return len(q) <= BROADCAST_QUERY_TERMS and q["id"].nunique() * q["term"].nunique() <= BROADCAST_QUERY_MATRIX
+
+
 def _score_docs(spark, dw: DataFrame, q: pd.DataFrame, k: int) -> DataFrame:
     """Broadcast the query side as a dense (query term x query) matrix with
     unit-norm columns. One aggregate per document yields its norm (over all
@@ -90,7 +101,8 @@ def _score_docs(spark, dw: DataFrame, q: pd.DataFrame, k: int) -> DataFrame:
     mat[np.searchsorted(terms, q["term"].to_numpy()), np.searchsorted(qids, q["id"].to_numpy())] = \
         q["w"].to_numpy() / qn.loc[q["id"]].to_numpy()
     bc = spark.sparkContext.broadcast((qids, mat))
-    qterms = spark.createDataFrame(pd.DataFrame({"term": terms, "tix": np.arange(len(terms), dtype=np.int32)}))
+    qterms = spark.createDataFrame(pd.DataFrame({"term": terms, "tix": np.arange(len(terms), dtype=np.int32)}),
+                                   "term string, tix int")
     # A document's hit list holds at most one entry per query term (terms are
     # unique per document after the tf aggregate), so it is bounded by the
     # size-checked query vocabulary.
@@ -139,13 +151,3 @@ def _score_docs(spark, dw: DataFrame, q: pd.DataFrame, k: int) -> DataFrame:
                 lo_doc = hi_doc
 
     return per_doc.mapInArrow(score, "qid long, did long, score double")
-
-
-def _score_join(dw: DataFrame, qw: DataFrame) -> DataFrame:
-    dn = dw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    qn = qw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    pairs = (qw.select(F.col("id").alias("qid"), "term", F.col("w").alias("wq"))
-             .join(dw.select(F.col("id").alias("did"), "term", F.col("w").alias("wd")), "term")
-             .groupBy("qid", "did").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot")))
-    return (pairs.join(qn.withColumnRenamed("id", "qid"), "qid").join(dn.withColumnRenamed("id", "did"), "did")
-            .select("qid", "did", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("score")))

@@ -1,6 +1,7 @@
-"""Exact k-nearest vectors (cosine) for a small, size-checked query set.
+"""Exact k-nearest vectors (cosine) for a size-checked query side.
 
-The query matrix is broadcast (after a size check); every Arrow batch of
+The query matrix is broadcast (after a size check; a larger query side is
+scored in hash batches of whole queries, each within the bound); every Arrow batch of
 the corpus is scored with one numpy matmul and only its per-query top-k is
 emitted, so the final ranking sees k x batches candidates per query and no
 (query, vector) pair is ever materialised as a row.
@@ -9,12 +10,15 @@ emitted, so the final ranking sees k x batches candidates per query and no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.batching import collect_in_batches
+
 BROADCAST_QUERY_VALUES = 8_000_000     # max query-matrix entries broadcast to every task
 
 
@@ -28,11 +32,24 @@ def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 def knn(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, q_id: str, q_vec: str,
         k: int) -> DataFrame:
-    """(q_id, id, score, rank): top-k by cosine, ties to the smaller id; scores rounded to 6."""
-    n_values = queries.select(F.size(q_vec).alias("d")).agg(F.sum("d")).first()[0] or 0
-    if n_values > BROADCAST_QUERY_VALUES:
-        raise ValueError(f"query matrix has {n_values} values; score it in query batches")
-    qp = queries.select(q_id, q_vec).toPandas()
+    """(q_id, id, score, rank): top-k by cosine, ties to the smaller id; scores rounded to 6.
+
+    The query vectors are broadcast in batches of whole queries, each within
+    ``BROADCAST_QUERY_VALUES`` (one batch unless the query side is large)."""
+    cost = F.greatest(F.coalesce(F.size(q_vec), F.lit(0)), F.lit(0))
+    pieces = collect_in_batches(queries.select(q_id, q_vec), q_id, cost, BROADCAST_QUERY_VALUES)
+    if not pieces:
+        pieces = [pd.DataFrame({q_id: pd.Series(dtype="int64"), q_vec: pd.Series(dtype=object)})]
+    cand = reduce(DataFrame.unionByName, [_score_batch(corpus, id_col, vec_col, qp, q_id, q_vec, k) for qp in pieces])
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
+    return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+            .select(F.col("qid").alias(q_id), F.col("vid").alias(id_col), "score", "rank"))
+
+
+def _score_batch(corpus: DataFrame, id_col: str, vec_col: str, qp: pd.DataFrame, q_id: str, q_vec: str,
+                 k: int) -> DataFrame:
+    """Per Arrow batch of the corpus: one matmul against the broadcast
+    queries, then a top-k per query; only k rows per (batch, query) leave."""
     qids = qp[q_id].to_numpy(dtype=np.int64)
     qm = np.stack([np.asarray(v, dtype=np.float64) for v in qp[q_vec]]) if len(qp) else np.zeros((0, 0))
     qn = np.sqrt((qm * qm).sum(axis=1))
@@ -57,7 +74,4 @@ def knn(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, q_id:
             yield pd.DataFrame({"qid": np.concatenate(out_q), "vid": np.concatenate(out_i),
                                 "score": np.concatenate(out_s)})
 
-    cand = corpus.select(id_col, vec_col).mapInPandas(score, "qid long, vid long, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
-    return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias(q_id), F.col("vid").alias(id_col), "score", "rank"))
+    return corpus.select(id_col, vec_col).mapInPandas(score, "qid long, vid long, score double")

@@ -1,21 +1,57 @@
-"""Ranking operators: both TF-IDF scoring paths agree; kNN matches brute force."""
+"""Ranking operators: batched and single-broadcast scoring agree; kNN matches brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import text, vectors
+from quarry.operators import batching, text, vectors
 
 
-def test_tfidf_paths_agree(spark, sf_dir, monkeypatch):
+def _count_pieces(monkeypatch):
+    seen = []
+    orig = batching.collect_in_batches
+
+    def spy(*a, **kw):
+        out = orig(*a, **kw)
+        if kw.get("seed", 0) == 0 and len(a) < 6:
+            seen.append(len(out))
+        return out
+    monkeypatch.setattr(text, "collect_in_batches", spy)
+    monkeypatch.setattr(vectors, "collect_in_batches", spy)
+    return seen
+
+
+def test_tfidf_batches_agree(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     qs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     a = text.tfidf_topk(docs, "doc_id", "text", qs, "item_id", "text", 5).collect()
-    monkeypatch.setattr(text, "BROADCAST_QUERY_TERMS", 0)       # force the join path
+    seen = _count_pieces(monkeypatch)
+    n_rows = text.term_freq(qs, "item_id", "text").join(
+        text.term_freq(docs, "doc_id", "text").select("term").distinct(), "term").count()
+    monkeypatch.setattr(text, "BROADCAST_QUERY_TERMS", n_rows // 3)   # query side over the bound: hash batches
     b = text.tfidf_topk(docs, "doc_id", "text", qs, "item_id", "text", 5).collect()
+    assert seen and seen[0] > 1
     assert sorted(a) == sorted(b)
     assert len(a) == 5 * qs.count()
 
 
+@pytest.mark.parametrize("budget", [10 ** 6, 16])
+def test_knn_batches_brute_force(spark, monkeypatch, budget):
+    """One broadcast, and query batches of at most two 8-d queries, both exact."""
+    monkeypatch.setattr(vectors, "BROADCAST_QUERY_VALUES", budget)
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(200, 8))
+    corpus = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(200)], "id long, v array<double>")
+    qv = rng.normal(size=(6, 8))
+    q = spark.createDataFrame([(j, qv[j].tolist()) for j in range(6)], "qid long, c array<double>")
+    got = vectors.knn(corpus.repartition(3), "id", "v", q, "qid", "c", 5).collect()
+    sims = np.round((vecs @ qv.T) / np.outer(np.linalg.norm(vecs, axis=1), np.linalg.norm(qv, axis=1)), 6)
+    for j in range(6):
+        want = list(np.lexsort((np.arange(200), -sims[:, j]))[:5])
+        mine = [r["id"] for r in sorted((r for r in got if r["qid"] == j), key=lambda r: r["rank"])]
+        assert mine == want
+
+
 def test_knn_brute_force(spark):
     rng = np.random.default_rng(0)
     vecs = rng.normal(size=(300, 8))
