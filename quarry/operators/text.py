@@ -59,8 +59,9 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     """(q_id, doc_id, score, rank) for the k best documents of every query.
 
     The corpus is tokenised once into a (doc, term, tf) table written to the
-    shared checkpoint folder (an index build that also cuts the lineage);
-    statistics and scoring read that table.
+    shared checkpoint folder (an index build that also cuts the lineage),
+    and its term statistics (df, idf) are written next to it; query weights
+    and document weights both read the two tables.
     """
     from quarry.session import scratch_dir
     spark = docs.sparkSession
@@ -68,7 +69,9 @@ def tfidf_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame,
     term_freq(spread(docs.select(doc_id, doc_text)), doc_id, doc_text).write.mode("overwrite").parquet(tf_path)
     doc_tf = spark.read.parquet(tf_path)
     n_docs = docs.count()                                   # Parquet footer metadata
-    idf = idf_table(doc_tf, F.lit(float(n_docs)))
+    idf_path = scratch_dir(spark, "idf")                    # term statistics: one row per term, used by both sides
+    idf_table(doc_tf, F.lit(float(n_docs))).write.mode("overwrite").parquet(idf_path)
+    idf = spark.read.parquet(idf_path)
     qw = weights(term_freq(queries, q_id, q_text), idf)
     qp = qw.limit(BROADCAST_QUERY_TERMS + 1).toPandas()     # size check and collect in one pass
     # Over the bound, the query side is scored in hash batches of whole
