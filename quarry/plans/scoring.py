@@ -236,7 +236,10 @@ def cost_prefix(t: Tables):
 
 @query("grade", "E-GRADE", "WITH " + GRADE_SQL + " SELECT * FROM graded")
 def grade(t: Tables):
-    return sc.grade(summary(t))
+    """The grade needs whole-field minima over the run summaries (a scalar
+    subquery) and the summaries themselves: the summaries are written once
+    (one row per run), so the events are aggregated once, not twice."""
+    return sc.grade(materialise(summary(t)))
 
 
 @query("validate_runs", "E-VALID", "WITH " + RUNS_SQL + ISSUES_SQL + " SELECT run, issue FROM issues")
