@@ -129,3 +129,16 @@ def test_global_row_number_equals_plain_window(spark, parts):
     want = df.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "run").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert sorted(r["rank"] for r in got) == list(range(1, 3001))
+
+
+def test_spread_only_narrow_scans(spark):
+    """A scan with at least one partition per core is returned as is (no
+    shuffle added at scale); a narrower one is spread over every core."""
+    from quarry.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, cores * 3)
+    assert spread(wide) is wide
+    narrow = spark.range(0, 1000, 1, 1)
+    out = spread(narrow)
+    assert out.rdd.getNumPartitions() == cores * 2
+    assert sorted(r[0] for r in out.collect()) == list(range(1000))
