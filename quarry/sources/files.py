@@ -22,9 +22,14 @@ EXPORT_FIELDS = ["rank", "tool", "grade", "ex_at_1", "ves", "soft_f1", "set_reca
 
 def write_run_folders(results: DataFrame, meta: DataFrame, root: str, run_col: str = "run") -> None:
     """Results partitioned by run (one folder per run, written in parallel);
-    meta rows likewise. Partition discovery restores ``run`` on read."""
-    results.write.mode("overwrite").partitionBy(run_col).json(f"{root}/results")
-    meta.write.mode("overwrite").partitionBy(run_col).json(f"{root}/meta")
+    meta rows likewise. Partition discovery restores ``run`` on read. The
+    cost grows with the number of run folders (one file each at least), not
+    only with rows: a layout for tool runs, not for millions of keys."""
+    # REBALANCE: runs are spread over many writer tasks (each run folder is
+    # written by few tasks, so few files), and AQE splits a run holding a
+    # large share of the rows instead of leaving it to one task.
+    results.hint("rebalance", run_col).write.mode("overwrite").partitionBy(run_col).json(f"{root}/results")
+    meta.hint("rebalance", run_col).write.mode("overwrite").partitionBy(run_col).json(f"{root}/meta")
 
 
 def read_run_folders(spark: SparkSession, root: str, schema: T.StructType | None = None,
