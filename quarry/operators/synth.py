@@ -58,9 +58,20 @@ def zipf_weights(k: int, a: float) -> list[float]:
 
 
 def pick_index(u: Column, cdf: list[float]) -> Column:
-    """1-based index i with cdf[i-1] <= u < cdf[i] (inverse CDF)."""
-    arr = F.array(*[F.lit(c) for c in cdf[:-1]])
-    return F.size(F.filter(arr, lambda c: c <= u)) + 1
+    """1-based index i with cdf[i-1] <= u < cdf[i] (inverse CDF), i.e. 1 +
+    the number of thresholds <= u. A balanced binary search written as
+    nested CASE WHEN: ~log2(k) compiled comparisons per row, inside
+    whole-stage codegen (a lambda over the threshold array is interpreted).
+    A NULL draw picks index 1."""
+    thr = cdf[:-1]
+
+    def count_le(lo: int, hi: int) -> Column:      # thresholds below lo are <= u, from hi on > u
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(u < F.lit(thr[mid]), count_le(lo, mid)).otherwise(count_le(mid + 1, hi))
+
+    return F.when(u.isNull(), F.lit(1)).otherwise(count_le(0, len(thr)) + 1)
 
 
 def zipf_rank(u: Column, k: int, a: float) -> Column:

@@ -142,3 +142,16 @@ def test_spread_only_narrow_scans(spark):
     out = spread(narrow)
     assert out.rdd.getNumPartitions() == cores * 2
     assert sorted(r[0] for r in out.collect()) == list(range(1000))
+
+
+def test_pick_index_matches_searchsorted(spark):
+    """Inverse-CDF pick = 1 + #thresholds <= u, exact at the thresholds; NULL -> 1."""
+    import numpy as np
+    cdf = synth.cumulative(synth.zipf_weights(50, 1.6))
+    rnd = random.Random(5)
+    us = [rnd.random() for _ in range(2000)] + list(cdf[:-1]) + [0.0]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(us)] + [(len(us), None)], "i long, u double")
+    got = {r["i"]: r["k"] for r in df.select("i", synth.pick_index(F.col("u"), cdf).alias("k")).collect()}
+    want = np.searchsorted(np.array(cdf[:-1]), np.array(us), side="right") + 1
+    assert [got[i] for i in range(len(us))] == want.tolist()
+    assert got[len(us)] == 1
