@@ -162,8 +162,9 @@ def longest_prefix_price(df: DataFrame, name: Column, prices: DataFrame, max_len
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """Unbiased pass@k = 1 - C(n-c, k)/C(n, k) = 1 - prod_{i<k} (n-c-i)/(n-i); NULL if n < k."""
-    prod = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0),
-                       lambda acc, i: acc * ((n - c - i) / (n - i)))
+    prod = F.lit(1.0)
+    for i in range(k):                         # unrolled: k is fixed, the product stays in codegen
+        prod = prod * ((n - c - i) / (n - i))
     return F.when(n >= k, F.lit(1.0) - prod)
 
 
