@@ -131,16 +131,14 @@ def result_eq(gold: DataFrame, pred: DataFrame | None, order_matters: bool = Fal
         return False
     g_cols = [c for c in gold.columns if c != pos]
     p_cols = [c for c in pred.columns if c != pos]
-    g_empty, p_empty = gold.isEmpty(), pred.isEmpty()
-    if g_empty and p_empty:
+    ng, np_ = gold.count(), pred.count()       # one job per side answers emptiness and size
+    if ng == 0 and np_ == 0:
         return True
-    if g_empty or p_empty or len(g_cols) != len(p_cols):
+    if ng == 0 or np_ == 0 or len(g_cols) != len(p_cols) or ng != np_:
         return False
     use_pos = pos if order_matters else None
     gn = _with_pos(normalise(gold.select(*g_cols), "g"), gold, use_pos, "g")
     pn = _with_pos(normalise(pred.select(*p_cols), "p"), pred, use_pos, "p")
-    if gold.count() != pred.count():
-        return False
     for perm in candidate_orders(gn, pn, len(g_cols)):
         if bags_equal(gn, pn, perm, use_pos):
             return True
@@ -186,14 +184,13 @@ def soft_f1(gold: DataFrame, pred: DataFrame | None) -> float:
     decreasing bound order and the search stops once no bound can win."""
     if pred is None:
         return 0.0
-    g_empty, p_empty = gold.isEmpty(), pred.isEmpty()
-    if g_empty and p_empty:
+    ng, np_ = gold.count(), pred.count()
+    if ng == 0 and np_ == 0:
         return 1.0
-    if g_empty or p_empty or len(gold.columns) != len(pred.columns):
+    if ng == 0 or np_ == 0 or len(gold.columns) != len(pred.columns):
         return 0.0
     ncols = len(gold.columns)
     gn, pn = normalise(gold, "g"), normalise(pred, "p")
-    ng, np_ = gold.count(), pred.count()
     if ncols > MAX_PERMUTED_COLUMNS:
         perms = [(None, list(range(ncols)))]
     else:
