@@ -155,3 +155,8 @@ def test_pick_index_matches_searchsorted(spark):
     want = np.searchsorted(np.array(cdf[:-1]), np.array(us), side="right") + 1
     assert [got[i] for i in range(len(us))] == want.tolist()
     assert got[len(us)] == 1
+
+
+def test_global_row_number_empty(spark):
+    df = spark.createDataFrame([], "run long, grade double")
+    assert windows.global_row_number(df, [F.desc_nulls_last("grade"), F.asc_nulls_last("run")]).collect() == []
