@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalar import hash_int, slug
 from quarry.operators import synth as sy
+from quarry.operators.windows import global_row_number
 from quarry.plans.quality import row_counts
 from quarry.plans.registry import query
 from quarry.sources.tables import FIXED_SIZE_DIMENSIONS, TABLE_NAMES, Tables
@@ -251,8 +252,8 @@ FROM d JOIN b ON b.idx = d.idx GROUP BY 1""")
 def gen_natural_fk(t: Tables):
     """FK to a natural key (brand code), NULL with probability 0.1."""
     # a natural key is never NULL: NULL brands are not part of the code list
-    brands = sy.dense_index(t.part.select("p_brand").filter(F.col("p_brand").isNotNull()).distinct(), [],
-                            ["p_brand"], F.lit(0), 1)
+    codes = t.part.select("p_brand").filter(F.col("p_brand").isNotNull()).distinct()
+    brands = global_row_number(codes, [F.asc("p_brand")], "_r").withColumn("_idx", F.col("_r") - 1)
     nb = brands.agg(F.count(F.lit(1))).scalar()
     d = t.orders.select(_u("natnull", "o_orderkey").__lt__(0.1).alias("is_null"),
                         F.pmod(hash_int("natfk", SEED, F.col("o_orderkey")), nb).alias("_idx"))
