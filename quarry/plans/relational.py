@@ -9,7 +9,7 @@ broadcast by hint; everything else is left to AQE's measured-size choice.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import base26, epoch_micros, iso_date, iso_ts, money, month_ntz, slug
@@ -492,18 +492,32 @@ def firstn_running(t: Tables):
 
 # ------------------------------------------------------------- bag/set ops --
 
-@query("bag_intersect", "U-INTERSECTALL", """
-WITH a AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
-     b AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1, 2)
+# A predicted line status next to the recorded one: open when shipped after
+# the status date, else filled. Both bags cover every line.
+STATUS_DATE = "1995-06-17 00:00:00"
+PREDICTED_STATUS_SQL = f"CASE WHEN l_shipdate > TIMESTAMP '{STATUS_DATE}' THEN 'O' ELSE 'F' END"
+
+
+def predicted_status() -> Column:
+    return F.when(F.col("l_shipdate") > F.expr(f"TIMESTAMP_NTZ'{STATUS_DATE}'"), F.lit("O")).otherwise(F.lit("F"))
+
+
+@query("bag_intersect", "U-INTERSECTALL", f"""
+WITH a AS (SELECT l_returnflag, l_linestatus, count(*) AS m FROM lineitem GROUP BY 1, 2),
+     b AS (SELECT l_returnflag, {PREDICTED_STATUS_SQL} AS l_linestatus, count(*) AS m FROM lineitem GROUP BY 1, 2)
 SELECT a.l_returnflag, a.l_linestatus, least(a.m, b.m) AS common
 FROM a JOIN b ON a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag
              AND a.l_linestatus IS NOT DISTINCT FROM b.l_linestatus""")
 def bag_intersect(t: Tables):
-    """INTERSECT ALL size per value: sum of min multiplicities, from two
-    partial-aggregated count tables instead of shuffling raw rows."""
-    c = (t.lineitem.groupBy("l_returnflag", "l_linestatus")
-         .agg(F.count_if(F.col("l_orderkey") % 2 == 0).alias("ma"),
-              F.count_if(F.col("l_orderkey") % 2 == 1).alias("mb")))
+    """INTERSECT ALL of the recorded and the predicted (flag, status) bags:
+    sum of min multiplicities. One scan: every line emits its recorded and
+    its predicted key, tagged by side, into one partial-aggregated count."""
+    sides = F.explode(F.array(
+        F.struct(F.col("l_linestatus").alias("l_linestatus"), F.lit(1).alias("a"), F.lit(0).alias("b")),
+        F.struct(predicted_status().alias("l_linestatus"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    c = (t.lineitem.select("l_returnflag", sides.alias("s"))
+         .groupBy("l_returnflag", F.col("s.l_linestatus").alias("l_linestatus"))
+         .agg(F.sum("s.a").cast("long").alias("ma"), F.sum("s.b").cast("long").alias("mb")))
     return c.filter("ma > 0 AND mb > 0").select("l_returnflag", "l_linestatus",
                                                F.least("ma", "mb").alias("common"))
 
