@@ -141,18 +141,20 @@ def price_table(spark, prices=PRICES) -> DataFrame:
     return spark.createDataFrame(prices, "prefix string, price_in double, price_out double")
 
 
-def longest_prefix_price(df: DataFrame, name: Column, prices: DataFrame, max_len: int = 64) -> DataFrame:
+def longest_prefix_price(df: DataFrame, name: Column, prices: DataFrame) -> DataFrame:
     """E-COST pricing: the longest key ``name`` starts with, as an equi-join.
 
     Prices depend on the name only, so each distinct name is priced once:
-    every prefix of it (up to ``max_len`` chars) is generated and equi-joined
+    every prefix of it (up to the longest key, a scalar subquery over the
+    price table) is generated and equi-joined
     to the keys, the longest hit wins, and the result joins back on the name
     value. Deterministic under recomputation (no generated row ids).
     Adds ``prefix, price_in, price_out`` (NULL when no key matches).
     """
     keyed = df.withColumn("_name", name)
     names = keyed.select("_name").distinct()
-    cand = names.select("_name", F.explode(F.sequence(F.lit(1), F.least(F.length("_name"), F.lit(max_len))))
+    longest_key = prices.agg(F.max(F.length("prefix"))).scalar()
+    cand = names.select("_name", F.explode(F.sequence(F.lit(1), F.least(F.length("_name"), longest_key)))
                         .alias("_len")).select("_name", "_len", F.expr("substring(_name, 1, _len)").alias("prefix"))
     hits = cand.join(prices, "prefix").groupBy("_name").agg(
         F.max_by(F.struct("prefix", "price_in", "price_out"), "_len").alias("_p"))

@@ -112,7 +112,7 @@ def bag_diff(t: Tables):
     parts = F.split("row", cmp._SEP)
 
     def cell(i):  # undo the tagged encoding; the NULL token maps back to NULL
-        return F.when(parts[i] != "\u0000", F.substring(parts[i], 3, 1 << 20))
+        return F.when(parts[i] != "\u0000", F.substr(parts[i], F.lit(3)))     # drop the 2-char tag, keep the rest
     return d.select(cell(0).alias("l_returnflag"), cell(1).alias("l_linestatus"), "n_left", "n_right", "status")
 
 

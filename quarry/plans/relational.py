@@ -705,7 +705,7 @@ FROM part""")
 def str_slug(t: Tables):
     return t.part.select("p_partkey",
                          slug(F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("slug"),
-                         F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1 << 30)).alias("title"))
+                         F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr(F.col("p_name"), F.lit(2))).alias("title"))
 
 
 @query("base26_nation", "F-BASE26", """
