@@ -9,7 +9,6 @@ emitted, so the final ranking sees k x batches candidates per query and no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,20 +47,23 @@ def knn(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, q_id:
 
 def _score_batch(corpus: DataFrame, id_col: str, vec_col: str, qp: pd.DataFrame, q_id: str, q_vec: str,
                  k: int) -> DataFrame:
-    """Per Arrow batch of the corpus: one matmul against the broadcast
-    queries, then a top-k per query; only k rows per (batch, query) leave."""
+    """Per Arrow batch of the corpus (``mapInArrow``): one matmul against the
+    broadcast queries, then a top-k per query; only k rows per (batch,
+    query) leave."""
     qids = qp[q_id].to_numpy(dtype=np.int64)
     qm = np.stack([np.asarray(v, dtype=np.float64) for v in qp[q_vec]]) if len(qp) else np.zeros((0, 0))
     qn = np.sqrt((qm * qm).sum(axis=1))
     bc = corpus.sparkSession.sparkContext.broadcast((qids, qm, qn))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches):
+        import pyarrow as pa
         qids_, qm_, qn_ = bc.value
-        for pdf in batches:
-            if pdf.empty or len(qids_) == 0:
+        schema = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("score", pa.float64())])
+        for b in batches:
+            if b.num_rows == 0 or len(qids_) == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            vm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            ids = b.column(id_col).to_numpy().astype(np.int64)
+            vm = _matrix(b.column(vec_col))
             vn = np.sqrt((vm * vm).sum(axis=1))
             sims = np.round((vm @ qm_.T) / np.outer(vn, qn_), 6)
             kk = min(k, len(ids))
@@ -71,7 +73,18 @@ def _score_batch(corpus: DataFrame, id_col: str, vec_col: str, qp: pd.DataFrame,
                 out_q.append(np.full(kk, qids_[j]))
                 out_i.append(ids[order])
                 out_s.append(sims[order, j])
-            yield pd.DataFrame({"qid": np.concatenate(out_q), "vid": np.concatenate(out_i),
-                                "score": np.concatenate(out_s)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i)),
+                                              pa.array(np.concatenate(out_s))], schema=schema)
 
-    return corpus.select(id_col, vec_col).mapInPandas(score, "qid long, vid long, score double")
+    return corpus.select(id_col, vec_col).mapInArrow(score, "qid long, vid long, score double")
+
+
+def _matrix(col) -> np.ndarray:
+    """(rows x dim) float64 from an Arrow list column: one reshape of the
+    flat value buffer when every row has the same length (no per-row Python)."""
+    offs = col.offsets.to_numpy()
+    lens = np.diff(offs)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lens) and (lens == lens[0]).all():
+        return flat.reshape(len(lens), int(lens[0]))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
