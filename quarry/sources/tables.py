@@ -7,7 +7,6 @@ only what they need and never pre-materialise a table.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
