@@ -116,16 +116,35 @@ issues AS (
 
 def run_stats(t: Tables):
     """Per-run summary and validation aggregates in ONE groupBy pass over the
-    run rows; queries that need only part of it get the rest pruned."""
+    run rows; queries that need only part of it get the rest pruned. Every
+    aggregate here has a fixed-width buffer, so this is a hash aggregate."""
     return sc.summarise(
         run_rows(t),
         # Question coverage as a bitmask of hours (0..23): bit_or is a plain
         # partial aggregate, where a per-run count(DISTINCT) adds a shuffle.
         F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), hr)")).alias("_hours"),
-        F.replace(F.min("model"), F.lit("openai/"), F.lit("")).alias("_model"),
         sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("_claimed"))
 
 
+def run_models(t: Tables):
+    """(run, _model): the run's smallest model name, provider prefix removed.
+    A string minimum has no fixed-width buffer (Spark sorts for it), so the
+    events are first reduced to distinct (run, model) pairs by a hash
+    aggregate and the minimum runs over those few pairs only."""
+    pairs = run_rows(t).groupBy("run", "model").agg(F.count(F.lit(1)).alias("_n"))
+    # The minimum reads _n, so the optimizer keeps the pair aggregate (a bare
+    # DISTINCT under min() is dropped as redundant, and min would then sort
+    # every event row).
+    m = F.min(F.when(F.col("_n") > 0, F.col("model")))
+    return pairs.groupBy("run").agg(F.replace(m, F.lit("openai/"), F.lit("")).alias("_model"))
+
+
+def with_models(stats, t: Tables):
+    """Per-run stats with the run's model (NULL-safe on run: a NULL run is one run)."""
+    m = run_models(t).withColumnRenamed("run", "_mrun")
+    return stats.join(m, stats["run"].eqNullSafe(m["_mrun"]), "left").drop("_mrun")
+
+
 def summary(t: Tables):
     return run_stats(t).select(*sc.SUMMARY_COLUMNS)
 
@@ -133,7 +152,7 @@ def summary(t: Tables):
 def issues(t: Tables):
     """Validation reads the per-run stats twice (the expected question count
     and the flags), so they are written once: one events aggregate."""
-    return issues_from(materialise(run_stats(t)))
+    return issues_from(materialise(with_models(run_stats(t), t)))
 
 
 def issues_from(per):
@@ -205,7 +224,7 @@ def token_rollup(t: Tables):
     per_token = F.lit(Decimal("0.000001"))
     pin, pout = pin.cast("decimal(6,2)"), pout.cast("decimal(6,2)")
     # A run is priced through its key, so a NULL run (no key) has no cost row.
-    return (run_stats(t).filter(F.col("run").isNotNull()).select(
+    return (with_models(run_stats(t).filter(F.col("run").isNotNull()), t).select(
         "run", "total_tokens", "avg_tokens", "token_coverage",
         F.round(tok * F.lit(Decimal("0.75")) * pin * per_token + tok * F.lit(Decimal("0.25")) * pout * per_token, 6)
         .cast("double").alias("est_cost_usd")))
@@ -259,7 +278,7 @@ def leaderboard(t: Tables):
     """Grades and validation both read the per-run stats; they are written
     once to the checkpoint folder (one row per run) so the events are
     aggregated once, not once per consumer."""
-    stats = materialise(run_stats(t))
+    stats = materialise(with_models(run_stats(t), t))
     return sc.leaderboard(sc.grade(stats.select(*sc.SUMMARY_COLUMNS)), issues_from(stats))
 
 
