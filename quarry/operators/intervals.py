@@ -9,15 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scalar import epoch_micros
 from quarry.operators.windows import HOT_KEY_ROWS, previous_max, split_hot
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-
-
-def epoch_micros(ts: str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ column, independent of session zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {ts})")
-
 
 def count_overlapping_pairs(df: DataFrame, key: str, start: str, tie: str,
                             length_us: int, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
