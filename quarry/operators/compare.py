@@ -178,6 +178,24 @@ def column_overlap(gold_n: DataFrame, pred_n: DataFrame, ncols: int) -> list[lis
     return out
 
 
+def column_containment(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -> list[list[bool]]:
+    """C[i][j]: every distinct value of gold column i occurs in prediction
+    column j (NULL counts as a value). Distinct (column, value) pairs per
+    side, joined on the value: at most kg x kp rows per value, one job."""
+    def distinct_cells(df, k, side):
+        return (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"),
+                                                       F.coalesce(F.col(f"c{i}"), F.lit("\u0000")).alias("v"))
+                                              for i in range(k)])).alias("e"))
+                .select(F.col("e.ci").alias(f"c{side}"), F.col("e.v").alias("v")).distinct())
+    g, p = distinct_cells(gold_n, kg, "g"), distinct_cells(pred_n, kp, "p")
+    need = {r["cg"]: r["n"] for r in g.groupBy("cg").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= kg rows
+    found = g.join(p, "v").groupBy("cg", "cp").agg(F.count(F.lit(1)).alias("n")).collect()      # <= kg*kp rows
+    ok = [[False] * kp for _ in range(kg)]
+    for r in found:
+        ok[r["cg"]][r["cp"]] = r["n"] == need.get(r["cg"], 0)
+    return ok
+
+
 def soft_f1(gold: DataFrame, pred: DataFrame | None) -> float:
     """C-SOFTF1 with branch-and-bound over permutations: a permutation's
     intersection is at most min_i M[i][perm(i)], so candidates are tried in
@@ -216,9 +234,14 @@ def contains(gold: DataFrame, pred: DataFrame) -> bool:
     if kg > kp:
         return False
     # A gold column may sit inside a prediction column holding more values,
-    # so fingerprints cannot prune here; injective column maps are tried.
-    maps = (itertools.permutations(range(kp), kg) if kp <= MAX_PERMUTED_COLUMNS
-            else [tuple(range(kg))])
+    # so fingerprints cannot prune here. A map is only possible where every
+    # distinct value of gold column i occurs in prediction column j (one job
+    # for all pairs); the surviving injective maps are confirmed exactly.
+    if kp <= MAX_PERMUTED_COLUMNS:
+        ok = column_containment(gn, pn, kg, kp)
+        maps = [m for m in itertools.permutations(range(kp), kg) if all(ok[i][m[i]] for i in range(kg))]
+    else:
+        maps = [tuple(range(kg))]
     for cols in maps:
         sub = pn.select(*[F.col(f"c{j}").alias(f"c{i}") for i, j in enumerate(cols)])
         g = bag(gn).withColumnRenamed("m", "mg")

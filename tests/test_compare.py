@@ -99,6 +99,21 @@ def test_contains(spark):
     assert not cmp.contains(df(spark, [("q", 1)]), p)
 
 
+def test_contains_prunes_by_value_containment(spark):
+    """Gold columns hidden among wider, reordered prediction columns (with a
+    NULL cell) are found; containment per column prunes the map search, and
+    a row present column-wise but not as a row is still rejected."""
+    g = spark.createDataFrame([(1, "a", None), (2, "b", 5.0)], "k long, s string, v double")
+    p = spark.createDataFrame([(5.0, "b", 9, 2, "u"), (None, "a", 8, 1, "w"), (7.0, "c", 7, 3, "v")],
+                              "v double, s string, z long, k long, t string")
+    ok = cmp.column_containment(cmp.normalise(g, "g"), cmp.normalise(p, "p"), 3, 5)
+    assert ok[0][3] and ok[1][1] and ok[2][0] and not ok[1][4]
+    assert cmp.contains(g, p)
+    mixed = spark.createDataFrame([(5.0, "a", 9, 2, "u"), (None, "b", 8, 1, "w")],
+                                  "v double, s string, z long, k long, t string")
+    assert not cmp.contains(g, mixed)
+
+
 def test_bag_diff_statuses(spark):
     a = cmp.normalise(df(spark, [("x", 1), ("x", 1), ("y", 2)]))
     b = cmp.normalise(df(spark, [("x", 1), ("z", 3)]))
