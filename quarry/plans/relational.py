@@ -547,14 +547,15 @@ SELECT {', '.join(LINEITEM_COLS)} FROM (
 def dedup_lineitem(t: Tables):
     """First row per (orderkey, linenumber) under a full tie-break order.
 
-    ``min(struct(tie columns...))`` is an ordinary aggregate with map-side
-    partial aggregation, so a key repeated a billion times is reduced inside
-    every map task instead of being gathered into one window partition.
+    ``row_number() = 1`` is planned with a partial ``WindowGroupLimit``
+    before the shuffle (Spark's window group limit, on by default): every
+    map task keeps at most one row per key, so a key repeated a billion
+    times is reduced map-side instead of being gathered into one task.
+    ``tests/test_plans.py`` checks that the map-side limit is in the plan.
     """
-    # (isNull(c), c) pairs make NULLs sort last inside the struct order.
-    key = F.struct(*[x for c in _TIE for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c))])
-    first = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(key).alias("r"))
-    return first.select("l_orderkey", "l_linenumber", *[F.col(f"r.{c}").alias(c) for c in _TIE]).select(*LINEITEM_COLS)
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.asc_nulls_last(c) for c in _TIE])
+    return (t.lineitem.select(*LINEITEM_COLS).withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") == 1).drop("_rn"))
 
 
 # ---------------------------------------------------------- scalar funcs ----
