@@ -38,12 +38,12 @@ def _write_runs(t: Tables) -> str:
     return root
 
 
-@query("roundtrip_region", "S-LOAD", "SELECT * FROM region")
-def roundtrip_region(t: Tables):
-    """Truncate-and-reload: overwrite a Parquet copy, read it back."""
-    path = scratch_dir(t.spark, "region")
-    t.region.write.mode("overwrite").parquet(path)
-    t.region.write.mode("overwrite").parquet(path)   # reload replaces, never duplicates
+@query("roundtrip_orders", "S-LOAD", "SELECT * FROM orders")
+def roundtrip_orders(t: Tables):
+    """Truncate-and-reload of a whole table: overwrite a Parquet copy, read it back."""
+    path = scratch_dir(t.spark, "orders")
+    t.orders.write.mode("overwrite").parquet(path)
+    t.orders.write.mode("overwrite").parquet(path)   # reload replaces, never duplicates
     return t.spark.read.parquet(path)
 
 

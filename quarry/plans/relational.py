@@ -23,9 +23,10 @@ DAY_US = 86_400_000_000
 
 # ---------------------------------------------------------------- scans ----
 
-@query("scan_nation", "S-SCAN", "SELECT * FROM nation")
-def scan_nation(t: Tables):
-    return t.nation
+@query("scan_supplier", "S-SCAN", "SELECT * FROM supplier")
+def scan_supplier(t: Tables):
+    """A whole-table scan (supplier grows with the scale factor)."""
+    return t.supplier
 
 
 @query("schema_text", "S-CONCAT", """
@@ -710,12 +711,13 @@ def str_slug(t: Tables):
                          F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr(F.col("p_name"), F.lit(2))).alias("title"))
 
 
-@query("base26_nation", "F-BASE26", """
-SELECT n_nationkey, chr(65 + CAST((n_nationkey // 676) % 26 AS INTEGER)) || chr(65 + CAST((n_nationkey // 26) % 26 AS INTEGER))
-       || chr(65 + CAST(n_nationkey % 26 AS INTEGER)) AS code
-FROM nation""")
-def base26_nation(t: Tables):
-    return t.nation.select("n_nationkey", base26(F.col("n_nationkey"), 3).alias("code"))
+@query("base26_codes", "F-BASE26", """
+SELECT c_custkey, chr(65 + CAST((c_custkey // 17576) % 26 AS INTEGER)) || chr(65 + CAST((c_custkey // 676) % 26 AS INTEGER))
+       || chr(65 + CAST((c_custkey // 26) % 26 AS INTEGER)) || chr(65 + CAST(c_custkey % 26 AS INTEGER)) AS code
+FROM customer""")
+def base26_codes(t: Tables):
+    """Four-letter base-26 code of every customer key."""
+    return t.customer.select("c_custkey", base26(F.col("c_custkey"), 4).alias("code"))
 
 
 @query("crc_names", "F-CRC")
@@ -724,9 +726,9 @@ def crc_names(t: Tables):
 
 
 @query("json_out", "F-JSONOUT", """
-SELECT n_nationkey, to_json(struct_pack(name := n_name, region := n_regionkey)) AS json FROM nation""")
+SELECT c_custkey, to_json(struct_pack(name := c_name, nation := c_nationkey)) AS json FROM customer""")
 def json_out(t: Tables):
-    """One compact JSON object per row; a NULL field is written as null, not dropped."""
-    return t.nation.select("n_nationkey",
-                           F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")),
-                                     {"ignoreNullFields": "false"}).alias("json"))
+    """One compact JSON object per customer; a NULL field is written as null, not dropped."""
+    return t.customer.select("c_custkey",
+                             F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")),
+                                       {"ignoreNullFields": "false"}).alias("json"))
