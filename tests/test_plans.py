@@ -7,13 +7,18 @@ from quarry.plans import REGISTRY
 # Cross products and row-at-a-time Python UDFs have no place in any plan:
 # pairs would grow quadratically, per-row Python leaves codegen.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+# Sort-based aggregates are allowed only where the input is small by
+# construction (prefix hits of distinct names, distinct (run, model) pairs).
+SORT_AGGREGATE_OK = {"cost_prefix", "token_rollup"}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
-def test_no_cross_products_or_row_udfs(spark, name):
+def test_plan_shape(spark, name):
+    """No cross products or row UDFs anywhere; hash aggregates except where allowed."""
     df = REGISTRY[name].build(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [op for op in FORBIDDEN if op in plan]
+    assert name in SORT_AGGREGATE_OK or "SortAggregate" not in plan
 
 
 @pytest.mark.parametrize("name", ["join_multi", "join_chain", "avg_ship_days", "filter_time", "join_anti"])
@@ -28,18 +33,6 @@ def test_scans_are_pruned(spark, name):
             assert "o_orderpriority" not in line
 
 
-# Sort-based aggregates are allowed only where the input is small by
-# construction (prefix hits of distinct names, distinct (run, model) pairs).
-SORT_AGGREGATE_OK = {"cost_prefix", "token_rollup"}
-
-
-@pytest.mark.parametrize("name", sorted(REGISTRY))
-def test_hash_aggregates_elsewhere(spark, name):
-    df = REGISTRY[name].build(spark, "/root/testdata/sf0.001")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert name in SORT_AGGREGATE_OK or "SortAggregate" not in plan
-
-
 def test_first_row_limit_is_map_side(spark):
     """First-row de-duplication keeps one row per key in every map task
     before the shuffle (a hot key never reaches one task whole)."""
