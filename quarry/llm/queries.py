@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, lm, packing, token_counts, toxicity
+from quarry.llm import bpe, exact_dedup, html_text, lm, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op5_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+@_query("op6_block_tree_text")
+def op6_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (html_text.extract(_table(spark, sf_dir, "pages"))
+            .withColumn("n_chars", F.char_length("text").cast("long")))
+
+
 @_query("op8_backoff_automaton")
 def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
