@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 MAX_TOXIC, MAX_CLEAN = 4096, 8192
-REJECT = 0.5
+REJECT = 0.4
 MIN_DOCS = 4          # sample documents that must hold a feature
 MIN_LOG_ODDS = 1.0    # features about as frequent on either side carry no weight
 TELLING = 3.0         # log odds of a telling word
@@ -94,7 +94,7 @@ class Model:
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_cols: int,
-        l2: float = 2e-4, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
+        l2: float = 2e-5, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch gradient steps (Adam) on the
     mean log loss over the K-1 cumulative links, from a sparse matrix in
     coordinate form."""
