@@ -98,3 +98,13 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     if len(words) < size:
         return window_hashes(words, len(words)) ^ np.uint64(len(words))
     return np.unique(window_hashes(words, size))
+
+
+#: Rows of two longs that are broadcast at most: some 100 MB as a hashed relation.
+BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written, narrow table) hinted for broadcast if it has at most
+    ``rows`` rows; else unhinted, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
