@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, html_text, jaccard, lm, packing, token_counts, toxicity
+from quarry.llm import bpe, exact_dedup, html_text, jaccard, lm, packing, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,24 @@ def op6_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("n_chars", F.char_length("text").cast("long")))
 
 
+@_query("op7_suffix_automata", r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+           FROM documents),
+s AS (SELECT doc_id, i, list_aggregate(ws[i:i + 34], 'string_agg', ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, i FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+m AS (SELECT doc_id, list(k) AS gone, count(*) AS n_removed FROM c GROUP BY doc_id),
+j AS (SELECT w.doc_id, ws, coalesce(n_removed, 0) AS n_removed, coalesce(gone, []) AS gone FROM w LEFT JOIN m USING (doc_id))
+SELECT doc_id, len(ws) AS n_words, n_removed,
+       sha256(coalesce(list_aggregate(list_filter(ws, lambda x, k: NOT list_contains(gone, k)), 'string_agg', ' '), ''))
+         AS kept_sha256 FROM j
+""")
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query("op8_backoff_automaton")
 def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
