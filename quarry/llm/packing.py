@@ -22,6 +22,7 @@ rows are packed one by one; ids may be null or repeated; no rows, no pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -43,6 +44,17 @@ def piece_lengths(n: int, limit: int = MAX_LENGTH) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _byte_chars() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other
+    bytes are numbered from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes, from the library; bounded."""
 
@@ -52,10 +64,28 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.limit, self.longest = limit, longest
 
+    def _encode(self, word: str) -> bytes:
+        """A run of letters is one match of the pattern, so the library's merges take
+        it directly, normalised and in byte characters; a mark after a run of
+        letters is a match of its own; anything else takes the library's whole path."""
+        if word.isalpha():
+            small = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+            if small != word and small.isalpha():
+                return self[small]
+            if small == word:
+                chars = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = [t.id for t in self.model.tokenize(chars)]
+                return struct.pack(f"<{len(ids)}I", *ids)
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._encode(word)
         if len(word) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()
