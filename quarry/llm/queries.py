@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, html_text, jaccard, lm, packing, substring, token_counts, toxicity
+from quarry.llm import bpe, exact_dedup, html_text, itq, jaccard, lm, packing, substring, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_itq_near_dup", """
+WITH RECURSIVE x AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, e.v FROM r JOIN e ON r.t = e.u),
+c AS (SELECT s, min(t) AS component_id FROM r GROUP BY s),
+n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON c.s = m.vec_id LEFT JOIN n ON n.u = m.vec_id
+""")
+def op1_itq_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op2_prefix_bpe")
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
