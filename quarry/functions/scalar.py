@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "month_ntz", "money", "round_money", "pct1", "iso_date", "iso_ts",
-    "base26", "slug", "hash_uniform", "hash_int", "days_between",
+    "month_ntz", "money", "epoch_micros", "iso_date", "iso_ts", "base26", "pad_key", "slug",
+    "hash_uniform", "hash_int",
 ]
 
 
@@ -31,26 +31,6 @@ def money(c: Column | str, scale: int = 2, precision: int = 18) -> Column:
         else c.cast(f"decimal({precision},{scale})")
 
 
-def round_money(c: Column, scale: int = 2) -> Column:
-    """Round a double total to cents (summation-order noise stays far below a cent)."""
-    return F.round(c, scale)
-
-
-def pct1(k: Column, n: Column) -> Column:
-    """``round(100*k/n, 1)`` half-up, computed in integers so it is exact.
-
-    NULL when ``n`` is 0 (an empty bucket), matching the reference's rollups.
-    """
-    k = k.cast("long")
-    n = n.cast("long")
-    return F.when(n > 0, F.floor((F.lit(2000) * k + n) / (F.lit(2) * n)) / F.lit(10.0))
-
-
-def days_between(later: str, earlier: str) -> Column:
-    """Elapsed days as a double, i.e. EXTRACT(EPOCH FROM later - earlier) / 86400."""
-    return F.expr(f"timestampdiff(MICROSECOND, {earlier}, {later}) / 86400e6")
-
-
 def epoch_micros(col: str) -> Column:
     """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp, with no
     time-zone conversion."""
@@ -65,32 +45,51 @@ def iso_ts(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+#: Letters of the largest 64-bit number in base 26.
+MAX_LETTERS = 14
+
+
 def base26(n: Column, width: int = 3) -> Column:
-    """Non-negative integer -> fixed-width A..Z code, most significant letter first."""
+    """Non-negative integer -> A..Z code of at least ``width`` letters, most
+    significant first; larger numbers get as many letters as they need, so
+    the code is one-to-one. Integer division throughout."""
     n = n.cast("long")
     letters = []
-    for i in range(width - 1, -1, -1):
-        digit = F.pmod((n / F.lit(26 ** i)).cast("long"), F.lit(26))
-        letters.append(F.chr((digit + 65).cast("long")))
+    for i in range(MAX_LETTERS - 1, -1, -1):
+        power = F.lit(26 ** i).cast("long")
+        letter = F.chr(F.pmod(F.call_function("div", n, power), F.lit(26)) + 65) if i else F.chr(F.pmod(n, F.lit(26)) + 65)
+        letters.append(letter if i < width else F.when(n >= power, letter).otherwise(F.lit("")))
     return F.concat(*letters)
 
 
+def pad_key(key: Column, width: int = 6) -> Column:
+    """The key as text, zero-filled to ``width`` digits; longer keys are kept whole
+    (``lpad`` would cut them)."""
+    text = key.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def slug(text: Column, key: Column | None = None) -> Column:
     """Lower-case, runs of non-alphanumerics -> '-', trimmed of '-'; salted with ``key``."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return s if key is None else F.concat(s, F.lit("-"), key.cast("string"))
 
 
+#: Hex digits of the md5 that a draw uses: 60 bits, the most a long holds as whole digits.
+HASH_DIGITS = 15
+HASH_RANGE = float(1 << 60)
+
+
 def hash_int(stream: str, seed: int, key: Column) -> Column:
-    """Deterministic 32-bit integer from (stream, seed, key) via md5.
+    """Deterministic 60-bit integer from (stream, seed, key) via md5.
 
     Independent of partitioning and row order, unlike ``rand()``; the same
     md5 spelling is available in DuckDB, so results can be checked there.
     """
     h = F.md5(F.concat(F.lit(f"{stream}|{seed}|"), key.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def hash_uniform(stream: str, seed: int, key: Column) -> Column:
     """Uniform double in [0, 1) from (stream, seed, key)."""
-    return hash_int(stream, seed, key) / F.lit(4294967296.0)
+    return hash_int(stream, seed, key) / F.lit(HASH_RANGE)

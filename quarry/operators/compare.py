@@ -2,46 +2,69 @@
 
 Semantics (fixed by the benchmark being rebuilt):
 
-* cells: NULL stays NULL; booleans and all numerics compare as numbers after
-  rounding to 6 places (so true == 1 == 1.0); dates/timestamps as ISO text;
-  arrays/maps/structs by their JSON text; everything else as text. Text
-  never equals a number. NaN never matches anything, itself included.
+* cells: NULL stays NULL; booleans and all numbers compare as numbers, whole
+  ones exactly and others rounded to 6 places (so true == 1 == 1.0, and
+  2^53 != 2^53 + 1); dates/timestamps as ISO text; arrays/maps/structs by
+  their JSON text; everything else as text. Text never equals a number. NaN
+  never matches anything, itself included.
 * ``result_eq``: prediction missing -> False; both empty -> True; one empty
   -> False; arities differ -> False; otherwise True if some permutation of
-  the prediction's columns (all permutations up to 6 columns, identity only
-  above) makes the two bags (or sequences, when ordered) equal.
+  the prediction's columns makes the two bags (or sequences, when ordered)
+  equal, at any width. ``permute_up_to`` limits the permutations to results of so many
+  columns, wider ones then match by position only (off by default).
 * ``soft_f1``: 2|G n P| / (|G| + |P|) over bags, best permutation; 1 when
   both are empty; 0 when one is empty, missing, or of another arity.
 
-Nothing is collected: bags are ``groupBy(row).count()`` on both sides, full
-outer joined on the row; permutations are pruned by per-column fingerprints
-(sum of xxhash64 of the normalised cell, one pass per side) and every
-surviving candidate is then confirmed exactly.
+Rows are never joined into text: bags group by the cells themselves. Both
+normalised sides are written once; bags are ``groupBy(cells).count()`` on both
+sides, full outer joined null-safely. Permutations are pruned by per-column
+fingerprints (sum of xxhash64 of the normalised cell, one pass per side);
+columns that are equal in every row stand for one class, whose members are
+matched in order, so equal columns never multiply the candidates; each
+surviving candidate is confirmed exactly. Only fingerprints, counts and
+verdicts reach the driver.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PERMUTED_COLUMNS = 6
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-            T.DecimalType, T.BooleanType)
-_SEP = "\u001f"
+from quarry.session import materialise
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _plain(text: Column) -> Column:
+    """A decimal's text without trailing zeros, so equal numbers of any type are equal text."""
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(short == "-0", F.lit("0")).otherwise(short)
+
+
+def _number(c: Column, dt: T.DataType) -> Column:
+    if isinstance(dt, _WHOLE):
+        return c.cast("long").cast("string")
+    if isinstance(dt, T.DecimalType):
+        return _plain(F.round(c, 6).cast("string")) if dt.scale else c.cast("string")
+    d = c.cast("double")
+    # Below 10^18 a double's rounded value has an exact decimal form; beyond,
+    # it is whole anyway and its shortest text names it.
+    return F.when(F.abs(d) < 1e18, _plain(F.round(d, 6).cast("decimal(38,6)").cast("string"))) \
+        .otherwise(F.coalesce(_plain(d.cast("decimal(38,0)").cast("string")), d.cast("string")))
 
 
 def _cell(field: T.StructField, nan_salt: Column | None = None) -> Column:
     c = F.col(f"`{field.name}`")
     dt = field.dataType
-    if isinstance(dt, _NUMERIC):
-        d = c.cast("double")
-        num = F.concat(F.lit("n:"), F.round(d, 6).cast("string"))
+    if isinstance(dt, (*_WHOLE, *_FRACTIONAL)):
+        num = F.concat(F.lit("n:"), _number(c, dt))
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             salt = nan_salt if nan_salt is not None else F.expr("uuid()")
-            num = F.when(F.isnan(d), F.concat(F.lit("nan:"), salt.cast("string"))).otherwise(num)
+            num = F.when(F.isnan(c), F.concat(F.lit("nan:"), salt.cast("string"))).otherwise(num)
         return num
     if isinstance(dt, T.DateType):
         return F.concat(F.lit("s:"), F.date_format(c, "yyyy-MM-dd"))
@@ -54,17 +77,18 @@ def _cell(field: T.StructField, nan_salt: Column | None = None) -> Column:
     return F.concat(F.lit("s:"), c.cast("string"))
 
 
-def normalise(df: DataFrame, side: str = "") -> DataFrame:
-    """C-NORM: every column -> tagged text cell (``c0..cN``), NULL kept.
-    ``side`` tags NaN cells so that two sides never share a NaN token."""
+def normalise(df: DataFrame, side: str = "", pos: str | None = None) -> DataFrame:
+    """C-NORM: every column -> tagged text cell (``c0..cN``), NULL kept; a ``pos``
+    column is carried as it is. ``side`` tags NaN cells so that two sides
+    never share a NaN token."""
     salt = F.concat(F.lit(side), F.monotonically_increasing_id().cast("string"))
-    return df.select(*[_cell(f, salt).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
+    fields = [f for f in df.schema.fields if f.name != pos]
+    return df.select(*[_cell(f, salt).alias(f"c{i}") for i, f in enumerate(fields)],
+                     *([F.col(pos).alias("pos")] if pos else []))
 
 
-def _row_key(ncols: int, order: list[int] | None = None) -> Column:
-    idx = order if order is not None else list(range(ncols))
-    # NULL gets its own token so it equals NULL (as the reference's tuples do).
-    return F.concat_ws(_SEP, *[F.coalesce(F.col(f"c{i}"), F.lit("\u0000")) for i in idx])
+def _cells(df_norm: DataFrame) -> list[str]:
+    return [c for c in df_norm.columns if c != "pos"]
 
 
 def ordered_by_text(sql: Column) -> Column:
@@ -73,123 +97,139 @@ def ordered_by_text(sql: Column) -> Column:
     return F.lower(sql).rlike(r"order\s+by")
 
 
-def bag(df_norm: DataFrame, order: list[int] | None = None, pos: str | None = None) -> DataFrame:
-    """Multiset of normalised rows: (row, m). ``pos`` keeps an explicit position."""
-    key = _row_key(len([c for c in df_norm.columns if c.startswith("c")]), order)
-    if pos:
-        key = F.concat_ws(_SEP, F.col(pos).cast("string"), key)
-    return df_norm.groupBy(key.alias("row")).agg(F.count(F.lit(1)).alias("m"))
-
-
-def bag_diff(left: DataFrame, right: DataFrame, order: list[int] | None = None,
-             pos: str | None = None) -> DataFrame:
-    """C-DIFF: (row, n_left, n_right, status) for every row whose multiplicity differs."""
-    lb = bag(left, None, pos).withColumnRenamed("m", "n_left")
-    rb = bag(right, order, pos).withColumnRenamed("m", "n_right")
-    j = lb.join(rb, "row", "full").fillna(0, ["n_left", "n_right"])
+def bag(df_norm: DataFrame, order: list[int] | None = None, count: str = "m") -> DataFrame:
+    """Multiset of normalised rows: (r0..rN, count). ``order`` permutes the
+    columns; a ``pos`` column is compared as a further cell, not permuted."""
+    cells = [f"c{i}" for i in order] if order is not None else _cells(df_norm)
+    keys = [F.col(c).alias(f"r{i}") for i, c in enumerate(cells)]
+    if "pos" in df_norm.columns:
+        keys.append(F.col("pos").cast("string").alias(f"r{len(cells)}"))
+    return df_norm.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+
+
+def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Two bags joined null-safely on all their cells (r0..rN)."""
+    cells = [c for c in left.columns if c[0] == "r"]
+    other = right.select(*[F.col(c).alias(f"o_{c}") for c in cells], *[c for c in right.columns if c not in cells])
+    same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in cells]
+    joined = left.join(other, same, how)
+    found = "n_right" if "n_right" in joined.columns else None
+    if how == "full" and found:      # a right-only row has its cells on the right
+        joined = joined.withColumns({c: F.when(F.col("n_left").isNull(), F.col(f"o_{c}")).otherwise(F.col(c))
+                                     for c in cells})
+    return joined.drop(*[f"o_{c}" for c in cells])
+
+
+def bag_diff(left: DataFrame, right: DataFrame, order: list[int] | None = None) -> DataFrame:
+    """C-DIFF: (r0..rN, n_left, n_right, status) for every row whose multiplicity differs."""
+    j = _matched(bag(left, None, "n_left"), bag(right, order, "n_right"), "full").fillna(0, ["n_left", "n_right"])
     status = (F.when(F.col("n_right") == 0, "left_only").when(F.col("n_left") == 0, "right_only")
               .otherwise("changed"))
     return j.filter(F.col("n_left") != F.col("n_right")).withColumn("status", status)
 
 
-def bags_equal(left: DataFrame, right: DataFrame, order: list[int] | None = None,
-               pos: str | None = None) -> bool:
-    return bag_diff(left, right, order, pos).isEmpty()
+def bags_equal(left: DataFrame, right: DataFrame, order: list[int] | None = None) -> bool:
+    return bag_diff(left, right, order).isEmpty()
 
 
 def _fingerprints(df_norm: DataFrame) -> list[tuple]:
     """Per column (sum of xxhash64 as decimal, null count): one aggregation pass."""
-    aggs = []
-    for c in df_norm.columns:
-        if not c.startswith("c"):
-            continue
-        aggs += [F.sum(F.xxhash64(c).cast("decimal(20,0)")).alias(f"h_{c}"),
-                 F.count_if(F.col(c).isNull()).alias(f"z_{c}")]
-    row = df_norm.agg(*aggs).first()
-    n = len(aggs) // 2
-    return [(row[2 * i], row[2 * i + 1]) for i in range(n)]
-
-
-def candidate_orders(gold_n: DataFrame, pred_n: DataFrame, ncols: int) -> list[list[int]]:
+    cells = _cells(df_norm)
+    row = df_norm.agg(*[F.struct(F.sum(F.xxhash64(c).cast("decimal(20,0)")), F.count_if(F.col(c).isNull())).alias(c)
+                        for c in cells]).first()
+    return [tuple(row[c]) for c in cells]
+
+
+def _twins(df_norm: DataFrame, prints: list) -> list[int]:
+    """For each column the first column that is equal to it in every row (one pass)."""
+    pairs = [(i, j) for j in range(len(prints)) for i in range(j) if prints[i] == prints[j]]
+    if not pairs:
+        return list(range(len(prints)))
+    row = df_norm.agg(*[F.count_if(~F.col(f"c{i}").eqNullSafe(F.col(f"c{j}"))).alias(f"d{i}_{j}")
+                        for i, j in pairs]).first()
+    first = list(range(len(prints)))
+    for i, j in pairs:
+        if row[f"d{i}_{j}"] == 0:
+            first[j] = min(first[j], first[i])
+    return first
+
+
+def _assignments(allowed: list[list[int]], twins: list[int]) -> Iterator[list[int]]:
+    """One-to-one choices of a column for each place, equal columns in order only."""
+    def go(i: int, used: set[int], chosen: list[int]) -> Iterator[list[int]]:
+        if i == len(allowed):
+            yield list(chosen)
+            return
+        tried = set()
+        for j in allowed[i]:
+            if j not in used and twins[j] not in tried:
+                tried.add(twins[j])
+                yield from go(i + 1, used | {j}, [*chosen, j])
+
+    yield from go(0, set(), [])
+
+
+def candidate_orders(gold_n: DataFrame, pred_n: DataFrame) -> Iterator[list[int]]:
     """Permutations of the prediction's columns consistent with the fingerprints."""
-    if ncols > MAX_PERMUTED_COLUMNS:
-        return [list(range(ncols))]
     fg, fp = _fingerprints(gold_n), _fingerprints(pred_n)
-    allowed = [[j for j in range(ncols) if fp[j] == fg[i]] for i in range(ncols)]
-    out = []
-    for perm in itertools.product(*allowed):
-        if len(set(perm)) == ncols:
-            out.append(list(perm))
-    return out
+    twins = _twins(pred_n, fp)
+    yield from _assignments([[j for j in range(len(fp)) if fp[j] == g] for g in fg], twins)
 
 
 def result_eq(gold: DataFrame, pred: DataFrame | None, order_matters: bool = False,
-              pos: str | None = None) -> bool:
+              pos: str | None = None, permute_up_to: int | None = None) -> bool:
     """C-EX / C-ORDERED. When ordered, both frames carry a ``pos`` column
     (position after the query's sort); it is compared, not permuted."""
     if pred is None:
         return False
-    g_cols = [c for c in gold.columns if c != pos]
-    p_cols = [c for c in pred.columns if c != pos]
-    ng, np_ = gold.count(), pred.count()       # one job per side answers emptiness and size
-    if ng == 0 and np_ == 0:
-        return True
-    if ng == 0 or np_ == 0 or len(g_cols) != len(p_cols) or ng != np_:
-        return False
     use_pos = pos if order_matters else None
-    gn = _with_pos(normalise(gold.select(*g_cols), "g"), gold, use_pos, "g")
-    pn = _with_pos(normalise(pred.select(*p_cols), "p"), pred, use_pos, "p")
-    for perm in candidate_orders(gn, pn, len(g_cols)):
-        if bags_equal(gn, pn, perm, use_pos):
-            return True
-    return False
-
-
-def _with_pos(norm: DataFrame, orig: DataFrame, pos: str | None, side: str) -> DataFrame:
-    if not pos:
-        return norm
-    # normalise() is a pure projection of orig; re-project with pos kept.
-    fields = [f for f in orig.schema.fields if f.name != pos]
-    salt = F.concat(F.lit(side), F.monotonically_increasing_id().cast("string"))
-    return orig.select(*[_cell(f, salt).alias(f"c{i}") for i, f in enumerate(fields)], F.col(pos).alias(pos))
+    if pos and not order_matters:
+        gold, pred = gold.drop(pos), pred.drop(pos)
+    if len(gold.columns) != len(pred.columns):
+        return gold.isEmpty() and pred.isEmpty()
+    gn, pn = materialise(normalise(gold, "g", use_pos)), materialise(normalise(pred, "p", use_pos))
+    ng, np_ = gn.count(), pn.count()
+    if ng != np_ or ng == 0:
+        return ng == np_
+    width = len(_cells(gn))
+    if permute_up_to is not None and width > permute_up_to:
+        return bags_equal(gn, pn)
+    return any(bags_equal(gn, pn, order) for order in candidate_orders(gn, pn))
 
 
 def intersect_size(gold_n: DataFrame, pred_n: DataFrame, order: list[int] | None = None) -> DataFrame:
     """|G n P| as bags: one-row frame with column ``common``."""
-    g = bag(gold_n).withColumnRenamed("m", "mg")
-    p = bag(pred_n, order).withColumnRenamed("m", "mp")
-    return g.join(p, "row").agg(F.coalesce(F.sum(F.least("mg", "mp")), F.lit(0)).alias("common"))
+    both = _matched(bag(gold_n, None, "mg"), bag(pred_n, order, "mp"), "inner")
+    return both.agg(F.coalesce(F.sum(F.least("mg", "mp")), F.lit(0)).alias("common"))
 
 
-def column_overlap(gold_n: DataFrame, pred_n: DataFrame, ncols: int) -> list[list[int]]:
+def _values(df: DataFrame, side: str, k: int) -> DataFrame:
+    """(column number, value) pairs of all cells, with their count."""
+    return (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"c{i}").alias("v"))
+                                          for i in range(k)])).alias("e"))
+            .groupBy(F.col("e.ci").alias(f"c{side}"), F.col("e.v").alias(f"v{side}"))
+            .agg(F.count(F.lit(1)).alias(f"m{side}")))
+
+
+def column_overlap(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -> list[list[int]]:
     """M[i][j] = bag intersection size of gold column i with prediction column j,
-    for all pairs in one job (unpivot, count per (side, col, value), join)."""
-    def long(df, side):
-        return (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"),
-                                                       F.coalesce(F.col(f"c{i}"), F.lit("\u0000")).alias("v"))
-                                              for i in range(ncols)])).alias("e"))
-                .groupBy("e.ci", "e.v").agg(F.count(F.lit(1)).alias(f"m{side}"))
-                .withColumnRenamed("ci", f"c{side}"))
-    g, p = long(gold_n, "g"), long(pred_n, "p")
-    m = (g.join(p, "v").groupBy("cg", "cp").agg(F.sum(F.least("mg", "mp")).alias("k")).collect())
-    out = [[0] * ncols for _ in range(ncols)]
-    for r in m:  # at most ncols^2 <= 36 rows
+    for all pairs in one job (unpivot, count per (side, column, value), join)."""
+    g, p = _values(gold_n, "g", kg), _values(pred_n, "p", kp)
+    m = (g.join(p, F.col("vg").eqNullSafe(F.col("vp"))).groupBy("cg", "cp")
+         .agg(F.sum(F.least("mg", "mp")).alias("k")).collect())       # at most kg * kp rows
+    out = [[0] * kp for _ in range(kg)]
+    for r in m:
         out[r["cg"]][r["cp"]] = r["k"]
     return out
 
 
 def column_containment(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -> list[list[bool]]:
     """C[i][j]: every distinct value of gold column i occurs in prediction
-    column j (NULL counts as a value). Distinct (column, value) pairs per
-    side, joined on the value: at most kg x kp rows per value, one job."""
-    def distinct_cells(df, k, side):
-        return (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"),
-                                                       F.coalesce(F.col(f"c{i}"), F.lit("\u0000")).alias("v"))
-                                              for i in range(k)])).alias("e"))
-                .select(F.col("e.ci").alias(f"c{side}"), F.col("e.v").alias("v")).distinct())
-    g, p = distinct_cells(gold_n, kg, "g"), distinct_cells(pred_n, kp, "p")
+    column j (NULL counts as a value); one job for all pairs."""
+    g, p = _values(gold_n, "g", kg), _values(pred_n, "p", kp)
     need = {r["cg"]: r["n"] for r in g.groupBy("cg").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= kg rows
-    found = g.join(p, "v").groupBy("cg", "cp").agg(F.count(F.lit(1)).alias("n")).collect()      # <= kg*kp rows
+    found = (g.join(p, F.col("vg").eqNullSafe(F.col("vp"))).groupBy("cg", "cp")
+             .agg(F.count(F.lit(1)).alias("n")).collect())      # <= kg * kp rows
     ok = [[False] * kp for _ in range(kg)]
     for r in found:
         ok[r["cg"]][r["cp"]] = r["n"] == need.get(r["cg"], 0)
@@ -198,55 +238,58 @@ def column_containment(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -
 
 def soft_f1(gold: DataFrame, pred: DataFrame | None) -> float:
     """C-SOFTF1 with branch-and-bound over permutations: a permutation's
-    intersection is at most min_i M[i][perm(i)], so candidates are tried in
-    decreasing bound order and the search stops once no bound can win."""
+    intersection is at most min_i M[i][perm(i)], so candidates below the best
+    found so far are never counted, and a full match ends the search."""
     if pred is None:
         return 0.0
-    ng, np_ = gold.count(), pred.count()
-    if ng == 0 and np_ == 0:
-        return 1.0
-    if ng == 0 or np_ == 0 or len(gold.columns) != len(pred.columns):
-        return 0.0
     ncols = len(gold.columns)
-    gn, pn = normalise(gold, "g"), normalise(pred, "p")
-    if ncols > MAX_PERMUTED_COLUMNS:
-        perms = [(None, list(range(ncols)))]
-    else:
-        M = column_overlap(gn, pn, ncols)
-        perms = sorted(((min(M[i][p[i]] for i in range(ncols)), list(p))
-                        for p in itertools.permutations(range(ncols))), key=lambda x: -x[0])
+    if ncols != len(pred.columns):
+        return 1.0 if gold.isEmpty() and pred.isEmpty() else 0.0
+    gn, pn = materialise(normalise(gold, "g")), materialise(normalise(pred, "p"))
+    ng, np_ = gn.count(), pn.count()
+    if ng == 0 or np_ == 0:
+        return 1.0 if ng == np_ else 0.0
+    overlap = column_overlap(gn, pn, ncols, ncols)
+    twins = _twins(pn, _fingerprints(pn))
     best = 0
-    for bound, perm in perms:
-        if bound is not None and bound <= best:
-            break
-        best = max(best, intersect_size(gn, pn, perm).first()["common"])
+    # Columns by falling overlap, so good permutations come first and cut the rest.
+    ranked = [sorted((j for j in range(ncols)), key=lambda j: -overlap[i][j]) for i in range(ncols)]
+
+    def search(i: int, used: set[int], chosen: list[int], bound: int) -> None:
+        nonlocal best
+        if bound <= best:
+            return
+        if i == ncols:
+            best = max(best, intersect_size(gn, pn, chosen).first()["common"])
+            return
+        tried = set()
+        for j in ranked[i]:
+            if j not in used and twins[j] not in tried:
+                tried.add(twins[j])
+                search(i + 1, used | {j}, [*chosen, j], min(bound, overlap[i][j]))
+
+    search(0, set(), [], min(ng, np_))
     return 2.0 * best / (ng + np_)
 
 
 def contains(gold: DataFrame, pred: DataFrame) -> bool:
     """C-SUBSET (lenient): every gold row is in the prediction once gold's
     columns are matched, by value, to some prediction columns (names and
-    order ignored; extra prediction columns allowed)."""
-    if gold.isEmpty():
-        return True
-    gn, pn = normalise(gold, "g"), normalise(pred, "p")
+    order ignored; extra prediction columns allowed), at any width."""
     kg, kp = len(gold.columns), len(pred.columns)
+    gn, pn = materialise(normalise(gold, "g")), materialise(normalise(pred, "p"))
+    if gn.isEmpty():
+        return True
     if kg > kp:
         return False
     # A gold column may sit inside a prediction column holding more values,
     # so fingerprints cannot prune here. A map is only possible where every
     # distinct value of gold column i occurs in prediction column j (one job
     # for all pairs); the surviving injective maps are confirmed exactly.
-    if kp <= MAX_PERMUTED_COLUMNS:
-        ok = column_containment(gn, pn, kg, kp)
-        maps = [m for m in itertools.permutations(range(kp), kg) if all(ok[i][m[i]] for i in range(kg))]
-    else:
-        maps = [tuple(range(kg))]
-    for cols in maps:
-        sub = pn.select(*[F.col(f"c{j}").alias(f"c{i}") for i, j in enumerate(cols)])
-        g = bag(gn).withColumnRenamed("m", "mg")
-        p = bag(sub).withColumnRenamed("m", "mp")
-        short = g.join(p, "row", "left").filter(F.coalesce("mp", F.lit(0)) < F.col("mg"))
-        if short.isEmpty():
+    ok = column_containment(gn, pn, kg, kp)
+    twins = _twins(pn, _fingerprints(pn))
+    for cols in _assignments([[j for j in range(kp) if ok[i][j]] for i in range(kg)], twins):
+        short = _matched(bag(gn, None, "mg"), bag(pn, cols, "mp"), "left")
+        if short.filter(F.coalesce("mp", F.lit(0)) < F.col("mg")).isEmpty():
             return True
     return False

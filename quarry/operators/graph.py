@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from quarry.session import checkpoint_dir
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """seeds: (node); edges: (src, dst), directed (add both directions for an
-    undirected graph). Returns (node, hop) with the smallest hop per node."""
+    undirected graph). Returns (node, hop) with the smallest hop per node. Runs
+    until a hop finds nothing new, or for ``max_hops`` hops if that is given."""
     checkpoint_dir(seeds.sparkSession)
     # Edges are materialised once (a NULL FK is no edge): every hop reads the
     # written table instead of recomputing the joins that derive it.
@@ -27,7 +28,9 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     frontier = seeds.select("node").filter(F.col("node").isNotNull()).distinct().checkpoint(eager=True)
     parts = [frontier.withColumn("hop", F.lit(0))]
     visited = frontier
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         nxt = (frontier.join(edges.withColumnRenamed("src", "node"), "node")
                .select(F.col("dst").alias("node")).distinct()
                .join(visited, "node", "left_anti")

@@ -47,22 +47,32 @@ def cents(ms: Column) -> Column:
 
 
 def ves_reward(ex: Column, gold_ms: Column, pred_ms: Column) -> Column:
-    """min(3, sqrt(gold/pred)) for a correct answer with both times > 0, else 0."""
+    """min(3, sqrt(gold/pred)) for a correct answer with both times > 0, else 0;
+    NULL (left out of the mean) if the question has no valid gold."""
     ok = ex & (gold_ms > 0) & (pred_ms > 0)
-    return F.when(ok, F.least(F.lit(VES_CAP), F.sqrt(gold_ms / pred_ms))).otherwise(F.lit(0.0))
+    return F.when(ex.isNull(), None).when(ok, F.least(F.lit(VES_CAP), F.sqrt(gold_ms / pred_ms))).otherwise(F.lit(0.0))
+
+
+def milli(c: Column) -> Column:
+    """A score rounded to three places, as whole thousandths (sums are then exact)."""
+    return F.round(c * 1000).cast("long")
+
+
+def mean_pct1(c: Column) -> Column:
+    """round(100 * mean of the rounded scores, 1) over the rows that have one."""
+    return round1_ratio(F.sum(milli(c)), F.count(c) * 10)
 
 
 def ex_rollup(results: DataFrame) -> DataFrame:
-    """E-ROLLUP/E-SOFT: EX overall, per shape and per retrieval (NULL when a
-    bucket is empty), mean soft-F1 -- one pass of conditional aggregates."""
-    aggs = [pct1(F.count_if("ex"), F.count(F.lit(1))).alias("ex_at_1"),
-            round1_ratio(F.sum(F.round(F.col("soft") * 2).cast("long")) * 100,
-                         F.count(F.lit(1)) * 2).alias("soft_f1")]
+    """E-ROLLUP/E-SOFT: EX overall, per shape and per retrieval, mean soft-F1,
+    in one pass of conditional aggregates. A question whose gold failed has a
+    NULL outcome and is in no denominator; an empty bucket is NULL."""
+    aggs = [pct1(F.count_if("ex"), F.count("ex")).alias("ex_at_1"), mean_pct1(F.col("soft")).alias("soft_f1")]
     for col, values in (("shape", SHAPES), ("retrieval", RETRIEVALS)):
         for v in values:
             inb = F.col(col) == v
             name = "ex_" + v.replace("-", "_").replace("+", "_plus")
-            aggs.append(pct1(F.count_if(inb & F.col("ex")), F.count_if(inb)).alias(name))
+            aggs.append(pct1(F.count_if(inb & F.col("ex")), F.count_if(inb & F.col("ex").isNotNull())).alias(name))
     return results.groupBy("run").agg(*aggs)
 
 
@@ -77,8 +87,8 @@ def summarise(results: DataFrame, *extra: Column) -> DataFrame:
     return results.groupBy("run").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("error").alias("errors"),
-        pct1(F.count_if("ex"), F.count(F.lit(1))).alias("ex_at_1"),
-        F.round(100 * F.avg(ves_reward(F.col("ex"), F.col("gold_ms"), F.col("exec_ms"))), 1).alias("ves"),
+        pct1(F.count_if("ex"), F.count("ex")).alias("ex_at_1"),
+        mean_pct1(ves_reward(F.col("ex"), F.col("gold_ms"), F.col("exec_ms"))).alias("ves"),
         round1_ratio(F.sum(cents(F.col("gen_ms"))), F.count("gen_ms") * 100).alias("avg_gen_ms"),
         round1_ratio(F.sum(cents(F.col("exec_ms"))), F.count("exec_ms") * 100).alias("avg_exec_ms"),
         round1_ratio(F.sum(total_c), F.count(F.lit(1)) * 100).alias("avg_total_ms"),

@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import hash_int, hash_uniform
+from quarry.functions.scalar import HASH_RANGE, hash_int, hash_uniform
+from quarry.operators.windows import number_rows
 
 TWO_PI = 2.0 * math.pi
 
@@ -26,7 +27,7 @@ def uniform(stream: str, seed: int, key: Column) -> Column:
 
 def open_uniform(stream: str, seed: int, key: Column) -> Column:
     """Uniform in (0, 1): safe for log()."""
-    return (hash_int(stream, seed, key) + F.lit(0.5)) / F.lit(4294967296.0)
+    return (hash_int(stream, seed, key) + F.lit(0.5)) / F.lit(HASH_RANGE)
 
 
 def normal(stream: str, seed: int, key: Column) -> Column:
@@ -93,22 +94,18 @@ def seeded_uuid(stream: str, seed: int, key: Column) -> Column:
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
-def dense_index(df: DataFrame, group: list[str], order: list[str], salt: Column,
-                n_salts: int = 64) -> DataFrame:
-    """Add ``_idx`` (0..size-1, dense within ``group``) and ``_cnt`` (group size).
+def dense_index(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Add ``_idx`` (0..size-1, dense within ``group`` in ``order``, which must be
+    total) and ``_cnt`` (group size); a written table.
 
-    The order is (salt, *order). A group is split into ``n_salts`` salted
-    sub-groups ranked independently; each sub-group's offset comes from a
-    prefix sum over the per-(group, salt) counts (n_salts rows per group), so
-    a hot group is ranked by n_salts tasks, not one.
+    All rows are numbered once over ranges of (group, order); a group's first
+    number and its size come from one aggregate, so a hot group is ranked by
+    as many tasks as its rows fill and the index is built once for all readers.
     """
-    s = df.withColumn("_salt", F.pmod(salt, F.lit(n_salts)))
-    parts = group + ["_salt"]
-    per = s.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-    gw = Window.partitionBy(*group) if group else Window.partitionBy()
-    off = (per.withColumn("_off", F.coalesce(F.sum("_n").over(gw.orderBy("_salt")
-                                                               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("_cnt", F.sum("_n").over(gw)).drop("_n"))
-    ranked = s.withColumn("_r", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1)
-    return (ranked.join(F.broadcast(off) if not group else off, parts)
-            .withColumn("_idx", F.col("_off") + F.col("_r")).drop("_off", "_r", "_salt"))
+    numbered = number_rows(df, [F.asc_nulls_last(c) for c in group + order], "_n")
+    if not group:
+        return numbered.withColumn("_cnt", numbered.agg(F.count(F.lit(1))).scalar()) \
+            .withColumn("_idx", F.col("_n") - 1).drop("_n")
+    sizes = numbered.groupBy(*group).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    return (numbered.join(sizes, [numbered[g].eqNullSafe(sizes[g]) for g in group]).drop(*[sizes[g] for g in group])
+            .withColumn("_idx", F.col("_n") - F.col("_first")).drop("_n", "_first"))

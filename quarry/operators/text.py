@@ -27,14 +27,14 @@ from quarry.operators.batching import collect_in_batches
 from quarry.session import materialise
 from quarry.sources.tables import spread
 
-TOKEN_SPLIT = "[^a-z]+"
+TOKEN_SPLIT = r"[^\p{L}]+"
 BROADCAST_QUERY_TERMS = 2_000_000      # max (query, term) rows collected for broadcast
 BROADCAST_QUERY_MATRIX = 16_000_000    # max dense query-term x query entries broadcast to tasks
 CHUNK_ENTRIES = 4_000_000              # per-task working set: doc-term rows x queries
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters (empty strings are removed after explode)."""
+    """Lower-cased runs of letters of any script (empty strings are removed after explode)."""
     return F.split(F.lower(text), TOKEN_SPLIT)
 
 

@@ -1,21 +1,15 @@
-"""Per-key running aggregates that never send a hot key to one task.
+"""Per-key running aggregates and row numbers that never send a hot key to one task.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` moves every row of a key into
-one task; if one key holds a third of the data, that task holds a third of
-the data. Keys are therefore split first (``split_hot``): a partial-
-aggregated count per key finds the keys above ``hot_rows``; those keys take
-the bucketed path below, all others the plain window (one shuffle, one sort).
-
-Bucketed path -- running sums and maxima are prefix scans, so they split:
-
-1. pre-aggregate per (key, bucket) where ``bucket`` is monotone in the order
-   column (e.g. the year) -- a partial aggregation, tiny output;
-2. per key, a prefix over the bucket totals gives each bucket's carry-in
-   (rows per key = number of buckets, bounded by the time span);
-3. the row-level window runs per (key, bucket), plus the carry-in.
-
-Peers (equal order values) always share a bucket, so RANGE-frame semantics
-(peers share one running value) are kept exactly.
+one task. Here rows are range-partitioned on (key, order) instead and written
+once with their range: a key of a third of the rows fills a third of the
+ranges, NULL keys included. A window runs inside each (range, key), and what
+earlier ranges hold of the same key is carried in: one row per range and key,
+and only keys that reach over a range's end need it. One way for all keys;
+the input is scanned once.
+
+The written frame also makes row positions final: nothing below depends on
+Spark computing a sort or a range exchange twice alike.
 """
 
 from __future__ import annotations
@@ -23,105 +17,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per key above which a key is treated as hot. A task sorting this many
-# rows fits comfortably in executor memory; hot keys are at most rows/HOT_KEY_ROWS,
-# which bounds the broadcast hot-key list.
-HOT_KEY_ROWS = 2_000_000
+from quarry.session import materialise
 
 
-def split_hot(df: DataFrame, key: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(hot rows, other rows). ``hot_rows <= 0`` treats every key as hot."""
-    if hot_rows <= 0:
-        return df, None
-    hot_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > hot_rows).select(*key))
-    hk = F.broadcast(hot_keys)    # size bound: at most rows / hot_rows keys
-    return df.join(hk, key, "left_semi"), df.join(hk, key, "left_anti")
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` range-partitioned on ``order`` with the range's number as ``_range``; written."""
+    return materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
 
-def _union(a: DataFrame | None, b: DataFrame | None) -> DataFrame:
-    if a is None:
-        return b
-    if b is None:
-        return a
-    return a.unionByName(b)
+def _carried(rows: DataFrame, key: list[str], total: Column, merge) -> DataFrame:
+    """Adds ``_carry``: ``merge`` of ``total`` over the key's earlier ranges (NULL if none)."""
+    per = rows.groupBy(*key, "_range").agg(total.alias("_total"))
+    # A key meets the ranges between its first and last one, so this window sees
+    # one row per (key, range), at most keys + ranges in all.
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.withColumn("_carry", merge(F.col("_total")).over(before)).filter("_carry IS NOT NULL")
+    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+                         F.col("_range").alias("_r"), "_carry")
+    # Only a range's first key can have been there before: one row per range at most.
+    same = (F.col("_range") == F.col("_r"))
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(F.broadcast(carry), same, "left").drop("_r", *[f"_k{i}" for i in range(len(key))])
 
 
-def running_sum(df: DataFrame, key: list[str], order: str, value: Column, bucket: Column,
-                out: str = "running", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def running_sum(df: DataFrame, key: list[str], order: str, value: Column, out: str = "running") -> DataFrame:
     """``sum(value) OVER (PARTITION BY key ORDER BY order)`` with the default
-    RANGE UNBOUNDED PRECEDING frame; hot keys split by ``bucket``."""
-    b = df.withColumn("_v", value)
-    hot, cold = split_hot(b, key, hot_rows)
-    plain = None if cold is None else cold.withColumn(
-        out, F.sum("_v").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(order)))).drop("_v")
-    return _union(plain, _running_sum_bucketed(hot, key, order, bucket, out))
-
-
-def _running_sum_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
-    b = b.withColumn("_bucket", bucket)
-    parts = key + ["_bucket"]
-    totals = b.groupBy(*parts).agg(F.sum("_v").alias("_bt"))
-    carry = totals.withColumn(
-        "_carry",
-        F.coalesce(F.sum("_bt").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("_bucket"))
-                                     .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0).cast(totals.schema["_bt"].dataType)),
-    ).drop("_bt")
-    w = Window.partitionBy(*parts).orderBy(F.asc_nulls_last(order))  # default frame: RANGE to CURRENT ROW
-    return (b.join(carry, [b[c].eqNullSafe(carry[c]) for c in parts], "inner")
-            .drop(*[carry[c] for c in parts])
-            .withColumn(out, F.col("_carry") + F.sum("_v").over(w))
-            .drop("_bucket", "_v", "_carry"))
-
-
-def previous_max(df: DataFrame, key: list[str], order: list[str], value: Column, bucket: Column,
-                 out: str = "prev_max", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    RANGE UNBOUNDED PRECEDING frame, NULL keys being one key. Peers (equal
+    order values) share a range, so they share one running value."""
+    by = [F.asc_nulls_last(k) for k in key] + [F.asc_nulls_last(order)]
+    rows = _carried(ranged(df.withColumn("_v", value), by), key, F.sum("_v"), F.sum)
+    w = Window.partitionBy("_range", *key).orderBy(F.asc_nulls_last(order))
+    here = F.sum("_v").over(w)
+    total = F.when(F.col("_carry").isNull(), here).otherwise(F.col("_carry") + F.coalesce(here, F.lit(0)))
+    return rows.withColumn(out, total).drop("_v", "_carry", "_range")
+
+
+def previous_max(df: DataFrame, key: list[str], order: list[str], value: Column, out: str = "prev_max") -> DataFrame:
     """``max(value)`` over all rows of the key strictly before this one in
-    ``order`` (ROWS UNBOUNDED PRECEDING .. 1 PRECEDING); NULL for a key's
-    first row. Hot keys split by ``bucket`` (monotone in the first order column)."""
-    b = df.withColumn("_v", value)
-    hot, cold = split_hot(b, key, hot_rows)
-    plain = None if cold is None else cold.withColumn(
-        out, F.max("_v").over(Window.partitionBy(*key).orderBy(*[F.asc_nulls_last(o) for o in order])
-                              .rowsBetween(Window.unboundedPreceding, -1))).drop("_v")
-    return _union(plain, _previous_max_bucketed(hot, key, order, bucket, out))
-
-
-def _previous_max_bucketed(b: DataFrame, key, order, bucket, out) -> DataFrame:
-    b = b.withColumn("_bucket", bucket)
-    parts = key + ["_bucket"]
-    maxima = b.groupBy(*parts).agg(F.max("_v").alias("_bm"))
-    carry = maxima.withColumn(
-        "_carry", F.max("_bm").over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("_bucket"))
-                                    .rowsBetween(Window.unboundedPreceding, -1))
-    ).drop("_bm")
-    w = Window.partitionBy(*parts).orderBy(*[F.asc_nulls_last(o) for o in order]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(carry, [b[c].eqNullSafe(carry[c]) for c in parts], "inner")
-            .drop(*[carry[c] for c in parts])
-            .withColumn(out, F.greatest(F.col("_carry"), F.max("_v").over(w)))
-            .drop("_bucket", "_v", "_carry"))
-
-
-def global_row_number(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    ``order`` (ROWS UNBOUNDED PRECEDING .. 1 PRECEDING); NULL for a key's first row."""
+    by = [F.asc_nulls_last(c) for c in key + order]
+    rows = _carried(ranged(df.withColumn("_v", value), by), key, F.max("_v"), F.max)
+    w = (Window.partitionBy("_range", *key).orderBy(*[F.asc_nulls_last(o) for o in order])
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(out, F.greatest("_carry", F.max("_v").over(w))).drop("_v", "_carry", "_range")
+
+
+def number_rows(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """``row_number() OVER (ORDER BY order)`` without moving every row into one task.
 
     ``order`` must be a total order (end it with a unique key), so a row's
-    number does not depend on how rows arrive. Rows are range-partitioned on
-    the order (the sampled bounds split even one hot leading value, since the
-    last key is unique) and sorted within each range; a row's number is its
-    position in its range plus the rows of all earlier ranges. The offsets
-    table has one row per range, so its broadcast is bounded by the
-    partition count, not the data.
+    number does not depend on how rows arrive. Rows are range-partitioned and
+    sorted, and written once with their range and position; a row's number is
+    its position plus the rows of all earlier ranges. The offsets come from
+    the written rows (one per range, so their broadcast is bounded by the
+    number of partitions), never from a second run of the same exchange.
     """
-    s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
-    offs = (s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid")
-                                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .select("_pid", "_off"))
-    return (s.join(F.broadcast(offs), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_pos") + 1).cast("long"))
-            .drop("_pid", "_pos", "_off"))
+    place = F.monotonically_increasing_id()        # (range << 33) + position in the sorted range
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("_range", F.shiftright(place, 33))
+                       .withColumn("_at", place - F.shiftleft(F.shiftright(place, 33), 33)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = (rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+             .select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    return (rows.join(F.broadcast(first), F.col("_range") == F.col("_of"))
+            .withColumn(out, (F.col("_first") + F.col("_at") + 1).cast("long"))
+            .drop("_range", "_at", "_of", "_first"))
+
+
+global_row_number = number_rows

@@ -19,13 +19,21 @@ def _verdicts(t: Tables, rows):
     return t.spark.createDataFrame(rows, "case_name string, verdict boolean")
 
 
-@query("compare_norm", "C-NORM")
+_WHOLE_SQL = "CAST({c} AS VARCHAR)"
+#: A double rounded to 6 places, as plain digits without trailing zeros.
+_DOUBLE_SQL = "regexp_replace(regexp_replace(CAST(CAST(round({c}, 6) AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '\\.$', '')"
+
+
+@query("compare_norm", "C-NORM", f"""
+SELECT 's:' || o_orderstatus AS c0, 'n:' || {_DOUBLE_SQL.format(c='o_totalprice')} AS c1,
+       's:' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS c2, 'n:' || {_WHOLE_SQL.format(c='o_orderkey')} AS c3
+FROM orders""")
 def compare_norm(t: Tables):
     """Normalised cells of a mixed-type result (text, double, timestamp, int)."""
     return cmp.normalise(t.orders.select("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderkey"))
 
 
-_G = "(SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)"
+_G = "(SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS p FROM orders)"
 
 
 def _same(a: str, b: str) -> str:
@@ -36,20 +44,22 @@ def _same(a: str, b: str) -> str:
 
 @query("compare_bag", "C-EX", f"""
 SELECT 'equal' AS case_name, {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G}')} AS verdict
-UNION ALL SELECT 'permuted', {_same(f'SELECT s, n FROM {_G}', f'SELECT s, n FROM (SELECT n, s FROM {_G})')}
+UNION ALL SELECT 'permuted', {_same(f'SELECT k, c, s, p FROM {_G}', f'SELECT k, c, s, p FROM (SELECT p, s, k, c FROM {_G})')}
 UNION ALL SELECT 'duplicated', {_same(f'SELECT * FROM {_G}',
                                       f'SELECT * FROM {_G} UNION ALL SELECT * FROM {_G} WHERE s = $$F$$')}
-UNION ALL SELECT 'missing_row', {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G} WHERE s <> $$P$$')}
-UNION ALL SELECT 'reordered', {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G} ORDER BY n DESC')}
+UNION ALL SELECT 'missing_rows', {_same(f'SELECT * FROM {_G}', f'SELECT * FROM {_G} WHERE s <> $$P$$')}
+UNION ALL SELECT 'shifted', {_same(f'SELECT * FROM {_G}', f'SELECT k + 1, c, s, p FROM {_G}')}
 """.replace("$$", "'"))
 def compare_bag(t: Tables):
-    g = _status_counts(t)
+    """The whole orders table against itself, a permuted, a duplicated, a
+    shortened and a shifted copy."""
+    g = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     cases = {
-        "equal": _status_counts(t),
-        "permuted": _status_counts(t).select("n", "o_orderstatus"),
+        "equal": g,
+        "permuted": g.select("o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"),
         "duplicated": g.unionByName(g.filter(F.col("o_orderstatus") == "F")),
-        "missing_row": g.filter(F.col("o_orderstatus") != "P"),
-        "reordered": _status_counts(t).orderBy(F.desc("n")),
+        "missing_rows": g.filter(F.col("o_orderstatus") != "P"),
+        "shifted": g.withColumn("o_orderkey", F.col("o_orderkey") + 1),
     }
     return _verdicts(t, [(k, cmp.result_eq(g, p)) for k, p in cases.items()])
 
@@ -109,11 +119,10 @@ def bag_diff(t: Tables):
     left = cmp.normalise(t.lineitem.select("l_returnflag", "l_linestatus"))
     right = cmp.normalise(t.lineitem.select("l_returnflag", predicted_status().alias("l_linestatus")))
     d = cmp.bag_diff(left, right)
-    parts = F.split("row", cmp._SEP)
 
-    def cell(i):  # undo the tagged encoding; the NULL token maps back to NULL
-        return F.when(parts[i] != "\u0000", F.substr(parts[i], F.lit(3)))     # drop the 2-char tag, keep the rest
-    return d.select(cell(0).alias("l_returnflag"), cell(1).alias("l_linestatus"), "n_left", "n_right", "status")
+    def cell(c):  # undo the tag
+        return F.substr(F.col(c), F.lit(3))
+    return d.select(cell("r0").alias("l_returnflag"), cell("r1").alias("l_linestatus"), "n_left", "n_right", "status")
 
 
 @query("compare_subset", "C-SUBSET", """

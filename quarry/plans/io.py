@@ -105,26 +105,21 @@ Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
 def run_predictor(questions: DataFrame, predict: Predictor, qid: str) -> DataFrame:
     """X-PREDICT: apply a plug-in to every question, batch by batch (Arrow),
-    on the executors. A batch that raises is retried row by row so only the
+    on the executors. A batch that raises is halved and retried, so only the
     failing questions get ``error`` set; nothing stops the job."""
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                yield _conform(predict(pdf), pdf[qid])
-            except Exception:
-                rows = []
-                for i in range(len(pdf)):
-                    one = pdf.iloc[i:i + 1]
-                    try:
-                        rows.append(_conform(predict(one), one[qid]))
-                    except Exception as e:  # noqa: BLE001 -- plug-in errors become data
-                        rows.append(pd.DataFrame({
-                            "qid": one[qid].astype("int64").to_numpy(),
-                            "answer": pd.array([None], dtype="Int32"),
-                            "error": pd.array([f"{type(e).__name__}: {e}"[:500]], dtype="object"),
-                            "prompt_tokens": pd.array([None], dtype="Int32"),
-                            "completion_tokens": pd.array([None], dtype="Int32")}))
-                yield pd.concat(rows, ignore_index=True)
+            waiting = [pdf]
+            while waiting:          # a failing batch is halved until the failing questions are alone
+                part = waiting.pop()
+                try:
+                    yield _conform(predict(part), part[qid])
+                except Exception as e:  # noqa: BLE001 -- plug-in errors become data
+                    if len(part) > 1:
+                        half = len(part) // 2
+                        waiting += [part.iloc[half:], part.iloc[:half]]
+                    else:
+                        yield _conform(pd.DataFrame({"error": [f"{type(e).__name__}: {e}"]}), part[qid])
     return questions.mapInPandas(fn, PREDICT_SCHEMA)
 
 

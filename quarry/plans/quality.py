@@ -43,7 +43,7 @@ def _orders(t: Tables) -> DataFrame:
 def _overlap(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_partkey", "l_orderkey", "l_shipdate",
                            F.timestamp_add("DAY", F.col("l_quantity").cast("int"), F.col("l_shipdate")).alias("l_end"))
-    return overlapping_rows(li, ["l_partkey"], "l_shipdate", "l_end", "l_orderkey", F.year("l_shipdate"))
+    return overlapping_rows(li, ["l_partkey"], "l_shipdate", "l_end", "l_orderkey")
 
 
 RULES = [

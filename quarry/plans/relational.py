@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import base26, epoch_micros, iso_date, iso_ts, money, month_ntz, slug
+from quarry.functions.scalar import MAX_LETTERS, pad_key, base26, epoch_micros, iso_date, iso_ts, money, month_ntz, slug
 from quarry.operators.intervals import count_overlapping_pairs
 from quarry.operators.windows import running_sum
 from quarry.plans.registry import query
@@ -433,15 +433,14 @@ FROM orders"""
 
 def _running_customer(t: Tables):
     return running_sum(t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
-                       ["o_custkey"], "o_orderdate", money("o_totalprice"),
-                       bucket=F.year("o_orderdate"), out="running_total") \
+                       ["o_custkey"], "o_orderdate", money("o_totalprice"), out="running_total") \
         .select("o_custkey", "o_orderkey", "o_orderdate", F.col("running_total").cast("double").alias("running_total"))
 
 
 @query("running_customer", "W-RUNSUMPART", RUNNING_CUSTOMER_SQL)
 def running_customer(t: Tables):
-    """Per-customer running total (RANGE frame), split by year so one hot
-    customer spreads over one task per year instead of one task."""
+    """Per-customer running total (RANGE frame) over ranges of (customer, date),
+    so one hot customer spreads over as many tasks as its rows fill."""
     return _running_customer(t)
 
 
@@ -659,21 +658,23 @@ def regex_urls(t: Tables):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("regex_findall", "F-FINDALL", """
-WITH known AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term
+@query("regex_findall", "F-FINDALL", r"""
+WITH known AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS term
                                           FROM benchmark) WHERE term <> ''),
-l AS (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1) AS links FROM pages),
-x AS (SELECT page_id, lower(unnest(links)) AS target, unnest(range(1, len(links) + 1)) AS pos FROM l),
+l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages),
+x AS (SELECT page_id, lower(regexp_replace(unnest(links), '^/|[^\p{L}]+$', '', 'g')) AS target, unnest(range(1, len(links) + 1)) AS pos FROM l),
 f AS (SELECT page_id, target, min(pos) AS pos FROM x WHERE target IN (SELECT term FROM known) GROUP BY 1, 2)
 SELECT page_id, string_agg(target, ',' ORDER BY pos) AS known_links FROM f GROUP BY page_id""")
 def regex_findall(t: Tables):
-    """All link targets of a page, kept if known (a term of the benchmark
+    """All link targets of a page (every href, without its leading slash and
+    trailing punctuation), kept if known (a term of the benchmark
     vocabulary), de-duplicated in first-seen order. The known set is a
     distributed table (semi join), not a literal list."""
     from quarry.operators.text import term_freq
     known = term_freq(t.benchmark, "item_id", "text").select("term").distinct()
-    x = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1)))
-                       .alias("pos", "target")).withColumn("target", F.lower("target"))
+    x = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+                       .alias("pos", "target")).withColumn(
+        "target", F.lower(F.regexp_replace("target", r"^/|[^\p{L}]+$", "")))
     first = (x.join(known.withColumnRenamed("term", "target"), "target", "left_semi")
              .groupBy("page_id", "target").agg(F.min("pos").alias("pos")))
     return first.groupBy("page_id").agg(
@@ -702,21 +703,25 @@ def prefix_reject(t: Tables):
 @query("str_slug", "F-STR", """
 SELECT p_partkey,
        regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')
-         || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS slug,
+         || '-' || CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0')
+                        ELSE CAST(p_partkey AS VARCHAR) END AS slug,
        upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title
 FROM part""")
 def str_slug(t: Tables):
     return t.part.select("p_partkey",
-                         slug(F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("slug"),
+                         slug(F.col("p_name"), pad_key(F.col("p_partkey"))).alias("slug"),
                          F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr(F.col("p_name"), F.lit(2))).alias("title"))
 
 
-@query("base26_codes", "F-BASE26", """
-SELECT c_custkey, chr(65 + CAST((c_custkey // 17576) % 26 AS INTEGER)) || chr(65 + CAST((c_custkey // 676) % 26 AS INTEGER))
-       || chr(65 + CAST((c_custkey // 26) % 26 AS INTEGER)) || chr(65 + CAST(c_custkey % 26 AS INTEGER)) AS code
-FROM customer""")
+def _letter_sql(i: int) -> str:
+    letter = f"chr(65 + CAST((c_custkey // {26 ** i}) % 26 AS INTEGER))"
+    return letter if i < 4 else f"CASE WHEN c_custkey >= {26 ** i} THEN {letter} ELSE '' END"
+
+
+@query("base26_codes", "F-BASE26", f"""
+SELECT c_custkey, {' || '.join(_letter_sql(i) for i in range(MAX_LETTERS - 1, -1, -1))} AS code FROM customer""")
 def base26_codes(t: Tables):
-    """Four-letter base-26 code of every customer key."""
+    """Base-26 code of every customer key: four letters, more where the key needs them."""
     return t.customer.select("c_custkey", base26(F.col("c_custkey"), 4).alias("code"))
 
 

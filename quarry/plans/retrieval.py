@@ -10,16 +10,20 @@ from quarry.operators.graph import bfs
 from quarry.operators.text import tfidf_topk as _tfidf
 from quarry.operators.vectors import centroids, knn
 from quarry.plans.registry import query
+from quarry.session import materialise
 from quarry.sources.tables import Tables
 
 TFIDF_K = 5
 VECTOR_K = 10
-FALLBACK_MIN_SCORE = 0.05
+FALLBACK_TOP = 50        # candidates ranked before the filter
 FALLBACK_KEEP = 3
-MAX_HOPS = 25
+EXPAND_HOPS = 2          # the feature's own radius
 
-_TOK = "regexp_split_to_array(lower({t}), '[^a-z]+')"
-TFIDF_SQL = f"""
+_TOK = r"regexp_split_to_array(lower({t}), '[^\p{{L}}]+')"
+
+
+def _tfidf_sql(k: int) -> str:
+    return f"""
 dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS term FROM documents)
        WHERE term <> '' GROUP BY 1, 2),
 nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
@@ -34,30 +38,28 @@ s AS (SELECT qw.item_id, dw.doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USIN
 r AS (SELECT s.item_id, s.doc_id, round(s.dot / (qn.norm * dn.norm), 6) AS score
       FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
-        WHERE rank <= {TFIDF_K})"""
+        WHERE rank <= {k})"""
 
 
-def _tfidf_top(t: Tables) -> DataFrame:
-    return _tfidf(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", TFIDF_K)
+def _tfidf_top(t: Tables, k: int) -> DataFrame:
+    return _tfidf(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", k)
 
 
-@query("tfidf_topk", "R-TFIDF", "WITH " + TFIDF_SQL + " SELECT item_id, doc_id, score, rank FROM top")
+@query("tfidf_topk", "R-TFIDF", "WITH " + _tfidf_sql(TFIDF_K) + " SELECT item_id, doc_id, score, rank FROM top")
 def tfidf_topk(t: Tables):
     """Top-5 documents per benchmark item by TF-IDF cosine over the whole corpus."""
-    return _tfidf_top(t)
+    return _tfidf_top(t, TFIDF_K)
 
 
-@query("retrieve_fallback", "R-FALLBACK", "WITH " + TFIDF_SQL + f""",
-f AS (SELECT *, max(CASE WHEN score >= {FALLBACK_MIN_SCORE} THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS has_any
-      FROM top)
-SELECT item_id, doc_id, rank FROM f
-WHERE score >= {FALLBACK_MIN_SCORE} OR (has_any = 0 AND rank <= {FALLBACK_KEEP})""")
+@query("retrieve_fallback", "R-FALLBACK", "WITH " + _tfidf_sql(FALLBACK_TOP) + f""",
+f AS (SELECT *, max(CASE WHEN score > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS has_any FROM top)
+SELECT item_id, doc_id, rank FROM f WHERE score > 0 OR (has_any = 0 AND rank <= {FALLBACK_KEEP})""")
 def retrieve_fallback(t: Tables):
-    """Keep hits above the score floor; a query with none keeps its best 3."""
-    top = _tfidf_top(t)
+    """Of the best 50 keep those that score above zero; a query with none keeps its best 3."""
+    top = _tfidf_top(t, FALLBACK_TOP)
     w = Window.partitionBy("item_id")   # k rows per item
-    f = top.withColumn("has_any", F.max((F.col("score") >= FALLBACK_MIN_SCORE).cast("int")).over(w))
-    return f.filter((F.col("score") >= FALLBACK_MIN_SCORE) | ((F.col("has_any") == 0) & (F.col("rank") <= FALLBACK_KEEP))) \
+    f = top.withColumn("has_any", F.max((F.col("score") > 0).cast("int")).over(w))
+    return f.filter((F.col("score") > 0) | ((F.col("has_any") == 0) & (F.col("rank") <= FALLBACK_KEEP))) \
         .select("item_id", "doc_id", "rank")
 
 
@@ -76,7 +78,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
 
 def _vector_top(t: Tables) -> DataFrame:
     q = centroids(t.embeddings, "label", "embedding")
-    return knn(t.embeddings, "vec_id", "embedding", q, "label", "c", VECTOR_K).withColumn("label", F.col("label"))
+    return knn(t.embeddings, "vec_id", "embedding", q, "label", "c", VECTOR_K)
 
 
 @query("vector_topk", "R-VECTOR", "WITH " + VECTOR_SQL + " SELECT label, vec_id, score, rank FROM top")
@@ -87,7 +89,7 @@ def vector_topk(t: Tables):
 
 def _metrics(t: Tables) -> DataFrame:
     """Per query (label): hits = |retrieved n gold|, gold = vectors of that label."""
-    r = _vector_top(t).select("label", "vec_id")
+    r = materialise(_vector_top(t).select("label", "vec_id"))     # k rows a label, read twice
     g = t.embeddings.select("label", "vec_id")
     hits = r.join(g, ["label", "vec_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
     ng = g.groupBy("label").agg(F.count(F.lit(1)).alias("n_gold"))
@@ -146,7 +148,7 @@ def fk_expand(t: Tables):
     fwd = cn.unionByName(sn)
     edges = fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seeds = c.filter(F.col("c_acctbal") < 0).select(_node("customer", F.col("c_custkey")).alias("node"))
-    v = bfs(seeds, edges, 2)
+    v = bfs(seeds, edges, EXPAND_HOPS)
     parts = F.split("node", ":")
     return v.select(F.col("hop").cast("int").alias("hop"), parts[0].alias("kind"),
                     parts[1].cast("long").alias("node_key"))
@@ -158,17 +160,19 @@ WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b
                      JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
                      WHERE c.c_nationkey IS NOT NULL AND s.s_nationkey IS NOT NULL),
 ue AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, hop) AS (SELECT 0, 0 UNION SELECT ue.b, r.hop + 1 FROM r JOIN ue ON ue.a = r.node WHERE r.hop < {MAX_HOPS})
+r(node, hop) AS (SELECT 0, 0 UNION SELECT ue.b, r.hop + 1 FROM r JOIN ue ON ue.a = r.node WHERE r.hop < (SELECT count(*) FROM nation))
 SELECT CAST(node AS BIGINT) AS nation, CAST(min(hop) AS BIGINT) AS hops FROM r GROUP BY node""")
 def fk_hops(t: Tables):
     """FK distance between nations: edge a-b when a customer of a bought from a
     supplier of b; BFS from nation 0."""
-    li = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    # lines become distinct (order, supplier nation) pairs before they meet the orders
+    li = (t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+          .join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").select("o_orderkey", "s_nationkey").distinct())
     oc = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")) \
         .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-    pairs = (li.join(oc, "o_orderkey").join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    pairs = (li.join(oc, "o_orderkey")
              .select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
     edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     seeds = t.dim("nation").filter(F.col("n_nationkey") == 0).select(F.col("n_nationkey").alias("node"))
-    v = bfs(seeds, edges, MAX_HOPS)
+    v = bfs(seeds, edges)
     return v.select(F.col("node").cast("long").alias("nation"), F.col("hop").cast("long").alias("hops"))

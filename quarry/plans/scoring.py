@@ -21,6 +21,7 @@ from quarry.sources.tables import Tables
 MODELS = ["gpt-4o", "gpt-4o-mini", "gpt-4.1", "gpt-4.1-mini", "o4-mini", "openai/gpt-4o", "local-model"]
 BOARD_MODEL = "gpt-4o"
 PASS_K = 5
+GOLD_FAILS = 40      # every 40th question's gold query fails: its outcome is NULL
 
 
 def _lit_array(values):
@@ -31,10 +32,12 @@ def run_rows(t: Tables):
     e = t.events
     k = F.get_json_object("props", "$.k").cast("long")
     et = F.col("event_type")
+    gold_ok = F.coalesce(F.col("event_id") % GOLD_FAILS != 0, F.lit(True))
     return e.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("qid"),
-        (et == "purchase").alias("ex"), (et == "error").alias("error"),
-        F.when(et == "purchase", 1.0).when(et == "click", 0.5).otherwise(0.0).alias("soft"),
+        F.when(gold_ok, et == "purchase").alias("ex"), (et == "error").alias("error"),
+        F.when(gold_ok, F.when(et == "purchase", 1.0).when(et == "click", F.lit(2) / F.lit(3)).otherwise(0.0))
+        .alias("soft"),
         (k * 10).cast("double").alias("gen_ms"),
         F.col("value").alias("exec_ms"), F.lit(50.0).alias("gold_ms"),
         F.coalesce(F.when(et != "view", k * 50), F.floor("value").cast("long")).alias("tokens"),
@@ -51,8 +54,12 @@ def _arr(values):
 
 
 RUNS_SQL = f"""runs AS (
-  SELECT user_id AS run, event_id AS qid, event_type = 'purchase' AS ex, event_type = 'error' AS error,
-         CAST(CASE WHEN event_type = 'purchase' THEN 1.0 WHEN event_type = 'click' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS soft,
+  SELECT user_id AS run, event_id AS qid,
+         CASE WHEN coalesce(event_id % {GOLD_FAILS} <> 0, true) THEN event_type = 'purchase' END AS ex,
+         event_type = 'error' AS error,
+         CASE WHEN coalesce(event_id % {GOLD_FAILS} <> 0, true) THEN
+              CASE WHEN event_type = 'purchase' THEN CAST(1 AS DOUBLE)
+                   WHEN event_type = 'click' THEN CAST(2 AS DOUBLE) / 3 ELSE CAST(0 AS DOUBLE) END END AS soft,
          CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS DOUBLE) AS gen_ms,
          value AS exec_ms, CAST(50.0 AS DOUBLE) AS gold_ms,
          coalesce(CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 END,
@@ -76,12 +83,18 @@ def cents(x: str) -> str:
     return f"CAST(round(({x}) * 100) AS BIGINT)"
 
 
+def milli(x: str) -> str:
+    return f"CAST(round(({x}) * 1000) AS BIGINT)"
+
+
+VES_SQL = ("CASE WHEN ex IS NULL THEN NULL WHEN ex AND gold_ms > 0 AND exec_ms > 0 "
+           "THEN least(CAST(3 AS DOUBLE), sqrt(gold_ms / exec_ms)) ELSE CAST(0 AS DOUBLE) END")
+
 SUMMARY_SQL = RUNS_SQL + f""",
 summary AS (
   SELECT run, count(*) AS n, count(*) FILTER (WHERE error) AS errors,
-         {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS ex_at_1,
-         round(100 * avg(CASE WHEN ex AND gold_ms > 0 AND exec_ms > 0
-                              THEN least(3.0, sqrt(gold_ms / exec_ms)) ELSE 0.0 END), 1) AS ves,
+         {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS ex_at_1,
+         {r1(f"sum({milli(VES_SQL)})", f"count({VES_SQL}) * 10")} AS ves,
          {r1(f"sum({cents('gen_ms')})", "count(gen_ms) * 100")} AS avg_gen_ms,
          {r1(f"sum({cents('exec_ms')})", "count(exec_ms) * 100")} AS avg_exec_ms,
          {r1(f"sum(coalesce({cents('gen_ms')}, 0) + coalesce({cents('exec_ms')}, 0))", "count(*) * 100")} AS avg_total_ms,
@@ -104,14 +117,17 @@ w AS (SELECT *, {' + '.join(['CAST(0.0 AS DOUBLE)'] + [f'coalesce(CAST({wt} AS D
 graded AS (SELECT run, ex, eff, rel, tok, lat, CASE WHEN den > 0 THEN round(num / den, 1) END AS grade FROM w)"""
 
 ISSUES_SQL = f""",
+official AS (SELECT DISTINCT hr FROM runs WHERE ex AND hr IS NOT NULL),
 issues AS (
-  SELECT run, 'missing_ids' AS issue FROM runs GROUP BY run
-    HAVING count(DISTINCT hr) < (SELECT count(DISTINCT hr) FROM runs)
+  SELECT r.run, 'missing_ids' AS issue FROM (SELECT DISTINCT run FROM runs) r, official q
+    WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.run IS NOT DISTINCT FROM r.run AND x.hr = q.hr) GROUP BY r.run
+  UNION ALL SELECT run, 'unknown_ids' FROM runs
+    WHERE hr IS NOT NULL AND hr NOT IN (SELECT hr FROM official) GROUP BY run
   UNION ALL SELECT run, 'other_model' FROM runs GROUP BY run
-    HAVING replace(min(model), 'openai/', '') IS DISTINCT FROM '{BOARD_MODEL}'
+    HAVING replace(min(model), 'openai/', '') <> '{BOARD_MODEL}'
   UNION ALL SELECT run, 'inflated_claim' FROM runs GROUP BY run
-    HAVING {p1("count(*) FILTER (WHERE claim_value > 250)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(*)")} > 2.0
-  UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING coalesce(sum(tokens), 0) = 0)"""
+    HAVING {p1("count(*) FILTER (WHERE claim_value > 250)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(ex)")} > 2.0
+  UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING sum(tokens) = 0)"""
 
 
 def run_stats(t: Tables):
@@ -120,9 +136,6 @@ def run_stats(t: Tables):
     aggregate here has a fixed-width buffer, so this is a hash aggregate."""
     return sc.summarise(
         run_rows(t),
-        # Question coverage as a bitmask of hours (0..23): bit_or is a plain
-        # partial aggregate, where a per-run count(DISTINCT) adds a shuffle.
-        F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), hr)")).alias("_hours"),
         sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("_claimed"))
 
 
@@ -145,27 +158,46 @@ def with_models(stats, t: Tables):
     return stats.join(m, stats["run"].eqNullSafe(m["_mrun"]), "left").drop("_mrun")
 
 
+def answered(t: Tables):
+    """Distinct (run, question) pairs; ``right`` if the run answered it correctly.
+    The question set may have any size: coverage is an anti join, not a mask."""
+    return run_rows(t).groupBy("run", "hr").agg(F.coalesce(F.bool_or("ex"), F.lit(False)).alias("right"))
+
+
 def summary(t: Tables):
     return run_stats(t).select(*sc.SUMMARY_COLUMNS)
 
 
 def issues(t: Tables):
-    """Validation reads the per-run stats twice (the expected question count
-    and the flags), so they are written once: one events aggregate."""
-    return issues_from(materialise(with_models(run_stats(t), t)))
+    """E-VALID over the per-run stats and the distinct (run, question) pairs."""
+    return issues_from(with_models(run_stats(t), t), materialise(answered(t)))
+
+
+def coverage_issues(pairs, qid: str = "hr"):
+    """Runs that lack an official question, and runs with a question that is none.
+
+    Official are the questions that some run answers correctly. Per run, its
+    official questions are counted against their number (a scalar subquery),
+    so no (run, missing question) rows are ever made."""
+    official = materialise(pairs.filter("right").select(qid).filter(F.col(qid).isNotNull()).distinct()
+                           .withColumn("_official", F.lit(True)))
+    n = official.agg(F.count(F.lit(1))).scalar()
+    per = pairs.join(official, qid, "left").groupBy("run").agg(
+        F.count("_official").alias("_have"), F.count_if(F.col("_official").isNull() & F.col(qid).isNotNull()).alias("_odd"))
+    per = per.withColumn("_missing", F.col("_have") < n)
+    flags = F.array(F.when(F.col("_missing"), F.lit("missing_ids")), F.when(F.col("_odd") > 0, F.lit("unknown_ids")))
+    return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
 
 
-def issues_from(per):
-    """E-VALID from the per-run stats; the expected question count is a
-    scalar subquery over the same stats."""
-    n_questions = per.agg(F.coalesce(F.bit_count(F.bit_or("_hours")), F.lit(0))).scalar()
-    per = per.withColumn("_missing", F.coalesce(F.bit_count("_hours"), F.lit(0)) < n_questions)
+def issues_from(per, pairs):
+    """A run that names no model or reports no tokens is accepted; one that names
+    another model or reports zero tokens is not."""
     flags = F.array(
-        F.when(F.col("_missing"), F.lit("missing_ids")),
-        F.when(~F.col("_model").eqNullSafe(BOARD_MODEL), F.lit("other_model")),   # a missing model is another model
+        F.when(F.col("_model") != BOARD_MODEL, F.lit("other_model")),
         F.when(F.col("_claimed") - F.col("ex_at_1") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
-        F.when(F.coalesce(F.col("total_tokens"), F.lit(0)) == 0, F.lit("zero_tokens")))
-    return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
+        F.when(F.col("total_tokens") == 0, F.lit("zero_tokens")))
+    return (per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
+            .unionByName(coverage_issues(pairs)))
 
 
 @query("ves", "E-VES", "WITH " + SUMMARY_SQL + " SELECT run, ves FROM summary")
@@ -181,9 +213,9 @@ def _rollup_sql():
     for col, values in (("shape", sc.SHAPES), ("retrieval", sc.RETRIEVALS)):
         for v in values:
             name = "ex_" + v.replace("-", "_").replace("+", "_plus")
-            cols.append(f"{p1(f'count(*) FILTER (WHERE {col} = $${v}$$ AND ex)', f'count(*) FILTER (WHERE {col} = $${v}$$)')} AS {name}")
-    return ("WITH " + RUNS_SQL + f""" SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS ex_at_1,
-    {r1("sum(CAST(round(soft * 2) AS BIGINT)) * 100", "count(*) * 2")} AS soft_f1, """
+            cols.append(f"{p1(f'count(*) FILTER (WHERE {col} = $${v}$$ AND ex)', f'count(ex) FILTER (WHERE {col} = $${v}$$)')} AS {name}")
+    return ("WITH " + RUNS_SQL + f""" SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS ex_at_1,
+    {r1(f"sum({milli('soft')})", "count(soft) * 10")} AS soft_f1, """
             + ", ".join(cols) + " FROM runs GROUP BY run").replace("$$", "'")
 
 
@@ -279,7 +311,7 @@ def leaderboard(t: Tables):
     once to the checkpoint folder (one row per run) so the events are
     aggregated once, not once per consumer."""
     stats = materialise(with_models(run_stats(t), t))
-    return sc.leaderboard(sc.grade(stats.select(*sc.SUMMARY_COLUMNS)), issues_from(stats))
+    return sc.leaderboard(sc.grade(stats.select(*sc.SUMMARY_COLUMNS)), issues_from(stats, materialise(answered(t))))
 
 
 @query("rescore", "E-RESCORE", f"""
@@ -303,14 +335,14 @@ def rescore(t: Tables):
 
 
 @query("oracle_gap", "E-GAP", "WITH " + RUNS_SQL + f"""
-SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(*)")} AS own_ex,
+SELECT run, {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS own_ex,
        {p1("count(*) FILTER (WHERE NOT error)", "count(*)")} AS oracle_ex,
-       round({p1("count(*) FILTER (WHERE NOT error)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(*)")}, 1) AS gap
+       round({p1("count(*) FILTER (WHERE NOT error)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(ex)")}, 1) AS gap
 FROM runs GROUP BY run""")
 def oracle_gap(t: Tables):
     """Oracle EX (any non-error answer counts) minus the run's own EX."""
     r = run_rows(t).groupBy("run").agg(
-        sc.pct1(F.count_if("ex"), F.count(F.lit(1))).alias("own_ex"),
+        sc.pct1(F.count_if("ex"), F.count("ex")).alias("own_ex"),
         sc.pct1(F.count_if(~F.col("error")), F.count(F.lit(1))).alias("oracle_ex"))
     return r.withColumn("gap", F.round(F.col("oracle_ex") - F.col("own_ex"), 1))
 

@@ -2,7 +2,7 @@
 
 Each query draws from md5 streams keyed by real table keys, so the work
 grows with the tables and the oracle recomputes the same numbers in DuckDB:
-``CAST('0x' || substr(md5('<stream>|<seed>|' || key), 1, 8) AS BIGINT)``.
+``CAST('0x' || substr(md5('<stream>|<seed>|' || key), 1, 15) AS BIGINT)``.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import hash_int, slug
+from quarry.functions.scalar import HASH_RANGE, hash_int, slug
 from quarry.operators import synth as sy
 from quarry.operators.windows import global_row_number
 from quarry.plans.quality import row_counts
 from quarry.plans.registry import query
+from quarry.session import materialise
 from quarry.sources.tables import FIXED_SIZE_DIMENSIONS, TABLE_NAMES, Tables
 
 SEED = 42
@@ -37,16 +38,15 @@ TAX_RATE = "0.08"
 # ---------------------------------------------------------------------------
 ZIPF_K, ZIPF_A = 50, 1.6
 DEDUP_A, DEDUP_B = 50, 60
-N_SALTS = 64
 
 
 def H(stream: str, key: str) -> str:
     """SQL spelling of hash_int."""
-    return f"CAST('0x' || substr(md5('{stream}|{SEED}|' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5('{stream}|{SEED}|' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
 
 
 def U(stream: str, key: str) -> str:
-    return f"({H(stream, key)} / 4294967296.0)"
+    return f"({H(stream, key)} / CAST({HASH_RANGE:.0f} AS DOUBLE))"
 
 
 def _u(stream: str, key: str):
@@ -110,8 +110,8 @@ def gen_category(t: Tables):
 
 
 def _normal_sql(stream, key):
-    u1 = f"(({H(stream + '.1', key)} + 0.5) / 4294967296.0)"
-    u2 = f"({H(stream + '.2', key)} / 4294967296.0)"
+    u1 = f"(({H(stream + '.1', key)} + 0.5) / CAST({HASH_RANGE:.0f} AS DOUBLE))"
+    u2 = f"({H(stream + '.2', key)} / CAST({HASH_RANGE:.0f} AS DOUBLE))"
     return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
 
 
@@ -172,24 +172,24 @@ def gen_uuid(t: Tables):
 
 
 @query("gen_fk", "G-FK", f"""
-WITH p AS (SELECT min(c_custkey) AS lo, count(*) AS n FROM customer)
-SELECT o.o_orderkey, p.lo + {H('fk', 'o.o_orderkey')} % p.n AS parent_custkey,
-       EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.lo + {H('fk', 'o.o_orderkey')} % p.n) AS resolves
-FROM orders o, p""")
+WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx, count(*) OVER () AS n
+           FROM customer WHERE c_custkey IS NOT NULL),
+n AS (SELECT DISTINCT n FROM p)
+SELECT o.o_orderkey, p.c_custkey AS parent_custkey
+FROM orders o, n JOIN p ON p.idx = {H('fk', 'o.o_orderkey')} % n.n""")
 def gen_fk(t: Tables):
-    """Uniform parent over an identity key range: lo + hash mod n (n, lo are
-    scalar subqueries); ``resolves`` confirms the parent exists."""
-    p = t.customer.agg(F.struct(F.min("c_custkey").alias("lo"), F.count(F.lit(1)).alias("n"))).scalar()
-    child = t.orders.select("o_orderkey", (p["lo"] + F.pmod(hash_int("fk", SEED, F.col("o_orderkey")), p["n"]))
-                            .alias("parent_custkey"))
-    parents = t.customer.select(F.col("c_custkey").alias("parent_custkey"), F.lit(True).alias("resolves"))
-    return (child.join(parents, "parent_custkey", "left")
-            .select("o_orderkey", "parent_custkey", F.coalesce("resolves", F.lit(False)).alias("resolves")))
+    """Uniform parent by dense index: hash mod n picks the index-th key, so a
+    parent is always found, gaps in the keys or not."""
+    keys = t.customer.select("c_custkey").filter("c_custkey IS NOT NULL")
+    parents = materialise(sy.dense_index(keys, [], ["c_custkey"]))
+    n = parents.agg(F.count(F.lit(1))).scalar()
+    child = t.orders.select("o_orderkey", F.pmod(hash_int("fk", SEED, F.col("o_orderkey")), n).alias("_idx"))
+    return child.join(parents, "_idx").select("o_orderkey", F.col("c_custkey").alias("parent_custkey"))
 
 
 @query("gen_fk_tenant", "G-FKTENANT", f"""
 WITH p AS (SELECT c_custkey, c_nationkey,
-                  row_number() OVER (PARTITION BY c_nationkey ORDER BY {H('salt', 'c_custkey')} % {N_SALTS}, c_custkey) - 1 AS idx,
+                  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx,
                   count(*) OVER (PARTITION BY c_nationkey) AS cnt
            FROM customer),
 cnt AS (SELECT DISTINCT c_nationkey, cnt FROM p),
@@ -200,13 +200,12 @@ JOIN p ON p.c_nationkey = ch.c_nationkey AND p.idx = {H('fk', 'ch.o_orderkey')}
 def gen_fk_tenant(t: Tables):
     """Parent drawn within the child's tenant (nation of its order's customer).
 
-    Parents get a dense per-tenant index via salted ranking (a hot tenant is
-    ranked by 64 tasks); the child picks index hash mod tenant size and
-    equi-joins on (tenant, index). No id pool reaches the driver.
+    Parents get a dense per-tenant index (numbered over ranges, so a hot tenant
+    is ranked by many tasks), written once; the child picks index hash mod
+    tenant size and equi-joins on (tenant, index). No id pool reaches the driver.
     """
-    parents = sy.dense_index(t.customer.select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"],
-                             hash_int("salt", SEED, F.col("c_custkey")), N_SALTS)
-    sizes = parents.select("c_nationkey", "_cnt").distinct()
+    parents = materialise(sy.dense_index(t.customer.select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"]))
+    sizes = parents.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("_cnt"))
     child = (t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
              .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").drop("c_custkey")
              .join(sizes, "c_nationkey")
@@ -217,16 +216,15 @@ def gen_fk_tenant(t: Tables):
 
 
 @query("gen_fk_unique", "G-FK1TO1", f"""
-WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY {H('salt', 'c_custkey')} % {N_SALTS}, {H('pick', 'c_custkey')}, c_custkey) - 1 AS idx FROM customer),
-s AS (SELECT s_suppkey, row_number() OVER (ORDER BY {H('salt', 's_suppkey')} % {N_SALTS}, s_suppkey) - 1 AS idx FROM supplier)
+WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY {H('pick', 'c_custkey')}, c_custkey) - 1 AS idx FROM customer),
+s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier)
 SELECT s.s_suppkey, c.c_custkey FROM s JOIN c USING (idx)""")
 def gen_fk_unique(t: Tables):
     """One-to-one: every supplier gets a distinct customer, the customers
-    taken in hash order. Both sides get a salted dense index; equi-join."""
+    taken in hash order. Both sides are numbered over ranges; equi-join."""
     c = sy.dense_index(t.customer.select("c_custkey", hash_int("pick", SEED, F.col("c_custkey")).alias("h")), [],
-                       ["h", "c_custkey"], hash_int("salt", SEED, F.col("c_custkey")), N_SALTS)
-    s = sy.dense_index(t.supplier.select("s_suppkey"), [], ["s_suppkey"], hash_int("salt", SEED, F.col("s_suppkey")),
-                       N_SALTS)
+                       ["h", "c_custkey"])
+    s = sy.dense_index(t.supplier.select("s_suppkey"), [], ["s_suppkey"])
     return s.select("s_suppkey", "_idx").join(c.select("c_custkey", "_idx"), "_idx").select("s_suppkey", "c_custkey")
 
 

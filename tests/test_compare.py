@@ -54,11 +54,51 @@ def test_arity(spark):
     assert not cmp.result_eq(g, g.withColumn("c", F.lit(1)))
 
 
-def test_seven_columns_identity_only(spark):
+def test_seven_columns_permuted(spark):
+    """Columns match by value at any width; a limit on the width is a parameter."""
     cols = ", ".join(f"c{i} long" for i in range(7))
-    g = spark.createDataFrame([tuple(range(7)), tuple(range(1, 8))], cols)
-    assert cmp.result_eq(g, g)
-    assert not cmp.result_eq(g, g.select(*reversed(g.columns)))
+    g = spark.createDataFrame([tuple(range(7)), tuple(range(10, 17))], cols)
+    other = g.select(*reversed(g.columns))
+    assert cmp.result_eq(g, g) and cmp.result_eq(g, other)
+    assert not cmp.result_eq(g, other, permute_up_to=6)
+
+
+def test_wide_prediction_contains_narrow_gold(spark):
+    g = spark.createDataFrame([(1, "a")], "k long, s string")
+    p = spark.createDataFrame([(9, 8, 7, 6, 5, "a", 1)], "a long, b long, c long, d long, e long, f string, g long")
+    assert cmp.contains(g, p)
+
+
+def test_equal_columns_are_one_class(spark):
+    """Ten equal columns are one candidate, not ten factorial."""
+    cols = ", ".join(f"c{i} long" for i in range(10))
+    g = spark.createDataFrame([(1,) * 10, (2,) * 10], cols)
+    gn = cmp.normalise(g)
+    assert len(list(cmp.candidate_orders(gn, gn))) == 1
+    assert cmp.result_eq(g, g) and cmp.soft_f1(g, g) == 1.0
+
+
+def test_large_integers_are_exact(spark):
+    a = spark.createDataFrame([(2**53,)], "x long")
+    b = spark.createDataFrame([(2**53 + 1,)], "x long")
+    assert cmp.result_eq(a, a) and not cmp.result_eq(a, b)
+
+
+def test_numbers_of_any_type_are_equal(spark):
+    one = [spark.sql(f"SELECT {x} AS x") for x in ("1", "1L", "CAST(1 AS DOUBLE)", "1.000", "true", "CAST(1 AS FLOAT)")]
+    assert all(cmp.result_eq(one[0], o) for o in one)
+    zero = [spark.sql(f"SELECT {x} AS x") for x in ("0", "CAST('-0.0' AS DOUBLE)", "0.0000000001", "CAST(-1e-9 AS DOUBLE)")]
+    assert all(cmp.result_eq(zero[0], z) for z in zero)
+    assert not cmp.result_eq(spark.sql("SELECT 10 AS x"), spark.sql("SELECT 1 AS x"))
+    assert cmp.result_eq(spark.sql("SELECT 100 AS x"), spark.sql("SELECT CAST(1e2 AS DOUBLE) AS x"))
+
+
+def test_cells_are_never_joined_into_text(spark):
+    sep = "\u001f"
+    a = spark.createDataFrame([(f"x{sep}s:y", "z")], "a string, b string")
+    b = spark.createDataFrame([("x", f"y{sep}s:z")], "a string, b string")
+    assert cmp.bag_diff(cmp.normalise(a), cmp.normalise(b)).count() == 2
+    assert not cmp.result_eq(a, b)
 
 
 def test_six_columns_permuted(spark):

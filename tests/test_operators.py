@@ -21,41 +21,55 @@ def _events(spark, n=400, keys=3, seed=7):
     return spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v double")
 
 
-# hot_rows: 0 = every key hot (bucketed path), 10**9 = none hot (plain window),
-# 120 = only the hot key 0 (mixed).
-HOT = [0, 120, 10**9]
+def _hot_null(spark):
+    """Half of the rows have a NULL key, an eighth one key; NULL order values and peers."""
+    rnd = random.Random(7)
+    base = datetime(2020, 1, 1)
+    rows = [(None if i % 2 else (0 if i % 8 == 0 else rnd.randint(1, 40)),
+             None if i % 50 == 0 else base + timedelta(days=rnd.randint(0, 300)), i,
+             None if i % 31 == 0 else float(rnd.randint(1, 50))) for i in range(4000)]
+    return spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v double").repartition(5)
+
+
+def _same(got, want):
+    key = lambda r: r[0]
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_running_sum_equals_plain_window(spark, hot_rows):
-    df = _events(spark)
-    got = windows.running_sum(df, ["k"], "ts", F.col("v"), F.year("ts"), "r", hot_rows)
-    want = df.withColumn("r", F.sum("v").over(Window.partitionBy("k").orderBy("ts")))
-    assert sorted(got.select("id", "r").collect()) == sorted(want.select("id", "r").collect())
+@pytest.mark.parametrize("rows", [_events, _hot_null])
+def test_running_sum_equals_plain_window(spark, rows):
+    df = rows(spark)
+    got = windows.running_sum(df, ["k"], "ts", F.col("v"), "r")
+    want = df.withColumn("r", F.sum("v").over(Window.partitionBy("k").orderBy(F.asc_nulls_last("ts"))))
+    _same(got.select("id", "r").collect(), want.select("id", "r").collect())
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_previous_max_equals_plain_window(spark, hot_rows):
-    df = _events(spark)
-    got = windows.previous_max(df, ["k"], ["ts", "id"], F.col("v"), F.year("ts"), "m", hot_rows)
-    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+@pytest.mark.parametrize("rows", [_events, _hot_null])
+def test_previous_max_equals_plain_window(spark, rows):
+    df = rows(spark)
+    got = windows.previous_max(df, ["k"], ["ts", "id"], F.col("v"), "m")
+    w = (Window.partitionBy("k").orderBy(F.asc_nulls_last("ts"), "id").rowsBetween(Window.unboundedPreceding, -1))
     want = df.withColumn("m", F.max("v").over(w))
-    assert sorted(got.select("id", "m").collect()) == sorted(want.select("id", "m").collect())
+    _same(got.select("id", "m").collect(), want.select("id", "m").collect())
 
 
-def test_hot_key_split(spark):
-    df = _events(spark)
-    hot, cold = windows.split_hot(df, ["k"], 120)
-    assert {r["k"] for r in hot.select("k").distinct().collect()} == {0}
-    assert hot.count() + cold.count() == df.count()
+def test_hot_null_key_fills_several_ranges(spark):
+    """NULL keys are split like any other: no range holds most of them."""
+    df = _hot_null(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.ranged(df, [F.asc_nulls_last("k"), F.asc_nulls_last("ts")])
+        sizes = [r["count"] for r in got.filter("k IS NULL").groupBy("_range").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 2000 and max(sizes) < 1000
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_overlapping_pairs_brute_force(spark, hot_rows):
+def test_overlapping_pairs_brute_force(spark):
     df = _events(spark, 300)
     length = 30 * 86_400_000_000
     got = {r["k"]: r["n_pairs"] for r in
-           intervals.count_overlapping_pairs(df, "k", "ts", "id", length, hot_rows).collect()}
+           intervals.count_overlapping_pairs(df, "k", "ts", "id", length).collect()}
     rows = df.collect()
     want = {}
     for a, b in itertools.combinations(rows, 2):
@@ -64,8 +78,7 @@ def test_overlapping_pairs_brute_force(spark, hot_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_overlapping_rows_brute_force(spark, hot_rows):
+def test_overlapping_rows_brute_force(spark):
     rnd = random.Random(3)
     base = datetime(2021, 1, 1)
     rows = []
@@ -74,7 +87,7 @@ def test_overlapping_rows_brute_force(spark, hot_rows):
         e = None if rnd.random() < 0.05 else s + timedelta(days=rnd.randint(1, 40))
         rows.append((rnd.randint(0, 4), s, e, i))
     df = spark.createDataFrame(rows, "k long, s timestamp_ntz, e timestamp_ntz, id long")
-    got = {r["id"] for r in intervals.overlapping_rows(df, ["k"], "s", "e", "id", F.year("s"), hot_rows).collect()}
+    got = {r["id"] for r in intervals.overlapping_rows(df, ["k"], "s", "e", "id").collect()}
     far = datetime(9999, 1, 1)
     srt = sorted(rows, key=lambda r: (r[0], r[1], r[3]))
     want = set()
@@ -87,7 +100,7 @@ def test_overlapping_rows_brute_force(spark, hot_rows):
 
 def test_dense_index_is_dense_per_group(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
-    out = synth.dense_index(df, ["g"], ["x"], F.xxhash64("x"), 16)
+    out = synth.dense_index(df, ["g"], ["x"])
     per = {r["g"]: sorted(r["ix"]) for r in out.groupBy("g").agg(F.collect_list("_idx").alias("ix")).collect()}
     sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
     for g, ix in per.items():
@@ -112,10 +125,57 @@ def test_bfs_min_hops(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9)],
                                   "src long, dst long")
     seeds = spark.createDataFrame([(1,)], "node long")
-    got = {r["node"]: r["hop"] for r in bfs(seeds, edges, 10).collect()}
+    got = {r["node"]: r["hop"] for r in bfs(seeds, edges).collect()}
     assert got == {1: 0, 2: 1, 4: 1, 3: 2, 5: 2, 6: 3, 7: 4, 8: 5, 9: 6}
 
 
+def test_bfs_runs_until_nothing_is_new(spark):
+    """A path longer than any fixed hop count, and a hop limit as a parameter."""
+    n = 33
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {r["node"]: r["hop"] for r in bfs(seeds, edges).collect()} == {i: i for i in range(n + 1)}
+    assert bfs(seeds, edges, 2).count() == 3
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_numbers_without_exchange_reuse(spark, reuse, adaptive):
+    """2 M rows with a payload: the numbers come from one written frame, so they do
+    not depend on a second run of the exchange."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(0, 2_000_000, 1, 16).select(F.xxhash64("id").alias("h"), "id", F.repeat(F.lit("x"), 20).alias("p"))
+        got = windows.number_rows(df, [F.asc("h"), F.asc("id")])
+        n, top, distinct = got.agg(F.count("rank"), F.max("rank"), F.count_distinct("rank")).first()
+        assert (n, top, distinct) == (2_000_000,) * 3
+        some = got.filter("rank <= 1000").orderBy("rank").select("h").collect()
+        assert [r["h"] for r in some] == [r["h"] for r in df.orderBy("h").limit(1000).select("h").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_base26_and_padded_keys_stay_unique(spark):
+    from quarry.functions.scalar import base26, hash_int, pad_key
+    big = [0, 25, 26, 26**4 - 1, 26**4, 26**4 + 1, 10**6, 1234567, 1234568, 2**53 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(x,) for x in big], "x long")
+    rows = df.select("x", base26(F.col("x"), 4).alias("b"), pad_key(F.col("x")).alias("p"),
+                     hash_int("s", 1, F.col("x")).alias("h")).collect()
+
+    def code(n):
+        out = ""
+        while n or len(out) < 4:
+            out, n = chr(65 + n % 26) + out, n // 26
+        return out
+
+    assert [r["b"] for r in rows] == [code(x) for x in big]
+    assert [r["p"] for r in rows] == [str(x).zfill(6) for x in big]
+    assert max(r["h"] for r in rows) > 2**32 and all(0 <= r["h"] < 2**60 for r in rows)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_global_row_number_equals_plain_window(spark, parts):
     """Range-partitioned numbering = row_number over one global window, with

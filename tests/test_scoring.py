@@ -71,3 +71,54 @@ def test_predictor_errors_are_rows(spark):
     assert len(out) == 20
     assert out[7]["error"].startswith("RuntimeError") and out[7]["answer"] is None
     assert all(out[i]["error"] is None and out[i]["answer"] == i % 2 for i in out if i != 7)
+
+
+def test_failed_gold_is_left_out(spark):
+    """One right answer and one question without a valid gold: EX, VES and F1 are of one question."""
+    rows = [(1, 1, True, False, 1.0, 10.0, 50.0, 50.0, 5, "single", "named", "m"),
+            (1, 2, None, False, None, 10.0, 50.0, 50.0, 5, "join", "named", "m")]
+    df = spark.createDataFrame(rows, "run long, qid long, ex boolean, error boolean, soft double, gen_ms double, "
+                                     "exec_ms double, gold_ms double, tokens long, shape string, retrieval string, model string")
+    s = sc.summarise(df).first()
+    assert (s["n"], s["ex_at_1"], s["ves"]) == (2, 100.0, 100.0)
+    r = sc.ex_rollup(df).first()
+    assert (r["ex_at_1"], r["soft_f1"], r["ex_single"], r["ex_join"], r["ex_named"]) == (100.0, 100.0, 100.0, None, 100.0)
+
+
+def test_scores_are_rounded_per_question(spark):
+    """Two thirds is 0.667 per question, so the mean of one is 66.7 and sums are exact."""
+    df = spark.createDataFrame([(2 / 3,), (None,), (0.0,), (1.0,)], "soft double")
+    assert df.agg(sc.mean_pct1(F.col("soft"))).first()[0] == 55.6
+
+
+def test_coverage_of_many_questions(spark):
+    """More than 64 questions, one missing in a run, an unknown one in another."""
+    from quarry.plans.scoring import coverage_issues
+    n = 150
+    rows = [("all", q, True) for q in range(n)] + [("short", q, False) for q in range(n - 1)]
+    rows += [("odd", q, False) for q in range(n)] + [("odd", 999, False)] + [(None, 3, False)]
+    df = spark.createDataFrame(rows, "run string, hr long, right boolean")
+    got = {(r["run"], r["issue"]) for r in coverage_issues(df).collect()}
+    assert got == {("short", "missing_ids"), ("odd", "unknown_ids"), (None, "missing_ids")}
+
+
+def test_missing_model_and_tokens_are_accepted(spark):
+    from quarry.plans.scoring import issues_from
+    per = spark.createDataFrame([("a", None, 50.0, 50.0, None), ("b", "other", 50.0, 50.0, 5), ("c", "gpt-4o", 60.0, 50.0, 0)],
+                                "run string, _model string, _claimed double, ex_at_1 double, total_tokens long")
+    pairs = spark.createDataFrame([(r, 1, True) for r in "abc"], "run string, hr long, right boolean")
+    got = {(r["run"], r["issue"]) for r in issues_from(per, pairs).collect()}
+    assert got == {("b", "other_model"), ("c", "inflated_claim"), ("c", "zero_tokens")}
+
+
+def test_long_error_text_is_kept(spark):
+    from quarry.plans.io import run_predictor
+    q = spark.createDataFrame([(i, 0) for i in range(9)], "qid long, quality int")
+
+    def bad(pdf):
+        if (pdf.qid % 4 == 1).any():
+            raise ValueError("e" * 3000)
+        return pdf.assign(answer=pdf.quality)[["answer"]]
+
+    out = {r["qid"]: r["error"] for r in run_predictor(q, bad, "qid").collect()}
+    assert sorted(i for i, e in out.items() if e) == [1, 5] and len(out[1]) == 3000 + len("ValueError: ")
