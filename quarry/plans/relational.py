@@ -700,6 +700,80 @@ def prefix_reject(t: Tables):
             .select("doc_id", F.regexp_extract(low, "^([a-z]+)", 1).alias("first_word")))
 
 
+_START = r"(?is)(?:^|[^\p{L}\p{N}_])((?:select|with)(?:[^\p{L}\p{N}_].*|$))"
+_FENCE = r"(?is)```sql\s*(.*?)```"
+
+
+@query("regex_sql", "F-REGEX", f"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Here it is: ```sql ' || text || ';; ``` done' ELSE text END AS t
+           FROM conversations),
+f AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{_FENCE}') THEN regexp_extract(t, '{_FENCE}', 1) ELSE t END AS s FROM c),
+g AS (SELECT conv_id, turn, CASE WHEN regexp_matches(s, '{_START}') THEN regexp_extract(s, '{_START}', 1) ELSE s END AS s FROM f)
+SELECT conv_id, turn, nullif(regexp_replace(regexp_replace(s, '^\s+|[;\s]*;\s*$|\s+$', '', 'g'), '\s+$', ''), '') AS sql FROM g""")
+def regex_sql(t: Tables):
+    """The SQL in an answer: what a ```sql fence holds (else all of it), from the first
+    select or with on, without trailing semicolons; NULL if nothing is left.
+    Every third conversation gets a fence around its text."""
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Here it is: ```sql "), "text", F.lit(";; ``` done"))) \
+        .otherwise(F.col("text"))
+    s = t.conversations.select("conv_id", "turn", text.alias("t"))
+    s = s.withColumn("s", F.when(F.col("t").rlike(_FENCE), F.regexp_extract("t", _FENCE, 1)).otherwise(F.col("t")))
+    s = s.withColumn("s", F.when(F.col("s").rlike(_START), F.regexp_extract("s", _START, 1)).otherwise(F.col("s")))
+    tidy = F.regexp_replace(F.regexp_replace("s", r"^\s+|[;\s]*;\s*$|\s+$", ""), r"\s+$", "")
+    return s.select("conv_id", "turn", F.nullif(tidy, F.lit("")).alias("sql"))
+
+
+_NAME = r"[a-z_]+\.[a-z_]+"
+
+
+@query("json_tables", "F-JSONARR", f"""
+WITH h AS (SELECT page_id, regexp_extract(url, '{_NAME}') AS host, url FROM pages),
+valid AS (SELECT host FROM h WHERE host <> '' GROUP BY host HAVING count(*) > 1),
+a AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Use ["' || host || '", "no.such", "' || host || '"] here'
+                                       WHEN 1 THEN 'Use [' || host || ', broken] and ' || url ELSE url END AS t FROM h),
+p AS (SELECT page_id, t, TRY_CAST(regexp_extract(t, '(?s)\[.*?\]') AS JSON) AS j FROM a),
+l AS (SELECT page_id, CASE WHEN j IS NOT NULL AND json_array_length(j) > 0 THEN from_json(j, '["VARCHAR"]')
+                           ELSE regexp_extract_all(t, '{_NAME}') END AS names FROM p),
+x AS (SELECT page_id, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS pos FROM l),
+f AS (SELECT page_id, name, min(pos) AS pos FROM x WHERE name IN (SELECT host FROM valid) GROUP BY 1, 2)
+SELECT page_id, string_agg(name, ',' ORDER BY pos) AS tables FROM f GROUP BY page_id""")
+def json_tables(t: Tables):
+    """Names an answer gives as a JSON array, or else its name-like tokens; kept
+    if they are known (hosts that occur twice), each once, in order."""
+    h = t.pages.select("page_id", F.regexp_extract("url", _NAME, 0).alias("host"), "url")
+    valid = h.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("host").alias("name"))
+    kind = F.col("page_id") % 3
+    answer = F.when(kind == 0, F.concat(F.lit('Use ["'), "host", F.lit('", "no.such", "'), "host", F.lit('"] here'))) \
+        .when(kind == 1, F.concat(F.lit("Use ["), "host", F.lit(", broken] and "), "url")).otherwise(F.col("url"))
+    a = h.select("page_id", answer.alias("t"))
+    parsed = F.from_json(F.regexp_extract("t", r"(?s)\[.*?\]", 0), "array<string>")
+    names = F.when(F.size(parsed) > 0, parsed).otherwise(F.regexp_extract_all("t", F.lit(_NAME), F.lit(0)))
+    x = a.select("page_id", F.posexplode(names).alias("pos", "name"))
+    first = x.join(valid, "name", "left_semi").groupBy("page_id", "name").agg(F.min("pos").alias("pos"))
+    return first.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]), ",")
+        .alias("tables"))
+
+
+# The statements that are refused.
+DML = ["insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "merge"]
+_VERBS = [*DML, "select", "with", "explain"]
+
+
+@query("dml_guard", "F-PREFIX", f"""
+WITH s AS (SELECT '  ' || upper(([{', '.join(repr(v) for v in _VERBS)}])[doc_id % {len(_VERBS)} + 1]) || ' ' || coalesce(text, '') AS sql
+           FROM documents),
+g AS (SELECT regexp_matches(lower(ltrim(sql)), '^({'|'.join(DML)})') AS refused, length(sql) AS n FROM s)
+SELECT refused, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM g GROUP BY refused""")
+def dml_guard(t: Tables):
+    """Statements that start with one of the nine writing words are refused."""
+    verb = F.element_at(F.array(*[F.lit(v) for v in _VERBS]), (F.col("doc_id") % len(_VERBS) + 1).cast("int"))
+    s = t.documents.select(F.concat(F.lit("  "), F.upper(verb), F.lit(" "), F.coalesce("text", F.lit(""))).alias("sql"))
+    return (s.groupBy(F.lower(F.ltrim("sql")).rlike("^(" + "|".join(DML) + ")").alias("refused"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sql")).alias("chars")))
+
+
 @query("str_slug", "F-STR", """
 SELECT p_partkey,
        regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import HASH_RANGE, hash_int, slug
+from quarry.functions.scalar import HASH_RANGE, hash_int, pad_key, slug
 from quarry.operators import synth as sy
 from quarry.operators.windows import global_row_number
 from quarry.plans.quality import row_counts
@@ -35,6 +35,31 @@ MONEY_MU, MONEY_SIGMA = 3.0, 1.1
 NULL_P_FK, NULL_P_PARENT = 0.15, 0.5
 BOOL_P = 0.85
 TAX_RATE = "0.08"
+SHIPPING = ["0", "4.99", "9.99", "14.99"]
+DISCOUNTS = ["0", "0", "0", "0.1", "0.2"]
+# Probability of NULL by column name; any other nullable column: DEFAULT_NULL.
+NULL_PROB = [("deleted_at", 0.96), ("archived_at", 0.9), ("cancelled_at", 0.85), ("canceled_at", 0.85),
+             ("refunded_at", 0.9), ("closed_at", 0.6), ("resolved_at", 0.6), ("solved_at", 0.6), ("revoked_at", 0.9),
+             ("used_at", 0.7), ("confirmed_at", 0.4), ("accepted_at", 0.6), ("completed_at", 0.5),
+             ("delivered_at", 0.35), ("shipped_at", 0.25), ("paid_at", 0.2), ("last_login_at", 0.3),
+             ("last_used_at", 0.4), ("trial_ends_at", 0.7), ("line2", 0.6), ("phone", 0.4), ("bio", 0.7),
+             ("middle_name", 0.8), ("notes", 0.6), ("description", 0.3), ("parent_id", 0.7)]
+DEFAULT_NULL = 0.2
+# Share of true by name prefix, first match; any other flag: 0.5. Flags that one row per parent may hold stay false.
+FLAG_P = [("is_default", 0.0), ("is_primary", 0.0), ("is_preferred", 0.0), ("is_main", 0.0), ("is_active", 0.85),
+          ("is_enabled", 0.85), ("succeeded", 0.85), ("is_public", 0.85), ("is_", 0.4), ("", 0.5)]
+# Whole numbers by role: lowest value and number of values.
+INT_RANGES = [("quantity", 1, 11), ("percent", 0, 101), ("shelf_days", 1, 89), ("score", 1, 5), ("other", 0, 1000)]
+POSITIONS = 50
+SUBSCRIPTION_MIX = [("canceled", 0.84), ("past_due", 0.18)]    # tried in this order; rest "active"
+COMPANY_MU, COMPANY_SIGMA, REVENUE_MU, REVENUE_SIGMA = 3.5, 1.5, 11.0, 0.6
+CURRENCIES = ("USD EUR GBP JPY CAD AUD CHF CNY SEK NZD MXN SGD HKD NOK KRW INR BRL ZAR DKK PLN TWD THB MYR IDR HUF "
+              "CZK ILS CLP PHP AED").split()
+LOCALES = ("en-US en-GB de-DE fr-FR it-IT es-ES pt-BR nl-NL sv-SE ja-JP zh-CN ko-KR pl-PL da-DK fi-FI").split()
+COUNTRIES = ("US GB DE FR IT ES CA AU JP CN IN BR MX NL SE CH PL IE SG KR NO DK FI BE AT PT NZ ZA AE IL HK TW TH MY "
+             "ID PH CL CZ HU AR").split()
+EUROPE = "GB DE FR IT ES NL SE CH PL IE NO DK FI BE AT PT CZ HU".split()
+NORTH_AMERICA, SOUTH_AMERICA = ["US", "CA", "MX"], ["BR", "AR", "CL"]
 # ---------------------------------------------------------------------------
 ZIPF_K, ZIPF_A = 50, 1.6
 DEDUP_A, DEDUP_B = 50, 60
@@ -298,8 +323,9 @@ WITH l AS (SELECT l_orderkey,
                             * (1 - CAST(l_discount AS DECIMAL(4,2))), 2)) AS subtotal
            FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT l_orderkey, subtotal, round(subtotal * {TAX_RATE}, 2) AS tax,
-             CASE WHEN subtotal >= 100 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(4.99 AS DECIMAL(18,2)) END AS shipping,
-             round(subtotal * (0.05 * ({H('disc', 'l_orderkey')} % 4)), 2) AS discount FROM l)
+             ([{', '.join(f'CAST({x} AS DECIMAL(18,2))' for x in SHIPPING)}])[{H('ship', 'l_orderkey')} % {len(SHIPPING)} + 1] AS shipping,
+             round(subtotal * ([{', '.join(f'CAST({x} AS DECIMAL(3,2))' for x in DISCOUNTS)}])[{H('disc', 'l_orderkey')} % {len(DISCOUNTS)} + 1], 2)
+               AS discount FROM l)
 SELECT l_orderkey, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax, CAST(shipping AS DOUBLE) AS shipping,
        CAST(discount AS DOUBLE) AS discount, CAST(subtotal + tax + shipping - discount AS DOUBLE) AS grand_total FROM m""")
 def gen_order_math(t: Tables):
@@ -308,12 +334,14 @@ def gen_order_math(t: Tables):
     line = F.round(F.col("l_quantity").cast("decimal(10,0)") * F.col("l_extendedprice").cast("decimal(18,2)")
                    * (1 - F.col("l_discount").cast("decimal(4,2)")), 2)
     l = t.lineitem.groupBy("l_orderkey").agg(F.sum(line).alias("subtotal"))
-    disc_rate = F.lit(0.05).cast("decimal(3,2)") * F.pmod(hash_int("disc", SEED, F.col("l_orderkey")), F.lit(4))
+    def one_of(stream, values, kind):
+        at = F.pmod(hash_int(stream, SEED, F.col("l_orderkey")), F.lit(len(values))) + 1
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), at.cast("int"))
+
     m = l.select("l_orderkey", "subtotal",
                  F.round(F.col("subtotal") * F.lit(TAX_RATE).cast("decimal(3,2)"), 2).alias("tax"),
-                 F.when(F.col("subtotal") >= 100, F.lit(0).cast("decimal(18,2)"))
-                 .otherwise(F.lit("4.99").cast("decimal(18,2)")).alias("shipping"),
-                 F.round(F.col("subtotal") * disc_rate, 2).alias("discount"))
+                 one_of("ship", SHIPPING, "decimal(18,2)").alias("shipping"),
+                 F.round(F.col("subtotal") * one_of("disc", DISCOUNTS, "decimal(3,2)"), 2).alias("discount"))
     return m.select("l_orderkey", *[F.col(c).cast("double").alias(c) for c in ("subtotal", "tax", "shipping", "discount")],
                     (F.col("subtotal") + F.col("tax") + F.col("shipping") - F.col("discount")).cast("double")
                     .alias("grand_total"))
@@ -358,3 +386,120 @@ def gen_dedup(t: Tables):
                         F.pmod(hash_int("db", SEED, F.col("o_orderkey")), F.lit(DEDUP_B)).alias("b"))
     kept = d.groupBy("a", "b").agg(F.min("o_orderkey").alias("k"), F.count(F.lit(1)).alias("m"))
     return kept.agg(F.sum("m").alias("n_target"), F.count(F.lit(1)).alias("n_kept"), F.sum("k").alias("kept_key_sum"))
+
+
+def _arr_sql(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _cycled(values, key: str):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query("gen_integers", "G-NUM", " UNION ALL ".join(
+    f"SELECT '{name}' AS role, min({lo} + {H('int.' + name, 'p_partkey')} % {n}) AS lo, "
+    f"max({lo} + {H('int.' + name, 'p_partkey')} % {n}) AS hi, CAST(sum({lo} + {H('int.' + name, 'p_partkey')} % {n}) AS BIGINT) AS total "
+    f"FROM part" for name, lo, n in INT_RANGES)
+    + f" UNION ALL SELECT 'position', min(p_partkey % {POSITIONS}), max(p_partkey % {POSITIONS}), "
+      f"CAST(sum(p_partkey % {POSITIONS}) AS BIGINT) FROM part")
+def gen_integers(t: Tables):
+    """Whole numbers by the role a column's name gives it; positions cycle. One pass over parts."""
+    key = F.col("p_partkey")
+    roles = [(name, lo + F.pmod(hash_int("int." + name, SEED, key), F.lit(n))) for name, lo, n in INT_RANGES]
+    roles.append(("position", key % POSITIONS))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("role"), v.cast("long").alias("v")) for n, v in roles]))
+    return (t.part.select(cells.alias("c")).groupBy(F.col("c.role").alias("role"))
+            .agg(F.min("c.v").alias("lo"), F.max("c.v").alias("hi"), F.sum("c.v").alias("total")))
+
+
+FLAG_NAMES = ["is_default", "is_primary", "is_active", "is_enabled", "succeeded", "is_public", "is_archived", "is_paid",
+              "verified", "opted_in"]
+
+
+def flag_p(name: str) -> float:
+    return next(p for prefix, p in FLAG_P if name.startswith(prefix))
+
+
+@query("gen_flags", "G-BOOL", " UNION ALL ".join(
+    f"SELECT '{n}' AS flag, count(*) FILTER (WHERE {U('flag.' + n, 'c_custkey')} < {flag_p(n)}) AS n_true, count(*) AS n "
+    f"FROM customer" for n in FLAG_NAMES))
+def gen_flags(t: Tables):
+    """Flags by the share their name's prefix gives; one-per-parent flags are never set."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("flag"),
+                                         sy.bernoulli("flag." + n, SEED, F.col("c_custkey"), flag_p(n)).alias("v"))
+                                for n in FLAG_NAMES]))
+    return (t.customer.select(cells.alias("c")).groupBy(F.col("c.flag").alias("flag"))
+            .agg(F.count_if("c.v").alias("n_true"), F.count(F.lit(1)).alias("n")))
+
+
+NULLABLE = [*NULL_PROB, ("website", DEFAULT_NULL)]
+
+
+@query("gen_null_names", "G-NULLS", " UNION ALL ".join(
+    f"SELECT '{n}' AS col, count(*) FILTER (WHERE {U('null.' + n, 'o_orderkey')} < {p}) AS n_null, count(*) AS n FROM orders"
+    for n, p in NULLABLE))
+def gen_null_names(t: Tables):
+    """NULLs by column name, a row per order and column, counted in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("col"),
+                                         sy.bernoulli("null." + n, SEED, F.col("o_orderkey"), p).alias("v"))
+                                for n, p in NULLABLE]))
+    return (t.orders.select(cells.alias("c")).groupBy(F.col("c.col").alias("col"))
+            .agg(F.count_if("c.v").alias("n_null"), F.count(F.lit(1)).alias("n")))
+
+
+@query("gen_reference_codes", "G-REF", f"""
+SELECT ({_arr_sql(CURRENCIES)})[c_custkey % {len(CURRENCIES)} + 1] AS currency,
+       ({_arr_sql(LOCALES)})[c_custkey % {len(LOCALES)} + 1] AS locale,
+       CASE WHEN iso2 IN ({', '.join(repr(c) for c in NORTH_AMERICA)}) THEN 'North America'
+            WHEN iso2 IN ({', '.join(repr(c) for c in SOUTH_AMERICA)}) THEN 'South America'
+            WHEN iso2 IN ({', '.join(repr(c) for c in EUROPE)}) THEN 'Europe'
+            WHEN iso2 IS NOT NULL THEN 'Asia' END AS continent, count(*) AS n
+FROM (SELECT c_custkey, ({_arr_sql(COUNTRIES)})[c_custkey % {len(COUNTRIES)} + 1] AS iso2 FROM customer)
+GROUP BY 1, 2, 3""")
+def gen_reference_codes(t: Tables):
+    """Currency, locale and country codes cycled over customers; continents follow the country."""
+    iso2 = F.col("iso2")
+    continent = (F.when(iso2.isin(NORTH_AMERICA), "North America").when(iso2.isin(SOUTH_AMERICA), "South America")
+                 .when(iso2.isin(EUROPE), "Europe").when(iso2.isNotNull(), "Asia"))
+    c = t.customer.select(_cycled(CURRENCIES, "c_custkey").alias("currency"), _cycled(LOCALES, "c_custkey").alias("locale"),
+                          _cycled(COUNTRIES, "c_custkey").alias("iso2"))
+    return c.groupBy("currency", "locale", continent.alias("continent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gen_subscriptions", "G-MIX", f"""
+WITH s AS (SELECT c_custkey, {U('sub', 'c_custkey')} AS u,
+                  CAST(floor(exp({COMPANY_MU} + {COMPANY_SIGMA} * {_normal_sql('size', 'c_custkey')})) AS BIGINT) + 1 AS employees
+           FROM customer)
+SELECT CASE WHEN u < {SUBSCRIPTION_MIX[0][1]} THEN '{SUBSCRIPTION_MIX[0][0]}'
+            WHEN u < {SUBSCRIPTION_MIX[1][1]} THEN '{SUBSCRIPTION_MIX[1][0]}' ELSE 'active' END AS status,
+       count(*) AS n, CAST(sum(employees) AS BIGINT) AS employees, min(employees) AS smallest FROM s GROUP BY 1""")
+def gen_subscriptions(t: Tables):
+    """Subscription states by threshold, and skewed company sizes (lognormal, at least 1)."""
+    u, status = F.col("u"), F.lit("active")
+    for name, hi in reversed(SUBSCRIPTION_MIX):
+        status = F.when(u < hi, F.lit(name)).otherwise(status)
+    size = F.floor(F.exp(COMPANY_MU + F.lit(COMPANY_SIGMA) * sy.normal("size", SEED, F.col("c_custkey")))).cast("long") + 1
+    s = t.customer.select(_u("sub", "c_custkey").alias("u"), size.alias("employees"))
+    return s.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("employees").alias("employees"),
+                                                 F.min("employees").alias("smallest"))
+
+
+@query("gen_contacts", "G-TEXT", f"""
+SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z]+', '', 'g')) || CAST(c_custkey AS VARCHAR) || '@example.com' AS email,
+       upper(left(regexp_replace(c_name, '[^A-Za-z]+', '', 'g'), 6)) || '-' ||
+         CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 7 THEN lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+              ELSE CAST(c_custkey AS VARCHAR) END AS code,
+       '+1' || CAST(1000000000 + {H('phone', 'c_custkey')} % 9000000000 AS VARCHAR) AS phone,
+       CAST(1 + {H('street', 'c_custkey')} % 9998 AS VARCHAR) || ' ' || c_mktsegment AS street
+FROM customer""")
+def gen_contacts(t: Tables):
+    """Emails and codes made unique by the key, ten-digit phones, house numbers."""
+    word = F.regexp_replace("c_name", "[^A-Za-z]+", "")
+    key = F.col("c_custkey")
+    number = F.pmod(hash_int("phone", SEED, key), F.lit(9_000_000_000)) + F.lit(1_000_000_000)
+    house = F.pmod(hash_int("street", SEED, key), F.lit(9998)) + 1
+    return t.customer.select(
+        "c_custkey", F.concat(F.lower(word), key.cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.upper(F.substring(word, 1, 6)), F.lit("-"), pad_key(key, 7)).alias("code"),
+        F.concat(F.lit("+1"), number.cast("string")).alias("phone"),
+        F.concat(house.cast("string"), F.lit(" "), F.col("c_mktsegment")).alias("street"))
