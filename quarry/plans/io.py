@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from quarry.plans.registry import query
 from quarry.plans.scoring import RUNS_SQL, SUMMARY_SQL, run_rows
 from quarry.plans import scoring as scp
-from quarry.session import scratch_dir
+from quarry.session import materialise, scratch_dir
 from quarry.sources import files
 from quarry.sources.tables import Tables
 
@@ -40,10 +40,9 @@ def _write_runs(t: Tables) -> str:
 
 @query("roundtrip_orders", "S-LOAD", "SELECT * FROM orders")
 def roundtrip_orders(t: Tables):
-    """Truncate-and-reload of a whole table: overwrite a Parquet copy, read it back."""
+    """Load of a whole table: overwrite a Parquet copy, read it back."""
     path = scratch_dir(t.spark, "orders")
     t.orders.write.mode("overwrite").parquet(path)
-    t.orders.write.mode("overwrite").parquet(path)   # reload replaces, never duplicates
     return t.spark.read.parquet(path)
 
 
@@ -56,9 +55,25 @@ def json_results(t: Tables):
         "run", "qid", "ex", "error", "exec_ms", "tokens", "tool", "version")
 
 
-@query("multi_file_scan", "S-MULTI", """
-SELECT coalesce('run=' || CAST(user_id AS VARCHAR), 'run=__HIVE_DEFAULT_PARTITION__') AS folder, count(*) AS n_results
-FROM events GROUP BY user_id""")
+DOCUMENT_SCHEMA = "run long, summary struct<tool string, version string>, results array<struct<qid long, ex boolean, exec_ms double, tokens long>>"
+
+
+@query("json_documents", "S-JSON", "WITH " + RUNS_SQL + """
+SELECT run, count(*) AS n, count(*) FILTER (WHERE ex) AS n_right, CAST(sum(tokens) AS BIGINT) AS tokens,
+       'tool-' || CAST(run AS VARCHAR) AS tool FROM runs GROUP BY run""")
+def json_documents(t: Tables):
+    """Runs written as {summary, results[]} documents, read back and totalled per run."""
+    path = scratch_dir(t.spark, "documents")
+    files.write_run_documents(run_rows(t).select("run", "qid", "ex", "exec_ms", "tokens"), _meta(t), path)
+    rows = files.read_run_documents(t.spark, path, DOCUMENT_SCHEMA, multi_line=False)
+    return rows.groupBy("run", F.col("summary.tool").alias("tool")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ex").alias("n_right"), F.sum("tokens").alias("tokens")) \
+        .select("run", "n", "n_right", "tokens", "tool")
+
+
+@query("multi_file_scan", "S-MULTI", f"""
+SELECT 'bucket=' || CAST(coalesce(user_id % {files.RUN_BUCKETS}, 0) AS VARCHAR) AS folder, count(*) AS n_results
+FROM events GROUP BY 1""")
 def multi_file_scan(t: Tables):
     """Scan every run folder; tag rows with the folder they were read from."""
     root = _write_runs(t)
@@ -74,7 +89,7 @@ LEDGER_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField(
 def append_ledger(t: Tables):
     """A cumulative ledger appended in two batches (even runs, then odd runs)."""
     path = scratch_dir(t.spark, "ledger")
-    s = scp.summary(t).select("run", "n", "total_tokens")
+    s = materialise(scp.summary(t).select("run", "n", "total_tokens"))     # aggregated once for both batches
     even = F.coalesce(F.col("run") % 2 == 0, F.lit(False))     # every row lands in exactly one batch
     files.append_ledger(s.filter(even), path)
     files.append_ledger(s.filter(~even), path)
@@ -91,7 +106,7 @@ def _export_sql() -> str:
 @query("export_csv", "S-EXPORT", _export_sql())
 def export_csv(t: Tables):
     """Leaderboard written as JSON and CSV in the fixed field order."""
-    board = scp.leaderboard(t).withColumn("tool", F.concat(F.lit("tool-"), F.col("run").cast("string")))
+    board = materialise(scp.leaderboard(t).withColumn("tool", F.concat(F.lit("tool-"), F.col("run").cast("string"))))
     path = scratch_dir(t.spark, "export")
     files.export(board, path)
     return t.spark.read.option("header", True).csv(f"{path}/csv")

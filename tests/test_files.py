@@ -37,8 +37,21 @@ def test_run_folders_roundtrip(spark):
                            T.StructField("run", T.LongType())])
     back = files.read_run_folders(spark, d, schema)
     got = sorted((r["run"] if r["run"] is not None else -1, r["qid"], r["tool"], r["_folder"]) for r in back.collect())
-    assert got == [(-1, 12, "tn", "run=__HIVE_DEFAULT_PARTITION__"), (1, 10, "t1", "run=1"), (1, 11, "t1", "run=1"),
-                   (2, 10, "t2", "run=2")]
+    assert got == [(-1, 12, "tn", "bucket=0"), (1, 10, "t1", "bucket=1"), (1, 11, "t1", "bucket=1"),
+                   (2, 10, "t2", "bucket=2")]
+
+
+def test_run_documents_of_many_rows(spark, monkeypatch):
+    """A run of many questions becomes several bounded documents and reads back whole."""
+    monkeypatch.setattr(files, "PART_ROWS", 7)
+    res = spark.range(100).select((F.col("id") % 3).alias("run"), F.col("id").alias("qid"), (F.col("id") % 2 == 0).alias("ex"))
+    meta = spark.createDataFrame([(0, "a"), (1, "b")], "run long, tool string")
+    d = _scratch() + "/docs"
+    files.write_run_documents(res, meta, d)
+    rows = files.read_run_documents(spark, d, multi_line=False).collect()
+    assert sorted((r["run"], r["qid"], r["ex"]) for r in rows) == [(i % 3, i, i % 2 == 0) for i in sorted(range(100), key=lambda i: (i % 3, i))]
+    assert {(r["run"], r["summary"]["tool"] if r["summary"] else None) for r in rows} == {(0, "a"), (1, "b"), (2, None)}
+    assert spark.read.json(d).selectExpr("max(size(results))").first()[0] < 30
 
 
 def test_ledger_appends_with_header_per_file(spark):
