@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 MAX_DOCS = 1 << 16
-MAX_BYTES = 24 << 20
+MAX_BYTES = 12 << 20
 #: Share of a block's documents from which a word's postings are spread over partitions.
 COMMON = 1 / 16
 
@@ -92,9 +92,13 @@ def posting_rows(block: int, words: list[bytes], flat: np.ndarray, lens: np.ndar
     wanted: which words to send; spread: whether common words may be spread."""
     n_docs, n_words = len(lens), len(words)
     part = word_parts(words, parts)
-    doc = np.repeat(np.arange(n_docs, dtype=np.int64), lens)
-    use = flat >= 0 if wanted is None else (flat >= 0) & wanted[flat]
-    pairs, freq = np.unique(flat[use].astype(np.int64) * n_docs + doc[use], return_counts=True)
+    pairs = flat.astype(np.int64) * n_docs
+    pairs += np.repeat(np.arange(n_docs, dtype=np.int32), lens)
+    pairs = pairs[flat >= 0] if wanted is None else pairs[(flat >= 0) & wanted[flat]]
+    pairs.sort()
+    new = np.flatnonzero(np.diff(pairs, prepend=-1))
+    freq = np.diff(new, append=len(pairs))
+    pairs = pairs[new]
     word, doc = pairs // max(n_docs, 1), pairs % max(n_docs, 1)
     holders = np.bincount(word, minlength=n_words)
     if spread and n_docs >= 64:
@@ -116,7 +120,7 @@ def posting_rows(block: int, words: list[bytes], flat: np.ndarray, lens: np.ndar
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    part, block, docs, payload = zip(*rows, strict=True)
+    part, block, docs, payload = zip(*rows, strict=True) if rows else ((),) * 4
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()),
                                        pa.array(docs, pa.bool_()), pa.array(payload, pa.binary())],
                                       ["part", "block", "docs", "payload"])

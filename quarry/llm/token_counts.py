@@ -16,6 +16,7 @@ repeated or null ids each give a row of their own; no rows, no result rows.
 
 from __future__ import annotations
 
+import os
 import pickle
 import re
 
@@ -32,6 +33,7 @@ _TOKENIZERS: dict[str, object] = {}
 
 def tokenizer(path: str):
     if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.no_truncation()
