@@ -82,17 +82,15 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     alone = marked.filter("NOT __maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
-    maybe = marked.filter("__maybe").select("doc_id", "digest")
-    sizes = maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = maybe.join(sizes, "digest")
-    # Rows that hold the largest id are one per group unless the id repeats too;
-    # the window (with its map-side group limit) only sees those.
-    top = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
-    rest = joined.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    cols = ["doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
-    return (alone.unionByName(top.withColumn("kept", rank == 1).select(*cols))
-            .unionByName(rest.withColumn("kept", F.lit(False)).select(*cols)))
+    # One row per (text, id): a group of copies spreads over partitions by id,
+    # and the join on the text alone can be split where a group is large.
+    maybe = marked.filter("__maybe").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    grouped = maybe.join(sizes, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return alone.unionByName(grouped.select(
+        "doc_id", "keep_id", "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
+        F.col("digest").alias("text_sha256")))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,6 +101,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     narrow = materialise(hashed.select(F.col("__digest").alias("digest")))
     bits = filter_bits(narrow.count())
     marked = mark_possible_repeats(hashed, "__digest", materialise(repeat_filter(narrow, bits)), bits)
+    # The join's key holds the id, so the rows of one large group do not meet in one task.
     alone = marked.filter("NOT __maybe").select(*cols)
     maybe = marked.filter("__maybe").drop("__maybe")
     best = maybe.groupBy("__digest").agg(F.max(id_col).alias("__keep"))
