@@ -704,7 +704,7 @@ _START = r"(?is)(?:^|[^\p{L}\p{N}_])((?:select|with)(?:[^\p{L}\p{N}_].*|$))"
 _FENCE = r"(?is)```sql\s*(.*?)```"
 
 
-@query("regex_sql", "F-REGEX", f"""
+@query("regex_sql", "F-REGEX", rf"""
 WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Here it is: ```sql ' || text || ';; ``` done' ELSE text END AS t
            FROM conversations),
 f AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '{_FENCE}') THEN regexp_extract(t, '{_FENCE}', 1) ELSE t END AS s FROM c),
@@ -726,7 +726,7 @@ def regex_sql(t: Tables):
 _NAME = r"[a-z_]+\.[a-z_]+"
 
 
-@query("json_tables", "F-JSONARR", f"""
+@query("json_tables", "F-JSONARR", rf"""
 WITH h AS (SELECT page_id, regexp_extract(url, '{_NAME}') AS host, url FROM pages),
 valid AS (SELECT host FROM h WHERE host <> '' GROUP BY host HAVING count(*) > 1),
 a AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Use ["' || host || '", "no.such", "' || host || '"] here'
