@@ -362,3 +362,102 @@ def pass_at_k(t: Tables):
     s = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
                                         F.count_if(F.col("event_type") == "purchase").alias("c"))
     return s.withColumn("pass_at_k", F.round(sc.pass_at_k(F.col("n"), F.col("c"), PASS_K), 6))
+
+
+# ------------------------------------------------- verified submissions ----
+
+TABLE_SET = ["customers", "orders", "payments", "shipments"]
+_TABLES_SQL = "[" + ", ".join(f"'{x}'" for x in TABLE_SET) + "]"
+
+SUBMITTED_SQL = RUNS_SQL + f""",
+kv AS (SELECT event_id AS qid, user_id AS run, event_type AS et, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+sub AS (
+  SELECT r.*, CASE WHEN kv.et <> 'view' THEN kv.k * 40 END AS prompt,
+         CASE WHEN kv.et <> 'view' AND kv.k % 2 = 0 THEN kv.k * 10 END AS completion,
+         {_TABLES_SQL}[1:1 + r.qid % 4] AS gold_tables,
+         CASE WHEN r.qid % 5 <> 0 THEN {_TABLES_SQL}[1:1 + (r.qid // 4) % 4] END AS pred_tables,
+         coalesce(kv.et = 'purchase', false) AS reported
+  FROM runs r JOIN kv ON kv.qid = r.qid AND kv.run = r.run),
+scored AS (
+  SELECT *, CASE WHEN pred_tables IS NOT NULL THEN list_has_all(pred_tables, gold_tables) ELSE reported END AS set_recall,
+         CASE WHEN prompt IS NOT NULL OR completion IS NOT NULL THEN coalesce(prompt, 0) + coalesce(completion, 0) END AS toks
+  FROM sub),
+agg AS (
+  SELECT run, min(model) AS model, count(*) AS n, count(*) FILTER (WHERE error) AS errors,
+         {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS ex_at_1,
+         {r1(f"sum({milli(VES_SQL)})", f"count({VES_SQL}) * 10")} AS ves,
+         {r1(f"sum({milli('soft')})", "count(soft) * 10")} AS soft_f1,
+         {p1("count(*) FILTER (WHERE set_recall)", "count(set_recall)")} AS set_recall,
+         {r1(f"sum({cents('gen_ms')})", "count(gen_ms) * 100")} AS avg_gen_ms,
+         {r1(f"sum({cents('exec_ms')})", "count(exec_ms) * 100")} AS avg_exec_ms,
+         {r1("sum(toks)", "count(toks)")} AS avg_tokens, CAST(sum(toks) AS BIGINT) AS total_tokens,
+         CAST(count(toks) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS token_coverage,
+         CAST(coalesce(sum(prompt), 0) AS BIGINT) AS prompt_tokens,
+         CAST(coalesce(sum(completion), 0) AS BIGINT) AS completion_tokens
+  FROM scored GROUP BY run)"""
+
+_VIN, _VOUT = _price_sql("replace(model, 'openai/', '')")
+
+
+@query("rescore_runs", "E-RESCORE", "WITH " + SUBMITTED_SQL + f"""
+SELECT run, n, errors, ex_at_1, ves, soft_f1, set_recall, avg_gen_ms, avg_exec_ms,
+       round(coalesce(avg_gen_ms, 0.0) + coalesce(avg_exec_ms, 0.0), 1) AS avg_total_ms, avg_tokens, total_tokens, token_coverage,
+       prompt_tokens, completion_tokens,
+       CAST(round(CAST(prompt_tokens AS DECIMAL(20, 0)) * {_VIN} * 0.000001
+                  + CAST(completion_tokens AS DECIMAL(20, 0)) * {_VOUT} * 0.000001, 4) AS DOUBLE) AS est_cost_usd
+FROM agg""")
+def rescore_runs(t: Tables):
+    """Verified numbers of each submission: every metric from its rows, Set-Recall
+    from the submitted table set (the gold set must be inside it) or else the reported
+    flag, total latency as the sum of the two means, cost from prompt and
+    completion tokens."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    et = F.col("event_type")
+    tables = _lit_array(TABLE_SET)
+    extra = t.events.select(
+        F.col("event_id").alias("qid"), F.col("user_id").alias("run"),
+        F.when(et != "view", k * 40).alias("prompt"), F.when((et != "view") & (k % 2 == 0), k * 10).alias("completion"),
+        F.slice(tables, F.lit(1), (F.col("event_id") % 4 + 1).cast("int")).alias("gold_tables"),
+        F.when(F.col("event_id") % 5 != 0,
+               F.slice(tables, F.lit(1), (F.expr("event_id div 4") % 4 + 1).cast("int"))).alias("pred_tables"),
+        F.coalesce(et == "purchase", F.lit(False)).alias("reported"))
+    rows = run_rows(t).drop("tokens").join(extra, ["qid", "run"])
+    covered = F.when(F.col("pred_tables").isNotNull(), F.size(F.array_except("gold_tables", "pred_tables")) == 0) \
+        .otherwise(F.col("reported"))
+    rows = rows.withColumn("set_recall", covered).withColumn("tokens", F.when(
+        F.col("prompt").isNotNull() | F.col("completion").isNotNull(),
+        F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0))))
+    s = sc.summarise(
+        rows, sc.mean_pct1(F.col("soft")).alias("soft_f1"),
+        sc.pct1(F.count_if("set_recall"), F.count("set_recall")).alias("set_recall"),
+        F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt_tokens"),
+        F.coalesce(F.sum("completion"), F.lit(0)).alias("completion_tokens"))
+    # the model is a function of the run, so its price is one join on a few distinct pairs
+    s = with_models(s, t)
+    pin, pout = (p.cast("decimal(6,2)") for p in sc.prefix_price_columns(F.col("_model")))
+    per_token = F.lit(Decimal("0.000001"))
+    cost = (F.col("prompt_tokens").cast("decimal(20,0)") * pin * per_token
+            + F.col("completion_tokens").cast("decimal(20,0)") * pout * per_token)
+    total = F.round(F.coalesce("avg_gen_ms", F.lit(0.0)) + F.coalesce("avg_exec_ms", F.lit(0.0)), 1)
+    return s.select("run", "n", "errors", "ex_at_1", "ves", "soft_f1", "set_recall", "avg_gen_ms", "avg_exec_ms",
+                    total.alias("avg_total_ms"), "avg_tokens", "total_tokens", "token_coverage", "prompt_tokens",
+                    "completion_tokens", F.round(cost, 4).cast("double").alias("est_cost_usd"))
+
+
+@query("oracle_gap_runs", "E-GAP", "WITH " + RUNS_SQL + f""",
+q AS (SELECT run, hr, coalesce(bool_or(ex), false) AS ok FROM runs WHERE run IS NOT NULL AND hr IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT a.run // 2 AS tool, a.ok AS own, b.ok AS orc FROM q a JOIN q b ON b.run = a.run + 1 AND b.hr = a.hr
+      WHERE a.run % 2 = 0)
+SELECT tool, count(*) AS n, {p1("count(*) FILTER (WHERE own)", "count(*)")} AS own_ex,
+       {p1("count(*) FILTER (WHERE orc)", "count(*)")} AS oracle_ex,
+       round({p1("count(*) FILTER (WHERE orc)", "count(*)")} - {p1("count(*) FILTER (WHERE own)", "count(*)")}, 1) AS gap
+FROM j GROUP BY tool""")
+def oracle_gap_runs(t: Tables):
+    """A tool's own run (even) joined per question to its oracle run (the odd one after)."""
+    q = answered(t).filter("run IS NOT NULL AND hr IS NOT NULL")
+    own = q.filter("run % 2 = 0").select(F.expr("run div 2").alias("tool"), "hr", F.col("right").alias("own"))
+    oracle = q.filter("run % 2 = 1").select(F.expr("run div 2").alias("tool"), "hr", F.col("right").alias("orc"))
+    r = own.join(oracle, ["tool", "hr"]).groupBy("tool").agg(
+        F.count(F.lit(1)).alias("n"), sc.pct1(F.count_if("own"), F.count(F.lit(1))).alias("own_ex"),
+        sc.pct1(F.count_if("orc"), F.count(F.lit(1))).alias("oracle_ex"))
+    return r.withColumn("gap", F.round(F.col("oracle_ex") - F.col("own_ex"), 1))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import HASH_RANGE, hash_int, pad_key, slug
@@ -503,3 +504,22 @@ def gen_contacts(t: Tables):
         F.concat(F.upper(F.substring(word, 1, 6)), F.lit("-"), pad_key(key, 7)).alias("code"),
         F.concat(F.lit("+1"), number.cast("string")).alias("phone"),
         F.concat(house.cast("string"), F.lit(" "), F.col("c_mktsegment")).alias("street"))
+
+
+@query("gen_dedup_groups", "G-DEDUP", f"""
+WITH d AS (SELECT o_orderkey, o_custkey, o_orderpriority, {H('ga', 'o_orderkey')} % 90 AS a, {H('gb', 'o_orderkey')} % 80 AS b
+           FROM orders WHERE o_orderkey IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY o_orderkey) AS r FROM d) WHERE r = 1)
+SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS r FROM one)
+WHERE r = 1""")
+def gen_dedup_groups(t: Tables):
+    """Several unique groups in turn: a row that an earlier group drops does not
+    count for a later one. Each turn is a map-side limited row_number() = 1."""
+    rows = t.orders.filter("o_orderkey IS NOT NULL").select(
+        "o_orderkey", "o_custkey", "o_orderpriority",
+        F.pmod(hash_int("ga", SEED, F.col("o_orderkey")), F.lit(90)).alias("a"),
+        F.pmod(hash_int("gb", SEED, F.col("o_orderkey")), F.lit(80)).alias("b"))
+    for group in (["a", "b"], ["o_custkey", "o_orderpriority"]):
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("o_orderkey"))) \
+            .filter("_r = 1").drop("_r")
+    return rows.select("o_orderkey")
