@@ -768,7 +768,7 @@ g AS (SELECT regexp_matches(lower(ltrim(sql)), '^({'|'.join(DML)})') AS refused,
 SELECT refused, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM g GROUP BY refused""")
 def dml_guard(t: Tables):
     """Statements that start with one of the nine writing words are refused."""
-    verb = F.element_at(F.array(*[F.lit(v) for v in _VERBS]), (F.col("doc_id") % len(_VERBS) + 1).cast("int"))
+    verb = F.get(F.array(*[F.lit(v) for v in _VERBS]), (F.col("doc_id") % len(_VERBS)).cast("int"))
     s = t.documents.select(F.concat(F.lit("  "), F.upper(verb), F.lit(" "), F.coalesce("text", F.lit(""))).alias("sql"))
     return (s.groupBy(F.lower(F.ltrim("sql")).rlike("^(" + "|".join(DML) + ")").alias("refused"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sql")).alias("chars")))

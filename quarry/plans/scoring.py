@@ -41,10 +41,10 @@ def run_rows(t: Tables):
         (k * 10).cast("double").alias("gen_ms"),
         F.col("value").alias("exec_ms"), F.lit(50.0).alias("gold_ms"),
         F.coalesce(F.when(et != "view", k * 50), F.floor("value").cast("long")).alias("tokens"),
-        F.element_at(_lit_array(sc.SHAPES), (F.col("event_id") % 4 + 1).cast("int")).alias("shape"),
-        F.element_at(_lit_array(sc.RETRIEVALS), ((F.col("event_id") / 4).cast("long") % 4 + 1).cast("int"))
+        F.get(_lit_array(sc.SHAPES), (F.col("event_id") % 4).cast("int")).alias("shape"),
+        F.get(_lit_array(sc.RETRIEVALS), (F.expr("event_id div 4") % 4).cast("int"))
         .alias("retrieval"),
-        F.element_at(_lit_array(MODELS), (F.col("user_id") % len(MODELS) + 1).cast("int")).alias("model"),
+        F.get(_lit_array(MODELS), (F.col("user_id") % len(MODELS)).cast("int")).alias("model"),
         F.hour("ts").alias("hr"), F.col("value").alias("claim_value"),
     )
 

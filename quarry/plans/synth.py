@@ -336,8 +336,8 @@ def gen_order_math(t: Tables):
                    * (1 - F.col("l_discount").cast("decimal(4,2)")), 2)
     l = t.lineitem.groupBy("l_orderkey").agg(F.sum(line).alias("subtotal"))
     def one_of(stream, values, kind):
-        at = F.pmod(hash_int(stream, SEED, F.col("l_orderkey")), F.lit(len(values))) + 1
-        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), at.cast("int"))
+        at = F.pmod(hash_int(stream, SEED, F.col("l_orderkey")), F.lit(len(values)))
+        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at.cast("int"))
 
     m = l.select("l_orderkey", "subtotal",
                  F.round(F.col("subtotal") * F.lit(TAX_RATE).cast("decimal(3,2)"), 2).alias("tax"),
@@ -368,8 +368,7 @@ SELECT ({'[' + ', '.join(repr(c) for c in PLAN_CODES) + ']'})[c_custkey % 5 + 1]
 FROM customer GROUP BY 1, 2""")
 def gen_reference(t: Tables):
     """Real reference values cycled over ids (plan codes over customers)."""
-    code = F.element_at(F.array(*[F.lit(c) for c in PLAN_CODES]),
-                        (F.col("c_custkey") % len(PLAN_CODES) + 1).cast("int"))
+    code = F.get(F.array(*[F.lit(c) for c in PLAN_CODES]), (F.col("c_custkey") % len(PLAN_CODES)).cast("int"))
     return (t.customer.groupBy(code.alias("code"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select("code", F.concat(F.initcap("code"), F.lit(" Plan")).alias("name"), "n"))
@@ -394,7 +393,7 @@ def _arr_sql(values) -> str:
 
 
 def _cycled(values, key: str):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+    return F.get(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
 
 
 @query("gen_integers", "G-NUM", " UNION ALL ".join(
