@@ -21,9 +21,9 @@ those windows is the union of the maximal spans above the threshold.
 Skew. A block of documents (see ``blocks``) sends each different run once,
 marked if it holds it several times. Of an anchor with more than ``BUSY``
 different runs in a block only a mark is sent; all runs of such an anchor,
-and of anchors with more than BUSY runs in total, take an exact path without
-automata: their windows are counted by hash, combined before the shuffle, and
-joined back (a skewed join that adaptive execution splits). Documents
+and the different runs of anchors with more than BUSY of them in total, take an
+exact path without automata: their windows are counted by hash, combined before the
+shuffle, and joined back (a skewed join that adaptive execution splits). Documents
 without a repeated anchor are never shuffled.
 
 Defined results: null text has no words; texts shorter than a window lose
@@ -48,7 +48,7 @@ from quarry.session import materialise
 
 LENGTH = 35
 GRAM = 8
-BUSY = 64
+BUSY = 2048
 #: Text names sent to every task at most (8 bytes each); beyond, all texts are joined.
 MAX_NODES = 1 << 22
 
@@ -56,7 +56,7 @@ _HASHES = WordHashes()
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
 
-REPEATED, BORDER, REFERENCE, COUNTED = 1, 2, 3, 4
+REPEATED, BORDER, REFERENCE, COUNTED, COUNTED_REFERENCE = 1, 2, 3, 4, 5
 
 
 def node_of(text: bytes) -> int:
@@ -166,13 +166,15 @@ def _settle(table: pa.Table) -> pa.Table:
         new_k = new_a | np.concatenate([[True], k[1:] != k[:-1]])
         of_a, of_k = np.cumsum(new_a) - 1, np.cumsum(new_k) - 1
         different = np.bincount(of_a, weights=new_k)
-        counted = (np.bincount(of_a, weights=flag[order] & 2) > 0) | (different > BUSY)
+        busy = np.bincount(of_a, weights=flag[order] & 2) > 0      # some block has sent a mark alone
+        counted = busy | (different > BUSY)
         repeated = (np.bincount(of_k) > 1) | (np.bincount(of_k, weights=flag[order] & 1) > 0)
         state = np.where(repeated[of_k], REPEATED, 0)
         shared = different[of_a] > 1
         state = np.where(shared & ~repeated[of_k], BORDER, state)
         state = np.where(shared & repeated[of_k] & new_k, REFERENCE, state)
-        state = np.where(counted[of_a], COUNTED, state)
+        known = np.where(repeated[of_k], np.where(new_k, COUNTED_REFERENCE, REPEATED), COUNTED)
+        state = np.where(counted[of_a], np.where(busy[of_a], COUNTED, known), state)
         back = np.empty(len(state), np.uint8)
         back[order] = state
         at = 0
@@ -207,17 +209,18 @@ def _by_text(table: pa.Table) -> pa.Table:
         keys, states = keys[order], states[order]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         state = np.where(keys[at] == key, states[at], 0)
-        reference = np.flatnonzero(state == REFERENCE)       # one copy of a run is enough
+        is_reference = (state == REFERENCE) | (state == COUNTED_REFERENCE)
+        reference = np.flatnonzero(is_reference)       # one copy of a run is enough
         once = np.zeros(len(key), bool)
         once[reference[np.unique(key[reference], return_index=True)[1]]] = True
-        state = np.where((state == REFERENCE) & ~once, REPEATED, state)
+        state = np.where(is_reference & ~once, REPEATED, state)
     text = np.repeat(np.arange(len(sizes)), sizes)
     used = np.unique(text[state > 0])
     lo, hi = np.searchsorted(text, used), np.searchsorted(text, used, side="right")
     done, open_ = [], []
     for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
         s, f, c = state[x:y], first[x:y].astype(np.int64), count[x:y].astype(np.int64)
-        sure = (s == REPEATED) | (s == REFERENCE)
+        sure = (s == REPEATED) | (s == REFERENCE) | (s == COUNTED_REFERENCE)
         done.append(_spans(f[sure], c[sure]) if sure.any() else None)
         rest = s >= BORDER
         open_.append(np.stack([f[rest], c[rest], s[rest]], axis=1).astype(np.uint32).tobytes() if rest.any() else None)
@@ -273,10 +276,12 @@ def _open_runs(length: int):
                     for first, count, state in np.frombuffer(open_, np.uint32).reshape(-1, 3).tolist():
                         span = order[first:first + length - GRAM + 1][::-1]
                         anchor = int(grams[first + length - GRAM - int(span.argmin())])
-                        if state == COUNTED:
+                        if state >= COUNTED:
                             if windows is None:
                                 windows = window_hashes(words, length)
-                            out += [(anchor, node, copies, s, True, windows[s:s + 1].tobytes())
+                            # a reference only counts (twice at least): its own windows are known to be repeated
+                            whose, times = (node, copies) if state == COUNTED else (None, copies + 1)
+                            out += [(anchor, whose, times, s, True, windows[s:s + 1].tobytes())
                                     for s in range(first, first + count)]
                         else:
                             out.append((anchor, node, copies, first, False,
@@ -395,7 +400,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counted = opened.filter("counted").select("anchor", "node", "copies", "first", "words")
     often = (counted.groupBy("anchor", "words").agg(F.sum("copies").alias("times"))
              .filter("times > 1").select("anchor", "words"))
-    starts = (counted.join(often, ["anchor", "words"]).select("node", "first")
+    starts = (counted.filter("node IS NOT NULL").join(often, ["anchor", "words"]).select("node", "first")
               .mapInArrow(_pack_starts, "node long, done binary"))
     sure = texts.filter("done IS NOT NULL").select("node", "done")
     each = sure.unionByName(matched).unionByName(starts).distinct()

@@ -303,7 +303,7 @@ def spliced(seed, n=150):
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("busy", [64, 1])
+@pytest.mark.parametrize("busy", [2048, 1])
 def test_substring_spliced(spark, monkeypatch, busy):
     """With BUSY 1 every border run takes the counted way."""
     monkeypatch.setattr(substring, "BUSY", busy)
