@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-MAX_TOXIC, MAX_CLEAN = 4096, 8192
+MAX_TOXIC, MAX_CLEAN = 2048, 4096
 REJECT = 0.4
 MIN_DOCS = 4          # sample documents that must hold a feature
 MIN_LOG_ODDS = 1.0    # features about as frequent on either side carry no weight
