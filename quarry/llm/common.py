@@ -62,7 +62,7 @@ class WordHashes(dict):
     """word bytes -> unsigned 64-bit hash; forgets everything when it holds
     ``limit`` words, so a task's memory stays bounded."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 
@@ -77,6 +77,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: The worker's one cache of word hashes; operators that run in turn share it.
+WORDS = WordHashes()
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

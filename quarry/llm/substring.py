@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WordHashes, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import WORDS, mix64, shuffle_partitions, text_rows, window_hashes
 from quarry.session import materialise
 
 LENGTH = 35
@@ -52,7 +52,6 @@ BUSY = 2048
 #: Text names sent to every task at most (8 bytes each); beyond, all texts are joined.
 MAX_NODES = 1 << 22
 
-_HASHES = WordHashes()
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
 
@@ -114,7 +113,7 @@ def _send(parts: int, length: int):
                 node = node_of(text)
                 copies[node] = copies.get(node, 0) + 1
                 if copies[node] == 1:
-                    found = runs(_HASHES.of(text.split()), length)
+                    found = runs(WORDS.of(text.split()), length)
                     for to, values in zip((anchor, key, first, count), found, strict=True):
                         to.append(values)
                     sizes.append(len(found[0]))
@@ -269,7 +268,7 @@ def _open_runs(length: int):
                 out: list[tuple] = []
                 for node, copies, open_, text in zip(*(part.column(c).to_pylist() for c in
                                                        ("node", "copies", "open", "body")), strict=True):
-                    words = _HASHES.of(text.split())
+                    words = WORDS.of(text.split())
                     grams = window_hashes(words, GRAM).view(np.int64)
                     order = grams.view(np.uint64)
                     windows = None

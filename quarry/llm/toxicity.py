@@ -74,7 +74,7 @@ class Model:
     def _weight(self, feature: str) -> float:
         w = self._cache.get(feature)
         if w is None:
-            if len(self._cache) >= 1 << 19:
+            if len(self._cache) >= 1 << 17:
                 self._cache.clear()
             w = self._cache[feature] = self.weights.get(_hash(feature), 0.0)
         return w
