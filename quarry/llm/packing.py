@@ -56,16 +56,17 @@ BYTE_CHARS = _byte_chars()
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes, from the library; bounded."""
+    """word -> its ids as little-endian unsigned 32-bit bytes, from the library.
+    At most twice ``limit`` words, the older half of which goes at once."""
 
-    def __init__(self, path: str, limit: int = 1 << 19, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1 << 18, longest: int = 64):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.old = limit, longest, {}
 
     def _encode(self, word: str) -> bytes:
         """A run of letters is one match of the pattern, so the library's merges take
@@ -85,9 +86,12 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._encode(word)
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self._encode(word)
         if len(word) <= self.longest:
-            if len(self) >= self.limit:
+            if len(self) >= self.limit:        # words that are used again come back from the older half
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -129,7 +133,7 @@ _PIECE = ("doc_id long, start long, length long, doc_tokens long, ids_crc32 long
           "part int, nth long")
 
 
-def _cut(limit: int):
+def _cut(limit: int, with_ids: bool = True):
     def run(batches):
         part = TaskContext.get().partitionId()
         seen: Counter = Counter()
@@ -139,7 +143,8 @@ def _cut(limit: int):
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, limit):
                     piece = ids[4 * start:4 * (start + length)]
-                    rows.append((doc, start, length, n, zlib.crc32(piece), piece, part, seen[length]))
+                    rows.append((doc, start, length, n, zlib.crc32(piece), piece if with_ids else None, part,
+                                 seen[length]))
                     seen[length] += 1
                     start += length
             kinds = (pa.int64(),) * 5 + (pa.large_binary(), pa.int32(), pa.int64())
@@ -175,6 +180,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, limit: int = MAX_LENGTH, id_
     """One row per piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id,
     offset. The ids themselves are in ``pieces(token_ids(...))``, which the
     sequence ids join by (doc_id, start)."""
-    cut = pieces(token_ids(df, path, end_id, id_col, text_col), limit)
-    out = number_sequences(materialise(cut.drop("ids")))
+    tokenise, cut = _tokenise(path, end_id), _cut(limit, with_ids=False)
+    rows = text_rows(df, id_col, text_col).mapInArrow(lambda batches: cut(tokenise(batches)), _PIECE)
+    out = number_sequences(materialise(rows.drop("ids")))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
