@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WORDS, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import WORDS, bounded_batches, mix64, shuffle_partitions, text_rows, window_hashes
 from quarry.session import materialise
 
 LENGTH = 35
@@ -451,6 +451,7 @@ def _mark(shared, text_at: int):
 def with_windows(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """All columns and rows plus __done, the repeated windows of the text (or null).
     Texts without any are not shuffled."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("doc_id", F.lit(0).cast("long"))
     found = repeated_windows(docs.select("doc_id", "text"), length)
     shared = _names(found)

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from quarry.llm.common import bounded_batches
+
 MAX_TOXIC, MAX_CLEAN = 2048, 4096
 REJECT = 0.4
 MIN_DOCS = 4          # sample documents that must hold a feature
@@ -174,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def severity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` plus severity (expected grade), p_toxic and grade
     (the largest k with P(grade >= k) at least one half)."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = df.schema
 
