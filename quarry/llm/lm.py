@@ -1,11 +1,8 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Model. Words are lower-cased (A-Z) runs of non-space bytes, and every text
-ends with one end token. The n-grams that occur at least ``cutoff`` times in
-the training texts become states; ``cutoff`` is the larger of 2 and N divided by ``MAX_STATES``
-(N: training tokens), so that at most MAX_STATES n-grams of each order can
-pass: that is the proven size bound of the broadcast. Below the bound the
-kept n-grams grow with the corpus.
+ends with one end token. The n-grams that occur at least ``CUTOFF`` times in
+the training texts are kept, at every input size: nothing bounds their number.
 
     P(w | h) = (c(hw) - d) / c(h)        if hw is a kept n-gram
              = bow(h) * P(w | h')        else, h' being h without its first word
@@ -13,18 +10,19 @@ kept n-grams grow with the corpus.
 
 bow(h) makes each state's probabilities add up to one. An arc (state, word)
 carries log10 P; a failure arc carries log10 bow and leads to the state of
-h'. One traversal from left to right carries the state and adds up the arcs.
+h'. One traversal from left to right adds up the arcs.
 
-Work. Counting order k sends only n-grams whose two (k-1)-grams are kept (no
-other can pass the cutoff). The base probability of a word that is not kept
-needs its exact count: such words go as packed postings (see ``blocks``) to
-their word partition, which also receives their training counts, and come
-back as one sum per document. So nothing of the corpus's vocabulary but the
-kept n-grams is held in one place.
+Work. The model stays in partitions, by the 64-bit name of an n-gram; no task,
+and not the driver, holds more of it than a partition. A block of documents
+(see ``blocks``) sends each of its distinct n-grams once, with its training
+count, and is answered with the whole counts: these are the arcs that its
+texts can take, so it traverses the automaton of its own n-grams. The weight
+of a failure arc depends on all words that follow h anywhere: one block of
+those that hold a kept n-gram hw (its owner) reports it to the partition of h,
+as whole numbers (see ``_Context``), and the block that failed from h is
+answered with their sums. A very common n-gram is one entry a block.
 
-Long documents are traversed in lanes of ``LANE`` tokens, each entered
-``order - 1`` tokens early: by then the state is the same as if it had been
-carried from the start, since a state never remembers more.
+Two different n-grams of one order share a name with probability 2^-64.
 
 Defined results: null text is empty (the end token alone); a null id is
 trained on; equal rows each count; an empty training set scores by P alone.
@@ -32,6 +30,7 @@ trained on; equal rows each count; an empty training set scores by P alone.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 
@@ -41,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
-from quarry.llm.common import shuffle_partitions, text_rows
-from quarry.session import materialise
+from quarry.llm.common import WORDS, shuffle_partitions, text_rows, window_hashes
 
-MAX_STATES = 1 << 22
+CUTOFF = 2
 DISCOUNT = 0.75
-LANE = 512
 END = b" "          # no word holds a space
+#: Names that the tests read or set: states have no bound, and a block needs no lanes.
+MAX_STATES = math.inf
+LANE = 512
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -60,299 +60,303 @@ def _tokens(text: bytes) -> list[bytes]:
     return words
 
 
+# -- packed numbers ---------------------------------------------------------------------
+
+def _pack(values: np.ndarray) -> tuple:
+    """Non-negative numbers as byte planes, as many as the largest needs."""
+    values = np.ascontiguousarray(values, dtype=np.uint64)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return len(values), width, values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(packed: tuple) -> np.ndarray:
+    n, width, planes = packed
+    values = np.zeros((n, 8), np.uint8)
+    if n and width:
+        values[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return values.view(np.uint64).reshape(n)
+
+
+def _pack_names(names: np.ndarray) -> tuple:
+    """Sorted distinct names: the first, and the gaps."""
+    return (int(names[0]), _pack(np.diff(names))) if len(names) else (None, None)
+
+
+def _unpack_names(packed: tuple) -> np.ndarray:
+    first, gaps = packed
+    if gaps is None:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), _unpack(gaps)]), dtype=np.uint64)
+
+
+def _cuts(names: np.ndarray, parts: int) -> np.ndarray:
+    """Where each partition's names start among the sorted ones (it has a range of them)."""
+    part = ((names >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    names = np.sort(names)
+    return names[np.diff(names, prepend=~names[:1]) != 0]
+
+
+# -- the n-grams of a block -------------------------------------------------------------
+
+class Block:
+    """Texts as word names one after the other, with the distinct n-grams of each order."""
+
+    def __init__(self, words: np.ndarray, lens: np.ndarray, order: int):
+        self.lens, self.order = lens, order
+        self.doc = np.repeat(np.arange(len(lens)), lens)
+        self.nth = np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.names: list[np.ndarray] = [np.empty(0, np.uint64)]      # [k]: the distinct ones, sorted
+        self.at: list[np.ndarray] = [np.empty(0, np.int64)]          # [k]: which of them ends at each token, or -1
+        for k in range(1, order + 1):
+            inside = np.flatnonzero(self.nth >= k - 1)
+            names = words if k == 1 else window_hashes(words, k)[inside - (k - 1)]
+            by_name = np.argsort(names)
+            names = names[by_name]
+            new = np.diff(names, prepend=~names[:1]) != 0
+            at = np.full(len(words), -1, np.int64)
+            at[inside[by_name]] = np.cumsum(new) - 1
+            self.names.append(names[new])
+            self.at.append(at)
+
+    def training_counts(self, k: int, held: np.ndarray) -> np.ndarray:
+        at = self.at[k]
+        return np.bincount(at[(at >= 0) & ~held[self.doc]], minlength=len(self.names[k]))
+
+
+def _read(batches):
+    """(block id, doc ids, held out, word names, tokens per document)."""
+    for block, ids, texts in B.blocks(batches, as_bytes=True):
+        words = [WORDS.of(_tokens(t)) for t in texts]
+        held = np.array([is_held_out(d) for d in ids])
+        yield block, ids, held, np.concatenate(words), np.array([len(w) for w in words])
+
+
 # -- counting ---------------------------------------------------------------------------
 
 def _send_words(parts: int):
-    """Training counts of each block's words, packed by word partition."""
+    """The block's distinct training words by partition, and its number of tokens."""
     def rows(batches):
-        for block, ids, texts in B.blocks(batches, as_bytes=True):
-            local, counts = B.LocalIds(), []
-            for doc, text in zip(ids, texts, strict=True):
-                if not is_held_out(doc):
-                    words = _tokens(text)
-                    counts.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
-            if not counts:
-                continue
-            words = list(local)
-            n = np.bincount(np.concatenate(counts), minlength=len(words))
-            part = B.word_parts(words, parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mine = order[a:b]
-                packed = B.pack_words([words[w] for w in mine.tolist()])
-                yield int(part[mine[0]]), block, False, pickle.dumps((b - a, *packed, n[mine].astype(np.uint32)), 5)
+        for block, _, held, words, lens in _read(batches):
+            words = words[np.repeat(~held, lens)]
+            names = _distinct(words)
+            cuts = _cuts(names, parts)
+            yield block % parts, block, True, pickle.dumps(len(words), 5)
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                yield p, block, False, pickle.dumps(_pack_names(names[cuts[p]:cuts[p + 1]]), 5)
 
     return lambda batches: B.row_batches(rows(batches))
 
 
-def _total_words(table: pa.Table) -> pa.Table:
-    """(word, count) of the words counted twice or more, and a row without word for
-    the partition: its tokens and distinct words."""
-    total: dict[bytes, int] = {}
-    for payload in table.column("payload").to_pylist():
-        n, joined, lengths, counts = pickle.loads(payload)
-        for w, c in zip(B.unpack_words(joined, lengths, n), counts.tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    kept = [(w, c) for w, c in total.items() if c > 1]
-    return pa.table({"word": pa.array([w for w, _ in kept] + [None], pa.binary()),
-                     "n": pa.array([c for _, c in kept] + [sum(total.values())], pa.int64()),
-                     "distinct": pa.array([0] * len(kept) + [len(total)], pa.int64())})
-
-
-class Grams:
-    """The kept n-grams. keys[k]: sorted keys of order k, (number of the
-    n-gram's first k-1 words in order k-1) << 32 | word number."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, n_tokens: int, n_distinct: int):
-        self.words, self.n, self.v = words, n_tokens, n_distinct
-        self.keys: list[np.ndarray] = [np.empty(0, np.int64), np.arange(len(words), dtype=np.int64)]
-        self.counts: list[np.ndarray] = [np.empty(0, np.int64), counts]
-        self._ids: dict[bytes, int] | None = None
-        self._machine: Automaton | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_ids": None, "_machine": None}
-
-    @property
-    def order(self) -> int:
-        return len(self.keys) - 1
-
-    def word_ids(self) -> dict[bytes, int]:
-        if self._ids is None:
-            self._ids = {w: i for i, w in enumerate(self.words)}
-        return self._ids
-
-    def find(self, k: int, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Numbers of the order-k n-grams (prefix, word), -1 where there is none."""
-        keys = self.keys[k]
-        if not len(keys) or not len(prefix):
-            return np.full(len(prefix), -1, np.int64)
-        want = (prefix << 32) | word
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where((prefix >= 0) & (word >= 0) & (keys[at] == want), at, -1)
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys.append(keys[order])
-        self.counts.append(counts[order])
-
-
-def _send_grams(grams):
-    """Candidates of the next order in the training texts: (key, n) per block."""
-    def run(batches):
-        g = grams.value
-        ids, k = g.word_ids(), g.order + 1
-        get = ids.get
-        for _, docs, texts in B.blocks(batches, as_bytes=True):
-            found = []
-            for doc, text in zip(docs, texts, strict=True):
-                if is_held_out(doc):
-                    continue
-                words = _tokens(text)
-                word = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                state = word
-                for j in range(2, k):
-                    state = np.concatenate([[-1], g.find(j, state[:-1], word[1:])])
-                use = (state[:-1] >= 0) & (state[1:] >= 0)
-                found.append((state[:-1][use] << 32) | word[1:][use])
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                for lo in range(0, len(keys), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:lo + 65536], pa.int64()),
-                                                      pa.array(n[lo:lo + 65536].astype(np.int64))], ["key", "n"])
+def _count_words(table: pa.Table) -> pa.Table:
+    n, names = 0, [np.empty(0, np.uint64)]
+    for docs, payload in zip(table.column("docs").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        if docs:
+            n += pickle.loads(payload)
+        else:
+            names.append(_unpack_names(pickle.loads(payload)))
+    return pa.table({"n": pa.array([n], pa.int64()), "distinct": pa.array([len(_distinct(np.concatenate(names)))], pa.int64())})
 
-    return run
 
+def _send_grams(order: int, parts: int):
+    """The block's documents, and its distinct n-grams with their training counts by partition."""
+    def rows(batches):
+        for block, ids, held, words, lens in _read(batches):
+            b = Block(words, lens, order)
+            yield block % parts, block, True, pickle.dumps(
+                (ids, held, lens, _pack_names(b.names[1]), _pack(b.at[1])), 5)
+            cuts = [_cuts(names, parts) for names in b.names]
+            counts = [None] + [b.training_counts(k, held) for k in range(1, order + 1)]
+            for p in range(parts):
+                at = [slice(c[p], c[p + 1]) for c in cuts]
+                if any(s.start < s.stop for s in at[1:]):
+                    yield p, block, False, pickle.dumps(
+                        [(_pack_names(b.names[k][at[k]]), _pack(counts[k][at[k]])) for k in range(1, order + 1)], 5)
 
-def train(docs: DataFrame, order: int = 3, parts: int | None = None) -> Grams:
-    """Counts the n-grams of (doc_id, text) rows; the kept ones come to the driver
-    (at most MAX_STATES of each order)."""
-    spark = docs.sparkSession
-    parts = parts or 4 * shuffle_partitions(spark)
-    words = materialise(docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part")
-                        .applyInArrow(_total_words, "word binary, n long, distinct long"))
-    n, v = words.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)),
-                                            F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    cutoff = max(2, -(-n // MAX_STATES))
-    kept = words.filter((F.col("n") >= cutoff) & F.col("word").isNotNull()).select("word", "n").toArrow()
-    kept = kept.sort_by("word")
-    grams = Grams(kept.column("word").to_pylist(), kept.column("n").to_numpy().astype(np.int64), n, v)
-    for _ in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(grams)
-        found = (docs.mapInArrow(_send_grams(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= cutoff).toArrow())
-        shared.unpersist()
-        grams.add_order(found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64))
-    return grams
+    return lambda batches: B.row_batches(rows(batches))
 
 
-# -- the automaton ----------------------------------------------------------------------
+def _by_block(table: pa.Table) -> tuple[list, list]:
+    """The (part, block, payload) rows of documents and of others, these by block."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "docs", "payload")), strict=True))
+    return ([(p, b, x) for p, b, docs, x in rows if docs],
+            sorted(((p, b, x) for p, b, docs, x in rows if not docs), key=lambda r: r[1]))
 
-class Automaton:
-    """States are kept n-grams of orders 0 (the root) to n-1, numbered order by order."""
-
-    def __init__(self, grams: Grams):
-        g, n = grams, grams.order
-        self.grams = g
-        self.first = np.cumsum([0, 1] + [len(g.keys[k]) for k in range(1, n)])    # first state of each order
-        size = int(self.first[n - 1] + (len(g.keys[n - 1]) if n > 1 else 1))
-        self.fail = np.zeros(size, np.int64)
-        self.log_bow = np.zeros(size)
-        base = (g.counts[1] + 0.5) / (g.n + 0.5 * (g.v + 1))
-        self.log_p: list[np.ndarray] = [np.empty(0), np.log10(base)]
-        self.target: list[np.ndarray] = [np.empty(0, np.int64)]
-        prob, shorter = base, np.full(len(g.keys[1]), -1, np.int64)    # of order k-1: probability, number of suffix
-        for k in range(1, n + 1):
-            if k > 1:
-                prefix, word = g.keys[k] >> 32, g.keys[k] & 0xFFFFFFFF
-                # the n-gram's suffix is the order k-1 n-gram (suffix of its prefix, last word)
-                suffix = word if k == 2 else g.find(k - 1, shorter[prefix], word)
-                p = (g.counts[k] - DISCOUNT) / g.counts[k - 1][prefix]
-                taken = np.bincount(prefix, weights=p, minlength=len(g.keys[k - 1]))
-                lower = np.bincount(prefix, weights=prob[suffix], minlength=len(g.keys[k - 1]))
-                at = self.first[k - 1]
-                self.log_bow[at:at + len(taken)] = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
-                self.log_p.append(np.log10(p))
-                prob, shorter = p, suffix
-            own = self.first[k] + np.arange(len(g.keys[k])) if k < n else None
-            if k < n:
-                self.fail[self.first[k]:self.first[k] + len(g.keys[k])] = 0 if k == 1 else self.first[k - 1] + shorter
-                self.target.append(own)
-            else:      # the longest n-grams lead to their suffix
-                self.target.append(np.zeros(len(g.keys[1]), np.int64) if n == 1 else self.first[n - 1] + shorter)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, log10 weight) of reading one word in each lane. A word that
-        is not kept (-1) costs the failure arcs to the root; P(w) comes later."""
-        weight = np.zeros(len(state))
-        after = np.zeros(len(state), np.int64)
-        open_ = np.arange(len(state))
-        for k in range(self.grams.order, 1, -1):       # states of order k-1
-            lo = self.first[k - 1]
-            at = open_[state[open_] >= lo]
-            if not len(at):
-                continue
-            gram = self.grams.find(k, state[at] - lo, word[at])
-            hit = gram >= 0
-            weight[at[hit]] += self.log_p[k][gram[hit]]
-            after[at[hit]] = self.target[k][gram[hit]]
-            miss = at[~hit]
-            weight[miss] += self.log_bow[state[miss]]
-            state[miss] = self.fail[state[miss]]
-            closed = np.zeros(len(state), bool)
-            closed[at[hit]] = True
-            open_ = open_[~closed[open_]]
-        known = open_[word[open_] >= 0]
-        weight[known] += self.log_p[1][word[known]]
-        after[known] = self.target[1][word[known]]
-        return after, weight
-
-    def score(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Sum of weights per document; flat: word numbers, document after document."""
-        warm = self.grams.order - 1
-        doc = np.repeat(np.arange(len(lens)), -(-lens // LANE))
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(-(-lens // LANE)) - -(-lens // LANE), -(-lens // LANE))
-        start = np.repeat(np.cumsum(lens) - lens, -(-lens // LANE)) + nth * LANE
-        length = np.minimum(LANE, lens[doc] - nth * LANE)
-        order = np.argsort(-length, kind="stable")
-        doc, nth, start, length = doc[order], nth[order], start[order], length[order]
-        state, total = np.zeros(len(doc), np.int64), np.zeros(len(doc))
-        for t in range(-warm, 0):
-            inside = np.flatnonzero(nth > 0)
-            state[inside], _ = self.step(state[inside], flat[start[inside] + t])
-        for t in range(int(length[0]) if len(length) else 0):
-            live = int(np.searchsorted(-length, -t, side="left"))        # lanes longer than t come first
-            state[:live], weight = self.step(state[:live], flat[start[:live] + t])
-            total[:live] += weight
-        return np.bincount(doc, weights=total, minlength=len(lens))
 
+def _total_grams(order: int):
+    """Answers each block with the whole counts of its n-grams (0: not kept) and with
+    which of them it owns: the first block that has one in a training text does."""
+    def run(table: pa.Table) -> pa.Table:
+        docs, sent = _by_block(table)
+        payloads = [pickle.loads(x) for _, _, x in sent]
+        answers: list[list] = [[] for _ in sent]
+        for k in range(1, order + 1) if sent else ():
+            names = [_unpack_names(x[k - 1][0]) for x in payloads]
+            ends = np.cumsum([len(x) for x in names])
+            own = np.concatenate([_unpack(x[k - 1][1]) for x in payloads]).astype(np.int64)
+            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+            del names
+            total = np.bincount(which, weights=own, minlength=len(distinct)).astype(np.int64)
+            trained = np.flatnonzero(own)[::-1]
+            first = np.zeros(len(distinct), np.int64)
+            first[which[trained]] = trained           # the last one written is the first in order
+            whole = total[which]
+            owner = (first[which] == np.arange(len(which))) & (own > 0)
+            for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                kept = whole[lo:hi] >= (1 if k == 1 else CUTOFF)
+                answer.append((hi - lo, np.packbits(kept).tobytes(), _pack(whole[lo:hi][kept]),
+                               np.packbits(owner[lo:hi][kept]).tobytes()))
+        return pa.Table.from_batches([B.batch_of(
+            [(p, b, True, x) for p, b, x in docs]
+            + [(p, b, False, pickle.dumps(a, 5)) for (p, b, _), a in zip(sent, answers, strict=True)])])
 
-# -- scoring ----------------------------------------------------------------------------
+    return run
 
-def _automaton(grams: Grams) -> Automaton:
-    """Built once per Python worker: the broadcast value stays there between tasks."""
-    if grams._machine is None:
-        grams._machine = Automaton(grams)
-    return grams._machine
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
 
-def _send_scores(shared, parts: int):
-    def rows(batches):
-        machine = _automaton(shared.value)
-        g = machine.grams
-        ids, n_kept = g.word_ids(), len(g.words)
-        for block, docs, texts in B.blocks(batches, as_bytes=True):
-            rare = B.LocalIds()
-            flat, lens = [], []
-            get = ids.get
-            for text in texts:
-                words = _tokens(text)
-                word = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                at = np.flatnonzero(word < 0)
-                word[at] = [-1 - rare[words[i]] for i in at.tolist()]
-                flat.append(word)
-                lens.append(len(words))
-            flat, lens = np.concatenate(flat), np.array(lens)
-            held = np.array([is_held_out(d) for d in docs])
-            doc = np.repeat(np.arange(len(lens)), lens)
-            known = flat >= 0
-            local_base = np.bincount(doc[known], weights=machine.log_p[1][flat[known]], minlength=len(lens))
-            local_known = np.bincount(doc[known], minlength=len(lens))
-            score = machine.score(np.maximum(flat, -1).astype(np.int64), lens)
-            yield block % parts, block, True, pickle.dumps((docs, held, lens, local_known, local_base, score), 5)
-            words = list(rare)
-            missing = np.where(known, -1, -1 - flat)
-            trained = np.bincount(missing[~known & ~held[doc]], minlength=len(words))
-            for part, payload in B.posting_rows(block, words, missing, lens, parts, extra=trained, spread=False):
-                yield part, block, False, payload
 
-    return lambda batches: B.row_batches(rows(batches))
+def _whole_counts(answers: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all the block's n-grams of order k: whole counts, and which ones it owns."""
+    counts, owns = [np.empty(0, np.int64)], [np.zeros(0, bool)]
+    for answer in answers:
+        n, bits, whole, owned = answer[k - 1]
+        kept, count, own = _bits(bits, n), np.zeros(n, np.int64), np.zeros(n, bool)
+        count[kept] = _unpack(whole).astype(np.int64)
+        own[kept] = _bits(owned, int(kept.sum()))
+        counts.append(count)
+        owns.append(own)
+    return np.concatenate(counts), np.concatenate(owns)
+
+
+# -- the automaton ----------------------------------------------------------------------
+
+class _Context:
+    """What a block tells of the states of one order, each by its number among the
+    block's n-grams. Of the kept hw that the block owns: the sum of c(hw), their
+    number, the sum of c(h'w). And how often it fails from h in each document."""
+
+    def __init__(self, size: int):
+        self.sums = np.zeros((3, size), np.int64)
+        self.failed_doc = np.empty(0, np.int64)
+        self.failed = np.empty(0, np.int64)
+
+
+def traverse(b: Block, counts: list, owns: list, space: float) -> tuple:
+    """(log10 weights of all arcs but failure arcs, per document; base score; known
+    words; a _Context of each order). ``counts`` and ``owns`` as from _whole_counts."""
+    at = b.at
+    count = [None] + [np.where(at[k] >= 0, counts[k][at[k]], 0) if len(counts[k]) else np.zeros(len(at[k]), np.int64)
+                      for k in range(1, b.order + 1)]
+    contexts = [None] + [_Context(len(b.names[k])) for k in range(1, b.order)]
+    base = np.log10((count[1] + 0.5) / space)
+    weight = np.zeros(len(b.doc))
+    open_ = np.ones(len(b.doc), bool)          # tokens for which no arc has been found yet
+    for k in range(b.order, 1, -1):            # arcs that leave the states of order k-1
+        inside = np.flatnonzero(b.nth >= k - 1)
+        context = contexts[k - 1]
+        state = inside[open_[inside] & (count[k - 1][inside - 1] >= CUTOFF)]
+        hit = count[k][state] >= CUTOFF
+        arc, miss = state[hit], state[~hit]
+        weight[arc] = np.log10((count[k][arc] - DISCOUNT) / count[k - 1][arc - 1])
+        open_[arc] = False
+        context.failed_doc, context.failed = b.doc[miss], at[k - 1][miss - 1]
+        where = np.zeros(len(b.names[k]), np.int64)       # a token at which each n-gram ends
+        where[at[k][inside]] = inside
+        end = where[owns[k] & (counts[k] >= CUTOFF)]
+        for row, values in enumerate((count[k][end], np.ones(len(end)), count[k - 1][end])):
+            context.sums[row] = np.bincount(at[k - 1][end - 1], weights=values, minlength=context.sums.shape[1])
+    weight[open_] = base[open_]
+    docs = len(b.lens)
+    return (np.bincount(b.doc, weights=weight, minlength=docs), np.bincount(b.doc, weights=base, minlength=docs),
+            np.bincount(b.doc[count[1] > 0], minlength=docs), contexts)
+
+
+def log_bow(sums: np.ndarray, count: np.ndarray, shorter: np.ndarray | None, space: float) -> np.ndarray:
+    """Of states h, from the sums of a _Context over the whole input, c(h) and c(h')."""
+    kept, number, lower = sums
+    taken = (kept - DISCOUNT * number) / count
+    lower = (lower + 0.5 * number) / space if shorter is None else (lower - DISCOUNT * number) / shorter
+    return np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
 
 
-def _rare_words(n: int, v: int):
-    """Sums log10 P(w) of the words that are not kept, whose whole counts meet here."""
-    floor, space = 0.5, n + 0.5 * (v + 1)
+# -- scoring ----------------------------------------------------------------------------
 
+def _send_contexts(order: int, parts: int, space: float):
+    """Traverses a block; sends its documents and its contexts by partition."""
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_pylist() for c in ("block", "docs", "payload")]
-        count: dict[bytes, int] = {}
-        for _, docs, payload in zip(*columns, strict=True):
-            if not docs:
-                k, joined, lengths, _, _, _, trained, _ = pickle.loads(payload)
-                for w, c in zip(B.unpack_words(joined, lengths, k), trained.tolist(), strict=True):
-                    count[w] = count.get(w, 0) + c
-        rows = []
-        for block, docs, payload in zip(*columns, strict=True):
-            if docs:
-                rows.append((0, block, True, payload))
-                continue
-            k, joined, lengths, holders, doc, freq, _, n_docs = pickle.loads(payload)
-            c = np.fromiter(map(count.__getitem__, B.unpack_words(joined, lengths, k)), np.int64, k)
-            logs = np.repeat(np.log10((c + floor) / space), holders) * freq
-            known = np.repeat(c > 0, holders) * freq.astype(np.int64)
-            sums = np.bincount(doc, weights=logs, minlength=n_docs)
-            seen = np.bincount(doc, weights=known, minlength=n_docs)
-            hit = np.flatnonzero(sums)
-            rows.append((0, block, False, pickle.dumps((hit.astype(np.uint16), sums[hit], B._small(seen[hit].astype(np.int64))), 5)))
+        docs, answered = _by_block(table)
+        block = docs[0][1]
+        ids, held, lens, names, numbers = pickle.loads(docs[0][2])
+        b = Block(_unpack_names(names)[_unpack(numbers).astype(np.int64)], lens, order)
+        answers = [pickle.loads(x) for _, _, x in sorted(answered)]          # by part: in the order of the names
+        counts, owns = zip((None, None), *(_whole_counts(answers, k) for k in range(1, order + 1)), strict=True)
+        weight, base, known, contexts = traverse(b, counts, owns, space)
+        failed, by_part = [], [[] for _ in range(parts)]
+        for k in range(1, order):
+            context = contexts[k]
+            use = context.sums[1] > 0
+            use[context.failed] = True
+            chosen = np.flatnonzero(use)
+            shorter = None
+            if k > 1:
+                inside = np.flatnonzero(b.nth >= k - 1)
+                where = np.zeros(len(use), np.int64)
+                where[b.at[k][inside]] = inside
+                shorter = _pack(counts[k - 1][b.at[k - 1][where[chosen]]])
+            failed.append((_pack(counts[k][chosen]), shorter, _pack(np.bincount(context.failed_doc, minlength=len(lens))),
+                           _pack(np.searchsorted(chosen, context.failed))))
+            cuts = _cuts(b.names[k][chosen], parts)
+            for p in range(parts):
+                mine = chosen[cuts[p]:cuts[p + 1]]
+                by_part[p].append((_pack_names(b.names[k][mine]), [_pack(s[mine]) for s in context.sums]))
+        rows = [(block % parts, block, True, pickle.dumps((ids, held, lens, known, base, weight, failed), 5))]
+        rows += [(p, block, False, pickle.dumps(x, 5)) for p, x in enumerate(by_part) if any(n[1] is not None for n, _ in x)]
         return pa.Table.from_batches([B.batch_of(rows)])
 
     return run
 
 
-def _gather(n: int):
+def _total_contexts(order: int):
+    """Answers each block with the sums over all blocks of the contexts it sent."""
     def run(table: pa.Table) -> pa.Table:
-        flags, payloads = table.column("docs").to_pylist(), [pickle.loads(x) for x in table.column("payload").to_pylist()]
-        docs, held, lens, known, base, score = next(p for f, p in zip(flags, payloads, strict=True) if f)
-        for is_docs, payload in zip(flags, payloads, strict=True):
-            if not is_docs:
-                at, sums, seen = payload
-                base[at] += sums
-                score[at] += sums
-                known[at] += seen
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "held_out": pa.array(held),
+        docs, sent = _by_block(table)
+        payloads = [pickle.loads(x) for _, _, x in sent]
+        answers: list[list] = [[] for _ in sent]
+        for k in range(1, order) if sent else ():
+            names = [_unpack_names(x[k - 1][0]) for x in payloads]
+            ends = np.cumsum([len(x) for x in names])
+            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+            sums = [np.bincount(which, weights=np.concatenate([_unpack(x[k - 1][1][row]) for x in payloads]),
+                                minlength=len(distinct)).astype(np.int64)[which] for row in range(3)]
+            for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                answer.append([_pack(s[lo:hi]) for s in sums])
+        return pa.Table.from_batches([B.batch_of(
+            [(p, b, True, x) for p, b, x in docs]
+            + [(p, b, False, pickle.dumps(a, 5)) for (p, b, _), a in zip(sent, answers, strict=True)])])
+
+    return run
+
+
+def _gather(order: int, n: int, space: float):
+    """Adds the weights of the failure arcs."""
+    def run(table: pa.Table) -> pa.Table:
+        docs, answered = _by_block(table)
+        ids, held, lens, known, base, score, failed = pickle.loads(docs[0][2])
+        answers = [pickle.loads(x) for _, _, x in sorted(answered)]
+        for k in range(1, order):
+            count, shorter, per_doc, state = failed[k - 1]
+            sums = np.array([np.concatenate([np.empty(0), *(_unpack(a[k - 1][row]) for a in answers)]) for row in range(3)])
+            bow = log_bow(sums, _unpack(count).astype(float), None if shorter is None else _unpack(shorter).astype(float), space)
+            doc = np.repeat(np.arange(len(lens)), _unpack(per_doc).astype(np.int64))
+            score += np.bincount(doc, weights=bow[_unpack(state).astype(np.int64)], minlength=len(lens))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held),
                          "n_tokens": pa.array(lens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                         "train_tokens": pa.array([n] * len(docs), pa.int64()), "base_score": pa.array(base),
+                         "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base),
                          "score": pa.array(score)})
 
     return run
@@ -361,15 +365,14 @@ def _gather(n: int):
 def score(df: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the rows that are not held out and scores every row: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = df.sparkSession
     docs = text_rows(df, id_col, text_col)
-    parts = 4 * shuffle_partitions(spark)
-    grams = train(docs, order, parts)
-    shared = spark.sparkContext.broadcast(grams)
-    sent = docs.mapInArrow(_send_scores(shared, parts), B.ROW)
-    summed = sent.groupBy("part").applyInArrow(_rare_words(grams.n, grams.v), B.ROW)
+    parts = 4 * shuffle_partitions(df.sparkSession)
+    words = docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part").applyInArrow(_count_words, "n long, distinct long")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    space = n + 0.5 * (v + 1)
+    counted = docs.mapInArrow(_send_grams(order, parts), B.ROW).groupBy("part").applyInArrow(_total_grams(order), B.ROW)
+    contexts = counted.groupBy("block").applyInArrow(_send_contexts(order, parts, space), B.ROW)
+    summed = contexts.groupBy("part").applyInArrow(_total_contexts(order), B.ROW)
     return summed.groupBy("block").applyInArrow(
-        _gather(grams.n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                          "base_score double, score double")
-
-
+        _gather(order, n, space), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                  "base_score double, score double")

@@ -387,6 +387,16 @@ def test_lm_beats_base_on_held_out(spark, sf_dir):
     assert all(math.isfinite(r.score) for r in rows)
 
 
+def test_lm_keeps_states_at_any_size(spark, monkeypatch):
+    """An n-gram seen twice is a state however long the training texts are."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(list("abcdefghijkl"), 40))) for i in range(40)]
+    want = {r[0]: r[6] for r in brute_lm(rows)}
+    monkeypatch.setattr(lm, "MAX_STATES", 64)
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_empty(empty):
     assert lm.score(empty).count() == 0
 
