@@ -2,10 +2,12 @@
 
 A page is cut into flat text blocks at block-level tags. A block's features
 are its word count and link density, those of the blocks before and after
-it, and two flags of where it stands: inside <article> or <main>, and inside
+it, and three flags of where it stands: inside <article> or <main>, inside
 chrome (navigation, page header or footer, sidebar, form, advert, notice,
-reader comments), which tag names, roles and class or id words tell. A decision
-tree trained on the small labelled table ``LABELLED`` says which blocks are
+reader comments), which tag names, roles and class or id words tell, and, inside
+<article> or <main>, under a container that only a class or id word names so:
+there its length and links decide (an article may have a section "social-history").
+A decision tree trained on the small labelled table ``LABELLED`` says which blocks are
 main text.
 
 Scripts, styles, comments and other elements without running text are
@@ -28,109 +30,135 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_chrome")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_chrome",
+            "named")
 
 #: The labelled table: word counts, link densities (per cent) of a block, the one
 #: before and the one after, whether it stands in <article>/<main>, whether in
-#: chrome, and whether a reader takes it for main text (1) or not (0).
+#: chrome, whether (instead) in a named container of <article>/<main>, and whether a
+#: reader takes it for main text (1) or not (0).
 LABELLED = """
-words links words_before links_before words_after links_after in_main in_chrome content
-1   100  0    0    1   100  0  1  0
-2   100  1    100  1   100  0  1  0
-1   100  2    100  9   0    0  1  0
-3   67   1    100  4   100  0  1  0
-4   100  3    100  12  0    0  0  0
-2   100  2    100  2   100  0  0  0
-1   100  1    100  1   100  0  0  0
-5   80   2    100  3   100  0  0  0
-9   0    1    100  8   0    0  1  0
-12  0    2    100  10  0    0  1  0
-25  0    1    100  60  0    0  1  0
-60  5    25   0    80  0    0  1  0
-120 0    90   0    70  2    0  1  0
-8   0    14   0    40  0    1  0  1
-1   0    30   0    45  0    1  0  1
-2   0    1    0    2   0    1  0  1
-3   0    9    0    60  0    1  0  1
-14  0    3    0    1   0    1  0  1
-40  0    8    0    75  0    1  0  1
-75  3    40   0    33  0    1  0  1
-33  12   75   3    90  0    1  0  1
-90  0    33   0    12  0    1  0  1
-210 1    64   0    120 4    1  0  1
-640 0    90   0    14  0    1  0  1
-10  100  60   0    55  0    1  0  1
-6   50   80   0    40  0    1  0  1
-2   100  70   0    66  0    1  0  1
-20  0    120  0    10  0    1  1  0
-15  30   90   0    5   60   1  1  0
-4   0    60   0    18  0    1  1  0
-70  0    20   0    35  0    1  1  0
-1   0    45   0    2   100  1  1  0
-11  0    95   0    0   0    0  1  0
-18  20   130  0    0   0    0  1  0
-7   0    60   0    3   100  0  1  0
-3   0    2    100  4   100  0  0  0
-5   0    3    100  2   100  0  0  0
-6   40   5    100  8   100  0  0  0
-12  60   40   0    9   80   0  0  0
-4   0    0    0    3   100  0  0  0
-30  0    6    0    45  0    0  0  1
-45  0    30   0    80  0    0  0  1
-80  4    45   0    28  0    0  0  1
-28  10   80   0    50  0    0  0  1
-150 2    60   0    95  1    0  0  1
-16  0    70   0    64  0    0  0  1
-9   0    85   0    40  0    0  0  1
-55  0    4    100  62  0    0  0  1
-35  0    3    0    0   0    0  0  1
-26  70   50   0    5   100  0  0  0
-40  90   3    100  3   100  0  0  0
-5   0    0    0    20  0    1  0  1
-3   0    6    100  2   0    1  0  1
-2   0    4    100  1   0    1  0  1
-1   0    2    0    1   0    1  0  1
-1   0    1    100  0   0    1  0  1
-50  0    4    100  3   100  1  0  1
-22  0    18   0    1   100  1  0  1
-13  0    70   0    2   100  1  0  1
-4   0    28   0    6   80   1  0  1
-2   0    11   0    9   0    1  0  1
-85  0    10   0    7   0    1  0  1
-17  0    10   0    12  50   1  0  1
-3   0    150  0    10  0    1  0  1
-9   11   9    0    4   100  1  0  1
-24  4    1    100  1   100  1  0  1
-6   0    2    100  90  0    1  0  1
-1   100  35   0    42  0    1  0  1
-3   100  12   0    6   0    1  0  1
-4   75   20   0    9   0    1  0  1
-7   0    0    0    0   0    1  0  1
-1   0    0    0    0   0    1  0  1
-300 0    0    0    0   0    1  0  1
-30  0    50   0    40  0    1  1  0
-45  0    38   0    70  0    1  1  0
-12  0    45   0    60  0    1  1  0
-3   33   20   0    30  0    1  1  0
-65  0    100  0    110 0    1  1  0
-8   0    8    0    25  0    1  1  0
-2   0    2    0    3   0    0  1  0
-16  0    12   0    9   0    0  1  0
-90  0    50   0    44  0    0  1  0
-140 2    30   0    60  0    0  1  0
-35  0    0    0    15  0    0  1  0
-7   0    30   0    0   0    0  1  0
-10  0    80   0    0   0    0  1  0
-21  0    40   0    2   0    0  1  0
-5   0    90   0    0   0    0  1  0
-6   0    4    0    3   0    0  0  0
-2   0    6    0    5   0    0  0  0
-5   0    1    100  2   0    0  0  0
-3   0    7    0    0   0    0  0  0
-8   0    0    0    0   0    0  0  0
-8   100  6    100  45  0    0  0  0
-3   100  2    100  30  0    0  0  0
-14  93   5    80   66  0    0  0  0
+words links words_before links_before words_after links_after in_main in_chrome named content
+1   100  0    0    1   100  0  1 0  0
+2   100  1    100  1   100  0  1 0  0
+1   100  2    100  9   0    0  1 0  0
+3   67   1    100  4   100  0  1 0  0
+4   100  3    100  12  0    0  0 0  0
+2   100  2    100  2   100  0  0 0  0
+1   100  1    100  1   100  0  0 0  0
+5   80   2    100  3   100  0  0 0  0
+9   0    1    100  8   0    0  1 0  0
+12  0    2    100  10  0    0  1 0  0
+25  0    1    100  60  0    0  1 0  0
+60  5    25   0    80  0    0  1 0  0
+120 0    90   0    70  2    0  1 0  0
+8   0    14   0    40  0    1  0 0  1
+1   0    30   0    45  0    1  0 0  1
+2   0    1    0    2   0    1  0 0  1
+3   0    9    0    60  0    1  0 0  1
+14  0    3    0    1   0    1  0 0  1
+40  0    8    0    75  0    1  0 0  1
+75  3    40   0    33  0    1  0 0  1
+33  12   75   3    90  0    1  0 0  1
+90  0    33   0    12  0    1  0 0  1
+210 1    64   0    120 4    1  0 0  1
+640 0    90   0    14  0    1  0 0  1
+10  100  60   0    55  0    1  0 0  1
+6   50   80   0    40  0    1  0 0  1
+2   100  70   0    66  0    1  0 0  1
+20  0    120  0    10  0    1  1 0  0
+15  30   90   0    5   60   1  1 0  0
+4   0    60   0    18  0    1  1 0  0
+70  0    20   0    35  0    1  1 0  0
+1   0    45   0    2   100  1  1 0  0
+11  0    95   0    0   0    0  1 0  0
+18  20   130  0    0   0    0  1 0  0
+7   0    60   0    3   100  0  1 0  0
+3   0    2    100  4   100  0  0 0  0
+5   0    3    100  2   100  0  0 0  0
+6   40   5    100  8   100  0  0 0  0
+12  60   40   0    9   80   0  0 0  0
+4   0    0    0    3   100  0  0 0  0
+30  0    6    0    45  0    0  0 0  1
+45  0    30   0    80  0    0  0 0  1
+80  4    45   0    28  0    0  0 0  1
+28  10   80   0    50  0    0  0 0  1
+150 2    60   0    95  1    0  0 0  1
+16  0    70   0    64  0    0  0 0  1
+9   0    85   0    40  0    0  0 0  1
+55  0    4    100  62  0    0  0 0  1
+35  0    3    0    0   0    0  0 0  1
+26  70   50   0    5   100  0  0 0  0
+40  90   3    100  3   100  0  0 0  0
+5   0    0    0    20  0    1  0 0  1
+3   0    6    100  2   0    1  0 0  1
+2   0    4    100  1   0    1  0 0  1
+1   0    2    0    1   0    1  0 0  1
+1   0    1    100  0   0    1  0 0  1
+50  0    4    100  3   100  1  0 0  1
+22  0    18   0    1   100  1  0 0  1
+13  0    70   0    2   100  1  0 0  1
+4   0    28   0    6   80   1  0 0  1
+2   0    11   0    9   0    1  0 0  1
+85  0    10   0    7   0    1  0 0  1
+17  0    10   0    12  50   1  0 0  1
+3   0    150  0    10  0    1  0 0  1
+9   11   9    0    4   100  1  0 0  1
+24  4    1    100  1   100  1  0 0  1
+6   0    2    100  90  0    1  0 0  1
+1   100  35   0    42  0    1  0 0  1
+3   100  12   0    6   0    1  0 0  1
+4   75   20   0    9   0    1  0 0  1
+7   0    0    0    0   0    1  0 0  1
+1   0    0    0    0   0    1  0 0  1
+300 0    0    0    0   0    1  0 0  1
+30  0    50   0    40  0    1  1 0  0
+45  0    38   0    70  0    1  1 0  0
+12  0    45   0    60  0    1  1 0  0
+3   33   20   0    30  0    1  1 0  0
+65  0    100  0    110 0    1  1 0  0
+8   0    8    0    25  0    1  1 0  0
+2   0    2    0    3   0    0  1 0  0
+16  0    12   0    9   0    0  1 0  0
+90  0    50   0    44  0    0  1 0  0
+140 2    30   0    60  0    0  1 0  0
+35  0    0    0    15  0    0  1 0  0
+7   0    30   0    0   0    0  1 0  0
+10  0    80   0    0   0    0  1 0  0
+21  0    40   0    2   0    0  1 0  0
+5   0    90   0    0   0    0  1 0  0
+6   0    4    0    3   0    0  0 0  0
+2   0    6    0    5   0    0  0 0  0
+5   0    1    100  2   0    0  0 0  0
+3   0    7    0    0   0    0  0 0  0
+8   0    0    0    0   0    0  0 0  0
+8   100  6    100  45  0    0  0 0  0
+3   100  2    100  30  0    0  0 0  0
+14  93   5    80   66  0    0  0 0  0
+45  0   2     0    60  0    0  0  1  1
+80  1   45    0    70  0    0  0  1  1
+120 3   8     0    0   0    0  0  1  1
+36  0   90    0    3   0    0  0  1  1
+64  5   30    0    20  0    0  0  1  1
+200 2   1     0    95  0    0  0  1  1
+28  0   50    0    44  0    0  0  1  1
+24  0   2     0    33  0    0  0  1  1
+2   0   70    0    45  0    0  0  1  1
+3   0   40    0    90  0    0  0  1  1
+1   0   33    0    64  0    0  0  1  1
+9   0   12    0    5   0    0  0  1  0
+1   0   25    0    0   0    0  0  1  0
+12  0   1     0    8   0    0  0  1  0
+4   0   60    0    9   0    0  0  1  0
+15  0   45    0    0   0    0  0  1  0
+7   0   80    0    3   100  0  0  1  0
+10  0   2     0    12  0    0  0  1  0
+1   100 80    0    1   100  0  0  1  0
+3   100 1     100  60  0    0  0  1  0
+30  90  40    0    26  80   0  0  1  0
+45  75  3     0    50  0    0  0  1  0
+6   50  30    0    70  0    0  0  1  0
+22  60  5     0    90  0    0  0  1  0
 """
 
 #: Tags that hold no running text: skipped to their end tag.
@@ -164,20 +192,21 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'(
 _PARTS = re.compile(r"[a-z0-9]+").findall
 
 
-def _is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_chrome(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether a container is chrome, and whether, inside main, only its class or id says so."""
     if tag in CHROME_TAGS or tag == "header" and not in_main:
-        return True
+        return True, False
+    named = False
     if not attributes or tag in ("article", "main"):
-        return False
+        return False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "role" and value in CHROME_ROLES:
-            return True
+            return True, False
         if name in ("class", "id"):
             words = _PARTS(value)
-            if not CHROME_WORDS.isdisjoint(words) or "header" in words and not in_main:
-                return True
-    return False
+            named = named or not CHROME_WORDS.isdisjoint(words) or "header" in words and not in_main
+    return named and not in_main, named and in_main
 
 
 @dataclass
@@ -187,21 +216,23 @@ class Block:
     linked: int
     in_main: bool
     in_chrome: bool
+    named: bool
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; blocks without text are left out."""
     out: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []       # open container, chrome, main
-    link, linked, mains, chromes = False, 0, 0, 0
+    stack: list[tuple[str, bool, bool, bool]] = []       # open container, chrome, main, named
+    link, linked, mains, chromes, nameds = False, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), mains > 0, chromes > 0))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), mains > 0, chromes > 0,
+                                 nameds > 0))
             pieces.clear()
         linked = 0
 
@@ -227,15 +258,17 @@ def blocks(page: str) -> list[Block]:
             link = False
             if tag in CONTAINERS:
                 if not closing:
-                    chrome = _is_chrome(tag, attrs1 or attrs2, mains > 0)
+                    chrome, named = _is_chrome(tag, attrs1 or attrs2, mains > 0)
                     main = tag in ("article", "main")
-                    stack.append((tag, chrome, main))
+                    stack.append((tag, chrome, main, named))
                     chromes += chrome
+                    nameds += named
                     mains += main
-                elif any(t == tag for t, _, _ in stack):
+                elif any(t == tag for t, *_ in stack):
                     while True:
-                        t, chrome, main = stack.pop()
+                        t, chrome, main, named = stack.pop()
                         chromes -= chrome
+                        nameds -= named
                         mains -= main
                         if t == tag:
                             break
@@ -252,7 +285,11 @@ def feature_matrix(found: list[Block]) -> np.ndarray:
     out[:, 0], out[:, 1] = words, links
     out[after, 2], out[after, 3] = words[before], links[before]
     out[before, 4], out[before, 5] = words[after], links[after]
-    out[:, 6], out[:, 7] = [b.in_main for b in found], [b.in_chrome for b in found]
+    out[:, 6], out[:, 7] = [b.in_main and not b.named for b in found], [b.in_chrome for b in found]
+    out[:, 8] = named = np.array([b.named for b in found], dtype=bool)
+    edge = np.flatnonzero(named[before] != named[after])       # what stands outside a named container says nothing of it
+    out[edge[named[edge]], 4:6] = 0
+    out[edge[~named[edge]] + 1, 2:4] = 0
     return out
 
 

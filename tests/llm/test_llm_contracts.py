@@ -243,6 +243,17 @@ def test_html_without_article():
     assert html_text.main_text(page, html_text.train()) == "\n".join([" ".join(body.split())] * 2)
 
 
+def test_html_named_section():
+    """A class or id word inside an article gives way to long blocks without links."""
+    body = "The patient grew up by the sea and worked for many years as a teacher in the small town of their birth. " * 2
+    ads = "<div class='related'><ul><li><a href=1>Read this</a></li><li><a href=2>And this one too</a></li></ul></div>"
+    page = (f"<article><h1>Case report</h1><p>{body}</p><section id='social-history'><h2>Social history</h2><p>{body}</p>"
+            f"<p>{body}</p></section>{ads}<div class='ad'><p>Buy now</p></div><p id='legal-status'>{body}</p></article>")
+    line = " ".join(body.split())
+    assert html_text.main_text(page, html_text.train()) == "\n".join(
+        ["Case report", line, "Social history", line, line, line])
+
+
 def test_html_fixture(spark, sf_dir):
     """The fixture's article is a plain element: cut it out by itself."""
     import html
