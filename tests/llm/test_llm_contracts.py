@@ -166,6 +166,20 @@ def test_jaccard_awkward(awkward, empty):
     assert kept.columns == awkward.columns
 
 
+def test_jaccard_one_row_of_each_group_stays(spark):
+    """Also of groups whose ids are all null, repeated, or both."""
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join([*words[:60], x]) for x in ("a", "b", "c")]
+    far = [" ".join([*words[60:], x]) for x in ("a", "b")]
+    rows = [(None, near[0], 0), (None, near[1], 0), (None, near[1], 0), (7, far[0], 1), (7, far[1], 1), (7, far[1], 1),
+            (8, "one two three", 2), (8, "ONE two three", 2), (None, "one two three", 2),
+            (None, "x y z", 3), (None, "x Y z", 3), (9, None, 4), (9, "", 4), (None, " ", 4), (5, near[2] + " d e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    kept = jaccard.drop_similar(df).collect()
+    assert collections.Counter(r.n for r in kept) == {1: 1, 2: 1, 3: 1, 4: 3, 5: 1}
+    assert {r.n: r.doc_id for r in kept if r.n < 4} == {1: 7, 2: 8, 3: None}
+
+
 def test_jaccard_edited_copies(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(500)]
