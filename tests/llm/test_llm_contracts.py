@@ -197,6 +197,32 @@ def test_jaccard_edited_copies(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_jaccard(rows)
 
 
+def test_jaccard_link_counts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = list(ROWS)
+    for g in range(3):
+        base = rng.choice(words, 100).tolist()
+        for _ in range(8 + 20 * g):            # the larger groups have common tokens
+            text = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                text[int(rng.integers(0, len(text)))] = f"edit{rng.integers(0, 10**9)}"
+            rows.append((len(rows) + 100, " ".join(text)))
+    sets = [jaccard.shingles((t or "").encode()) for _, t in rows]
+    want = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared and jaccard.similar(shared, len(sets[i]), len(sets[j])):
+                want[i] += 1
+                want[j] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.link_counts(df).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == \
+        collections.Counter((doc, len(s), n) for (doc, _), s, n in zip(rows, sets, want, strict=True))
+    assert len({n for n in want if n > jaccard.COMMON}) > 3
+
+
 def test_prefix_filter_is_safe():
     classes = np.zeros(jaccard.CELLS, np.uint8)
     rng = np.random.default_rng(5)
