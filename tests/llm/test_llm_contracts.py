@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, exact_dedup, html_text, itq, jaccard, lm, packing, substring, token_counts, toxicity
 from quarry.llm.queries import ORACLES, QUERIES
@@ -129,6 +130,16 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.severity <= 2 and r.severity >= r.p_toxic for r in scored)
 
 
+def test_toxicity_sample_holds_rare_words(spark):
+    """Of 2,100 toxic rows six hold a word, those that are last by the sample's order."""
+    last = {r.id for r in spark.range(2100).orderBy(F.xxhash64("id").desc(), F.desc("id")).limit(6).collect()}
+    rows = [(i, "bad words here" + (" zounds" if i in last else "")) for i in range(2100)]
+    rows += [(i, "nice words here") for i in range(2100, 4100)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"),
+                           spark.createDataFrame([(i, int(i < 2100)) for i, _ in rows], "doc_id long, toxic int"))
+    assert toxicity._hash("zounds") in model.weights
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (8, 1), (8, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
