@@ -1,4 +1,4 @@
-"""The ten operators over the fixture tables, with production parameters."""
+"""The operators over the fixture tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, html_text, itq, jaccard, lm, packing, substring, token_counts, toxicity
+from quarry.llm import bpe, exact_dedup, html_text, itq, jaccard, lm, packing, substring, token_counts, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,36 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"),
                                        public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@_query("op11_partenum_variants", r"""
+WITH RECURSIVE
+crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+byte AS (SELECT doc_id, w, n, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || w, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+            ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS s FROM run WHERE length(w) >= 5),
+hash AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, s),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]::BIGINT)), 4294967295) AS h FROM byte, crc),
+word AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+    THEN substring(w, 1, (h % length(w))::INT) || substring(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hash)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, unnest(list_distinct(list_transform(range(1, length(word) + 1),
+  lambda i: substring(word, 1, i - 1) || substring(word, i + 1)))) AS c FROM word),
+gap AS (SELECT word, n, unnest(list_transform(range(1, length(word) + 1),
+  lambda i: substring(word, 1, i - 1) || '*' || substring(word, i + 1))) AS g FROM word),
+near AS (SELECT c.word AS word, w.word AS near, w.n AS m FROM cut c JOIN word w ON c.c = w.word
+  UNION ALL SELECT w.word, c.word, c.n FROM cut c JOIN word w ON c.c = w.word
+  UNION ALL SELECT a.word, b.word, b.n FROM gap a JOIN gap b ON a.g = b.g AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM near GROUP BY word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form,
+  CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM word w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS r FROM form UNION ALL SELECT p.word, f.form FROM path p JOIN form f ON f.word = p.r
+  WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.r AS root, f.n, f.n_near, f.form_n FROM form f JOIN path p USING (word)
+JOIN form e ON e.word = p.r WHERE e.form IS NULL
+""")
+def op11_partenum_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
