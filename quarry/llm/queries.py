@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, html_text, itq, jaccard, lm, packing, substring, token_counts, toxicity, variants
+from quarry.llm import (best_fit, bpe, exact_dedup, html_text, itq, jaccard, lm, packing, ranked_search, substring,
+                        token_counts, toxicity, variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +165,28 @@ JOIN form e ON e.word = p.r WHERE e.form IS NULL
 """)
 def op11_partenum_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_certified_packing")
+def op12_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op13_blocked_search", r"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+len AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+tot AS (SELECT count(*) AS cn, sum(n)::BIGINT AS cl FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * cn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, tot GROUP BY term, cn),
+imp AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * cn) // cl)) AS v
+        FROM tf JOIN len USING (doc_id), tot),
+sc AS (SELECT item_id, doc_id, sum(w.w * imp.v)::BIGINT AS score FROM it JOIN w USING (term) JOIN imp USING (term)
+       GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
