@@ -15,18 +15,34 @@ Semantics (fixed by the benchmark being rebuilt):
 * ``soft_f1``: 2|G n P| / (|G| + |P|) over bags, best permutation; 1 when
   both are empty; 0 when one is empty, missing, or of another arity.
 
-Rows are never joined into text: bags group by the cells themselves. Both
-normalised sides are written once; bags are ``groupBy(cells).count()`` on both
-sides, full outer joined null-safely. Permutations are pruned by per-column
-fingerprints (sum of xxhash64 of the normalised cell, one pass per side);
-columns that are equal in every row stand for one class, whose members are
-matched in order, so equal columns never multiply the candidates; each
-surviving candidate is confirmed exactly. Only fingerprints, counts and
-verdicts reach the driver.
+Rows are never joined into text: bags group by the cells themselves.
+
+Results are compared by key: a frame of results holds the rows of any number
+of questions (``keyed``: qid, cells, pos), and all questions are judged
+together in a fixed number of jobs (``common_rows``). What a pair of results
+has in common under a column map f is I(f) = sum over rows of the smaller
+multiplicity; equality asks for a map with I = |G| = |P|, inclusion for one
+with I = |G|, soft-F1 for the largest I. The steps:
+
+1. both sides' bags are written;
+2. per question, every pair of columns gets an upper bound on I: for equality
+   from per-column fingerprints (one pass without a shuffle of cells), else
+   the exact intersection of the two columns' bags;
+3. a group function per question lists maps in falling order of the smallest
+   bound of their pairs; columns that are equal in every row are taken in
+   order only, so they never multiply the maps;
+4. the first ``FIRST`` maps of each question are counted exactly in one job;
+5. only questions whose best count may still be beaten go on: all maps that
+   may beat it are counted in one more job if they are at most ``MANY``; else
+   maps grow column by column, one job a level, and a map goes when what its
+   columns have in common cannot beat the best.
+
+Nothing about rows reaches the driver, only how many questions go on.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -132,164 +148,270 @@ def bags_equal(left: DataFrame, right: DataFrame, order: list[int] | None = None
     return bag_diff(left, right, order).isEmpty()
 
 
-def _fingerprints(df_norm: DataFrame) -> list[tuple]:
-    """Per column (sum of xxhash64 as decimal, null count): one aggregation pass."""
-    cells = _cells(df_norm)
-    row = df_norm.agg(*[F.struct(F.sum(F.xxhash64(c).cast("decimal(20,0)")), F.count_if(F.col(c).isNull())).alias(c)
-                        for c in cells]).first()
-    return [tuple(row[c]) for c in cells]
-
-
-def _twins(df_norm: DataFrame, prints: list) -> list[int]:
-    """For each column the first column that is equal to it in every row (one pass)."""
-    pairs = [(i, j) for j in range(len(prints)) for i in range(j) if prints[i] == prints[j]]
-    if not pairs:
-        return list(range(len(prints)))
-    row = df_norm.agg(*[F.count_if(~F.col(f"c{i}").eqNullSafe(F.col(f"c{j}"))).alias(f"d{i}_{j}")
-                        for i, j in pairs]).first()
-    first = list(range(len(prints)))
-    for i, j in pairs:
-        if row[f"d{i}_{j}"] == 0:
-            first[j] = min(first[j], first[i])
-    return first
-
-
-def _assignments(allowed: list[list[int]], twins: list[int]) -> Iterator[list[int]]:
-    """One-to-one choices of a column for each place, equal columns in order only."""
-    def go(i: int, used: set[int], chosen: list[int]) -> Iterator[list[int]]:
-        if i == len(allowed):
-            yield list(chosen)
+# -- results of many questions ----------------------------------------------------------
+
+#: Maps that are counted for every question; and maps that one further job counts for a question at most.
+FIRST, MANY = 24, 1 << 16
+
+
+def keyed(frames: dict[str, DataFrame], side: str, pos: str | None = None) -> DataFrame:
+    """(qid, cells, pos) of the frames by question: normalised cells, and the position if it counts."""
+    rows = None
+    for qid, frame in frames.items():
+        n = normalise(frame, side, pos)
+        one = n.select(F.lit(qid).alias("qid"), F.array(*[F.col(c) for c in _cells(n)]).alias("cells"),
+                       (F.col("pos") if pos else F.lit(None)).cast("long").alias("pos"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _bags(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(side, qid, cells, pos, m): both sides' rows with their multiplicity."""
+    both = gold.withColumn("side", F.lit("g")).unionByName(pred.withColumn("side", F.lit("p")))
+    return both.groupBy("side", "qid", "cells", "pos").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _sides(bags: DataFrame) -> DataFrame:
+    """(qid, n_gold, n_pred, w_gold, w_pred): rows and columns of each side, 0 rows where there are none."""
+    gold = F.col("side") == "g"
+    rows = lambda on: F.coalesce(F.sum(F.when(on, F.col("m"))), F.lit(0))
+    width = lambda on: F.max(F.when(on, F.size("cells")))
+    return bags.groupBy("qid").agg(rows(gold).alias("n_gold"), rows(~gold).alias("n_pred"),
+                                   width(gold).alias("w_gold"), width(~gold).alias("w_pred"))
+
+
+def _prints(bags: DataFrame) -> DataFrame:
+    """(qid, side, col, mark, twin) per column. ``mark``: the bag of (cell, row) where a row
+    is known by the bag of its cells, so a column of an equal result has the same mark
+    whatever the order of columns. ``twin``: the same with the row's cells in order, so
+    columns of one side with one twin mark are equal in every row."""
+    cell = lambda c: F.xxhash64(F.coalesce(c, F.lit("null")))
+    row = F.aggregate(F.transform("cells", cell), F.lit(0).cast("decimal(38,0)"),
+                      lambda a, x: (a + x).cast("decimal(38,0)"))
+    known = bags.select("qid", "side", "m", "pos", "cells", row.alias("row"))
+    cells = known.select("qid", "side", "m", F.xxhash64("row", "pos").alias("bag"), F.xxhash64("cells", "pos").alias("order"),
+                         F.posexplode("cells").alias("col", "cell"))
+    total = lambda h: F.sum(F.col("m") * h.cast("decimal(28,0)")).cast("string")
+    return cells.groupBy("qid", "side", "col").agg(
+        F.concat_ws(":", total(F.xxhash64("cell", "bag")), total(F.xxhash64("bag", "cell"))).alias("mark"),
+        F.concat_ws(":", total(F.xxhash64("cell", "order")), total(F.xxhash64("order", "cell"))).alias("twin"))
+
+
+def _overlaps(bags: DataFrame) -> DataFrame:
+    """(qid, i, j, common): the bag intersection of gold column i with prediction column j."""
+    cells = bags.select("qid", "side", "m", F.posexplode("cells").alias("col", "cell"))
+    values = cells.groupBy("qid", "side", "col", "cell").agg(F.sum("m").alias("m"))
+    g = values.filter("side = 'g'").select("qid", F.col("col").alias("i"), "cell", F.col("m").alias("mg"))
+    p = values.filter("side = 'p'").select(F.col("qid").alias("q"), F.col("col").alias("j"), F.col("cell").alias("c"),
+                                           F.col("m").alias("mp"))
+    both = g.join(p, (F.col("qid") == F.col("q")) & F.col("cell").eqNullSafe(F.col("c")))
+    return both.groupBy("qid", "i", "j").agg(F.sum(F.least("mg", "mp")).alias("common"))
+
+
+def _bounds(bags: DataFrame, sides: DataFrame, equal: bool) -> DataFrame:
+    """(qid, i, j, common, twin): upper bounds per pair of columns, and the prediction column's twin mark."""
+    prints = _prints(bags)
+    twins = prints.filter("side = 'p'").select("qid", F.col("col").alias("j"), "mark", "twin")
+    if not equal:
+        return _overlaps(bags).join(twins.drop("mark"), ["qid", "j"])
+    gold = prints.filter("side = 'g'").select("qid", F.col("col").alias("i"), "mark")
+    return (gold.join(twins, ["qid", "mark"]).join(sides.select("qid", F.col("n_gold").alias("common")), "qid")
+            .select("qid", "i", "j", "common", "twin"))
+
+
+def _choices(bounds: dict[tuple[int, int], int], twins: dict[int, str], width: int, least: int) -> Iterator[dict[int, int]]:
+    """All one-to-one maps of gold columns whose pairs have a bound of ``least`` or more; the
+    column with the fewest free choices is mapped next; of equal columns the first free one."""
+    allowed = {i: [j for j in sorted(twins) if bounds.get((i, j), -1) >= least] for i in range(width)}
+
+    def go(chosen: dict[int, int], used: set[int]) -> Iterator[dict[int, int]]:
+        if len(chosen) == width:
+            yield chosen
             return
+        free = {i: [j for j in js if j not in used] for i, js in allowed.items() if i not in chosen}
+        i = min(free, key=lambda x: len(free[x]))
         tried = set()
-        for j in allowed[i]:
-            if j not in used and twins[j] not in tried:
+        for j in free[i]:
+            if twins[j] not in tried:
                 tried.add(twins[j])
-                yield from go(i + 1, used | {j}, [*chosen, j])
+                yield from go(chosen | {i: j}, used | {j})
+
+    if _matchable(allowed):
+        yield from go({}, set())
+
 
-    yield from go(0, set(), [])
+def _matchable(allowed: dict[int, list[int]]) -> bool:
+    """Whether all gold columns can have a column of their own (augmenting paths)."""
+    owner: dict[int, int] = {}
 
+    def place(i: int, seen: set[int]) -> bool:
+        for j in allowed[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
 
-def candidate_orders(gold_n: DataFrame, pred_n: DataFrame) -> Iterator[list[int]]:
-    """Permutations of the prediction's columns consistent with the fingerprints."""
-    fg, fp = _fingerprints(gold_n), _fingerprints(pred_n)
-    twins = _twins(pred_n, fp)
-    yield from _assignments([[j for j in range(len(fp)) if fp[j] == g] for g in fg], twins)
+    return all(place(i, set()) for i in allowed)
+
+
+def best_first(bounds: dict[tuple[int, int], int], twins: dict[int, str], width: int, over: int) -> Iterator[list[int]]:
+    """Maps by falling smallest bound, for each bound above ``over`` from the largest down."""
+    for least in sorted({c for c in bounds.values() if c > over}, reverse=True):
+        for chosen in _choices(bounds, twins, width, least):
+            if min(bounds[pair] for pair in chosen.items()) == least:
+                yield [chosen[i] for i in range(width)]
+
+
+def _list_maps(most: int, best_order: bool):
+    """Group function: ``most`` at most of a question's maps that may reach ``need`` and beat
+    ``best``; a last row without a map says that there are more."""
+    def run(pdf):
+        import pandas as pd
+        qid, width = pdf["qid"].iloc[0], int(pdf["w_gold"].iloc[0])
+        over = max(int(pdf["best"].iloc[0]), int(pdf["need"].iloc[0]) - 1)
+        bounds = {(int(i), int(j)): int(c) for i, j, c in zip(pdf["i"], pdf["j"], pdf["common"], strict=True)}
+        twins = {int(j): t for j, t in zip(pdf["j"], pdf["twin"], strict=True)}
+        maps = best_first(bounds, twins, width, over) if best_order else \
+            ([c[i] for i in range(width)] for c in _choices(bounds, twins, width, over + 1))
+        rows = [(qid, m) for m in itertools.islice(maps, most + 1)]
+        if len(rows) > most:
+            rows[-1] = (qid, None)
+        return pd.DataFrame(rows, columns=["qid", "cols"])
+
+    return run
+
+
+def _count(bags: DataFrame, maps: DataFrame, levels: int | None = None) -> DataFrame:
+    """(qid, cols, common): I of each map (qid, cols); of its first columns if it is shorter than the row."""
+    width = F.lit(levels) if levels is not None else F.size("cells")
+    g = (bags.filter("side = 'g'").groupBy("qid", F.slice("cells", F.lit(1), width).alias("row"), "pos")
+         .agg(F.sum("m").alias("mg")))
+    p = bags.filter("side = 'p'").select("qid", "cells", "pos", "m")
+    mapped = (p.join(maps, "qid").select("qid", "cols", "pos", "m",
+                                         F.transform("cols", lambda j: F.get("cells", j)).alias("row"))
+              .groupBy("qid", "cols", "row", "pos").agg(F.sum("m").alias("mp")))
+    g = g.select(F.col("qid").alias("q"), F.col("row").alias("r"), F.col("pos").alias("at"), "mg")
+    same = (F.col("qid") == F.col("q")) & (F.col("row") == F.col("r")) & F.col("pos").eqNullSafe(F.col("at"))
+    return mapped.join(g, same).groupBy("qid", "cols").agg(F.sum(F.least("mg", "mp")).alias("common"))
+
+
+def _grow(bags: DataFrame, state: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(qid, best) by growing maps column by column; ``state``: qid, w_gold, need, best."""
+    widths = state.agg(F.max("w_gold")).first()[0] or 0
+    pairs = bounds.join(state.select("qid", "need", "best"), "qid").filter("common >= need and common > best")
+    pairs = materialise(pairs.groupBy("qid", "i").agg(F.collect_list(F.struct("j", "twin")).alias("js")))   # <= columns
+    live = state.select("qid", "w_gold", "need", "best", F.array().cast("array<int>").alias("cols"))
+    ended = None
+    for level in range(widths):
+        grown = (live.join(pairs.filter(F.col("i") == level).drop("i"), "qid")
+                 .select("qid", "w_gold", "need", "best", "cols", "js", F.explode("js").alias("e"))
+                 .filter(~F.array_contains("cols", F.col("e.j")))
+                 # of equal columns the first that is free
+                 .filter(~F.exists("js", lambda x: (x.twin == F.col("e.twin")) & (x.j < F.col("e.j"))
+                                   & ~F.array_contains("cols", x.j)))
+                 .withColumn("cols", F.array_append("cols", F.col("e.j"))).drop("js", "e"))
+        counted = _count(bags, grown.select("qid", "cols"), level + 1)
+        live = materialise(grown.join(counted, ["qid", "cols"]).filter("common >= need and common > best"))
+        done = live.filter(F.col("w_gold") == level + 1).select("qid", "common")
+        ended = done if ended is None else ended.unionByName(done)
+        live = live.filter(F.col("w_gold") > level + 1).drop("common")
+    found = ended.groupBy("qid").agg(F.max("common").alias("found"))
+    return state.join(found, "qid", "left").select("qid", F.greatest("best", F.coalesce("found", F.lit(-1))).alias("best"))
+
+
+def common_rows(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
+    """(qid, n_gold, n_pred, w_gold, w_pred, common) of ``keyed`` results: rows and columns of
+    both sides, and the most rows in common under any column map. ``mode`` is "equal",
+    "inside" (gold in prediction) or "most"; in the first two maps that cannot reach
+    all rows are not followed, and ``common`` is then less than all rows, or NULL.
+    Questions without rows on both sides are not in the frame."""
+    bags = materialise(_bags(gold, pred))
+    sides = materialise(_sides(bags))
+    fits = {"equal": "n_gold = n_pred and w_gold = w_pred", "most": "w_gold = w_pred", "inside": "w_gold <= w_pred"}[mode]
+    asked = sides.filter(f"n_gold > 0 and n_pred > 0 and {fits}")
+    need = F.lit(0) if mode == "most" else F.col("n_gold")
+    state = asked.select("qid", "w_gold", need.cast("long").alias("need"), F.lit(-1).cast("long").alias("best"))
+    bounds = materialise(_bounds(bags.join(asked.select("qid"), "qid", "left_semi"), sides, mode == "equal"))
+
+    def maps(state: DataFrame, most: int, best_order: bool) -> DataFrame:
+        return materialise(state.join(bounds, "qid").groupBy("qid")
+                           .applyInPandas(_list_maps(most, best_order), "qid string, cols array<int>"))
+
+    def count(state: DataFrame, listed: DataFrame) -> DataFrame:
+        found = _count(bags, listed.filter("cols is not null")).groupBy("qid").agg(F.max("common").alias("found"))
+        return materialise(state.join(found, "qid", "left")
+                           .select("qid", "w_gold", "need", F.greatest("best", F.coalesce("found", F.lit(-1))).alias("best")))
+
+    listed = maps(state, FIRST, True)
+    state = count(state, listed)
+    more = _open(state, listed, sides)
+    if not more.isEmpty():
+        rest = maps(more, MANY, False)
+        endless = rest.filter("cols is null").select("qid").distinct()
+        counted = count(more.join(endless, "qid", "left_anti"), rest.join(endless, "qid", "left_anti"))
+        wide = more.join(endless, "qid", "left_semi")
+        state = state.join(more.select("qid"), "qid", "left_anti").select("qid", "best").unionByName(counted.select("qid", "best"))
+        if not wide.isEmpty():
+            wide = materialise(wide)
+            state = state.unionByName(_grow(bags.join(wide.select("qid"), "qid", "left_semi"), wide, bounds))
+    best = state.select("qid", F.when(F.col("best") >= 0, F.col("best")).alias("common"))
+    return sides.join(best, "qid", "left")
+
+
+def _open(state: DataFrame, listed: DataFrame, sides: DataFrame) -> DataFrame:
+    """The questions that have further maps and no perfect one yet."""
+    more = state.join(listed.filter("cols is null").select("qid").distinct(), "qid", "left_semi")
+    full = sides.select("qid", F.least("n_gold", "n_pred").alias("full"))
+    return more.join(full, "qid").filter("best < full").drop("full")
+
+
+def judge(questions: DataFrame, gold: DataFrame, pred: DataFrame, mode: str = "equal") -> DataFrame:
+    """(qid, n_gold, n_pred, common, verdict, soft_f1) for each question of
+    ``questions`` (qid, answered): C-EX and C-ORDERED (rows of ``keyed`` with positions)
+    for mode "equal", C-SUBSET for "inside", C-SOFTF1 for "most"; ``verdict`` of "most" is
+    equality, and ``soft_f1`` is NULL in the other modes."""
+    found = common_rows(gold, pred, mode)
+    q = questions.select("qid", F.coalesce("answered", F.lit(False)).alias("answered")).join(found, "qid", "left")
+    n_gold, n_pred = F.coalesce("n_gold", F.lit(0)), F.coalesce("n_pred", F.lit(0))
+    common = F.coalesce("common", F.lit(0))
+    same = (n_gold == n_pred) & (common == n_gold) if mode != "inside" else common == n_gold
+    soft = F.when(~F.col("answered"), 0.0).when(n_gold + n_pred == 0, 1.0).otherwise(2.0 * common / (n_gold + n_pred))
+    return q.select("qid", n_gold.alias("n_gold"), n_pred.alias("n_pred"), common.alias("common"),
+                    (F.col("answered") & same).alias("verdict"),
+                    (soft if mode == "most" else F.lit(None).cast("double")).alias("soft_f1"))
+
+
+# -- one pair of results ----------------------------------------------------------------
+
+def _one(gold: DataFrame, pred: DataFrame, mode: str, pos: str | None = None) -> DataFrame:
+    questions = gold.sparkSession.createDataFrame([("q", True)], "qid string, answered boolean")
+    return judge(questions, keyed({"q": gold}, "g", pos), keyed({"q": pred}, "p", pos), mode)
 
 
 def result_eq(gold: DataFrame, pred: DataFrame | None, order_matters: bool = False,
               pos: str | None = None, permute_up_to: int | None = None) -> bool:
-    """C-EX / C-ORDERED. When ordered, both frames carry a ``pos`` column
+    """C-EX / C-ORDERED of one pair. When ordered, both frames carry a ``pos`` column
     (position after the query's sort); it is compared, not permuted."""
     if pred is None:
         return False
-    use_pos = pos if order_matters else None
     if pos and not order_matters:
         gold, pred = gold.drop(pos), pred.drop(pos)
-    if len(gold.columns) != len(pred.columns):
-        return gold.isEmpty() and pred.isEmpty()
-    gn, pn = materialise(normalise(gold, "g", use_pos)), materialise(normalise(pred, "p", use_pos))
-    ng, np_ = gn.count(), pn.count()
-    if ng != np_ or ng == 0:
-        return ng == np_
-    width = len(_cells(gn))
-    if permute_up_to is not None and width > permute_up_to:
-        return bags_equal(gn, pn)
-    return any(bags_equal(gn, pn, order) for order in candidate_orders(gn, pn))
-
-
-def intersect_size(gold_n: DataFrame, pred_n: DataFrame, order: list[int] | None = None) -> DataFrame:
-    """|G n P| as bags: one-row frame with column ``common``."""
-    both = _matched(bag(gold_n, None, "mg"), bag(pred_n, order, "mp"), "inner")
-    return both.agg(F.coalesce(F.sum(F.least("mg", "mp")), F.lit(0)).alias("common"))
-
-
-def _values(df: DataFrame, side: str, k: int) -> DataFrame:
-    """(column number, value) pairs of all cells, with their count."""
-    return (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"c{i}").alias("v"))
-                                          for i in range(k)])).alias("e"))
-            .groupBy(F.col("e.ci").alias(f"c{side}"), F.col("e.v").alias(f"v{side}"))
-            .agg(F.count(F.lit(1)).alias(f"m{side}")))
-
-
-def column_overlap(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -> list[list[int]]:
-    """M[i][j] = bag intersection size of gold column i with prediction column j,
-    for all pairs in one job (unpivot, count per (side, column, value), join)."""
-    g, p = _values(gold_n, "g", kg), _values(pred_n, "p", kp)
-    m = (g.join(p, F.col("vg").eqNullSafe(F.col("vp"))).groupBy("cg", "cp")
-         .agg(F.sum(F.least("mg", "mp")).alias("k")).collect())       # at most kg * kp rows
-    out = [[0] * kp for _ in range(kg)]
-    for r in m:
-        out[r["cg"]][r["cp"]] = r["k"]
-    return out
-
-
-def column_containment(gold_n: DataFrame, pred_n: DataFrame, kg: int, kp: int) -> list[list[bool]]:
-    """C[i][j]: every distinct value of gold column i occurs in prediction
-    column j (NULL counts as a value); one job for all pairs."""
-    g, p = _values(gold_n, "g", kg), _values(pred_n, "p", kp)
-    need = {r["cg"]: r["n"] for r in g.groupBy("cg").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= kg rows
-    found = (g.join(p, F.col("vg").eqNullSafe(F.col("vp"))).groupBy("cg", "cp")
-             .agg(F.count(F.lit(1)).alias("n")).collect())      # <= kg * kp rows
-    ok = [[False] * kp for _ in range(kg)]
-    for r in found:
-        ok[r["cg"]][r["cp"]] = r["n"] == need.get(r["cg"], 0)
-    return ok
+    pos = pos if order_matters else None
+    width = len(gold.columns) - bool(pos)
+    if permute_up_to is not None and width > permute_up_to and len(pred.columns) == len(gold.columns):
+        return bags_equal(normalise(gold, "g", pos), normalise(pred, "p", pos))
+    return _one(gold, pred, "equal", pos).first()["verdict"]
 
 
 def soft_f1(gold: DataFrame, pred: DataFrame | None) -> float:
-    """C-SOFTF1 with branch-and-bound over permutations: a permutation's
-    intersection is at most min_i M[i][perm(i)], so candidates below the best
-    found so far are never counted, and a full match ends the search."""
-    if pred is None:
-        return 0.0
-    ncols = len(gold.columns)
-    if ncols != len(pred.columns):
-        return 1.0 if gold.isEmpty() and pred.isEmpty() else 0.0
-    gn, pn = materialise(normalise(gold, "g")), materialise(normalise(pred, "p"))
-    ng, np_ = gn.count(), pn.count()
-    if ng == 0 or np_ == 0:
-        return 1.0 if ng == np_ else 0.0
-    overlap = column_overlap(gn, pn, ncols, ncols)
-    twins = _twins(pn, _fingerprints(pn))
-    best = 0
-    # Columns by falling overlap, so good permutations come first and cut the rest.
-    ranked = [sorted((j for j in range(ncols)), key=lambda j: -overlap[i][j]) for i in range(ncols)]
-
-    def search(i: int, used: set[int], chosen: list[int], bound: int) -> None:
-        nonlocal best
-        if bound <= best:
-            return
-        if i == ncols:
-            best = max(best, intersect_size(gn, pn, chosen).first()["common"])
-            return
-        tried = set()
-        for j in ranked[i]:
-            if j not in used and twins[j] not in tried:
-                tried.add(twins[j])
-                search(i + 1, used | {j}, [*chosen, j], min(bound, overlap[i][j]))
-
-    search(0, set(), [], min(ng, np_))
-    return 2.0 * best / (ng + np_)
+    """C-SOFTF1 of one pair."""
+    return 0.0 if pred is None else _one(gold, pred, "most").first()["soft_f1"]
 
 
 def contains(gold: DataFrame, pred: DataFrame) -> bool:
-    """C-SUBSET (lenient): every gold row is in the prediction once gold's
+    """C-SUBSET (lenient) of one pair: every gold row is in the prediction once gold's
     columns are matched, by value, to some prediction columns (names and
     order ignored; extra prediction columns allowed), at any width."""
-    kg, kp = len(gold.columns), len(pred.columns)
-    gn, pn = materialise(normalise(gold, "g")), materialise(normalise(pred, "p"))
-    if gn.isEmpty():
-        return True
-    if kg > kp:
-        return False
-    # A gold column may sit inside a prediction column holding more values,
-    # so fingerprints cannot prune here. A map is only possible where every
-    # distinct value of gold column i occurs in prediction column j (one job
-    # for all pairs); the surviving injective maps are confirmed exactly.
-    ok = column_containment(gn, pn, kg, kp)
-    twins = _twins(pn, _fingerprints(pn))
-    for cols in _assignments([[j for j in range(kp) if ok[i][j]] for i in range(kg)], twins):
-        short = _matched(bag(gn, None, "mg"), bag(pn, cols, "mp"), "left")
-        if short.filter(F.coalesce("mp", F.lit(0)) < F.col("mg")).isEmpty():
-            return True
-    return False
+    return _one(gold, pred, "inside").first()["verdict"]
