@@ -165,6 +165,22 @@ def keyed(frames: dict[str, DataFrame], side: str, pos: str | None = None) -> Da
     return rows
 
 
+def keyed_rows(frame: DataFrame, results: list[tuple[Column, Column | None, list[Column]]], side: str) -> DataFrame:
+    """(qid, cells, pos) of many results of one frame, in one scan of it: each result is
+    (question, which rows or None for all, columns); results of one question add up."""
+    flat = [c.alias(f"r{n}_{i}") for n, (_, _, columns) in enumerate(results) for i, c in enumerate(columns)]
+    ids = [q.cast("string").alias(f"q{n}") for n, (q, _, _) in enumerate(results)]
+    use = [(F.lit(True) if on is None else F.coalesce(on, F.lit(False))).alias(f"u{n}") for n, (_, on, _) in enumerate(results)]
+    wide = frame.select(*flat, *ids, *use)
+    kinds = {f.name: f for f in wide.schema.fields}
+    salt = F.concat(F.lit(side), F.monotonically_increasing_id().cast("string"))
+    rows = [F.when(F.col(f"u{n}"), F.struct(F.col(f"q{n}").alias("qid"),
+                                            F.array(*[_cell(kinds[f"r{n}_{i}"], salt) for i in range(len(columns))]).alias("cells")))
+            for n, (_, _, columns) in enumerate(results)]
+    return (wide.select(F.explode(F.array_compact(F.array(*rows))).alias("e"))
+            .select("e.qid", "e.cells", F.lit(None).cast("long").alias("pos")))
+
+
 def _bags(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(side, qid, cells, pos, m): both sides' rows with their multiplicity."""
     both = gold.withColumn("side", F.lit("g")).unionByName(pred.withColumn("side", F.lit("p")))

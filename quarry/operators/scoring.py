@@ -79,25 +79,65 @@ def ex_rollup(results: DataFrame) -> DataFrame:
 SUMMARY_COLUMNS = ["run", "n", "errors", "ex_at_1", "ves", "avg_gen_ms", "avg_exec_ms", "avg_total_ms",
                    "avg_gold_ms", "total_tokens", "avg_tokens", "token_coverage"]
 
+#: Aggregates of columns that results may lack.
+_OPTIONAL = {"soft", "set_recall", "prompt", "completion", "claimed"}
 
-def summarise(results: DataFrame, *extra: Column) -> DataFrame:
-    """Run summary: n, errors, EX, VES, latency means, token stats (plus any
-    ``extra`` aggregates, computed in the same pass)."""
+
+def _sums(columns: list[str]) -> dict[str, Column]:
+    """The counts and whole-number sums that every rate is made of; any of them may be
+    summed again over a coarser key."""
     total_c = F.coalesce(cents(F.col("gen_ms")), F.lit(0)) + F.coalesce(cents(F.col("exec_ms")), F.lit(0))
-    return results.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("error").alias("errors"),
-        pct1(F.count_if("ex"), F.count("ex")).alias("ex_at_1"),
-        mean_pct1(ves_reward(F.col("ex"), F.col("gold_ms"), F.col("exec_ms"))).alias("ves"),
-        round1_ratio(F.sum(cents(F.col("gen_ms"))), F.count("gen_ms") * 100).alias("avg_gen_ms"),
-        round1_ratio(F.sum(cents(F.col("exec_ms"))), F.count("exec_ms") * 100).alias("avg_exec_ms"),
-        round1_ratio(F.sum(total_c), F.count(F.lit(1)) * 100).alias("avg_total_ms"),
-        round1_ratio(F.sum(cents(F.col("gold_ms"))), F.count("gold_ms") * 100).alias("avg_gold_ms"),
-        F.sum("tokens").alias("total_tokens"),
-        round1_ratio(F.sum("tokens"), F.count("tokens")).alias("avg_tokens"),
-        F.concat_ws("/", F.count("tokens").cast("string"), F.count(F.lit(1)).cast("string")).alias("token_coverage"),
-        *extra,
-    )
+    ves = ves_reward(F.col("ex"), F.col("gold_ms"), F.col("exec_ms"))
+    found = {"n": F.count(F.lit(1)), "errors": F.count_if("error"), "right": F.count_if("ex"), "judged": F.count("ex"),
+             "ves_sum": F.sum(milli(ves)), "ves_n": F.count(ves), "total_sum": F.sum(total_c),
+             "token_sum": F.sum("tokens"), "token_n": F.count("tokens")}
+    for ms in ("gen", "exec", "gold"):
+        found |= {f"{ms}_sum": F.sum(cents(F.col(f"{ms}_ms"))), f"{ms}_n": F.count(f"{ms}_ms")}
+    more = {"soft": {"soft_sum": F.sum(milli(F.col("soft"))), "soft_n": F.count("soft")},
+            "set_recall": {"recall_right": F.count_if("set_recall"), "recall_n": F.count("set_recall")},
+            "prompt": {"prompt": F.coalesce(F.sum("prompt"), F.lit(0))},
+            "completion": {"completion": F.coalesce(F.sum("completion"), F.lit(0))},
+            "claimed": {"claimed": F.count_if("claimed")}}
+    for name in sorted(_OPTIONAL & set(columns)):
+        found |= more[name]
+    return found
+
+
+def partial_sums(results: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: what ``rates`` needs, in one hash aggregate (fixed-width buffers)."""
+    return results.groupBy(*keys).agg(*[c.alias(name) for name, c in _sums(results.columns).items()])
+
+
+def add_up(partial: DataFrame, *keys: str) -> DataFrame:
+    """``partial_sums`` over a coarser key."""
+    known = set(_sums(list(_OPTIONAL)))
+    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in partial.columns if c in known])
+
+
+def rates(sums: DataFrame, *keep: str) -> DataFrame:
+    """Run summary of ``partial_sums`` per run: n, errors, EX, VES, latency means, token stats, and
+    soft-F1, Set-Recall, claimed EX, prompt and completion tokens where the sums have them."""
+    mean = lambda name, scale: round1_ratio(F.col(f"{name}_sum"), F.col(f"{name}_n") * scale)
+    out = [F.col("run"), F.col("n"), F.col("errors"), pct1(F.col("right"), F.col("judged")).alias("ex_at_1"),
+           mean("ves", 10).alias("ves"), mean("gen", 100).alias("avg_gen_ms"), mean("exec", 100).alias("avg_exec_ms"),
+           round1_ratio(F.col("total_sum"), F.col("n") * 100).alias("avg_total_ms"),
+           mean("gold", 100).alias("avg_gold_ms"), F.col("token_sum").alias("total_tokens"),
+           mean("token", 1).alias("avg_tokens"),
+           F.concat_ws("/", F.col("token_n").cast("string"), F.col("n").cast("string")).alias("token_coverage")]
+    have = set(sums.columns)
+    if "soft_n" in have:
+        out.append(mean("soft", 10).alias("soft_f1"))
+    if "recall_n" in have:
+        out.append(pct1(F.col("recall_right"), F.col("recall_n")).alias("set_recall"))
+    if "claimed" in have:
+        out.append(pct1(F.col("claimed"), F.col("n")).alias("claimed_ex"))
+    out += [F.col(c).alias(f"{c}_tokens") for c in ("prompt", "completion") if c in have]
+    return sums.select(*out, *keep)
+
+
+def summarise(results: DataFrame) -> DataFrame:
+    """The run summary straight from the results."""
+    return rates(partial_sums(results, "run"))
 
 
 def field_minima(df: DataFrame, cols: list[str]) -> Column:

@@ -15,8 +15,8 @@ def _status_counts(t: Tables):
     return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _verdicts(t: Tables, rows):
-    return t.spark.createDataFrame(rows, "case_name string, verdict boolean")
+def _questions(t: Tables, names):
+    return t.spark.createDataFrame([(n, True) for n in names], "qid string, answered boolean")
 
 
 _WHOLE_SQL = "CAST({c} AS VARCHAR)"
@@ -52,16 +52,50 @@ UNION ALL SELECT 'shifted', {_same(f'SELECT * FROM {_G}', f'SELECT k + 1, c, s,
 """.replace("$$", "'"))
 def compare_bag(t: Tables):
     """The whole orders table against itself, a permuted, a duplicated, a
-    shortened and a shifted copy."""
-    g = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    cases = {
-        "equal": g,
-        "permuted": g.select("o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"),
-        "duplicated": g.unionByName(g.filter(F.col("o_orderstatus") == "F")),
-        "missing_rows": g.filter(F.col("o_orderstatus") != "P"),
-        "shifted": g.withColumn("o_orderkey", F.col("o_orderkey") + 1),
-    }
-    return _verdicts(t, [(k, cmp.result_eq(g, p)) for k, p in cases.items()])
+    shortened and a shifted copy: five questions judged together, one scan a side."""
+    key, cust, status, price = (F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    g = [key, cust, status, price]
+    names = ["equal", "permuted", "duplicated", "missing_rows", "shifted"]
+    gold = cmp.keyed_rows(t.orders, [(F.lit(n), None, g) for n in names], "g")
+    pred = cmp.keyed_rows(t.orders, [
+        (F.lit("equal"), None, g), (F.lit("permuted"), None, [price, status, key, cust]),
+        (F.lit("duplicated"), None, g), (F.lit("duplicated"), status == "F", g),
+        (F.lit("missing_rows"), status != "P", g), (F.lit("shifted"), None, [key + 1, cust, status, price])], "p")
+    return cmp.judge(_questions(t, names), gold, pred).select(F.col("qid").alias("case_name"), "verdict")
+
+
+QUESTIONS = 100
+
+_ASKED = f"""asked AS (
+  SELECT coalesce(o_custkey % {QUESTIONS}, 0) AS q, o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p, o_orderpriority AS r
+  FROM orders),
+answered AS (
+  SELECT q, k, s, CASE WHEN q % 5 = 0 AND k % 977 = 0 THEN p + 0.01 ELSE p END AS p, r FROM asked
+  WHERE NOT (q % 7 = 0 AND s IS NOT NULL AND s = 'P'))"""
+
+
+@query("compare_questions", "C-EX", f"""
+WITH {_ASKED},
+g AS (SELECT q, k, s, p, r, count(*) AS m FROM asked GROUP BY ALL),
+a AS (SELECT q, k, s, p, r, count(*) AS m FROM answered GROUP BY ALL),
+d AS (SELECT coalesce(g.q, a.q) AS q, count(*) FILTER (WHERE g.m IS DISTINCT FROM a.m) AS n FROM g FULL JOIN a
+      ON g.q = a.q AND g.k IS NOT DISTINCT FROM a.k AND g.s IS NOT DISTINCT FROM a.s
+     AND g.p IS NOT DISTINCT FROM a.p AND g.r IS NOT DISTINCT FROM a.r GROUP BY 1)
+SELECT q.q::VARCHAR AS qid, (SELECT count(*) FROM asked x WHERE x.q = q.q) AS n_gold,
+       (SELECT count(*) FROM answered x WHERE x.q = q.q) AS n_pred, coalesce(d.n, 0) = 0 AS verdict
+FROM range({QUESTIONS}) q(q) LEFT JOIN d USING (q)""")
+def compare_questions(t: Tables):
+    """A hundred questions over the whole orders table: the prediction's columns are
+    turned by the question's number, some questions lack rows or have other prices."""
+    q = F.coalesce(F.col("o_custkey") % QUESTIONS, F.lit(0))
+    key, status, price, priority = (F.col(c) for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    off = F.when((q % 5 == 0) & (key % 977 == 0), price + 0.01).otherwise(price)
+    cols = [key, status, off, priority]
+    kept = ~F.coalesce((q % 7 == 0) & (status == "P"), F.lit(False))
+    gold = cmp.keyed_rows(t.orders, [(q, None, [key, status, price, priority])], "g")
+    pred = cmp.keyed_rows(t.orders, [(q, kept & (q % 4 == turn), cols[turn:] + cols[:turn]) for turn in range(4)], "p")
+    asked = t.spark.range(QUESTIONS).select(F.col("id").cast("string").alias("qid"), F.lit(True).alias("answered"))
+    return cmp.judge(asked, gold, pred).select("qid", "n_gold", "n_pred", "verdict")
 
 
 _M = ("(SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n "
@@ -80,11 +114,12 @@ def compare_ordered(t: Tables):
     m = t.orders.groupBy(month_ntz("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     g = m.withColumn("pos", F.row_number().over(Window.orderBy("month")))
     p = m.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "month")))
-    return _verdicts(t, [
-        ("same_order", cmp.result_eq(g, g, order_matters=True, pos="pos")),
-        ("other_order", cmp.result_eq(g, p, order_matters=True, pos="pos")),
-        ("other_order_unordered", cmp.result_eq(g.drop("pos"), p.drop("pos"))),
-    ])
+    ordered = cmp.judge(_questions(t, ["same_order", "other_order"]),
+                        cmp.keyed({"same_order": g, "other_order": g}, "g", "pos"),
+                        cmp.keyed({"same_order": g, "other_order": p}, "p", "pos"))
+    bags = cmp.judge(_questions(t, ["other_order_unordered"]), cmp.keyed({"other_order_unordered": g.drop("pos")}, "g"),
+                     cmp.keyed({"other_order_unordered": p.drop("pos")}, "p"))
+    return ordered.unionByName(bags).select(F.col("qid").alias("case_name"), "verdict")
 
 
 @query("soft_f1", "C-SOFTF1", """
@@ -99,8 +134,36 @@ def soft_f1(t: Tables):
     gold = t.orders.select("o_orderstatus", "o_orderpriority")
     building = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"))
     pred = t.orders.join(building, "o_custkey", "left_semi").select("o_orderstatus", "o_orderpriority")
-    score = cmp.soft_f1(gold, pred)
-    return t.spark.createDataFrame([(round(score, 6),)], "soft_f1 double")
+    judged = cmp.judge(_questions(t, ["q"]), cmp.keyed({"q": gold}, "g"), cmp.keyed({"q": pred}, "p"), "most")
+    return judged.select(F.round("soft_f1", 6).alias("soft_f1"))
+
+
+_TURNS = "(VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) t(i, j, k)"
+
+
+@query("soft_f1_questions", "C-SOFTF1", f"""
+WITH l AS (SELECT coalesce(l_suppkey % 20, 0) AS q, l_returnflag AS f, l_linestatus AS s, l_quantity > 25 AS b,
+                  l_orderkey % 3 AS z FROM lineitem),
+g AS (SELECT q, f, s, b, count(*) AS m FROM l GROUP BY ALL),
+a AS (SELECT q, [CASE WHEN b THEN 'n:1' WHEN NOT b THEN 'n:0' END, 's:' || f, 's:' || s] AS c, m FROM g),
+p AS (SELECT q, [CASE WHEN b THEN 'n:1' WHEN NOT b THEN 'n:0' END, 's:' || CASE WHEN z = 0 THEN s ELSE f END,
+                 's:' || CASE WHEN q % 3 = 0 AND z = 1 THEN f ELSE s END] AS c, count(*) AS m FROM l GROUP BY ALL),
+r AS (SELECT p.q, i, j, k, [c[i], c[j], c[k]] AS c, sum(m) AS m FROM p, {_TURNS} GROUP BY ALL),
+n AS (SELECT r.q, i, j, k, sum(least(a.m, r.m)) AS common FROM r JOIN a ON a.q = r.q AND a.c IS NOT DISTINCT FROM r.c GROUP BY ALL),
+best AS (SELECT q, max(common)::BIGINT AS common FROM n GROUP BY q),
+size AS (SELECT q, sum(m)::BIGINT AS rows FROM g GROUP BY q)
+SELECT q::VARCHAR AS qid, coalesce(common, 0) AS common, round(coalesce(common, 0) / rows::DOUBLE, 6) AS soft_f1
+FROM size LEFT JOIN best USING (q)""")
+def soft_f1_questions(t: Tables):
+    """Partial credit per question over the whole lineitem table: the columns are in
+    another order, and some cells of the prediction are wrong."""
+    q, z = F.coalesce(F.col("l_suppkey") % 20, F.lit(0)), F.col("l_orderkey") % 3
+    flag, status, big = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity") > 25
+    wrong = F.when(z == 0, status).otherwise(flag)
+    gold = cmp.keyed_rows(t.lineitem, [(q, None, [flag, status, big])], "g")
+    pred = cmp.keyed_rows(t.lineitem, [(q, None, [big, wrong, F.when((q % 3 == 0) & (z == 1), flag).otherwise(status)])], "p")
+    asked = gold.select("qid", F.lit(True).alias("answered")).distinct()
+    return cmp.judge(asked, gold, pred, "most").select("qid", "common", F.round("soft_f1", 6).alias("soft_f1"))
 
 
 @query("bag_diff", "C-DIFF", f"""
@@ -135,7 +198,34 @@ def compare_subset(t: Tables):
     pred = t.orders.groupBy("o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2).alias("total"),
                                                  F.count(F.lit(1)).alias("n")) \
         .select("total", "n", "o_orderstatus")
-    return t.spark.createDataFrame([(cmp.contains(gold, pred),)], "contained boolean")
+    judged = cmp.judge(_questions(t, ["q"]), cmp.keyed({"q": gold}, "g"), cmp.keyed({"q": pred}, "p"), "inside")
+    return judged.select(F.col("verdict").alias("contained"))
+
+
+_PLACES = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j" for i in range(1, 6) for j in range(1, 6) if i != j)
+
+
+@query("subset_questions", "C-SUBSET", f"""
+WITH o AS (SELECT coalesce(o_custkey % 25, 0) AS q, o_orderstatus AS s, o_orderpriority AS r, o_orderkey % 2 AS z,
+                  o_totalprice > 100000 AS b FROM orders),
+g AS (SELECT q, ['s:' || s, 's:' || r] AS c, count(*) AS m FROM o WHERE z = 0 GROUP BY ALL),
+w AS (SELECT q, ['n:' || z, 's:' || r, CASE WHEN b THEN 'n:1' WHEN NOT b THEN 'n:0' END, 's:' || s, 's:' || r] AS c FROM o
+      WHERE NOT (q % 4 = 0 AND z = 0 AND b IS NOT NULL AND b)),
+p AS (SELECT q, i, j, [c[i], c[j]] AS c, count(*) AS m FROM w, ({_PLACES}) GROUP BY ALL),
+n AS (SELECT p.q, i, j, sum(least(g.m, p.m)) AS common FROM p JOIN g ON g.q = p.q AND g.c IS NOT DISTINCT FROM p.c GROUP BY ALL),
+best AS (SELECT q, max(common) AS common FROM n GROUP BY q),
+size AS (SELECT q, sum(m) AS rows FROM g GROUP BY q)
+SELECT q::VARCHAR AS qid, coalesce(common, 0) = rows AS contained FROM size LEFT JOIN best USING (q)""")
+def subset_questions(t: Tables):
+    """Two gold columns looked for among five prediction columns of few values, two of
+    them equal, per question over the whole orders table; some predictions lack rows."""
+    q, z = F.coalesce(F.col("o_custkey") % 25, F.lit(0)), F.col("o_orderkey") % 2
+    status, priority, big = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice") > 100000
+    kept = ~F.coalesce((q % 4 == 0) & (z == 0) & big, F.lit(False))
+    gold = cmp.keyed_rows(t.orders, [(q, z == 0, [status, priority])], "g")
+    pred = cmp.keyed_rows(t.orders, [(q, kept, [z, priority, big, status, priority])], "p")
+    asked = gold.select("qid", F.lit(True).alias("answered")).distinct()
+    return cmp.judge(asked, gold, pred, "inside").select("qid", F.col("verdict").alias("contained"))
 
 
 @query("multi_state", "C-MULTISTATE", """

@@ -4,7 +4,13 @@ Crosswalk: run = user_id, question = event_id, correct = purchase,
 error = error event, exec time = value, generation time = 10 * props.k,
 tokens = metered 50 * props.k (not metered on views) else self-reported
 floor(value); shape/retrieval buckets cycle by event_id; the model cycles
-over the price keys by run.
+over the price keys by run. A run answers questions 0 to 14 in turn (some of
+its rows name a question that does not exist); the official questions are the
+first 15 nations. A run claims a row if its value is above 250, names
+prompt and completion tokens on some rows, and a set of tables on most.
+
+Everything on a board comes from one aggregate of the events per (run, model,
+question), which is written and added up per run.
 """
 
 from __future__ import annotations
@@ -28,47 +34,67 @@ def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
+QUESTIONS = 15
+TABLE_SET = ["customers", "orders", "payments", "shipments"]
+
+
 def run_rows(t: Tables):
     e = t.events
     k = F.get_json_object("props", "$.k").cast("long")
-    et = F.col("event_type")
-    gold_ok = F.coalesce(F.col("event_id") % GOLD_FAILS != 0, F.lit(True))
+    et, i = F.col("event_type"), F.col("event_id")
+    gold_ok = F.coalesce(i % GOLD_FAILS != 0, F.lit(True))
+    tables = _lit_array(TABLE_SET)
     return e.select(
-        F.col("user_id").alias("run"), F.col("event_id").alias("qid"),
+        F.col("user_id").alias("run"), i.alias("qid"),
+        F.when(i % 211 == 7, 100 + i % 3).otherwise(i % QUESTIONS).alias("question"),
         F.when(gold_ok, et == "purchase").alias("ex"), (et == "error").alias("error"),
         F.when(gold_ok, F.when(et == "purchase", 1.0).when(et == "click", F.lit(2) / F.lit(3)).otherwise(0.0))
         .alias("soft"),
         (k * 10).cast("double").alias("gen_ms"),
         F.col("value").alias("exec_ms"), F.lit(50.0).alias("gold_ms"),
         F.coalesce(F.when(et != "view", k * 50), F.floor("value").cast("long")).alias("tokens"),
-        F.get(_lit_array(sc.SHAPES), (F.col("event_id") % 4).cast("int")).alias("shape"),
+        F.when(et != "view", k * 40).alias("prompt"), F.when((et != "view") & (k % 2 == 0), k * 10).alias("completion"),
+        F.slice(tables, F.lit(1), (i % 4 + 1).cast("int")).alias("gold_tables"),
+        F.when(i % 5 != 0, F.slice(tables, F.lit(1), (F.expr("event_id div 4") % 4 + 1).cast("int"))).alias("pred_tables"),
+        F.coalesce(et == "purchase", F.lit(False)).alias("reported"),
+        F.get(_lit_array(sc.SHAPES), (i % 4).cast("int")).alias("shape"),
         F.get(_lit_array(sc.RETRIEVALS), (F.expr("event_id div 4") % 4).cast("int"))
         .alias("retrieval"),
         F.get(_lit_array(MODELS), (F.col("user_id") % len(MODELS)).cast("int")).alias("model"),
-        F.hour("ts").alias("hr"), F.col("value").alias("claim_value"),
+        (F.col("value") > 250).alias("claimed"),
     )
 
 
+def official_questions(t: Tables):
+    """(question): the questions every run must answer."""
+    return t.dim("nation").select(F.col("n_nationkey").cast("long").alias("question")).filter(F.col("question") < QUESTIONS)
+
+
 def _arr(values):
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 RUNS_SQL = f"""runs AS (
   SELECT user_id AS run, event_id AS qid,
+         CASE WHEN event_id % 211 = 7 THEN 100 + event_id % 3 ELSE event_id % {QUESTIONS} END AS question,
          CASE WHEN coalesce(event_id % {GOLD_FAILS} <> 0, true) THEN event_type = 'purchase' END AS ex,
          event_type = 'error' AS error,
          CASE WHEN coalesce(event_id % {GOLD_FAILS} <> 0, true) THEN
               CASE WHEN event_type = 'purchase' THEN CAST(1 AS DOUBLE)
                    WHEN event_type = 'click' THEN CAST(2 AS DOUBLE) / 3 ELSE CAST(0 AS DOUBLE) END END AS soft,
-         CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS DOUBLE) AS gen_ms,
+         CAST(k * 10 AS DOUBLE) AS gen_ms,
          value AS exec_ms, CAST(50.0 AS DOUBLE) AS gold_ms,
-         coalesce(CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 END,
-                  CAST(floor(value) AS BIGINT)) AS tokens,
+         coalesce(CASE WHEN event_type <> 'view' THEN k * 50 END, CAST(floor(value) AS BIGINT)) AS tokens,
+         CASE WHEN event_type <> 'view' THEN k * 40 END AS prompt,
+         CASE WHEN event_type <> 'view' AND k % 2 = 0 THEN k * 10 END AS completion,
+         CASE WHEN event_id IS NOT NULL THEN {_arr(TABLE_SET)}[1:1 + event_id % 4] END AS gold_tables,
+         CASE WHEN event_id % 5 <> 0 THEN {_arr(TABLE_SET)}[1:1 + (event_id // 4) % 4] END AS pred_tables,
+         coalesce(event_type = 'purchase', false) AS reported,
          ({_arr(sc.SHAPES)})[event_id % 4 + 1] AS shape,
          ({_arr(sc.RETRIEVALS)})[(event_id // 4) % 4 + 1] AS retrieval,
          ({_arr(MODELS)})[user_id % {len(MODELS)} + 1] AS model,
-         hour(ts) AS hr, value AS claim_value
-  FROM events)"""
+         value > 250 AS claimed
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
 def r1(num: str, den: str) -> str:
@@ -104,7 +130,7 @@ summary AS (
          CAST(count(tokens) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS token_coverage
   FROM runs GROUP BY run)"""
 
-GRADE_SQL = SUMMARY_SQL + f""",
+_GRADED_SQL = f""",
 mins AS (SELECT min(CASE WHEN avg_tokens > 0 THEN avg_tokens END) AS mt,
                 min(CASE WHEN avg_total_ms > 0 THEN avg_total_ms END) AS ml FROM summary),
 d AS (SELECT run, ex_at_1 AS ex, CASE WHEN ves IS NOT NULL THEN least(CAST(100.0 AS DOUBLE), ves) END AS eff, {p1("n - errors", "n")} AS rel,
@@ -116,88 +142,136 @@ w AS (SELECT *, {' + '.join(['CAST(0.0 AS DOUBLE)'] + [f'coalesce(CAST({wt} AS D
       FROM d),
 graded AS (SELECT run, ex, eff, rel, tok, lat, CASE WHEN den > 0 THEN round(num / den, 1) END AS grade FROM w)"""
 
+GRADE_SQL = SUMMARY_SQL + _GRADED_SQL
+
+
+def _price_sql(col: str) -> tuple[str, str]:
+    keys = sorted(sc.PRICES, key=lambda p: -len(p[0]))
+    cin = " ".join(f"WHEN starts_with({col}, '{k}') THEN {pi}" for k, pi, _ in keys)
+    cout = " ".join(f"WHEN starts_with({col}, '{k}') THEN {po}" for k, _, po in keys)
+    return (f"CAST(CASE {cin} ELSE {sc.DEFAULT_PRICE[0]} END AS DECIMAL(6, 2))",
+            f"CAST(CASE {cout} ELSE {sc.DEFAULT_PRICE[1]} END AS DECIMAL(6, 2))")
+
+
+_VIN, _VOUT = _price_sql("model")
+
+#: The verified numbers of each run, as ``summary``.
+VERIFIED_SQL = RUNS_SQL + f""",
+scored AS (
+  SELECT *, CASE WHEN pred_tables IS NOT NULL THEN list_has_all(pred_tables, gold_tables) ELSE reported END AS set_recall,
+         CASE WHEN prompt IS NOT NULL OR completion IS NOT NULL THEN coalesce(prompt, 0) + coalesce(completion, 0) END AS toks
+  FROM runs),
+agg AS (
+  SELECT run, replace(min(model), 'openai/', '') AS model, count(*) AS n, count(*) FILTER (WHERE error) AS errors,
+         {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS ex_at_1,
+         {r1(f"sum({milli(VES_SQL)})", f"count({VES_SQL}) * 10")} AS ves,
+         {r1(f"sum({milli('soft')})", "count(soft) * 10")} AS soft_f1,
+         {p1("count(*) FILTER (WHERE set_recall)", "count(set_recall)")} AS set_recall,
+         {r1(f"sum({cents('gen_ms')})", "count(gen_ms) * 100")} AS avg_gen_ms,
+         {r1(f"sum({cents('exec_ms')})", "count(exec_ms) * 100")} AS avg_exec_ms,
+         {r1("sum(toks)", "count(toks)")} AS avg_tokens, CAST(sum(toks) AS BIGINT) AS total_tokens,
+         CAST(count(toks) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS token_coverage,
+         CAST(coalesce(sum(prompt), 0) AS BIGINT) AS prompt_tokens,
+         CAST(coalesce(sum(completion), 0) AS BIGINT) AS completion_tokens,
+         {p1("count(*) FILTER (WHERE claimed)", "count(*)")} AS claimed_ex
+  FROM scored GROUP BY run),
+summary AS (
+  SELECT *, round(coalesce(avg_gen_ms, 0.0) + coalesce(avg_exec_ms, 0.0), 1) AS avg_total_ms,
+         CAST(round(CAST(prompt_tokens AS DECIMAL(20, 0)) * {_VIN} * 0.000001
+                    + CAST(completion_tokens AS DECIMAL(20, 0)) * {_VOUT} * 0.000001, 4) AS DOUBLE) AS est_cost_usd
+  FROM agg)"""
+
 ISSUES_SQL = f""",
-official AS (SELECT DISTINCT hr FROM runs WHERE ex AND hr IS NOT NULL),
+official AS (SELECT n_nationkey AS question FROM nation WHERE n_nationkey < {QUESTIONS}),
 issues AS (
   SELECT r.run, 'missing_ids' AS issue FROM (SELECT DISTINCT run FROM runs) r, official q
-    WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.run IS NOT DISTINCT FROM r.run AND x.hr = q.hr) GROUP BY r.run
+    WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.run IS NOT DISTINCT FROM r.run AND x.question = q.question) GROUP BY r.run
   UNION ALL SELECT run, 'unknown_ids' FROM runs
-    WHERE hr IS NOT NULL AND hr NOT IN (SELECT hr FROM official) GROUP BY run
-  UNION ALL SELECT run, 'other_model' FROM runs GROUP BY run
-    HAVING replace(min(model), 'openai/', '') <> '{BOARD_MODEL}'
-  UNION ALL SELECT run, 'inflated_claim' FROM runs GROUP BY run
-    HAVING {p1("count(*) FILTER (WHERE claim_value > 250)", "count(*)")} - {p1("count(*) FILTER (WHERE ex)", "count(ex)")} > 2.0
-  UNION ALL SELECT run, 'zero_tokens' FROM runs GROUP BY run HAVING sum(tokens) = 0)"""
-
-
-def run_stats(t: Tables):
-    """Per-run summary and validation aggregates in ONE groupBy pass over the
-    run rows; queries that need only part of it get the rest pruned. Every
-    aggregate here has a fixed-width buffer, so this is a hash aggregate."""
-    return sc.summarise(
-        run_rows(t),
-        sc.pct1(F.count_if(F.col("claim_value") > 250), F.count(F.lit(1))).alias("_claimed"))
-
-
-def run_models(t: Tables):
-    """(run, _model): the run's smallest model name, provider prefix removed.
-    A string minimum has no fixed-width buffer (Spark sorts for it), so the
-    events are first reduced to distinct (run, model) pairs by a hash
-    aggregate and the minimum runs over those few pairs only."""
-    pairs = run_rows(t).groupBy("run", "model").agg(F.count(F.lit(1)).alias("_n"))
-    # The minimum reads _n, so the optimizer keeps the pair aggregate (a bare
-    # DISTINCT under min() is dropped as redundant, and min would then sort
-    # every event row).
-    m = F.min(F.when(F.col("_n") > 0, F.col("model")))
-    return pairs.groupBy("run").agg(F.replace(m, F.lit("openai/"), F.lit("")).alias("_model"))
-
-
-def with_models(stats, t: Tables):
-    """Per-run stats with the run's model (NULL-safe on run: a NULL run is one run)."""
-    m = run_models(t).withColumnRenamed("run", "_mrun")
-    return stats.join(m, stats["run"].eqNullSafe(m["_mrun"]), "left").drop("_mrun")
-
+    WHERE question IS NOT NULL AND question NOT IN (SELECT question FROM official) GROUP BY run
+  UNION ALL SELECT run, 'other_model' FROM summary WHERE model <> '{BOARD_MODEL}'
+  UNION ALL SELECT run, 'inflated_claim' FROM summary WHERE claimed_ex - ex_at_1 > 2.0
+  UNION ALL SELECT run, 'zero_tokens' FROM summary WHERE total_tokens IS NOT NULL AND prompt_tokens = 0)"""
 
-def answered(t: Tables):
-    """Distinct (run, question) pairs; ``right`` if the run answered it correctly.
-    The question set may have any size: coverage is an anti join, not a mask."""
-    return run_rows(t).groupBy("run", "hr").agg(F.coalesce(F.bool_or("ex"), F.lit(False)).alias("right"))
 
+def submitted_rows(t: Tables):
+    """Run rows as they are verified: Set-Recall from the submitted table set (the gold set
+    must be inside it) or else the reported flag, tokens from prompt and completion."""
+    covered = F.when(F.col("pred_tables").isNotNull(), F.size(F.array_except("gold_tables", "pred_tables")) == 0) \
+        .otherwise(F.col("reported"))
+    used = F.when(F.col("prompt").isNotNull() | F.col("completion").isNotNull(),
+                  F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0)))
+    return run_rows(t).withColumn("set_recall", covered).withColumn("tokens", used)
+
+
+def per_question(t: Tables):
+    """What every verified number is made of, per (run, model, question): the one pass over
+    the events, written. A run's model takes part in the key (it hardly ever differs
+    within a run), since a string minimum would be a sort aggregate over all events."""
+    return materialise(sc.partial_sums(submitted_rows(t), "run", "model", "question"))
+
+
+def verified(parts):
+    """Verified numbers of each run from ``per_question``: total latency is the sum of the two
+    means, the cost comes from prompt and completion tokens at the model's price."""
+    per = sc.add_up(parts, "run", "model")
+    sums = [F.sum(c).alias(c) for c in per.columns if c not in ("run", "model")]
+    one = per.groupBy("run").agg(F.min("model").alias("_m"), *sums).withColumn(
+        "model", F.replace("_m", F.lit("openai/"), F.lit("")))
+    r = sc.rates(one, "model").drop("avg_total_ms")
+    pin, pout = (p.cast("decimal(6,2)") for p in sc.prefix_price_columns(F.col("model")))
+    per_token = F.lit(Decimal("0.000001"))
+    cost = (F.col("prompt_tokens").cast("decimal(20,0)") * pin * per_token
+            + F.col("completion_tokens").cast("decimal(20,0)") * pout * per_token)
+    total = F.round(F.coalesce("avg_gen_ms", F.lit(0.0)) + F.coalesce("avg_exec_ms", F.lit(0.0)), 1)
+    return r.withColumn("avg_total_ms", total).withColumn("est_cost_usd", F.round(cost, 4).cast("double"))
 
-def summary(t: Tables):
-    return run_stats(t).select(*sc.SUMMARY_COLUMNS)
 
+def answered(t: Tables):
+    """Distinct (run, question) pairs; ``right`` if the run answered it correctly."""
+    return run_rows(t).groupBy("run", "question").agg(F.coalesce(F.bool_or("ex"), F.lit(False)).alias("right"))
 
-def issues(t: Tables):
-    """E-VALID over the per-run stats and the distinct (run, question) pairs."""
-    return issues_from(with_models(run_stats(t), t), materialise(answered(t)))
 
+def summary(t: Tables):
+    return sc.summarise(run_rows(t)).select(*sc.SUMMARY_COLUMNS)
 
-def coverage_issues(pairs, qid: str = "hr"):
-    """Runs that lack an official question, and runs with a question that is none.
 
-    Official are the questions that some run answers correctly. Per run, its
-    official questions are counted against their number (a scalar subquery),
-    so no (run, missing question) rows are ever made."""
-    official = materialise(pairs.filter("right").select(qid).filter(F.col(qid).isNotNull()).distinct()
-                           .withColumn("_official", F.lit(True)))
-    n = official.agg(F.count(F.lit(1))).scalar()
-    per = pairs.join(official, qid, "left").groupBy("run").agg(
+def coverage_issues(pairs, official, qid: str = "question"):
+    """Runs that lack an official question, and runs with a question that is none, from
+    distinct (run, question) pairs. Per run, its official questions are counted against
+    their number (a scalar subquery), so no (run, missing question) rows are ever made."""
+    n = official.agg(F.count_distinct(qid)).scalar()
+    known = official.select(qid).filter(F.col(qid).isNotNull()).distinct().withColumn("_official", F.lit(True))
+    per = pairs.join(known, qid, "left").groupBy("run").agg(
         F.count("_official").alias("_have"), F.count_if(F.col("_official").isNull() & F.col(qid).isNotNull()).alias("_odd"))
     per = per.withColumn("_missing", F.col("_have") < n)
     flags = F.array(F.when(F.col("_missing"), F.lit("missing_ids")), F.when(F.col("_odd") > 0, F.lit("unknown_ids")))
     return per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
 
 
-def issues_from(per, pairs):
+def issues_from(per, pairs, official):
     """A run that names no model or reports no tokens is accepted; one that names
-    another model or reports zero tokens is not."""
+    another model or reports zero prompt tokens is not."""
     flags = F.array(
-        F.when(F.col("_model") != BOARD_MODEL, F.lit("other_model")),
-        F.when(F.col("_claimed") - F.col("ex_at_1") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
-        F.when(F.col("total_tokens") == 0, F.lit("zero_tokens")))
+        F.when(F.col("model") != BOARD_MODEL, F.lit("other_model")),
+        F.when(F.col("claimed_ex") - F.col("ex_at_1") > sc.CLAIM_SLACK, F.lit("inflated_claim")),
+        F.when(F.col("total_tokens").isNotNull() & (F.col("prompt_tokens") == 0), F.lit("zero_tokens")))
     return (per.select("run", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("issue"))
-            .unionByName(coverage_issues(pairs)))
+            .unionByName(coverage_issues(pairs, official)))
+
+
+def _issues(t: Tables, parts, per):
+    pairs = parts.groupBy("run", "question").agg(F.count(F.lit(1)).alias("_n"))
+    return issues_from(per, pairs, official_questions(t))
+
+
+def board(t: Tables):
+    """(rank, grade and every verified number) of the accepted runs. The events are read
+    once (``per_question``); the verified numbers are one written row per run."""
+    parts = per_question(t)
+    per = materialise(verified(parts))
+    ranked = sc.leaderboard(sc.grade(per), _issues(t, parts, per))
+    mine = per.withColumnRenamed("run", "_run")
+    return ranked.join(mine, ranked["run"].eqNullSafe(mine["_run"])).drop("_run")
 
 
 @query("ves", "E-VES", "WITH " + SUMMARY_SQL + " SELECT run, ves FROM summary")
@@ -230,36 +304,12 @@ def latency_avg(t: Tables):
     return summary(t).select("run", "avg_gen_ms", "avg_exec_ms", "avg_total_ms", "avg_gold_ms")
 
 
-def _price_sql(col: str) -> str:
-    keys = sorted(sc.PRICES, key=lambda p: -len(p[0]))
-    cin = " ".join(f"WHEN starts_with({col}, '{k}') THEN {pi}" for k, pi, _ in keys)
-    cout = " ".join(f"WHEN starts_with({col}, '{k}') THEN {po}" for k, _, po in keys)
-    return (f"CAST(CASE {cin} ELSE {sc.DEFAULT_PRICE[0]} END AS DECIMAL(6, 2))",
-            f"CAST(CASE {cout} ELSE {sc.DEFAULT_PRICE[1]} END AS DECIMAL(6, 2))")
-
-
-_PIN, _POUT = _price_sql("replace(m.model, 'openai/', '')")
-
-
-@query("token_rollup", "E-TOKENS", "WITH " + SUMMARY_SQL + f""",
-m AS (SELECT run, min(model) AS model FROM runs GROUP BY run)
-SELECT s.run, s.total_tokens, s.avg_tokens, s.token_coverage,
-       CAST(round(CAST(s.total_tokens AS DECIMAL(20, 0)) * 0.75 * {_PIN} * 0.000001
-                  + CAST(s.total_tokens AS DECIMAL(20, 0)) * 0.25 * {_POUT} * 0.000001, 6) AS DOUBLE) AS est_cost_usd
-FROM summary s JOIN m USING (run)""")
+@query("token_rollup", "E-TOKENS", "WITH " + VERIFIED_SQL + """
+SELECT run, prompt_tokens, completion_tokens, total_tokens, avg_tokens, token_coverage, est_cost_usd FROM summary""")
 def token_rollup(t: Tables):
-    """Token totals/means/coverage plus the run cost: tokens split 3:1 into
-    prompt/completion, priced by the longest model-key prefix."""
-    pin, pout = sc.prefix_price_columns(F.col("_model"))      # the run's model, provider prefix removed
-    # Exact decimal arithmetic: the double product can sit on a rounding tie.
-    tok = F.col("total_tokens").cast("decimal(20,0)")
-    per_token = F.lit(Decimal("0.000001"))
-    pin, pout = pin.cast("decimal(6,2)"), pout.cast("decimal(6,2)")
-    # A run is priced through its key, so a NULL run (no key) has no cost row.
-    return (with_models(run_stats(t).filter(F.col("run").isNotNull()), t).select(
-        "run", "total_tokens", "avg_tokens", "token_coverage",
-        F.round(tok * F.lit(Decimal("0.75")) * pin * per_token + tok * F.lit(Decimal("0.25")) * pout * per_token, 6)
-        .cast("double").alias("est_cost_usd")))
+    """Prompt and completion tokens, totals, means, coverage and cost of each run."""
+    return verified(per_question(t)).select("run", "prompt_tokens", "completion_tokens", "total_tokens", "avg_tokens",
+                                            "token_coverage", "est_cost_usd")
 
 
 COST_PREFIXES = [("P", 1.0, 2.0), ("PRO", 3.0, 6.0), ("S", 0.5, 1.5), ("ST", 0.8, 2.4), ("SM", 0.2, 0.6),
@@ -295,23 +345,22 @@ def grade(t: Tables):
     return sc.grade(materialise(summary(t)))
 
 
-@query("validate_runs", "E-VALID", "WITH " + RUNS_SQL + ISSUES_SQL + " SELECT run, issue FROM issues")
+@query("validate_runs", "E-VALID", "WITH " + VERIFIED_SQL + ISSUES_SQL + " SELECT run, issue FROM issues")
 def validate_runs(t: Tables):
-    return issues(t)
+    """Runs that miss or invent questions, use another model, claim too much, or report zero tokens."""
+    parts = per_question(t)
+    return _issues(t, parts, materialise(verified(parts)))
 
 
-BOARD_SQL = "WITH " + GRADE_SQL + ISSUES_SQL + """
-SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
-FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run)"""
+BOARD_SQL = "WITH " + VERIFIED_SQL + _GRADED_SQL + ISSUES_SQL + """,
+board AS (SELECT CAST(row_number() OVER (ORDER BY grade DESC NULLS LAST, run) AS BIGINT) AS rank, run, grade
+          FROM graded WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.run IS NOT DISTINCT FROM graded.run))"""
 
 
-@query("leaderboard", "E-BOARD", BOARD_SQL)
+@query("leaderboard", "E-BOARD", BOARD_SQL + " SELECT rank, run, grade FROM board")
 def leaderboard(t: Tables):
-    """Grades and validation both read the per-run stats; they are written
-    once to the checkpoint folder (one row per run) so the events are
-    aggregated once, not once per consumer."""
-    stats = materialise(with_models(run_stats(t), t))
-    return sc.leaderboard(sc.grade(stats.select(*sc.SUMMARY_COLUMNS)), issues_from(stats, materialise(answered(t))))
+    """Ranks and grades of the accepted runs, from their verified numbers."""
+    return board(t).select("rank", "run", "grade")
 
 
 @query("rescore", "E-RESCORE", f"""
@@ -364,89 +413,20 @@ def pass_at_k(t: Tables):
     return s.withColumn("pass_at_k", F.round(sc.pass_at_k(F.col("n"), F.col("c"), PASS_K), 6))
 
 
-# ------------------------------------------------- verified submissions ----
+_VERIFIED = ["run", "n", "errors", "ex_at_1", "ves", "soft_f1", "set_recall", "avg_gen_ms", "avg_exec_ms",
+             "avg_total_ms", "avg_tokens", "total_tokens", "token_coverage", "prompt_tokens", "completion_tokens",
+             "est_cost_usd"]
 
-TABLE_SET = ["customers", "orders", "payments", "shipments"]
-_TABLES_SQL = "[" + ", ".join(f"'{x}'" for x in TABLE_SET) + "]"
-
-SUBMITTED_SQL = RUNS_SQL + f""",
-kv AS (SELECT event_id AS qid, user_id AS run, event_type AS et, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-sub AS (
-  SELECT r.*, CASE WHEN kv.et <> 'view' THEN kv.k * 40 END AS prompt,
-         CASE WHEN kv.et <> 'view' AND kv.k % 2 = 0 THEN kv.k * 10 END AS completion,
-         {_TABLES_SQL}[1:1 + r.qid % 4] AS gold_tables,
-         CASE WHEN r.qid % 5 <> 0 THEN {_TABLES_SQL}[1:1 + (r.qid // 4) % 4] END AS pred_tables,
-         coalesce(kv.et = 'purchase', false) AS reported
-  FROM runs r JOIN kv ON kv.qid = r.qid AND kv.run = r.run),
-scored AS (
-  SELECT *, CASE WHEN pred_tables IS NOT NULL THEN list_has_all(pred_tables, gold_tables) ELSE reported END AS set_recall,
-         CASE WHEN prompt IS NOT NULL OR completion IS NOT NULL THEN coalesce(prompt, 0) + coalesce(completion, 0) END AS toks
-  FROM sub),
-agg AS (
-  SELECT run, min(model) AS model, count(*) AS n, count(*) FILTER (WHERE error) AS errors,
-         {p1("count(*) FILTER (WHERE ex)", "count(ex)")} AS ex_at_1,
-         {r1(f"sum({milli(VES_SQL)})", f"count({VES_SQL}) * 10")} AS ves,
-         {r1(f"sum({milli('soft')})", "count(soft) * 10")} AS soft_f1,
-         {p1("count(*) FILTER (WHERE set_recall)", "count(set_recall)")} AS set_recall,
-         {r1(f"sum({cents('gen_ms')})", "count(gen_ms) * 100")} AS avg_gen_ms,
-         {r1(f"sum({cents('exec_ms')})", "count(exec_ms) * 100")} AS avg_exec_ms,
-         {r1("sum(toks)", "count(toks)")} AS avg_tokens, CAST(sum(toks) AS BIGINT) AS total_tokens,
-         CAST(count(toks) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS token_coverage,
-         CAST(coalesce(sum(prompt), 0) AS BIGINT) AS prompt_tokens,
-         CAST(coalesce(sum(completion), 0) AS BIGINT) AS completion_tokens
-  FROM scored GROUP BY run)"""
-
-_VIN, _VOUT = _price_sql("replace(model, 'openai/', '')")
 
-
-@query("rescore_runs", "E-RESCORE", "WITH " + SUBMITTED_SQL + f"""
-SELECT run, n, errors, ex_at_1, ves, soft_f1, set_recall, avg_gen_ms, avg_exec_ms,
-       round(coalesce(avg_gen_ms, 0.0) + coalesce(avg_exec_ms, 0.0), 1) AS avg_total_ms, avg_tokens, total_tokens, token_coverage,
-       prompt_tokens, completion_tokens,
-       CAST(round(CAST(prompt_tokens AS DECIMAL(20, 0)) * {_VIN} * 0.000001
-                  + CAST(completion_tokens AS DECIMAL(20, 0)) * {_VOUT} * 0.000001, 4) AS DOUBLE) AS est_cost_usd
-FROM agg""")
+@query("rescore_runs", "E-RESCORE", "WITH " + VERIFIED_SQL + f" SELECT {', '.join(_VERIFIED)} FROM summary")
 def rescore_runs(t: Tables):
-    """Verified numbers of each submission: every metric from its rows, Set-Recall
-    from the submitted table set (the gold set must be inside it) or else the reported
-    flag, total latency as the sum of the two means, cost from prompt and
-    completion tokens."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    et = F.col("event_type")
-    tables = _lit_array(TABLE_SET)
-    extra = t.events.select(
-        F.col("event_id").alias("qid"), F.col("user_id").alias("run"),
-        F.when(et != "view", k * 40).alias("prompt"), F.when((et != "view") & (k % 2 == 0), k * 10).alias("completion"),
-        F.slice(tables, F.lit(1), (F.col("event_id") % 4 + 1).cast("int")).alias("gold_tables"),
-        F.when(F.col("event_id") % 5 != 0,
-               F.slice(tables, F.lit(1), (F.expr("event_id div 4") % 4 + 1).cast("int"))).alias("pred_tables"),
-        F.coalesce(et == "purchase", F.lit(False)).alias("reported"))
-    rows = run_rows(t).drop("tokens").join(extra, ["qid", "run"])
-    covered = F.when(F.col("pred_tables").isNotNull(), F.size(F.array_except("gold_tables", "pred_tables")) == 0) \
-        .otherwise(F.col("reported"))
-    rows = rows.withColumn("set_recall", covered).withColumn("tokens", F.when(
-        F.col("prompt").isNotNull() | F.col("completion").isNotNull(),
-        F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0))))
-    s = sc.summarise(
-        rows, sc.mean_pct1(F.col("soft")).alias("soft_f1"),
-        sc.pct1(F.count_if("set_recall"), F.count("set_recall")).alias("set_recall"),
-        F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt_tokens"),
-        F.coalesce(F.sum("completion"), F.lit(0)).alias("completion_tokens"))
-    # the model is a function of the run, so its price is one join on a few distinct pairs
-    s = with_models(s, t)
-    pin, pout = (p.cast("decimal(6,2)") for p in sc.prefix_price_columns(F.col("_model")))
-    per_token = F.lit(Decimal("0.000001"))
-    cost = (F.col("prompt_tokens").cast("decimal(20,0)") * pin * per_token
-            + F.col("completion_tokens").cast("decimal(20,0)") * pout * per_token)
-    total = F.round(F.coalesce("avg_gen_ms", F.lit(0.0)) + F.coalesce("avg_exec_ms", F.lit(0.0)), 1)
-    return s.select("run", "n", "errors", "ex_at_1", "ves", "soft_f1", "set_recall", "avg_gen_ms", "avg_exec_ms",
-                    total.alias("avg_total_ms"), "avg_tokens", "total_tokens", "token_coverage", "prompt_tokens",
-                    "completion_tokens", F.round(cost, 4).cast("double").alias("est_cost_usd"))
+    """Verified numbers of each submission, every metric from its rows."""
+    return verified(per_question(t)).select(*_VERIFIED)
 
 
 @query("oracle_gap_runs", "E-GAP", "WITH " + RUNS_SQL + f""",
-q AS (SELECT run, hr, coalesce(bool_or(ex), false) AS ok FROM runs WHERE run IS NOT NULL AND hr IS NOT NULL GROUP BY 1, 2),
-j AS (SELECT a.run // 2 AS tool, a.ok AS own, b.ok AS orc FROM q a JOIN q b ON b.run = a.run + 1 AND b.hr = a.hr
+q AS (SELECT run, question, coalesce(bool_or(ex), false) AS ok FROM runs WHERE run IS NOT NULL AND question IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT a.run // 2 AS tool, a.ok AS own, b.ok AS orc FROM q a JOIN q b ON b.run = a.run + 1 AND b.question = a.question
       WHERE a.run % 2 = 0)
 SELECT tool, count(*) AS n, {p1("count(*) FILTER (WHERE own)", "count(*)")} AS own_ex,
        {p1("count(*) FILTER (WHERE orc)", "count(*)")} AS oracle_ex,
@@ -454,10 +434,10 @@ SELECT tool, count(*) AS n, {p1("count(*) FILTER (WHERE own)", "count(*)")} AS o
 FROM j GROUP BY tool""")
 def oracle_gap_runs(t: Tables):
     """A tool's own run (even) joined per question to its oracle run (the odd one after)."""
-    q = answered(t).filter("run IS NOT NULL AND hr IS NOT NULL")
-    own = q.filter("run % 2 = 0").select(F.expr("run div 2").alias("tool"), "hr", F.col("right").alias("own"))
-    oracle = q.filter("run % 2 = 1").select(F.expr("run div 2").alias("tool"), "hr", F.col("right").alias("orc"))
-    r = own.join(oracle, ["tool", "hr"]).groupBy("tool").agg(
+    q = answered(t).filter("run IS NOT NULL AND question IS NOT NULL")
+    own = q.filter("run % 2 = 0").select(F.expr("run div 2").alias("tool"), "question", F.col("right").alias("own"))
+    oracle = q.filter("run % 2 = 1").select(F.expr("run div 2").alias("tool"), "question", F.col("right").alias("orc"))
+    r = own.join(oracle, ["tool", "question"]).groupBy("tool").agg(
         F.count(F.lit(1)).alias("n"), sc.pct1(F.count_if("own"), F.count(F.lit(1))).alias("own_ex"),
         sc.pct1(F.count_if("orc"), F.count(F.lit(1))).alias("oracle_ex"))
     return r.withColumn("gap", F.round(F.col("oracle_ex") - F.col("own_ex"), 1))

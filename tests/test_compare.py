@@ -1,6 +1,10 @@
 """Table-driven comparator cases (equal, permuted, reordered, duplicates, NULLs,
 1 vs 1.0 vs true, 1e-7 differences, empties, arity, 7+ columns, NaN)."""
 
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +74,11 @@ def test_wide_prediction_contains_narrow_gold(spark):
 
 
 def test_equal_columns_are_one_class(spark):
-    """Ten equal columns are one candidate, not ten factorial."""
+    """Ten equal columns are one map, not ten factorial."""
     cols = ", ".join(f"c{i} long" for i in range(10))
     g = spark.createDataFrame([(1,) * 10, (2,) * 10], cols)
-    gn = cmp.normalise(g)
-    assert len(list(cmp.candidate_orders(gn, gn))) == 1
+    bounds = {(i, j): 2 for i in range(10) for j in range(10)}
+    assert len(list(cmp.best_first(bounds, dict.fromkeys(range(10), "same"), 10, 0))) == 1
     assert cmp.result_eq(g, g) and cmp.soft_f1(g, g) == 1.0
 
 
@@ -139,21 +143,108 @@ def test_contains(spark):
     assert not cmp.contains(df(spark, [("q", 1)]), p)
 
 
-def test_contains_prunes_by_value_containment(spark):
+def test_contains_rows_not_columns(spark):
     """Gold columns hidden among wider, reordered prediction columns (with a
-    NULL cell) are found; containment per column prunes the map search, and
-    a row present column-wise but not as a row is still rejected."""
+    NULL cell) are found; a row present column-wise but not as a row is rejected."""
     g = spark.createDataFrame([(1, "a", None), (2, "b", 5.0)], "k long, s string, v double")
     p = spark.createDataFrame([(5.0, "b", 9, 2, "u"), (None, "a", 8, 1, "w"), (7.0, "c", 7, 3, "v")],
                               "v double, s string, z long, k long, t string")
-    ok = cmp.column_containment(cmp.normalise(g, "g"), cmp.normalise(p, "p"), 3, 5)
-    assert ok[0][3] and ok[1][1] and ok[2][0] and not ok[1][4]
     assert cmp.contains(g, p)
     mixed = spark.createDataFrame([(5.0, "a", 9, 2, "u"), (None, "b", 8, 1, "w")],
                                   "v double, s string, z long, k long, t string")
     assert not cmp.contains(g, mixed)
 
 
+# -- many questions at once -------------------------------------------------------------
+
+def most_common(gold, pred, width):
+    """Brute force: the most rows in common under any one-to-one map of columns."""
+    g, best = Counter(gold), 0
+    for places in itertools.permutations(range(len(pred[0])), width):
+        best = max(best, sum((g & Counter(tuple(r[i] for i in places) for r in pred)).values()))
+    return best
+
+
+def results(spark, by_question):
+    rows = [(q, list(r), None) for q, found in by_question.items() for r in found]
+    return spark.createDataFrame(rows, "qid string, cells array<string>, pos long")
+
+
+def asked(spark, names):
+    return spark.createDataFrame([(n, True) for n in names], "qid string, answered boolean")
+
+
+def cells(rng, rows, width, values="01"):
+    return [tuple(rng.choice(values) for _ in range(width)) for _ in range(rows)]
+
+
+@pytest.mark.parametrize("many", [1 << 16, 30])
+def test_soft_f1_equals_brute_force(spark, monkeypatch, many):
+    """Five columns of 0 and 1 with nothing to tell them apart; with few maps a job, maps
+    grow column by column instead."""
+    monkeypatch.setattr(cmp, "MANY", many)
+    rng = random.Random(5)
+    gold = {f"q{n}": cells(rng, 40, 5) for n in range(6)}
+    pred = {q: cells(rng, 30 + 3 * n, 5) for n, q in enumerate(gold)}
+    pred["q1"] = [tuple(reversed(r)) for r in gold["q1"]]
+    pred["q2"] = [(r[1], r[0], *r[2:4], None) for r in gold["q2"]]
+    got = {r.qid: r for r in cmp.judge(asked(spark, gold), results(spark, gold), results(spark, pred), "most").collect()}
+    for q in gold:
+        common = most_common(gold[q], pred[q], 5)
+        assert got[q].common == common
+        assert got[q].soft_f1 == pytest.approx(2 * common / (len(gold[q]) + len(pred[q])))
+    assert got["q1"].verdict and not got["q0"].verdict
+
+
+def jobs(spark, run):
+    """What ``run`` gives, and the number of SQL executions it took."""
+    start = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = run()
+    return found, spark._jsparkSession.sharedState().statusStore().executionsCount() - start
+
+
+def test_eight_binary_columns_in_few_jobs(spark):
+    rng = random.Random(8)
+    gold, pred = {"q": cells(rng, 60, 8)}, {"q": cells(rng, 60, 8)}
+    found, n = jobs(spark, lambda: cmp.judge(asked(spark, ["q"]), results(spark, gold), results(spark, pred), "most").first())
+    assert found.common == most_common(gold["q"], pred["q"], 8) and n <= 10
+
+
+@pytest.mark.parametrize("many", [1 << 16, 50])
+def test_four_gold_columns_in_twelve(spark, monkeypatch, many):
+    monkeypatch.setattr(cmp, "MANY", many)
+    rng = random.Random(12)
+    pred = {q: cells(rng, 25, 12) for q in ("in", "lacks", "no")}
+    gold = {q: [tuple(r[i] for i in (11, 3, 7, 0)) for r in rows[:20]] for q, rows in pred.items()}
+    gold["no"] = cells(rng, 25, 4)
+    pred["lacks"] = [r for r in pred["lacks"] if r != pred["lacks"][3]]
+    found, n = jobs(spark, lambda: {r.qid: r.verdict for r in cmp.judge(asked(spark, gold), results(spark, gold),
+                                                                        results(spark, pred), "inside").collect()})
+    assert found == {q: most_common(gold[q], pred[q], 4) == len(gold[q]) for q in gold} and found["in"]
+    assert n <= 14
+
+
+def test_a_hundred_pairs_in_few_jobs(spark):
+    rng = random.Random(100)
+    gold = {f"q{n}": cells(rng, 20, 4, "abcdef") for n in range(100)}
+    pred = {q: [tuple(r[(i + n) % 4] for i in range(4)) for r in rows] for n, (q, rows) in enumerate(gold.items())}
+    for n in range(0, 100, 9):
+        pred[f"q{n}"][0] = ("x",) * 4
+    found, n = jobs(spark, lambda: {r.qid: r.verdict for r in cmp.judge(asked(spark, gold), results(spark, gold),
+                                                                        results(spark, pred)).collect()})
+    assert found == {f"q{n}": n % 9 != 0 for n in range(100)} and n <= 10
+
+
+def test_missing_and_empty_answers(spark):
+    questions = spark.createDataFrame([("both empty", True), ("missing", False), ("gold only", True), ("pred only", True)],
+                                      "qid string, answered boolean")
+    gold, pred = results(spark, {"gold only": [("a",)], "missing": [("a",)]}), results(spark, {"pred only": [("a",)]})
+    for mode in ("equal", "most"):
+        got = {r.qid: (r.verdict, r.soft_f1) for r in cmp.judge(questions, gold, pred, mode).collect()}
+        assert {q: v for q, (v, _) in got.items()} == {"both empty": True, "missing": False, "gold only": False, "pred only": False}
+    assert {q: f for q, (_, f) in got.items()} == {"both empty": 1.0, "missing": 0.0, "gold only": 0.0, "pred only": 0.0}
+
+
 def test_bag_diff_statuses(spark):
     a = cmp.normalise(df(spark, [("x", 1), ("x", 1), ("y", 2)]))
     b = cmp.normalise(df(spark, [("x", 1), ("z", 3)]))

@@ -97,17 +97,19 @@ def test_coverage_of_many_questions(spark):
     n = 150
     rows = [("all", q, True) for q in range(n)] + [("short", q, False) for q in range(n - 1)]
     rows += [("odd", q, False) for q in range(n)] + [("odd", 999, False)] + [(None, 3, False)]
-    df = spark.createDataFrame(rows, "run string, hr long, right boolean")
-    got = {(r["run"], r["issue"]) for r in coverage_issues(df).collect()}
+    df = spark.createDataFrame(rows, "run string, question long, right boolean")
+    official = spark.range(n).withColumnRenamed("id", "question")
+    got = {(r["run"], r["issue"]) for r in coverage_issues(df, official).collect()}
     assert got == {("short", "missing_ids"), ("odd", "unknown_ids"), (None, "missing_ids")}
 
 
 def test_missing_model_and_tokens_are_accepted(spark):
     from quarry.plans.scoring import issues_from
-    per = spark.createDataFrame([("a", None, 50.0, 50.0, None), ("b", "other", 50.0, 50.0, 5), ("c", "gpt-4o", 60.0, 50.0, 0)],
-                                "run string, _model string, _claimed double, ex_at_1 double, total_tokens long")
-    pairs = spark.createDataFrame([(r, 1, True) for r in "abc"], "run string, hr long, right boolean")
-    got = {(r["run"], r["issue"]) for r in issues_from(per, pairs).collect()}
+    per = spark.createDataFrame([("a", None, 50.0, 50.0, None, 0), ("b", "other", 50.0, 50.0, 5, 5),
+                                 ("c", "gpt-4o", 60.0, 50.0, 0, 0)],
+                                "run string, model string, claimed_ex double, ex_at_1 double, total_tokens long, prompt_tokens long")
+    pairs = spark.createDataFrame([(r, 1) for r in "abc"], "run string, question long")
+    got = {(r["run"], r["issue"]) for r in issues_from(per, pairs, pairs.select("question").distinct()).collect()}
     assert got == {("b", "other_model"), ("c", "inflated_claim"), ("c", "zero_tokens")}
 
 
@@ -122,3 +124,36 @@ def test_long_error_text_is_kept(spark):
 
     out = {r["qid"]: r["error"] for r in run_predictor(q, bad, "qid").collect()}
     assert sorted(i for i, e in out.items() if e) == [1, 5] and len(out[1]) == 3000 + len("ValueError: ")
+
+
+def test_sums_add_up(spark, sf_dir):
+    """Rates of sums per (run, question) added up equal the rates straight from the rows."""
+    from quarry.plans.scoring import submitted_rows
+    from quarry.sources.tables import Tables
+    rows = submitted_rows(Tables(spark, sf_dir))
+    straight = sc.rates(sc.partial_sums(rows, "run"))
+    twice = sc.rates(sc.add_up(sc.partial_sums(rows, "run", "question"), "run"))
+    assert sorted(map(tuple, straight.collect())) == sorted(map(tuple, twice.collect()))
+
+
+@pytest.mark.parametrize("name", ["leaderboard", "validate_runs", "export_csv", "rescore_runs", "token_rollup"])
+def test_events_are_scanned_once(spark, sf_dir, name, tmp_path, monkeypatch):
+    """Only the per-question sums read the events; all else reads what they wrote."""
+    from quarry.plans import REGISTRY
+    from quarry.sources.tables import Tables
+    reads = []
+    real = Tables.read
+    monkeypatch.setattr(Tables, "read", lambda self, table: reads.append(table) or real(self, table))
+    REGISTRY[name].build(spark, sf_dir).count()
+    assert reads.count("events") == 1
+
+
+def test_null_run_is_scored(spark):
+    """A run without an id is one run, not lost."""
+    from quarry.plans.scoring import verified
+    rows = [(None, "gpt-4o", 1, True, False, 10.0, 50.0, 50.0, 5, 4), (7, "gpt-4o", 1, False, True, 10.0, 50.0, 50.0, 5, 4)]
+    df = spark.createDataFrame(rows, "run long, model string, question long, ex boolean, error boolean, gen_ms double, "
+                                     "exec_ms double, gold_ms double, tokens long, prompt long")
+    df = df.withColumn("completion", F.lit(1).cast("long")).withColumn("soft", F.lit(0.0)).withColumn("claimed", F.col("ex"))
+    got = {r["run"]: r for r in verified(sc.partial_sums(df, "run", "model", "question")).collect()}
+    assert got.keys() == {None, 7} and got[None]["ex_at_1"] == 100.0 and got[7]["errors"] == 1
