@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,40 +121,46 @@ def export_csv(t: Tables):
 
 # ---------------------------------------------------------------- X-* ----
 
-PREDICT_SCHEMA = "qid long, answer int, error string, prompt_tokens int, completion_tokens int"
+PREDICTED = pa.schema([("answer", pa.int32()), ("error", pa.string()), ("prompt_tokens", pa.int32()),
+                       ("completion_tokens", pa.int32())])
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def run_predictor(questions: DataFrame, predict: Predictor, qid: str) -> DataFrame:
+def run_predictor(questions: DataFrame, predict: Predictor, qid: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """X-PREDICT: apply a plug-in to every question, batch by batch (Arrow),
-    on the executors. A batch that raises is halved and retried, so only the
-    failing questions get ``error`` set; nothing stops the job."""
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            waiting = [pdf]
+    on the executors: (qid, ``carry`` columns, answer, error, prompt_tokens,
+    completion_tokens). Ids of any type, NULL ones too, and carried columns stay in
+    Arrow and never pass through the plug-in's answer. A batch that raises, or whose
+    answer does not fit, is halved and retried, so only the failing questions get
+    ``error`` set; nothing stops the job."""
+    kept = [qid, *carry]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting = [batch]
             while waiting:          # a failing batch is halved until the failing questions are alone
                 part = waiting.pop()
                 try:
-                    yield _conform(predict(part), part[qid])
+                    answers = _answers(predict(part.to_pandas()), part.num_rows)
                 except Exception as e:  # noqa: BLE001 -- plug-in errors become data
-                    if len(part) > 1:
-                        half = len(part) // 2
-                        waiting += [part.iloc[half:], part.iloc[:half]]
-                    else:
-                        yield _conform(pd.DataFrame({"error": [f"{type(e).__name__}: {e}"]}), part[qid])
-    return questions.mapInPandas(fn, PREDICT_SCHEMA)
-
-
-def _conform(out: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
-    out = out.copy()
-    out["qid"] = ids.astype("int64").to_numpy()
-    for c in ("answer", "prompt_tokens", "completion_tokens"):
-        if c not in out:
-            out[c] = None
-        out[c] = out[c].astype("Int32")
-    if "error" not in out:
-        out["error"] = pd.Series([None] * len(out), dtype="object", index=out.index)
-    return out[["qid", "answer", "error", "prompt_tokens", "completion_tokens"]]
+                    if part.num_rows > 1:
+                        half = part.num_rows // 2
+                        waiting += [part.slice(half), part.slice(0, half)]
+                        continue
+                    answers = _answers(pd.DataFrame({"error": [f"{type(e).__name__}: {e}"]}), 1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *answers], names=["qid", *carry, *PREDICTED.names])
+
+    fields = [T.StructField("qid", questions.schema[qid].dataType), *(questions.schema[c] for c in carry)]
+    answer = [T.StructField("answer", T.IntegerType()), T.StructField("error", T.StringType()),
+              T.StructField("prompt_tokens", T.IntegerType()), T.StructField("completion_tokens", T.IntegerType())]
+    return questions.mapInArrow(fn, T.StructType(fields + answer))
+
+
+def _answers(out: pd.DataFrame, n: int) -> list[pa.Array]:
+    """The plug-in's columns in the declared types; a column it lacks is NULL."""
+    if len(out) != n:
+        raise ValueError(f"{len(out)} answers to {n} questions")
+    return [pa.Array.from_pandas(out[f.name]).cast(f.type) if f.name in out else pa.nulls(n, f.type) for f in PREDICTED]
 
 
 def gold_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +185,7 @@ def predict_gold(t: Tables):
     q = t.labels.select(F.col("doc_id").alias("qid"), "quality", "toxic")
     out = []
     for name, fn in (("gold", gold_predictor), ("picky", picky_predictor)):
-        p = run_predictor(q, fn, "qid").join(q, "qid")
+        p = run_predictor(q, fn, "qid", ("quality",))
         out.append(p.agg(F.lit(name).alias("plugin"), F.count(F.lit(1)).alias("n"),
                          F.round(F.count_if(F.col("error").isNull() & F.col("answer").eqNullSafe(F.col("quality")))
                                  / F.count(F.lit(1)), 6).alias("accuracy"),

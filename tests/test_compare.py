@@ -221,7 +221,7 @@ def test_four_gold_columns_in_twelve(spark, monkeypatch, many):
     found, n = jobs(spark, lambda: {r.qid: r.verdict for r in cmp.judge(asked(spark, gold), results(spark, gold),
                                                                         results(spark, pred), "inside").collect()})
     assert found == {q: most_common(gold[q], pred[q], 4) == len(gold[q]) for q in gold} and found["in"]
-    assert n <= 14
+    assert n <= 20      # four levels more than the direct way
 
 
 def test_a_hundred_pairs_in_few_jobs(spark):

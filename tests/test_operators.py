@@ -220,3 +220,30 @@ def test_pick_index_matches_searchsorted(spark):
 def test_global_row_number_empty(spark):
     df = spark.createDataFrame([], "run long, grade double")
     assert windows.global_row_number(df, [F.desc_nulls_last("grade"), F.asc_nulls_last("run")]).collect() == []
+
+
+def test_report_reads_six_tables(spark, sf_dir, monkeypatch):
+    """Orders, customers and suppliers are scanned once for all rules, lines three times."""
+    from quarry.plans import REGISTRY
+    from quarry.sources.tables import Tables
+    reads = []
+    real = Tables.read
+    monkeypatch.setattr(Tables, "read", lambda self, table: reads.append(table) or real(self, table))
+    REGISTRY["dq_report"].build(spark, sf_dir).collect()
+    assert sorted(reads) == ["customer", "lineitem", "lineitem", "lineitem", "orders", "supplier"]
+
+
+def test_rules_along_links(spark):
+    """A rule two parents up, orphans on each level, NULL keys, and a table that is both checked and a parent."""
+    from quarry.operators import quality as dq
+    tables = {
+        "leaf": spark.createDataFrame([(1, 10, 5), (2, 11, 7), (3, 99, 1), (4, None, 1), (5, 12, 5)], "id long, mid_id long, t long"),
+        "mid": spark.createDataFrame([(10, 100, 1), (11, 101, -1), (12, 777, 1)], "mid_id_pk long, top_id long, m long"),
+        "top": spark.createDataFrame([(100, 5), (101, 6)], "top_pk long, t_top long")}
+    leaf_mid = dq.Link("leaf", "mid_id", "mid", "mid_id_pk", ("m",))
+    mid_top = dq.Link("mid", "top_id", "top", "top_pk", ("t_top",))
+    rules = [dq.RowRule("other_top", "leaf", lambda: F.col("t") != F.col("t_top"), (leaf_mid, mid_top)),
+             dq.RowRule("negative", "mid", lambda: F.col("m") < 0), dq.orphan(leaf_mid), dq.orphan(mid_top),
+             dq.RowRule("leaf_negative_mid", "leaf", lambda: F.col("m") < 0, (leaf_mid,))]
+    got = {r["rule"]: r["violations"] for r in dq.counts(rules, tables.__getitem__).collect()}
+    assert got == {"other_top": 1, "negative": 1, "orphan:leaf_mid": 1, "orphan:mid_top": 1, "leaf_negative_mid": 1}

@@ -1,5 +1,6 @@
 """Hand-checked scoring numbers and plug-in error capture."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,21 @@ def test_null_run_is_scored(spark):
     df = df.withColumn("completion", F.lit(1).cast("long")).withColumn("soft", F.lit(0.0)).withColumn("claimed", F.col("ex"))
     got = {r["run"]: r for r in verified(sc.partial_sums(df, "run", "model", "question")).collect()}
     assert got.keys() == {None, 7} and got[None]["ex_at_1"] == 100.0 and got[7]["errors"] == 1
+
+
+def test_predictor_keeps_null_ids_and_payload(spark):
+    """NULL and text ids, a carried column, a plug-in that fails, and one that answers too few."""
+    from quarry.plans.io import run_predictor
+    q = spark.createDataFrame([(None, 1, "x"), (3, 0, "y"), (None, 2, "z")], "qid long, quality int, note string")
+
+    def flaky(pdf):
+        if (pdf.quality == 2).any():
+            raise RuntimeError("boom")
+        return pd.DataFrame({"answer": pdf.quality})
+
+    got = sorted(map(tuple, run_predictor(q, flaky, "qid", ("note",)).select("qid", "note", "answer", "error").collect()), key=str)
+    assert got == sorted([(None, "x", 1, None), (3, "y", 0, None), (None, "z", None, "RuntimeError: boom")], key=str)
+    texts = q.selectExpr("cast(qid as string) as qid", "quality")
+    assert run_predictor(texts, flaky, "qid").filter("error is null").count() == 2
+    short = run_predictor(q, lambda pdf: pdf.iloc[:0], "qid").collect()
+    assert len(short) == 3 and all(r["error"].startswith("ValueError") for r in short)
