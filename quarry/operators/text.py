@@ -33,7 +33,7 @@ from quarry.session import materialise, scratch_dir
 from quarry.sources.tables import spread
 
 TOKEN_SPLIT = r"[^\p{L}]+"
-TILE_DOCS = 512
+TILE_DOCS = 2048
 BLOCK_DOCS = 64
 QUERY_BLOCK = 64
 SLOT_BYTES = 32 << 20      # weights of the tiles that meet in one task, about
@@ -135,7 +135,7 @@ def _weigh(batches):
 
 def weigh(index: DataFrame, idf: DataFrame, asked: DataFrame) -> DataFrame:
     """(tile, payload) written: unit-norm weights of the documents' terms that are in ``asked`` (term)."""
-    known = idf.join(asked.select("term", F.col("term").alias("asked")), "term", "left")
+    known = idf.join(asked.select("term", F.col("term").alias("asked")), "term", "left").hint("shuffle_hash")
     terms = (index.filter("term is not null").select("tile", "code", "term").join(known, "term")
              .groupBy("tile").agg(F.collect_list(F.struct("code", "idf", "asked")).alias("terms")))   # terms of a tile
     tiles = index.filter("postings is not null").select("tile", "postings").join(terms, "tile")

@@ -799,8 +799,15 @@ def base26_codes(t: Tables):
     return t.customer.select("c_custkey", base26(F.col("c_custkey"), 4).alias("code"))
 
 
-@query("crc_names", "F-CRC")
+@query("crc_names", "F-CRC", """
+WITH crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+h AS (SELECT c_custkey, c_name, hex(encode(c_name)) AS h FROM customer)
+SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]::BIGINT)), 4294967295) END AS crc FROM h, crc""")
 def crc_names(t: Tables):
+    """CRC-32 of the UTF-8 bytes of a name."""
     return t.customer.select("c_custkey", F.crc32("c_name").alias("crc"))
 
 
