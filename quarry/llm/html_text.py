@@ -2,14 +2,20 @@
 
 A page is cut into flat text blocks at block-level tags. A block's features
 are its word count and link density, those of the blocks before and after
-it, and three flags of where it stands: inside <article> or <main>, inside
+it, and three flags of where it stands: inside <article> or <main>; inside
 chrome (navigation, page header or footer, sidebar, form, advert, notice,
-reader comments), which tag names, roles and class or id words tell, and, inside
-<article> or <main>, under a container that only a class or id word names so:
-there its length and links decide (an article may have a section "social-history").
+reader comments), which tag names, roles and class or id names tell; and, inside
+<article> or <main>, in a container whose name only resembles chrome: there its
+length and links decide (an article may have a section "social-history").
 A decision tree trained on the small labelled table ``LABELLED`` says which blocks are
 main text.
 
+A name tells chrome if all its words do, words like "list" or "box" aside
+("comments", "cookie-notice", "newsletter-box"); a name that describes a state does
+not ("comments-open", "with-sidebar"). A container that holds most of the page's words
+outside links is no chrome unless its name is plain chrome; not even then if it
+holds nearly all.
+
 Scripts, styles, comments and other elements without running text are
 skipped whole. Character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order by a line feed. Each page
@@ -159,6 +165,40 @@ words links words_before links_before words_after links_after in_main in_chrome
 45  75  3     0    50  0    0  0  1  0
 6   50  30    0    70  0    0  0  1  0
 22  60  5     0    90  0    0  0  1  0
+6   33  9     0    4   0    1  0  0  1
+8   25  4     0    6   0    1  0  0  1
+5   40  2     0    0   0    1  0  0  1
+12  30  8     0    10  0    1  0  0  1
+9   44  5     0    3   0    1  0  0  1
+7   100 6     0    8   0    1  0  0  1
+4   100 3     0    9   0    1  0  0  1
+15  45  10    0    2   0    1  0  0  1
+18  0   2     0    0   0    0  0  1  1
+19  0   30    0    25  0    0  0  1  1
+17  0   3     0    40  0    0  0  1  1
+16  0   60    0    50  0    0  0  1  1
+20  0   22    0    24  0    0  0  1  1
+21  0   1     0    22  0    0  0  1  1
+2   100 2     100  2   100  1  0  0  0
+1   100 3     100  1   100  1  0  0  0
+4   100 2     100  5   100  1  0  0  0
+3   100 60    0    2   100  1  0  0  0
+2   100 25    0    3   100  1  0  0  0
+5   100 9     0    4   100  1  0  0  0
+2   100 3     100  40  0    1  0  0  0
+3   100 1     100  0   0    1  0  0  0
+6   100 4     100  0   0    1  0  0  0
+9   100 6     90   7   100  1  0  0  0
+2   0   80    0    0   0    0  0  0  1
+3   0   45    0    0   0    0  0  0  1
+1   0   120   0    0   0    0  0  0  1
+4   0   66    0    0   0    0  0  0  1
+2   0   38    0    3   100  0  0  0  1
+5   0   90    0    2   100  0  0  0  1
+3   0   70    0    55  0    0  0  0  1
+1   0   52    0    33  0    0  0  0  1
+4   0   30    0    28  0    0  0  0  1
+6   0   48    0    75  0    0  0  0  1
 """
 
 #: Tags that hold no running text: skipped to their end tag.
@@ -175,11 +215,20 @@ CONTAINERS = frozenset("article aside blockquote details dialog div dl fieldset
 CHROME_TAGS = frozenset("aside dialog footer form menu nav".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation "
                          "search toolbar".split())
+#: Words that make a name chrome anywhere, and words that do so only outside <article> and <main>.
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav "
     "navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal "
-    "overlay share sharing social related recommended newsletter subscribe subscription signup login search comment "
-    "comments reply replies respond disqus widget widgets pagination pager toolbar copyright legal skip".split())
+    "overlay newsletter subscribe subscription signup login comment comments replies disqus pagination pager "
+    "toolbar related recommended".split())
+VAGUE_WORDS = frozenset("side menu banner share sharing social search reply respond widget widgets copyright legal skip".split())
+READER_WORDS = frozenset("comment comments replies disqus".split())
+#: Words of a name that say nothing, and words that make it a state of the page.
+FILLERS = frozenset(
+    "list section area box container wrapper wrap block bar form panel item items link links content body title inner outer "
+    "main site page post posts article entry top bottom left right global primary secondary user reader module group "
+    "holder row col column region zone slot unit thread feed".split())
+STATES = frozenset("with without has no is open closed enabled disabled on off show hide hidden active".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -192,21 +241,34 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'(
 _PARTS = re.compile(r"[a-z0-9]+").findall
 
 
-def _is_chrome(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether a container is chrome, and whether, inside main, only its class or id says so."""
-    if tag in CHROME_TAGS or tag == "header" and not in_main:
-        return True, False
-    named = False
-    if not attributes or tag in ("article", "main"):
-        return False, False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+NOTHING, NAMED, CHROME, PLAIN, READERS, FIXED = range(6)
+
+
+def name_kind(name: str, in_main: bool) -> int:
+    """What one class or id name says of a container: NOTHING; NAMED: it resembles chrome; CHROME;
+    PLAIN: each of its words says so; READERS: the same, of reader comments."""
+    parts = _PARTS(name)
+    if not STATES.isdisjoint(parts):
+        return NOTHING
+    said = {p for p in parts if p not in FILLERS and not p.isdigit()}
+    if said and said <= CHROME_WORDS | VAGUE_WORDS and not said <= VAGUE_WORDS:
+        return READERS if said <= READER_WORDS else PLAIN
+    if not said.isdisjoint(CHROME_WORDS | VAGUE_WORDS) or "header" in said and not in_main:
+        return NAMED if in_main else CHROME
+    return NOTHING
+
+
+def container_kind(tag: str, attributes: str, in_main: bool) -> int:
+    """What a container's tag, role, class and id say of it; FIXED: chrome whatever it holds."""
+    kind = FIXED if tag in ("aside", "footer", "menu", "nav") else CHROME if tag in CHROME_TAGS or tag == "header" and not in_main \
+        else NOTHING
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "role" and value in CHROME_ROLES:
-            return True, False
+            return FIXED
         if name in ("class", "id"):
-            words = _PARTS(value)
-            named = named or not CHROME_WORDS.isdisjoint(words) or "header" in words and not in_main
-    return named and not in_main, named and in_main
+            kind = max([kind, *(name_kind(v, in_main) for v in value.split())])
+    return NOTHING if tag in ("article", "main") and kind < PLAIN else kind
 
 
 @dataclass
@@ -215,27 +277,40 @@ class Block:
     words: int
     linked: int
     in_main: bool
-    in_chrome: bool
-    named: bool
+    in_chrome: bool = False
+    named: bool = False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; blocks without text are left out."""
-    out: list[Block] = []
+def _parse(page: str) -> tuple[list, dict[int, list[int]]]:
+    """What happens in page order: blocks, openings (number, kind) and closings (number) of the
+    containers that may be chrome; and by number the words outside links before and in a container."""
+    events: list = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []       # open container, chrome, main, named
-    link, linked, mains, chromes, nameds = False, 0, 0, 0, 0
+    stack: list[tuple[str, int | None, bool]] = []       # open container: tag, number, main
+    waiting: dict[str, int] = {}                         # open containers of each tag
+    held: dict[int, list[int]] = {}
+    link, linked, mains, free = False, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, free
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), mains > 0, chromes > 0,
-                                 nameds > 0))
+                events.append(Block(" ".join(words), len(words), min(linked, len(words)), mains > 0))
+                free += len(words) - min(linked, len(words))
             pieces.clear()
         linked = 0
 
+    def close() -> str:
+        nonlocal mains
+        tag, number, main = stack.pop()
+        waiting[tag] -= 1
+        mains -= main
+        if number is not None:
+            held[number][1] = free - held[number][0]
+            events.append(number)
+        return tag
+
     for skipped, end1, tag1, attrs1, end2, tag2, attrs2, text in _TOKEN.findall(page):
         if text:
             text = html.unescape(text)
@@ -258,21 +333,49 @@ def blocks(page: str) -> list[Block]:
             link = False
             if tag in CONTAINERS:
                 if not closing:
-                    chrome, named = _is_chrome(tag, attrs1 or attrs2, mains > 0)
-                    main = tag in ("article", "main")
-                    stack.append((tag, chrome, main, named))
-                    chromes += chrome
-                    nameds += named
+                    kind = container_kind(tag, attrs1 or attrs2, mains > 0)
+                    main = tag in ("article", "main") and kind < PLAIN
+                    number = None
+                    if kind:
+                        number = len(held)
+                        held[number] = [free, 0]
+                        events.append((number, kind))
+                    stack.append((tag, number, main))
+                    waiting[tag] = waiting.get(tag, 0) + 1
                     mains += main
-                elif any(t == tag for t, *_ in stack):
-                    while True:
-                        t, chrome, main, named = stack.pop()
-                        chromes -= chrome
-                        nameds -= named
-                        mains -= main
-                        if t == tag:
-                            break
+                elif waiting.get(tag):
+                    while close() != tag:
+                        pass
     flush()
+    while stack:
+        close()
+    held[-1] = [0, free]
+    return events, held
+
+
+#: Shares of the page's words outside links from which a container is no chrome, by what its
+#: name says, and the words that it must hold.
+MOST = {NAMED: (0.5, 0), CHROME: (0.5, 0), PLAIN: (0.95, 50), READERS: (1.01, 0), FIXED: (1.01, 0)}
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's text blocks in order; blocks without text are left out."""
+    events, held = _parse(page)
+    total, out, kinds, open_ = held[-1][1], [], {}, [0, 0]
+    for e in events:
+        if isinstance(e, Block):
+            e.in_chrome, e.named = open_[1] > 0, open_[0] > 0
+            out.append(e)
+        elif isinstance(e, tuple):
+            number, kind = e
+            share, least = MOST[kind]
+            if kind != NAMED and held[number][1] > share * total and held[number][1] >= least:
+                kind = NOTHING
+            kinds[number] = kind
+            if kind:
+                open_[kind > NAMED] += 1
+        elif kinds[e]:
+            open_[kinds[e] > NAMED] -= 1
     return out
 
 

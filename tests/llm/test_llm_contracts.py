@@ -305,6 +305,52 @@ def test_html_named_section():
         ["Case report", line, "Social history", line, line, line])
 
 
+LONG_LINE = "A long paragraph of the article that goes on for quite some words so that nobody doubts it is real text at all."
+SENTENCE = "Please leave this one plain sentence of sixteen words or more here so it looks like text to all."
+
+
+@pytest.mark.parametrize("opening,stays", [
+    ('<section class="comments">', False), ('<div id="cookie-notice">', False), ('<div class="newsletter">', False),
+    ('<div class="related">', False), ('<div class="comment-list">', False), ('<article class="comment">', False),
+    ('<div class="advert box">', False), ('<div role="alert">', False), ('<section id="social-history">', True),
+    ('<section id="legal-status">', True), ('<div class="side-effects">', True), ('<div class="story comments-open">', True)])
+def test_html_inside_an_article(opening, stays):
+    """Comments, notices and adverts go however long; a name that only resembles them gives way to length."""
+    closing = f"</{opening[1:].split()[0]}>"
+    page = f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{LONG_LINE}</p>{opening}<p>{SENTENCE}</p>{closing}<p>{LONG_LINE}</p></article>"
+    want = ["Title", LONG_LINE, *[SENTENCE] * stays, LONG_LINE]
+    assert html_text.main_text(page, html_text.train()) == "\n".join(want)
+
+
+@pytest.mark.parametrize("opening", ['<div class="post comments-open">', '<div class="page with-sidebar">', '<form id="f">',
+                                     '<div class="social">', '<div class="banner-page">', '<section class="has-cookie-notice">'])
+def test_html_wrappers_keep_their_article(opening):
+    """Without <article> a wrapper named after chrome, or after a state, keeps its text, a short last paragraph too."""
+    closing = f"</{opening[1:].split()[0]}>"
+    page = (f"<nav><a href=x>Home</a></nav>{opening}<h1>A title</h1><p>{LONG_LINE}</p><p>{LONG_LINE}</p><p>The end.</p>{closing}"
+            f"<div class=comments><p>{SENTENCE}</p></div><footer>Imprint</footer>")
+    text = html_text.main_text(page, html_text.train())
+    assert text.endswith("\n".join([LONG_LINE, LONG_LINE, "The end."])) and SENTENCE not in text and "Imprint" not in text
+
+
+def test_html_link_lists_and_empty_pages():
+    tree = html_text.train()
+    links = "".join(f"<li><a href={i}>Story {i}</a></li>" for i in range(5))
+    page = f"<main><h1>T</h1><p>{LONG_LINE}</p><ul>{links}</ul><p>{LONG_LINE} <a href=x>More</a></p></main>"
+    assert html_text.main_text(page, tree) == f"T\n{LONG_LINE}\n{LONG_LINE} More"
+    assert html_text.main_text(f"<nav>{links}</nav><div class=sidebar><p>{SENTENCE}</p></div>", tree) == ""
+    assert html_text.main_text(f"<div class=comments><p>{LONG_LINE}</p><p>{LONG_LINE}</p></div>", tree) == ""
+
+
+def test_html_stray_closing_tags_are_linear():
+    import time
+    tree = html_text.train()
+    start = time.process_time()
+    html_text.main_text("<div>" * 8000 + "</li>" * 8000 + "x", tree)
+    html_text.main_text("<div class=ad>" * 8000 + "<p>x</p>" * 8000, tree)
+    assert time.process_time() - start < 1
+
+
 def test_html_fixture(spark, sf_dir):
     """The fixture's article is a plain element: cut it out by itself."""
     import html
