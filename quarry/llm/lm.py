@@ -4,25 +4,36 @@ Model. Words are lower-cased (A-Z) runs of non-space bytes, and every text
 ends with one end token. The n-grams that occur at least ``CUTOFF`` times in
 the training texts are kept, at every input size: nothing bounds their number.
 
-    P(w | h) = (c(hw) - d) / c(h)        if hw is a kept n-gram
-             = bow(h) * P(w | h')        else, h' being h without its first word
-    P(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))     for every word, kept or not
-
-bow(h) makes each state's probabilities add up to one. An arc (state, word)
-carries log10 P; a failure arc carries log10 bow and leads to the state of
-h'. One traversal from left to right adds up the arcs.
-
-Work. The model stays in partitions, by the 64-bit name of an n-gram; no task,
-and not the driver, holds more of it than a partition. A block of documents
-(see ``blocks``) sends each of its distinct n-grams once, with its training
-count, and is answered with the whole counts: these are the arcs that its
-texts can take, so it traverses the automaton of its own n-grams. The weight
-of a failure arc depends on all words that follow h anywhere: one block of
-those that hold a kept n-gram hw (its owner) reports it to the partition of h,
-as whole numbers (see ``_Context``), and the block that failed from h is
-answered with their sums. A very common n-gram is one entry a block.
-
-Two different n-grams of one order share a name with probability 2^-64.
+    P(w | h) = (c(hw) - d) / c(h) + bow(h) * P(w | h')     if hw is kept
+             = bow(h) * P(w | h')                          else, h' being h without its first word
+    P(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))          for every word, kept or not
+    bow(h)   = (c(h) - sum of (c(hw) - d) over the kept hw) / c(h)
+
+so every state's probabilities add up to one. Kept contexts are states. An arc
+(state, word) carries log10 P and leads to the longest suffix that is a state;
+a failure arc carries log10 bow and leads from h to h'. Texts are traversed
+from left to right, carrying the state and adding up the weights: a word
+without an arc takes the failure arc and is tried again. Long texts are cut into
+lanes; a lane starts ``order - 1`` words early, which is all a state can remember.
+
+Work. The model stays in partitions; no task, and not the driver, holds more
+of it than a partition. A block of documents (see ``blocks``) builds the automaton of its
+own n-grams:
+
+1. Most n-grams occur once. A block sends a short hash of each of its n-grams, and learns
+   in one bit whether it occurs twice in all. (A hash has eight bits more than the
+   corpus has tokens need, so hardly any n-gram goes on by mistake, and none is missed.)
+2. For each context it sends the count, and of the n-grams that go on their names and counts.
+   The partition of a context adds up what follows it: c(h), the kept c(hw) and what bow(h) needs.
+3. The block is answered with these, builds its states and arcs, and traverses its texts.
+
+Documents are read again for each step rather than kept; a block's rows must be the same each
+time (a file scan's are; a checksum is compared). A context of a word so common that it would
+fill a partition by itself is spread over several, by the names of what follows; the words that
+need it, at most one per partition, are the only rows that the driver gets.
+
+Names have 64 bits, and of what follows one context 56: two n-grams are taken for one
+with probability 2^-56 a pair at most.
 
 Defined results: null text is empty (the end token alone); a null id is
 trained on; equal rows each count; an empty training set scores by P alone.
@@ -30,7 +41,6 @@ trained on; equal rows each count; an empty training set scores by P alone.
 
 from __future__ import annotations
 
-import math
 import pickle
 import zlib
 
@@ -40,14 +50,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WORDS, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import WORDS, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.session import materialise
 
 CUTOFF = 2
 DISCOUNT = 0.75
 END = b" "          # no word holds a space
-#: Names that the tests read or set: states have no bound, and a block needs no lanes.
-MAX_STATES = math.inf
+#: Tokens of a lane.
 LANE = 512
+#: Words of a partition that may be spread (of all words, fewer have a partition's share of the tokens
+#: than there are partitions).
+TOP = 64
+#: Bits of a short hash beyond those of the number of training tokens.
+SPARE_BITS = 8
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -62,6 +77,16 @@ def _tokens(text: bytes) -> list[bytes]:
 
 # -- packed numbers ---------------------------------------------------------------------
 
+def _zip(x) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+
+
+def _unzip(x: bytes):
+    import zstandard
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 def _pack(values: np.ndarray) -> tuple:
     """Non-negative numbers as byte planes, as many as the largest needs."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
@@ -89,10 +114,18 @@ def _unpack_names(packed: tuple) -> np.ndarray:
     return np.cumsum(np.concatenate([np.array([first], np.uint64), _unpack(gaps)]), dtype=np.uint64)
 
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
+
+
+def _part(names: np.ndarray, parts: int) -> np.ndarray:
+    """Each name's partition: an equal range of the names."""
+    return (((names >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def _cuts(names: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition's names start among the sorted ones (it has a range of them)."""
-    part = ((names >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    """Where each partition's names start among the sorted ones."""
+    return np.searchsorted(_part(names, parts), np.arange(parts + 1))
 
 
 def _distinct(names: np.ndarray) -> np.ndarray:
@@ -103,276 +136,444 @@ def _distinct(names: np.ndarray) -> np.ndarray:
 # -- the n-grams of a block -------------------------------------------------------------
 
 class Block:
-    """Texts as word names one after the other, with the distinct n-grams of each order."""
+    """Texts as numbers of words, and the names of the n-grams that end at each token."""
 
-    def __init__(self, words: np.ndarray, lens: np.ndarray, order: int):
-        self.lens, self.order = lens, order
+    def __init__(self, names: np.ndarray, tokens: np.ndarray, lens: np.ndarray, held: np.ndarray, order: int):
+        self.names, self.tokens, self.lens, self.order = names, tokens, lens, order
         self.doc = np.repeat(np.arange(len(lens)), lens)
-        self.nth = np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.names: list[np.ndarray] = [np.empty(0, np.uint64)]      # [k]: the distinct ones, sorted
-        self.at: list[np.ndarray] = [np.empty(0, np.int64)]          # [k]: which of them ends at each token, or -1
-        for k in range(1, order + 1):
+        self.nth = np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.last = self.nth == lens[self.doc] - 1
+        self.trained = ~held[self.doc]
+        words = names[tokens]
+        self.inside: list = [None, np.arange(len(tokens))]       # [k]: tokens at which an n-gram of k words ends
+        self.grams: list = [None, words]                         # [k]: its name
+        for k in range(2, order + 1):
             inside = np.flatnonzero(self.nth >= k - 1)
-            names = words if k == 1 else window_hashes(words, k)[inside - (k - 1)]
-            by_name = np.argsort(names)
-            names = names[by_name]
-            new = np.diff(names, prepend=~names[:1]) != 0
-            at = np.full(len(words), -1, np.int64)
-            at[inside[by_name]] = np.cumsum(new) - 1
-            self.names.append(names[new])
-            self.at.append(at)
-
-    def training_counts(self, k: int, held: np.ndarray) -> np.ndarray:
-        at = self.at[k]
-        return np.bincount(at[(at >= 0) & ~held[self.doc]], minlength=len(self.names[k]))
+            self.inside.append(inside)
+            self.grams.append(window_hashes(words, k)[inside - (k - 1)])
+
+    def shorts(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct short hashes of order k, which of them each n-gram has)."""
+        return np.unique(self.grams[k] >> np.uint64(64 - bits), return_inverse=True)
+
+
+class Asked:
+    """What a block asks about the contexts of k words, in a fixed order. ``context``: the names; ``at``: which
+    context ends at each token, or -1; ``count``: training occurrences. Of what follows them, by context and
+    name: ``of`` (the context), ``name``, ``times``, and ``where`` (a token at which it ends)."""
+
+    def __init__(self, b: Block, k: int, goes_on: list):
+        at = b.inside[k]
+        use = ~b.last[at] if k == 1 else ~b.last[at] & goes_on[k][at]
+        self.context, which = np.unique(b.grams[k][use], return_inverse=True)
+        self.at = np.full(len(b.tokens), -1, np.int64)
+        self.at[at[use]] = which
+        self.count = np.bincount(which[b.trained[at[use]]], minlength=len(self.context))
+        at = b.inside[k + 1]
+        use = goes_on[k + 1][at] & (self.at[at - 1] >= 0)
+        at, names = at[use], b.grams[k + 1][use] >> np.uint64(8)
+        of = self.at[at - 1]
+        order = np.lexsort((names, of))
+        at, names, of = at[order], names[order], of[order]
+        new = np.concatenate([[True], (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.of, self.name, self.where = of[first], names[first], at[first]
+        self.times = np.add.reduceat(b.trained[at].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        self.entry = np.full(len(b.tokens), -1, np.int64)           # which of these ends at each token
+        self.entry[at] = np.cumsum(new) - 1
 
 
 def _read(batches):
-    """(block id, doc ids, held out, word names, tokens per document)."""
+    """(block id, doc ids, held out, distinct word names, word numbers, tokens per document)."""
     for block, ids, texts in B.blocks(batches, as_bytes=True):
         words = [WORDS.of(_tokens(t)) for t in texts]
         held = np.array([is_held_out(d) for d in ids])
-        yield block, ids, held, np.concatenate(words), np.array([len(w) for w in words])
+        names, tokens = np.unique(np.concatenate(words), return_inverse=True)
+        yield block, ids, held, names, tokens, np.array([len(w) for w in words])
 
 
-# -- counting ---------------------------------------------------------------------------
+# -- words ------------------------------------------------------------------------------
 
 def _send_words(parts: int):
-    """The block's distinct training words by partition, and its number of tokens."""
+    """The block's distinct training words and their counts by partition; its training tokens and documents."""
     def rows(batches):
-        for block, _, held, words, lens in _read(batches):
-            words = words[np.repeat(~held, lens)]
-            names = _distinct(words)
+        for block, _, held, names, tokens, lens in _read(batches):
+            trained = np.repeat(~held, lens)
+            count = np.bincount(tokens[trained], minlength=len(names))
+            names, count = names[count > 0], count[count > 0]
             cuts = _cuts(names, parts)
-            yield block % parts, block, True, pickle.dumps(len(words), 5)
+            yield block % parts, block, True, _zip((int(trained.sum()), int((~held).sum())))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
-                yield p, block, False, pickle.dumps(_pack_names(names[cuts[p]:cuts[p + 1]]), 5)
+                mine = slice(cuts[p], cuts[p + 1])
+                yield p, block, False, _zip((_pack_names(names[mine]), _pack(count[mine])))
 
     return lambda batches: B.row_batches(rows(batches))
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    n, names = 0, [np.empty(0, np.uint64)]
-    for docs, payload in zip(table.column("docs").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        if docs:
-            n += pickle.loads(payload)
+    """One row a partition: tokens, documents, distinct words; and its TOP most frequent words with their counts."""
+    tokens = docs = 0
+    names, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for is_docs, payload in zip(table.column("docs").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        x = _unzip(payload)
+        if is_docs:
+            tokens, docs = tokens + x[0], docs + x[1]
         else:
-            names.append(_unpack_names(pickle.loads(payload)))
-    return pa.table({"n": pa.array([n], pa.int64()), "distinct": pa.array([len(_distinct(np.concatenate(names)))], pa.int64())})
-
-
-def _send_grams(order: int, parts: int):
-    """The block's documents, and its distinct n-grams with their training counts by partition."""
+            names.append(_unpack_names(x[0]))
+            counts.append(_unpack(x[1]))
+    words, which = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(counts), minlength=len(words)).astype(np.int64)
+    top = np.argsort(-total, kind="stable")[:TOP]
+    return pa.table({"n": [tokens], "docs": [docs], "distinct": [len(words)],
+                     "words": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())),
+                     "counts": pa.array([total[top].tolist()], pa.list_(pa.int64()))})
+
+
+class Shares:
+    """How many partitions the contexts of common words are spread over."""
+
+    def __init__(self, common: dict[int, int], n: int, parts: int):
+        self.parts = parts
+        self.names = np.array(sorted(common), np.uint64)
+        self.share = np.array([common[x] / max(n, 1) for x in sorted(common)])
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """Each word's share of the tokens; 0 if it is not common."""
+        if not len(self.names):
+            return np.zeros(len(names))
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.share[at], 0.0)
+
+    def spread(self, b: Block, asked: Asked, k: int) -> np.ndarray:
+        """For each context, over how many partitions it is spread: by the share of its words, taken
+        as if they were independent, times four for each word but the first, which they are not."""
+        where = np.zeros(len(asked.context), np.int64)
+        held = np.flatnonzero(asked.at >= 0)
+        where[asked.at[held]] = held
+        share = np.ones(len(where))
+        words = self.of(b.names)
+        for i in range(k):
+            share *= words[b.tokens[where - i]] * (4 if i else 1)
+        return np.maximum(1, np.ceil(np.minimum(share, 1.0) * self.parts)).astype(np.int64)
+
+
+# -- 1: which n-grams occur twice -------------------------------------------------------
+
+def _send_shorts(order: int, parts: int, bits: int):
     def rows(batches):
-        for block, ids, held, words, lens in _read(batches):
-            b = Block(words, lens, order)
-            yield block % parts, block, True, pickle.dumps(
-                (ids, held, lens, _pack_names(b.names[1]), _pack(b.at[1])), 5)
-            cuts = [_cuts(names, parts) for names in b.names]
-            counts = [None] + [b.training_counts(k, held) for k in range(1, order + 1)]
+        for block, _, held, names, tokens, lens in _read(batches):
+            b = Block(names, tokens, lens, held, order)
+            found = []
+            for k in range(2, order + 1):
+                short, which = b.shorts(k, bits)
+                count = np.bincount(which[b.trained[b.inside[k]]], minlength=len(short))
+                found.append((short, count, _cuts(short << np.uint64(64 - bits), parts)))
             for p in range(parts):
-                at = [slice(c[p], c[p + 1]) for c in cuts]
-                if any(s.start < s.stop for s in at[1:]):
-                    yield p, block, False, pickle.dumps(
-                        [(_pack_names(b.names[k][at[k]]), _pack(counts[k][at[k]])) for k in range(1, order + 1)], 5)
+                mine = [slice(c[p], c[p + 1]) for _, _, c in found]
+                if all(m.start == m.stop for m in mine):
+                    continue
+                yield p, block, False, _zip([(_pack_names(s[m]), np.packbits(c[m] > 0).tobytes(), np.packbits(c[m] > 1).tobytes())
+                                             for (s, c, _), m in zip(found, mine, strict=True)])
 
     return lambda batches: B.row_batches(rows(batches))
 
 
-def _by_block(table: pa.Table) -> tuple[list, list]:
-    """The (part, block, payload) rows of documents and of others, these by block."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "docs", "payload")), strict=True))
-    return ([(p, b, x) for p, b, docs, x in rows if docs],
-            sorted(((p, b, x) for p, b, docs, x in rows if not docs), key=lambda r: r[1]))
-
-
-def _total_grams(order: int):
-    """Answers each block with the whole counts of its n-grams (0: not kept) and with
-    which of them it owns: the first block that has one in a training text does."""
+def _seen_twice(table: pa.Table) -> pa.Table:
+    """Answers each block with a bit for each short hash."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "payload")), strict=True))
+    sent = [_unzip(x) for _, _, x in rows]
+    answers: list[list] = [[] for _ in sent]
+    for k in range(len(sent[0])):
+        names = [_unpack_names(x[k][0]) for x in sent]
+        often = [_bits(x[k][1], len(s)).astype(np.int64) + _bits(x[k][2], len(s)) for x, s in zip(sent, names, strict=True)]
+        distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+        twice = (np.bincount(which, weights=np.concatenate(often), minlength=len(distinct)) >= 2)[which]
+        ends = np.cumsum([len(s) for s in names])
+        for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            answer.append((hi - lo, np.packbits(twice[lo:hi]).tobytes()))
+    return pa.Table.from_batches([B.batch_of([(p, b, False, _zip(a)) for (p, b, _), a in zip(rows, answers, strict=True)])])
+
+
+# -- 2: contexts and what follows them --------------------------------------------------
+
+def _checksum(ids: list, names: np.ndarray, tokens: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(names[tokens]).tobytes(), zlib.crc32(str(ids).encode()))
+
+
+def _send_docs(batches):
+    """The block's documents; part -1."""
+    def rows():
+        for block, ids, held, names, tokens, lens in _read(batches):
+            yield -1, block, True, _zip((ids, held, lens, _pack_names(names), _pack(tokens)))
+
+    return B.row_batches(rows(), 1)
+
+
+def _open(table: pa.Table, order: int, bits: int):
+    """(doc ids, held out, Block, Asked of each order, payloads of answers in order of their parts) of one block's rows."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "docs", "payload")), strict=True))
+    ids, held, lens, names, tokens = _unzip(next(x for _, docs, x in rows if docs))
+    b = Block(_unpack_names(names), _unpack(tokens).astype(np.int64), lens, held, order)
+    answers = sorted(((p, _unzip(x)) for p, docs, x in rows if not docs), key=lambda r: r[0])
+    # Answers about short hashes come from parts 0 on, those about contexts from below -1.
+    shorts = [x for p, x in answers if p >= 0]
+    goes_on = [None, None]
+    for k in range(2, order + 1):
+        short, which = b.shorts(k, bits)
+        twice = np.concatenate([_bits(x[k - 2][1], x[k - 2][0]) for x in shorts] or [np.zeros(0, bool)])
+        if len(twice) != len(short):
+            raise RuntimeError("a block's documents differ from those of an earlier reading")
+        flags = np.zeros(len(b.tokens), bool)
+        flags[b.inside[k]] = twice[which]
+        goes_on.append(flags)
+    asked = [None] + [Asked(b, k, goes_on) for k in range(1, order)]
+    return ids, held, b, asked, [(-2 - p, x) for p, x in reversed(answers) if p < -1]
+
+
+def _requests(b: Block, asked: Asked, k: int, shares: Shares) -> tuple:
+    """(part, context, whether it is the first of its context's partitions) of each context entry, by
+    part and context; (part, entry number) of each n-gram that follows. Both in a fixed order."""
+    home, spread = _part(asked.context, shares.parts), shares.spread(b, asked, k)
+    context = np.repeat(np.arange(len(home)), spread)
+    slot = np.arange(len(context)) - np.repeat(np.cumsum(spread) - spread, spread)
+    part = (home[context] + slot) % shares.parts
+    order = np.lexsort((context, part))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    own = (mix64(asked.name) % spread[asked.of].astype(np.uint64)).astype(np.int64)
+    entry = place[(np.cumsum(spread) - spread)[asked.of] + own]
+    return part[order], context[order], slot[order] == 0, entry
+
+
+def _ask(order: int, bits: int, shares):
+    """Sends a block's contexts and what follows them by partition."""
     def run(table: pa.Table) -> pa.Table:
-        docs, sent = _by_block(table)
-        payloads = [pickle.loads(x) for _, _, x in sent]
-        answers: list[list] = [[] for _ in sent]
-        for k in range(1, order + 1) if sent else ():
-            names = [_unpack_names(x[k - 1][0]) for x in payloads]
-            ends = np.cumsum([len(x) for x in names])
-            own = np.concatenate([_unpack(x[k - 1][1]) for x in payloads]).astype(np.int64)
-            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
-            del names
-            total = np.bincount(which, weights=own, minlength=len(distinct)).astype(np.int64)
-            trained = np.flatnonzero(own)[::-1]
-            first = np.zeros(len(distinct), np.int64)
-            first[which[trained]] = trained           # the last one written is the first in order
-            whole = total[which]
-            owner = (first[which] == np.arange(len(which))) & (own > 0)
-            for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                kept = whole[lo:hi] >= (1 if k == 1 else CUTOFF)
-                answer.append((hi - lo, np.packbits(kept).tobytes(), _pack(whole[lo:hi][kept]),
-                               np.packbits(owner[lo:hi][kept]).tobytes()))
-        return pa.Table.from_batches([B.batch_of(
-            [(p, b, True, x) for p, b, x in docs]
-            + [(p, b, False, pickle.dumps(a, 5)) for (p, b, _), a in zip(sent, answers, strict=True)])])
-
-    return run
-
-
-def _bits(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
-
-
-def _whole_counts(answers: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all the block's n-grams of order k: whole counts, and which ones it owns."""
-    counts, owns = [np.empty(0, np.int64)], [np.zeros(0, bool)]
-    for answer in answers:
-        n, bits, whole, owned = answer[k - 1]
-        kept, count, own = _bits(bits, n), np.zeros(n, np.int64), np.zeros(n, bool)
-        count[kept] = _unpack(whole).astype(np.int64)
-        own[kept] = _bits(owned, int(kept.sum()))
-        counts.append(count)
-        owns.append(own)
-    return np.concatenate(counts), np.concatenate(owns)
-
-
-# -- the automaton ----------------------------------------------------------------------
-
-class _Context:
-    """What a block tells of the states of one order, each by its number among the
-    block's n-grams. Of the kept hw that the block owns: the sum of c(hw), their
-    number, the sum of c(h'w). And how often it fails from h in each document."""
-
-    def __init__(self, size: int):
-        self.sums = np.zeros((3, size), np.int64)
-        self.failed_doc = np.empty(0, np.int64)
-        self.failed = np.empty(0, np.int64)
-
-
-def traverse(b: Block, counts: list, owns: list, space: float) -> tuple:
-    """(log10 weights of all arcs but failure arcs, per document; base score; known
-    words; a _Context of each order). ``counts`` and ``owns`` as from _whole_counts."""
-    at = b.at
-    count = [None] + [np.where(at[k] >= 0, counts[k][at[k]], 0) if len(counts[k]) else np.zeros(len(at[k]), np.int64)
-                      for k in range(1, b.order + 1)]
-    contexts = [None] + [_Context(len(b.names[k])) for k in range(1, b.order)]
-    base = np.log10((count[1] + 0.5) / space)
-    weight = np.zeros(len(b.doc))
-    open_ = np.ones(len(b.doc), bool)          # tokens for which no arc has been found yet
-    for k in range(b.order, 1, -1):            # arcs that leave the states of order k-1
-        inside = np.flatnonzero(b.nth >= k - 1)
-        context = contexts[k - 1]
-        state = inside[open_[inside] & (count[k - 1][inside - 1] >= CUTOFF)]
-        hit = count[k][state] >= CUTOFF
-        arc, miss = state[hit], state[~hit]
-        weight[arc] = np.log10((count[k][arc] - DISCOUNT) / count[k - 1][arc - 1])
-        open_[arc] = False
-        context.failed_doc, context.failed = b.doc[miss], at[k - 1][miss - 1]
-        where = np.zeros(len(b.names[k]), np.int64)       # a token at which each n-gram ends
-        where[at[k][inside]] = inside
-        end = where[owns[k] & (counts[k] >= CUTOFF)]
-        for row, values in enumerate((count[k][end], np.ones(len(end)), count[k - 1][end])):
-            context.sums[row] = np.bincount(at[k - 1][end - 1], weights=values, minlength=context.sums.shape[1])
-    weight[open_] = base[open_]
-    docs = len(b.lens)
-    return (np.bincount(b.doc, weights=weight, minlength=docs), np.bincount(b.doc, weights=base, minlength=docs),
-            np.bincount(b.doc[count[1] > 0], minlength=docs), contexts)
-
-
-def log_bow(sums: np.ndarray, count: np.ndarray, shorter: np.ndarray | None, space: float) -> np.ndarray:
-    """Of states h, from the sums of a _Context over the whole input, c(h) and c(h')."""
-    kept, number, lower = sums
-    taken = (kept - DISCOUNT * number) / count
-    lower = (lower + 0.5 * number) / space if shorter is None else (lower - DISCOUNT * number) / shorter
-    return np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
-
-
-# -- scoring ----------------------------------------------------------------------------
-
-def _send_contexts(order: int, parts: int, space: float):
-    """Traverses a block; sends its documents and its contexts by partition."""
-    def run(table: pa.Table) -> pa.Table:
-        docs, answered = _by_block(table)
-        block = docs[0][1]
-        ids, held, lens, names, numbers = pickle.loads(docs[0][2])
-        b = Block(_unpack_names(names)[_unpack(numbers).astype(np.int64)], lens, order)
-        answers = [pickle.loads(x) for _, _, x in sorted(answered)]          # by part: in the order of the names
-        counts, owns = zip((None, None), *(_whole_counts(answers, k) for k in range(1, order + 1)), strict=True)
-        weight, base, known, contexts = traverse(b, counts, owns, space)
-        failed, by_part = [], [[] for _ in range(parts)]
+        _, _, b, asked, _ = _open(table, order, bits)
+        block = table.column("block")[0].as_py()
+        by_part: list[list] = [[] for _ in range(shares.value.parts)]
         for k in range(1, order):
-            context = contexts[k]
-            use = context.sums[1] > 0
-            use[context.failed] = True
-            chosen = np.flatnonzero(use)
-            shorter = None
-            if k > 1:
-                inside = np.flatnonzero(b.nth >= k - 1)
-                where = np.zeros(len(use), np.int64)
-                where[b.at[k][inside]] = inside
-                shorter = _pack(counts[k - 1][b.at[k - 1][where[chosen]]])
-            failed.append((_pack(counts[k][chosen]), shorter, _pack(np.bincount(context.failed_doc, minlength=len(lens))),
-                           _pack(np.searchsorted(chosen, context.failed))))
-            cuts = _cuts(b.names[k][chosen], parts)
-            for p in range(parts):
-                mine = chosen[cuts[p]:cuts[p + 1]]
-                by_part[p].append((_pack_names(b.names[k][mine]), [_pack(s[mine]) for s in context.sums]))
-        rows = [(block % parts, block, True, pickle.dumps((ids, held, lens, known, base, weight, failed), 5))]
-        rows += [(p, block, False, pickle.dumps(x, 5)) for p, x in enumerate(by_part) if any(n[1] is not None for n, _ in x)]
-        return pa.Table.from_batches([B.batch_of(rows)])
+            a = asked[k]
+            part, context, first, entry = _requests(b, a, k, shares.value)
+            follow = np.lexsort((a.name, entry))
+            cuts = np.searchsorted(part, np.arange(shares.value.parts + 1))
+            ends = np.searchsorted(entry[follow], cuts)
+            number = np.bincount(entry, minlength=len(part))
+            for p in range(shares.value.parts):
+                mine, those = slice(cuts[p], cuts[p + 1]), follow[ends[p]:ends[p + 1]]
+                by_part[p].append((_pack_names(a.context[context[mine]]), _pack(np.where(first, a.count[context], 0)[mine]),
+                                   _pack(number[mine]), _pack(a.name[those]), _pack(a.times[those])))
+        return pa.Table.from_batches([B.batch_of([(p, block, False, _zip(x)) for p, x in enumerate(by_part)
+                                                  if any(y[0][1] is not None for y in x)])])
 
     return run
 
 
-def _total_contexts(order: int):
-    """Answers each block with the sums over all blocks of the contexts it sent."""
+def _total(table: pa.Table) -> pa.Table:
+    """Answers each block: of each context entry c(h), the kept counts in all and their number; of
+    what follows, the whole counts (only of the kept)."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "payload")), strict=True))
+    sent = [_unzip(x) for _, _, x in rows]
+    answers: list[list] = [[] for _ in sent]
+    for k in range(len(sent[0])):
+        contexts = [_unpack_names(x[k][0]) for x in sent]
+        counts, numbers, names, times = (np.concatenate([_unpack(x[k][i]) for x in sent]) for i in range(1, 5))
+        h, which = np.unique(np.concatenate(contexts), return_inverse=True)
+        c = np.bincount(which, weights=counts, minlength=len(h)).astype(np.int64)
+        of = np.repeat(which, numbers.astype(np.int64))
+        order = np.lexsort((names, of))
+        new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (of[order][1:] != of[order][:-1])]) \
+            if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        kept = total >= CUTOFF
+        mine = of[order][first][kept]
+        sums = np.bincount(mine, weights=total[kept], minlength=len(h)).astype(np.int64)
+        number = np.bincount(mine, minlength=len(h))
+        whole = np.empty(len(order), np.int64)
+        whole[order] = np.where(kept, total, 0)[np.cumsum(new) - 1] if len(order) else 0
+        ends, f_ends = np.cumsum([len(x) for x in contexts]), np.cumsum([x[k][3][0] for x in sent])
+        for answer, lo, hi, f_lo, f_hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), [0, *f_ends[:-1].tolist()],
+                                              f_ends.tolist(), strict=True):
+            at, f = which[lo:hi], whole[f_lo:f_hi]
+            answer.append((_pack(c[at]), _pack(sums[at]), _pack(number[at]), (len(f), np.packbits(f > 0).tobytes()), _pack(f[f > 0])))
+    return pa.Table.from_batches([B.batch_of([(-2 - p, b, False, _zip(a)) for (p, b, _), a in zip(rows, answers, strict=True)])])
+
+
+# -- 3: the automaton -------------------------------------------------------------------
+
+class Automaton:
+    """Numbered states; the last one is the root. ``arcs``: sorted (state * words + word), with weight
+    and target; ``fail``: of each state, weight and target; ``root``: of each word, weight and target."""
+
+    def __init__(self, words: int, arcs: np.ndarray, arc_weight: np.ndarray, arc_to: np.ndarray, fail_weight: np.ndarray,
+                 fail_to: np.ndarray, root_weight: np.ndarray, root_to: np.ndarray):
+        order = np.argsort(arcs)
+        self.words, self.arcs, self.arc_weight, self.arc_to = words, arcs[order], arc_weight[order], arc_to[order]
+        self.fail_weight, self.fail_to, self.root_weight, self.root_to = fail_weight, fail_to, root_weight, root_to
+        self.root = len(fail_to)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, weights) of reading one word in each state."""
+        state, weight = state.copy(), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            s, w = state[open_], word[open_]
+            at_root = s == self.root
+            done = open_[at_root]
+            weight[done] += self.root_weight[w[at_root]]
+            state[done] = self.root_to[w[at_root]]
+            open_, s, w = open_[~at_root], s[~at_root], w[~at_root]
+            key = s * self.words + w
+            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            weight[open_[hit]] += self.arc_weight[at[hit]]
+            state[open_[hit]] = self.arc_to[at[hit]]
+            open_, s = open_[~hit], s[~hit]
+            weight[open_] += self.fail_weight[s]
+            state[open_] = self.fail_to[s]
+        return state, weight
+
+    def scores(self, tokens: np.ndarray, lens: np.ndarray, memory: int) -> np.ndarray:
+        """The weight of each text, read in lanes that start ``memory`` words early."""
+        ends = np.cumsum(lens)
+        lanes = -(-lens // LANE)
+        doc = np.repeat(np.arange(len(lens)), lanes)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = (ends - lens)[doc] + nth * LANE
+        start = np.maximum(begin - memory, (ends - lens)[doc])
+        stop = np.minimum(begin + LANE, ends[doc])
+        order = np.argsort(start - stop, kind="stable")          # the longest first
+        doc, begin, start, stop = doc[order], begin[order], start[order], stop[order]
+        state, total = np.full(len(doc), self.root), np.zeros(len(doc))
+        length = stop - start
+        for t in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -t, side="left"))   # lanes of more than t words
+            state[:n], weight = self.step(state[:n], tokens[start[:n] + t])
+            total[:n] += np.where(start[:n] + t >= begin[:n], weight, 0.0)
+        return np.bincount(doc, weights=total, minlength=len(lens))
+
+
+def build(b: Block, asked: list, answers: list, ends: int, space: float) -> tuple[Automaton, np.ndarray]:
+    """(the automaton of a block's n-grams, the count of each of its words); ``answers``: of each order
+    (c(h), kept sums, kept numbers) per context and whole counts per n-gram; ``ends``: training texts."""
+    words = len(b.names)
+    count = np.zeros(words, np.int64)
+    end = b.tokens[b.last]
+    count[end] = ends
+    first = np.flatnonzero(asked[1].at >= 0)
+    count[b.tokens[first]] = answers[0][0][asked[1].at[first]]
+    lower = np.log10((count + 0.5) / space)                       # log P(w)
+    # states: kept contexts, by order; the root last
+    number, n_states = [None], 0
+    for c, *_ in answers:
+        kept = c >= CUTOFF
+        number.append(np.where(kept, np.cumsum(kept) - 1 + n_states, -1))
+        n_states += int(kept.sum())
+    fail_weight, fail_to = np.zeros(n_states), np.full(n_states, n_states)
+
+    def state_at(token: np.ndarray, k: int) -> np.ndarray:
+        """The state of the longest suffix of at most k words that ends at each token."""
+        if k == 0:
+            return np.full(len(token), n_states)
+        context = asked[k].at[token]
+        own = np.where(context >= 0, number[k][context], -1) if len(number[k]) else np.full(len(token), -1)
+        return np.where(own >= 0, own, state_at(token, k - 1))
+
+    prob: list = [None]                                           # [k]: P of each n-gram of k + 1 words that was asked for
+    keys, weights, targets = [], [], []
+    for k in range(1, len(asked)):
+        a, (c, sums, kinds, whole) = asked[k], answers[k - 1]
+        bow = (c - sums + DISCOUNT * kinds) / np.maximum(c, 1)
+        where = np.zeros(len(a.context), np.int64)
+        held = np.flatnonzero(a.at >= 0)
+        where[a.at[held]] = held
+        mine = number[k] >= 0
+        fail_weight[number[k][mine]] = np.log10(bow[mine])
+        fail_to[number[k][mine]] = state_at(where[mine], k - 1)
+        # P(w | h'): of the shorter n-gram if it was asked for, else its own way down
+        word = b.tokens[a.where]
+        p = 10 ** lower[word]
+        for j in range(1, k):                                     # from the shortest context of two tokens or more up
+            shorter = asked[j].entry[a.where]
+            context = asked[j].at[a.where - 1]
+            cj, sj, kj, _ = answers[j - 1]
+            state = (context >= 0) & (cj[context] >= CUTOFF) if len(cj) else np.zeros(len(p), bool)
+            bj = np.where(state, (cj[context] - sj[context] + DISCOUNT * kj[context]) / np.maximum(cj[context], 1), 1.0) \
+                if len(cj) else np.ones(len(p))
+            known = (shorter >= 0) & (prob[j][shorter] > 0) if len(prob[j]) else np.zeros(len(p), bool)
+            p = np.where(known, prob[j][shorter] if len(prob[j]) else 0.0, bj * p)
+        of_count = c[a.of]
+        arc = (whole >= CUTOFF) & (of_count >= CUTOFF)
+        own = np.where(arc, (whole - DISCOUNT) / np.maximum(of_count, 1) + bow[a.of] * p, 0.0)
+        prob.append(own)
+        keys.append(number[k][a.of[arc]] * words + word[arc])
+        weights.append(np.log10(own[arc]))
+        targets.append(state_at(a.where[arc], min(k + 1, len(asked) - 1)))
+    root_to = np.full(words, n_states)
+    root_to[b.tokens[first]] = state_at(first, 1)
+    return Automaton(words, np.concatenate(keys), np.concatenate(weights), np.concatenate(targets), fail_weight, fail_to,
+                     lower, root_to), count
+
+
+def _answers_of(b: Block, asked: list, received: list, shares: Shares) -> list:
+    """The partitions' answers put together, per order: c(h), kept sums and numbers by context, whole counts by n-gram."""
+    out = []
+    for k in range(1, len(asked)):
+        a = asked[k]
+        _, context, _, entry = _requests(b, a, k, shares)
+        got = [[_unpack(x[k - 1][i]).astype(np.int64) for _, x in received] for i in range(3)]
+        per = [np.concatenate([np.zeros(0, np.int64), *g]) for g in got]
+        whole = [np.zeros(0, np.int64)]
+        for _, x in received:
+            n, bits = x[k - 1][3]
+            f = np.zeros(n, np.int64)
+            f[_bits(bits, n)] = _unpack(x[k - 1][4]).astype(np.int64)
+            whole.append(f)
+        follow = np.lexsort((a.name, entry))
+        total = np.zeros(len(follow), np.int64)
+        total[follow] = np.concatenate(whole)
+        out.append((*(np.bincount(context, weights=v, minlength=len(a.context)).astype(np.int64) for v in per), total))
+    return out
+
+
+def _traverse(order: int, bits: int, shares, n: int, ends: int, space: float):
     def run(table: pa.Table) -> pa.Table:
-        docs, sent = _by_block(table)
-        payloads = [pickle.loads(x) for _, _, x in sent]
-        answers: list[list] = [[] for _ in sent]
-        for k in range(1, order) if sent else ():
-            names = [_unpack_names(x[k - 1][0]) for x in payloads]
-            ends = np.cumsum([len(x) for x in names])
-            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
-            sums = [np.bincount(which, weights=np.concatenate([_unpack(x[k - 1][1][row]) for x in payloads]),
-                                minlength=len(distinct)).astype(np.int64)[which] for row in range(3)]
-            for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                answer.append([_pack(s[lo:hi]) for s in sums])
-        return pa.Table.from_batches([B.batch_of(
-            [(p, b, True, x) for p, b, x in docs]
-            + [(p, b, False, pickle.dumps(a, 5)) for (p, b, _), a in zip(sent, answers, strict=True)])])
-
-    return run
-
-
-def _gather(order: int, n: int, space: float):
-    """Adds the weights of the failure arcs."""
-    def run(table: pa.Table) -> pa.Table:
-        docs, answered = _by_block(table)
-        ids, held, lens, known, base, score, failed = pickle.loads(docs[0][2])
-        answers = [pickle.loads(x) for _, _, x in sorted(answered)]
-        for k in range(1, order):
-            count, shorter, per_doc, state = failed[k - 1]
-            sums = np.array([np.concatenate([np.empty(0), *(_unpack(a[k - 1][row]) for a in answers)]) for row in range(3)])
-            bow = log_bow(sums, _unpack(count).astype(float), None if shorter is None else _unpack(shorter).astype(float), space)
-            doc = np.repeat(np.arange(len(lens)), _unpack(per_doc).astype(np.int64))
-            score += np.bincount(doc, weights=bow[_unpack(state).astype(np.int64)], minlength=len(lens))
+        ids, held, b, asked, received = _open(table, order, bits)
+        automaton, count = build(b, asked, _answers_of(b, asked, received, shares.value), ends, space)
+        score = automaton.scores(b.tokens, b.lens, order - 1)
+        sums = lambda x: np.bincount(b.doc, weights=x, minlength=len(b.lens))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held),
-                         "n_tokens": pa.array(lens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                         "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base),
-                         "score": pa.array(score)})
+                         "n_tokens": pa.array(b.lens, pa.int64()),
+                         "n_known": pa.array(sums(count[b.tokens] > 0).astype(np.int64), pa.int64()),
+                         "train_tokens": pa.array([n] * len(ids), pa.int64()),
+                         "base_score": pa.array(sums(np.log10((count[b.tokens] + 0.5) / space))), "score": pa.array(score)})
 
     return run
 
 
+# -- scoring ----------------------------------------------------------------------------
+
 def score(df: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the rows that are not held out and scores every row: doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    held_out, n_tokens, n_known, train_tokens, base_score, score. ``order`` is two at least."""
+    spark = df.sparkSession
     docs = text_rows(df, id_col, text_col)
-    parts = 4 * shuffle_partitions(df.sparkSession)
-    words = docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part").applyInArrow(_count_words, "n long, distinct long")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    parts = 4 * shuffle_partitions(spark)
+    words = materialise(docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part").applyInArrow(
+        _count_words, "n long, docs long, distinct long, words array<long>, counts array<long>"))
+    n, ends, v = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "docs", "distinct")]).first()
     space = n + 0.5 * (v + 1)
-    counted = docs.mapInArrow(_send_grams(order, parts), B.ROW).groupBy("part").applyInArrow(_total_grams(order), B.ROW)
-    contexts = counted.groupBy("block").applyInArrow(_send_contexts(order, parts, space), B.ROW)
-    summed = contexts.groupBy("part").applyInArrow(_total_contexts(order), B.ROW)
-    return summed.groupBy("block").applyInArrow(
-        _gather(order, n, space), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                  "base_score double, score double")
+    # words with more than a partition's share of the tokens: ``parts`` of them at most
+    common = (words.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).filter(F.col("w.counts") * parts > n)
+              .select("w.words", "w.counts").collect())
+    shares = spark.sparkContext.broadcast(Shares({r[0] % (1 << 64): r[1] for r in common}, n, parts))
+    bits = min(64, max(n, 1).bit_length() + SPARE_BITS)
+    # read twice below; a bit an n-gram
+    twice = materialise(docs.mapInArrow(_send_shorts(order, parts, bits), B.ROW).groupBy("part").applyInArrow(_seen_twice, B.ROW))
+    known = docs.mapInArrow(_send_docs, B.ROW).unionByName(twice)
+    asked = known.groupBy("block").applyInArrow(_ask(order, bits, shares), B.ROW)
+    totals = asked.groupBy("part").applyInArrow(_total, B.ROW)
+    return (docs.mapInArrow(_send_docs, B.ROW).unionByName(twice).unionByName(totals).groupBy("block")
+            .applyInArrow(_traverse(order, bits, shares, n, ends, space),
+                          "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                          "base_score double, score double"))
