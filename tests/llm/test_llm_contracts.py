@@ -247,6 +247,57 @@ def test_prefix_filter_is_safe():
                 assert np.isin(jaccard.prefix(x, classes, order), jaccard.prefix(y, classes, order)).any()
 
 
+def test_jaccard_blocks_equal_brute_force():
+    """Two blocks, and one with itself: linked pairs of different components, as counted one by one."""
+    rng = np.random.default_rng(0)
+    classes = rng.integers(0, 3, jaccard.CELLS).astype(np.uint8)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+
+    def block(n):
+        sets = [np.unique(np.concatenate([base[rng.random(300) < rng.choice([0.8, 0.9, 0.97])],
+                                          rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(n)]
+        return (np.arange(n), rng.integers(0, 4, n), np.array([len(x) for x in sets]), np.concatenate(sets)), sets
+
+    (a, x), (b, y) = block(60), block(45)
+    for first, s, second, t, same in ((a, x, b, y, False), (a, x, a, x, True)):
+        want = [[bool(first[1][i] != second[1][j] and (not same or i < j)
+                      and jaccard.similar(len(np.intersect1d(u, v)), len(u), len(v))) for j, v in enumerate(t)] for i, u in enumerate(s)]
+        assert jaccard.block_links(first, second, classes, same).tolist() == want and np.any(want)
+
+
+@pytest.mark.parametrize("hot,block", [(8, 16), (2, 128)])
+def test_jaccard_hot_tokens_in_blocks(spark, monkeypatch, hot, block):
+    """Copies with more and more changes of one text, and near misses of it: groups as by brute force."""
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(hot)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(words)))
+    got = by_id(jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for _, t in rows]
+    root = list(range(150))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(150):
+        for j in range(i):
+            if jaccard.similar(len(sets[i] & sets[j]), len(sets[i]), len(sets[j])):
+                links += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert links > 50 and len({top(i) for i in range(150)}) > 5
+    assert {i: r.component_id for i, r in got.items()} == {i: top(i) for i in range(150)}
+
+
 # -- 5: exact dedup ---------------------------------------------------------------------
 
 def test_exact_awkward(awkward, empty):
@@ -451,8 +502,7 @@ def brute_lm(rows, order=3):
             for k in range(1, order + 1):
                 count[k].update(tuple(w[j:j + k]) for j in range(len(w) - k + 1))
     n, v = sum(count[1].values()), len(count[1])
-    cutoff = max(2, -(-n // lm.MAX_STATES))
-    kept = [None] + [{g: c for g, c in count[k].items() if c >= cutoff} for k in range(1, order + 1)]
+    kept = [None] + [{g: c for g, c in count[k].items() if c >= lm.CUTOFF} for k in range(1, order + 1)]
     after = collections.defaultdict(list)
     for k in range(2, order + 1):
         for g in kept[k]:
@@ -463,11 +513,10 @@ def brute_lm(rows, order=3):
             return (count[1][(w,)] + 0.5) / (n + 0.5 * (v + 1))
         if h not in kept[len(h)]:
             return p(w, h[1:])
-        if h + (w,) in kept[len(h) + 1]:
-            return (kept[len(h) + 1][h + (w,)] - lm.DISCOUNT) / kept[len(h)][h]
-        taken = sum((kept[len(h) + 1][h + (x,)] - lm.DISCOUNT) / kept[len(h)][h] for x in after[h])
-        lower = sum(p(x, h[1:]) for x in after[h])
-        return (1 - taken) / (1 - lower) * p(w, h[1:])
+        c = kept[len(h)][h]
+        taken = sum(kept[len(h) + 1][h + (x,)] - lm.DISCOUNT for x in after[h])
+        own = kept[len(h) + 1].get(h + (w,), lm.DISCOUNT) - lm.DISCOUNT
+        return own / c + (c - taken) / c * p(w, h[1:])
 
     out = []
     for (doc, _), w in zip(rows, tokens, strict=True):
@@ -477,30 +526,111 @@ def brute_lm(rows, order=3):
     return out
 
 
-def test_lm_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "LANE", 7)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_brute_force(spark, order):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 60))))) for i in range(60)] + ROWS
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((tuple(r) for r in lm.score(df).collect()), key=str)
-    want = sorted(brute_lm(rows), key=str)
-    for a, b in zip(sorted(got, key=lambda r: (str(r[0]), r[2], r[5])), sorted(want, key=lambda r: (str(r[0]), r[2], r[5])),
-                    strict=True):
+    key = lambda r: (str(r[0]), r[2], r[5])
+    got = sorted((tuple(r) for r in lm.score(df, order).collect()), key=key)
+    for a, b in zip(got, sorted(brute_lm(rows, order), key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def lm_automaton(rows):
+    """(automaton, words, Block, tokens) over the n-grams of all rows, in one block with its own answers."""
+    texts = [(t or "").encode() for _, t in rows]
+    words = [lm.WORDS.of(lm._tokens(t)) for t in texts]
+    names, tokens = np.unique(np.concatenate(words), return_inverse=True)
+    lens, held = np.array([len(w) for w in words]), np.array([lm.is_held_out(i) for i, _ in rows])
+    b = lm.Block(names, tokens, lens, held, 3)
+    goes_on = [None, None, *(np.ones(len(tokens), bool) for _ in range(2))]
+    asked = [None, lm.Asked(b, 1, goes_on), lm.Asked(b, 2, goes_on)]
+    answers = []
+    for a in asked[1:]:
+        kept = a.times * (a.times >= lm.CUTOFF)
+        answers.append((a.count, np.bincount(a.of, kept, len(a.context)).astype(int),
+                        np.bincount(a.of[kept > 0], minlength=len(a.context)), kept))
+    trained = ~held[b.doc]
+    space = trained.sum() + 0.5 * (len(np.unique(tokens[trained])) + 1)
+    return lm.build(b, asked, answers, int((~held).sum()), space)[0], names, b, tokens
+
+
+def test_lm_probabilities_add_up():
+    """In every state the probabilities of all words and an unknown one add up to one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(list("abcd"), 30))) for i in range(20)]
+    held = next(i for i in range(100, 200) if lm.is_held_out(i))
+    automaton, names, _, _ = lm_automaton([*rows, (held, "unknown")])
+    assert automaton.root > 12
+    for state in range(automaton.root + 1):
+        _, weight = automaton.step(np.full(len(names), state), np.arange(len(names)))
+        assert (10 ** weight).sum() == pytest.approx(1)
+
+
+def walk(rows, order=3):
+    """States visited by a plain automaton over the kept n-grams: of each text, the longest suffix, of at
+    most ``order - 1`` words, that is kept, after each word."""
+    tokens = [lm._tokens((t or "").encode()) for _, t in rows]
+    count = collections.Counter()
+    for (doc, _), w in zip(rows, tokens, strict=True):
+        if not lm.is_held_out(doc):
+            count.update(tuple(w[j:j + k]) for k in range(1, order) for j in range(len(w) - k + 1))
+    out = []
+    for w in tokens:
+        seen = []
+        for j in range(1, len(w)):
+            suffixes = [tuple(w[j - k:j]) for k in range(min(order - 1, j), 0, -1)]
+            seen.append(next((s for s in suffixes if count[s] >= lm.CUTOFF), ()))
+        out.append(seen)
+    return out
+
+
+def test_lm_visits_the_states_of_a_plain_automaton(spark, monkeypatch):
+    """One pass that carries the state: after every word it is the longest suffix that is a state, in lanes of five words too."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 40))))) for i in range(50)]
+    automaton, _, b, tokens = lm_automaton(rows)
+    lens = b.lens
+    want = walk(rows)
+    name_of = {automaton.root: ()}
+    state, at = np.full(len(rows), automaton.root), np.cumsum(lens) - lens
+    for t in range(int(lens.max()) - 1):
+        live = np.flatnonzero(lens - 1 > t)
+        state[live], _ = automaton.step(state[live], tokens[at[live] + t])
+        for d in live.tolist():
+            assert name_of.setdefault(int(state[d]), want[d][t]) == want[d][t]
+    assert len(name_of) == len(set(name_of.values())) > 50
+    whole = automaton.scores(tokens, lens, 2)
+    monkeypatch.setattr(lm, "LANE", 5)
+    assert automaton.scores(tokens, lens, 2) == pytest.approx(whole)
+    assert whole.tolist() == pytest.approx([r[6] for r in brute_lm(rows)])
+
+
+def test_lm_spreads_common_words(spark):
+    """A word of half of all tokens: its context is asked of several partitions, with the same scores."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(x for w in rng.choice(list("bcdefghijk"), 20) for x in ("the", w))) for i in range(60)]
+    words = np.array([lm.WORDS[b"the"]], np.uint64)
+    assert lm.Shares({int(words[0]): 50}, 100, 32).of(words).tolist() == [0.5]
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    want = {r[0]: r[6] for r in brute_lm(rows)}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_beats_base_on_held_out(spark, sf_dir):
     rows = QUERIES["op8_backoff_automaton"](spark, sf_dir).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert all(math.isfinite(r.score) for r in rows)
 
 
-def test_lm_keeps_states_at_any_size(spark, monkeypatch):
-    """An n-gram seen twice is a state however long the training texts are."""
+@pytest.mark.parametrize("copies", [1, 12])
+def test_lm_keeps_states_at_any_size(spark, copies):
+    """An n-gram seen twice is a state however long the other training texts are."""
     rng = np.random.default_rng(6)
-    rows = [(i, " ".join(rng.choice(list("abcdefghijkl"), 40))) for i in range(40)]
+    rows = [(i, "one two three four") for i in range(2)]
+    rows += [(i + 2, " ".join(rng.choice(list("abcdefghijkl"), 40 * copies))) for i in range(40)]
     want = {r[0]: r[6] for r in brute_lm(rows)}
-    monkeypatch.setattr(lm, "MAX_STATES", 64)
     got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-9)
 
