@@ -2,12 +2,16 @@
 
 A rotation of the centred principal components is learned on a bounded sample
 so that the signs of the rotated vectors lose as little as possible (iterative
-quantisation). The signs are a 64-bit code. The code is cut into four
-chunks of sixteen bits; each chunk has a table keyed by its value. Two codes
-that differ in at most seven bits differ in at most one bit of some chunk, so
-probing every table with a chunk's value and the sixteen values next to it
-finds them; other pairs are often found too. Candidates within ``MAX_BITS``
-are reranked with the original vectors, in double precision.
+quantisation). The signs are a 64-bit code. The code is cut into chunks; each
+chunk has a table keyed by its value, which is probed with a chunk's value and
+all values within a radius of it. Candidates whose codes differ in at most so many bits are
+reranked with the original vectors, in double precision.
+
+Chunks, radius and bits follow from the data: each sample vector gets a partner at exactly the
+threshold, in the direction of another one, and the first of ``TABLES`` that brings
+``RECALL`` of them together is taken (four chunks of sixteen bits and radius one where vectors
+point everywhere; where they have a direction in common, near ones differ in more bits of the
+centred code, and smaller chunks or a larger radius find them).
 
 Only vectors with equal, non-null labels are compared. Equal vectors are one
 node. Nodes of one code are a cell, cut into blocks of about ``BLOCK``; the
@@ -26,6 +30,8 @@ is a row like others, its component is the smallest id that is not null.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +41,12 @@ from quarry.llm.common import broadcast_if_small
 from quarry.llm.components import connected_components
 from quarry.session import materialise
 
-BITS, CHUNK = 64, 16
+BITS = 64
+#: Bits of a chunk and radius of the probes, the cheapest first.
+TABLES = [(16, 1), (16, 2), (8, 1), (8, 2)]
 SAMPLE = 20_000
-MAX_BITS = 16
+#: Share of the sample's partners that must be found, and bits in which codes may differ at least.
+RECALL, LEAST_BITS = 0.97, 16
 BLOCK = 256
 THRESHOLD = 0.98
 
@@ -89,8 +98,28 @@ class Quantiser:
         return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
-def fit(df: DataFrame, id_col: str, vector_col: str) -> Quantiser | None:
-    """A quantiser for the most frequent vector length of the bounded sample."""
+def partners(x: np.ndarray, threshold: float, seed: int = 2) -> np.ndarray:
+    """For each unit vector another one at exactly the threshold, in the direction of some other row
+    (or any, if that is the row itself)."""
+    rng = np.random.default_rng(seed)
+    toward = x[rng.permutation(len(x))] - x + 1e-9 * rng.standard_normal(x.shape)
+    toward -= (toward * x).sum(axis=1, keepdims=True) * x
+    toward /= np.sqrt((toward * toward).sum(axis=1, keepdims=True))
+    return threshold * x + np.sqrt(1 - threshold ** 2) * toward
+
+
+def choose_tables(differ: np.ndarray) -> tuple[int, int, int]:
+    """(chunk, radius, most bits apart) for rows of bits in which partners differ."""
+    most = max(LEAST_BITS, int(np.quantile(differ.sum(axis=1), 0.995)))
+    for chunk, radius in TABLES:
+        found = (differ.reshape(len(differ), -1, chunk).sum(axis=2) <= radius).any(axis=1)
+        if found.mean() >= RECALL:
+            break
+    return chunk, radius, most
+
+
+def fit(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHOLD) -> tuple[Quantiser, tuple] | None:
+    """A quantiser for the most frequent vector length of the bounded sample, and its tables."""
     got = (df.select(id_col, vector_col).orderBy(F.xxhash64(F.col(id_col), F.col(vector_col))).limit(SAMPLE)
            .select(vector_col).toArrow())
     usable = [v for v in vectors(got.column(0)) if v is not None]
@@ -98,7 +127,12 @@ def fit(df: DataFrame, id_col: str, vector_col: str) -> Quantiser | None:
         return None
     lengths = np.array([len(v) for v in usable])
     d = int(np.bincount(lengths).argmax())
-    return Quantiser(np.stack([v for v in usable if len(v) == d]))
+    sample = np.stack([v for v in usable if len(v) == d])
+    quantiser = Quantiser(sample)
+    if d == 1:                                         # one component: unit vectors are equal or opposite
+        return quantiser, (*TABLES[0], LEAST_BITS)
+    bits = lambda x: np.unpackbits(quantiser.codes(x).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return quantiser, choose_tables(bits(sample) != bits(partners(sample, threshold)))
 
 
 _ROW = "id long, label long, length int, name long, code long, vector binary"
@@ -130,26 +164,24 @@ def _encode(quantiser: Quantiser):
     return run
 
 
-def cell_pairs(cells: DataFrame) -> DataFrame:
+def cell_pairs(cells: DataFrame, chunk: int, radius: int, most: int) -> DataFrame:
     """(label, length, a, b): pairs of codes, a < b, that some table's probe brings
-    together, each once, at most MAX_BITS apart."""
-    chunks = BITS // CHUNK
-    key = "shiftright(code, 16 * c) & 65535"
-    index = cells.select("label", "length", F.col("code").alias("b"), F.explode(F.expr(
-        f"transform(sequence(0, {chunks - 1}), c -> struct(c, {key} as key))")).alias("t")).select(
+    together, each once, at most ``most`` bits apart."""
+    chunks, top = BITS // chunk, (1 << chunk) - 1
+    tables = F.explode(F.expr(f"transform(sequence(0, {chunks - 1}), c -> struct(c, shiftright(code, {chunk} * c) & {top} as key))"))
+    index = cells.select("label", "length", F.col("code").alias("b"), tables.alias("t")).select(
         "label", "length", "b", "t.c", "t.key")
-    flips = "concat(array(0L), transform(sequence(0, 15), i -> shiftleft(1L, i)))"
-    probes = (cells.select("label", "length", F.col("code").alias("a"), F.explode(F.expr(
-        f"transform(sequence(0, {chunks - 1}), c -> struct(c, {key} as key))")).alias("t"))
-        .select("label", "length", "a", "t.c", F.explode(F.expr(
-            f"transform({flips}, m -> t.key ^ m)")).alias("key")))
-    far = " AND ".join(f"(c <= {j} OR bit_count((a ^ b) & {_mask(j)}L) > 1)" for j in range(chunks - 1))
+    flips = [sum(1 << i for i in at) for r in range(radius + 1) for at in itertools.combinations(range(chunk), r)]
+    probes = (cells.select("label", "length", F.col("code").alias("a"), tables.alias("t"))
+              .select("label", "length", "a", "t.c", F.explode(F.expr(
+                  f"transform(array({', '.join(f'{m}L' for m in flips)}), m -> t.key ^ m)")).alias("key")))
+    far = " AND ".join(f"(c <= {j} OR bit_count((a ^ b) & {_mask(chunk, j)}L) > {radius})" for j in range(chunks - 1))
     return (probes.join(index, ["label", "length", "c", "key"])
-            .filter(f"a < b AND bit_count(a ^ b) <= {MAX_BITS} AND {far}").select("label", "length", "a", "b"))
+            .filter(f"a < b AND bit_count(a ^ b) <= {most} AND {far}").select("label", "length", "a", "b"))
 
 
-def _mask(j: int) -> int:
-    m = 0xFFFF << (16 * j)
+def _mask(chunk: int, j: int) -> int:
+    m = ((1 << chunk) - 1) << (chunk * j)
     return m - (1 << 64) if m >> 63 else m
 
 
@@ -216,10 +248,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
                      F.col(vector_col).alias("vector"))
-    quantiser = fit(rows, "id", "vector")
-    if quantiser is None:
+    fitted = fit(rows, "id", "vector", threshold)
+    if fitted is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"),
                            F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    quantiser, tables = fitted
     coded = materialise(rows.mapInArrow(_encode(quantiser), _ROW))
     nodes = materialise(coded.filter("name IS NOT NULL").groupBy("name").agg(
         F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("length").alias("length"),
@@ -230,7 +263,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         nodes.join(cells, cell)
         .withColumn("block", F.expr(f"pmod(xxhash64(name), (n + {BLOCK - 1}) div {BLOCK})"))
         .groupBy(*cell, "block").agg(F.collect_list(F.struct("name", "copies", "vector")).alias("members")))
-    pairs = materialise(cell_pairs(cells.select(*cell)))
+    pairs = materialise(cell_pairs(cells.select(*cell), *tables))
     left = blocks.select("label", "length", F.col("code").alias("a"), F.col("block").alias("i"),
                          F.col("members").alias("x"))
     right = blocks.select("label", "length", F.col("code").alias("b"), F.col("block").alias("j"),

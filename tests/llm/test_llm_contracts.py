@@ -52,6 +52,25 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+# -- 1: embeddings ----------------------------------------------------------------------
+
+@pytest.mark.parametrize("spread", [0.0, 0.3, 0.6])
+def test_itq_recall_with_a_common_direction(spark, spread):
+    """Vectors everywhere, and close around one direction, each with a partner just above the threshold."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = unit(rng.standard_normal((800, 64)))
+    if spread:
+        x = unit(unit(rng.standard_normal((1, 64))) + spread * x)
+    x = np.concatenate([x, itq.partners(x, 0.983, 7)])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert (itq.fit(df, "vec_id", "embedding")[1][:2] == itq.TABLES[0]) == (spread == 0)
+    got = by_id(itq.near_duplicates(df), "vec_id")
+    hit = (x @ x.T >= itq.THRESHOLD) & ~np.eye(len(x), dtype=bool)
+    found = sum(min(got[i].n_links, int(n)) for i, n in enumerate(hit.sum(axis=1)))
+    assert found >= 0.97 * hit.sum() and all(got[i].n_links <= n for i, n in enumerate(hit.sum(axis=1)))
+
+
 # -- 2: byte-level BPE ------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
