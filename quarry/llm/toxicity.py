@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import bounded_batches, broadcast_if_small, shuffle_partitions
+from quarry.session import materialise
 
 MAX_TOXIC, MAX_CLEAN = 4096, 8192
 REJECT = 0.4
@@ -131,8 +132,9 @@ def _feature_rows(batches):
                  pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["toxic", "features", "counts"])
 
 
-def graded_sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, ...]:
-    """(row, feature hash, count, grade per row) of the bounded labelled sample."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, toxic, features, counts) of the bounded labelled sample, written."""
+    spark = docs.sparkSession
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
              .groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")))
     order = F.xxhash64("doc_id")
@@ -140,44 +142,49 @@ def graded_sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, ...]:
               .unionByName(known.filter("NOT toxic").orderBy(order, "doc_id").limit(MAX_CLEAN)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(MAX_TOXIC + MAX_CLEAN)     # ids may repeat
-    got = rows.select("toxic", "text").mapInArrow(_feature_rows,
-                                                  "toxic boolean, features array<long>, counts array<long>").toArrow()
-    toxic = np.array(got.column("toxic").to_pylist(), dtype=bool)
-    lists = got.column("features").combine_chunks()
-    lens = np.diff(lists.offsets.to_numpy()) if len(got) else np.empty(0, int)
-    row = np.repeat(np.arange(len(toxic)), lens)
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    count = got.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    return row, feature, count, toxic
+    bounded_batches(spark)
+    found = rows.select("toxic", "text").repartition(shuffle_partitions(spark)).mapInArrow(
+        _feature_rows, "toxic boolean, features array<long>, counts array<long>")
+    return materialise(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits the model on ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text)."""
-    row, feature, count, toxic = graded_sample(docs, labels)
+    """Fits the model on ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text). Only the features that
+    carry weight reach the driver, for the rows of the bounded sample."""
+    sample = labelled_sample(docs, labels)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    per_row = sample.select("row", "toxic", total.alias("total")).toPandas().sort_values("row")
+    toxic = per_row["toxic"].to_numpy(bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return Model({}, np.array([60.0]))
-    names, col = np.unique(feature, return_inverse=True)
-    in_toxic = np.bincount(col, weights=toxic[row], minlength=len(names))
-    in_all = np.bincount(col, minlength=len(names))
-    odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_all - in_toxic + 0.5) / (n0 + 1))
-    telling = (odds >= TELLING) & (in_toxic >= MIN_DOCS)
-    share = (np.bincount(row, weights=count * telling[col], minlength=len(toxic))
-             / np.maximum(np.bincount(row, weights=count, minlength=len(toxic)), 1))
+    odds = (F.log((F.col("in_toxic") + 0.5) / (n1 + 1))
+            - F.log((F.col("in_all") - F.col("in_toxic") + 0.5) / (n0 + 1)))
+    used = (sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature")
+            .agg(F.count_if("toxic").alias("in_toxic"), F.count(F.lit(1)).alias("in_all"))
+            .filter(F.col("in_all") >= MIN_DOCS).withColumn("odds", odds).filter(F.abs("odds") >= MIN_LOG_ODDS)
+            .select("feature", ((F.col("odds") >= TELLING) & (F.col("in_toxic") >= MIN_DOCS)).alias("telling")))
+    used = broadcast_if_small(materialise(used))
+    entries = (sample.select("row", F.explode(F.arrays_zip("features", "counts")).alias("e"))
+               .select("row", F.col("e.features").alias("feature"), F.col("e.counts").cast("int").alias("n"))
+               .join(used, "feature").orderBy("row", "feature").toArrow())
+    row = np.searchsorted(per_row["row"].to_numpy(), entries.column("row").to_numpy())
+    names, col = np.unique(entries.column("feature").to_numpy(), return_inverse=True)
+    count, telling = entries.column("n").to_numpy().astype(float), entries.column("telling").to_numpy()
+    share = (np.bincount(row, weights=count * telling, minlength=len(toxic))
+             / np.maximum(per_row["total"].to_numpy(float), 1))
     severe = share >= max(np.median(share[toxic]), 1e-9)
     grades = np.where(toxic, np.where(severe, 2, 1), 0)
-    use = (in_all >= MIN_DOCS) & (np.abs(odds) >= MIN_LOG_ODDS)
-    number = np.cumsum(use) - 1
-    at = use[col]
-    weights, thresholds = fit(row[at], number[col[at]], np.log1p(count[at]), grades, int(use.sum()))
-    return Model(dict(zip(names[use].tolist(), weights.tolist(), strict=True)), thresholds)
+    weights, thresholds = fit(row, col, np.log1p(count), grades, len(names))
+    return Model(dict(zip(names.tolist(), weights.tolist(), strict=True)), thresholds)
 
 
 def severity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` plus severity (expected grade), p_toxic and grade
-    (the largest k with P(grade >= k) at least one half)."""
+    (the largest k with P(grade >= k) at least one half), in place of columns of these names."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("severity", "p_toxic", "grade")])
     schema = df.schema
 
     def run(batches):

@@ -149,6 +149,26 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.severity <= 2 and r.severity >= r.p_toxic for r in scored)
 
 
+def test_toxicity_query(spark, sf_dir, texts):
+    """The registered query gives every document one row, toxic labels mostly rejected, clean ones hardly ever."""
+    got = by_id(QUERIES["op3_ordinal_toxicity"](spark, sf_dir))
+    assert got.keys() == texts.keys() and {"severity", "p_toxic", "grade", "rejected"} <= set(next(iter(got.values())).asDict())
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.doc_id in got}
+    clean = [i for i, t in toxic.items() if not t]
+    assert sum(got[i].rejected for i in clean) <= 0.02 * len(clean)
+    assert sum(got[i].rejected for i, t in toxic.items() if t) >= 0.8 * (len(toxic) - len(clean)) > 0
+
+
+def test_toxicity_replaces_columns_of_its_names(spark):
+    rows = [(i, "bad words" if i % 2 else "nice words", "s", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, severity string, grade int")
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    got = toxicity.severity(df, model)
+    assert got.columns == ["doc_id", "text", "severity", "p_toxic", "grade"] and got.filter("severity > 0.5").count() == 20
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.columns == df.columns and kept.count() == 20
+
+
 def test_toxicity_sample_holds_rare_words(spark):
     """Of 2,100 toxic rows six hold a word, those that are last by the sample's order."""
     last = {r.id for r in spark.range(2100).orderBy(F.xxhash64("id").desc(), F.desc("id")).limit(6).collect()}
