@@ -45,8 +45,8 @@ class LocalIds(dict):
         return n
 
 
-def blocks(batches: Iterator[pa.RecordBatch], as_bytes: bool) -> Iterator[tuple[int, list, list]]:
-    """(block id, doc ids, texts); texts as bytes or str."""
+def blocks(batches: Iterator[pa.RecordBatch], as_bytes: bool, most: int = MAX_BYTES) -> Iterator[tuple[int, list, list]]:
+    """(block id, doc ids, texts); texts as bytes or str, about ``most`` bytes of them."""
     base = TaskContext.get().partitionId() << 33
     n, ids, texts, size = 0, [], [], 0
     for batch in batches:
@@ -56,7 +56,7 @@ def blocks(batches: Iterator[pa.RecordBatch], as_bytes: bool) -> Iterator[tuple[
             ids += part.column("doc_id").to_pylist()
             texts += (column.cast(pa.binary()) if as_bytes else column).to_pylist()
             size += column.nbytes
-            if size >= MAX_BYTES or len(ids) + 256 > MAX_DOCS:
+            if size >= most or len(ids) + 256 > MAX_DOCS:
                 yield base + n, ids, texts
                 n, ids, texts, size = n + 1, [], [], 0
     if ids:

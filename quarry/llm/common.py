@@ -49,13 +49,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def id_array(values) -> pa.Array:
-    return pa.array(values, type=pa.int64())
-
-
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column (no null values)."""
-    return column.cast(pa.binary()).to_pylist()
+def give_back() -> None:
+    """Returns the worker's free memory to the system (glibc keeps it otherwise; a worker lives on)."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):      # another C library
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -73,7 +74,7 @@ class WordHashes(dict):
     """word bytes -> unsigned 64-bit hash; forgets everything when it holds
     ``limit`` words, so a task's memory stays bounded."""
 
-    def __init__(self, limit: int = 1 << 18):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit = limit
 
