@@ -299,15 +299,16 @@ def _list_maps(most: int, best_order: bool):
     return run
 
 
-def _count(bags: DataFrame, maps: DataFrame, levels: int | None = None) -> DataFrame:
-    """(qid, cols, common): I of each map (qid, cols); of its first columns if it is shorter than the row."""
-    width = F.lit(levels) if levels is not None else F.size("cells")
-    g = (bags.filter("side = 'g'").groupBy("qid", F.slice("cells", F.lit(1), width).alias("row"), "pos")
-         .agg(F.sum("m").alias("mg")))
-    p = bags.filter("side = 'p'").select("qid", "cells", "pos", "m")
-    mapped = (p.join(maps, "qid").select("qid", "cols", "pos", "m",
-                                         F.transform("cols", lambda j: F.get("cells", j)).alias("row"))
-              .groupBy("qid", "cols", "row", "pos").agg(F.sum("m").alias("mp")))
+def _count(bags: DataFrame, maps: DataFrame, levels: int | None = None, all_columns: bool = False) -> DataFrame:
+    """(qid, cols, common): I of each map (qid, cols); with ``levels`` of the first so many columns. A bag's
+    rows are distinct, and stay so under a map of ``all_columns``; else they are added up first."""
+    g = bags.filter("side = 'g'").select("qid", "pos", F.col("cells").alias("row"), F.col("m").alias("mg"))
+    if levels is not None:
+        g = g.groupBy("qid", F.slice("row", F.lit(1), F.lit(levels)).alias("row"), "pos").agg(F.sum("mg").alias("mg"))
+    p = bags.filter("side = 'p'").select("qid", "cells", "pos", F.col("m").alias("mp"))
+    mapped = p.join(maps, "qid").select("qid", "cols", "pos", "mp", F.transform("cols", lambda j: F.get("cells", j)).alias("row"))
+    if not all_columns:
+        mapped = mapped.groupBy("qid", "cols", "row", "pos").agg(F.sum("mp").alias("mp"))
     g = g.select(F.col("qid").alias("q"), F.col("row").alias("r"), F.col("pos").alias("at"), "mg")
     same = (F.col("qid") == F.col("q")) & (F.col("row") == F.col("r")) & F.col("pos").eqNullSafe(F.col("at"))
     return mapped.join(g, same).groupBy("qid", "cols").agg(F.sum(F.least("mg", "mp")).alias("common"))
@@ -356,7 +357,7 @@ def common_rows(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
                            .applyInPandas(_list_maps(most, best_order), "qid string, cols array<int>"))
 
     def count(state: DataFrame, listed: DataFrame) -> DataFrame:
-        found = _count(bags, listed.filter("cols is not null")).groupBy("qid").agg(F.max("common").alias("found"))
+        found = _count(bags, listed.filter("cols is not null"), None, mode != "inside").groupBy("qid").agg(F.max("common").alias("found"))
         return materialise(state.join(found, "qid", "left")
                            .select("qid", "w_gold", "need", F.greatest("best", F.coalesce("found", F.lit(-1))).alias("best")))
 
