@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WORDS, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import WORDS, give_back, mix64, shuffle_partitions, text_rows, window_hashes
 from quarry.session import materialise
 
 CUTOFF = 2
@@ -362,6 +362,8 @@ def _ask(order: int, bits: int, shares):
                 mine, those = slice(cuts[p], cuts[p + 1]), follow[ends[p]:ends[p + 1]]
                 by_part[p].append((_pack_names(a.context[context[mine]]), _pack(np.where(first, a.count[context], 0)[mine]),
                                    _pack(number[mine]), _pack(a.name[those]), _pack(a.times[those])))
+        del b, asked, a
+        give_back()
         return pa.Table.from_batches([B.batch_of([(p, block, False, _zip(x)) for p, x in enumerate(by_part)
                                                   if any(y[0][1] is not None for y in x)])])
 
@@ -541,6 +543,8 @@ def _traverse(order: int, bits: int, shares, n: int, ends: int, space: float):
         ids, held, b, asked, received = _open(table, order, bits)
         automaton, count = build(b, asked, _answers_of(b, asked, received, shares.value), ends, space)
         score = automaton.scores(b.tokens, b.lens, order - 1)
+        del automaton, asked, received
+        give_back()
         sums = lambda x: np.bincount(b.doc, weights=x, minlength=len(b.lens))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held),
                          "n_tokens": pa.array(b.lens, pa.int64()),
