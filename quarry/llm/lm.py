@@ -28,7 +28,7 @@ own n-grams:
 3. The block is answered with these, builds its states and arcs, and traverses its texts.
 
 Documents are read again for each step rather than kept; a block's rows must be the same each
-time (a file scan's are; a checksum is compared). A context of a word so common that it would
+time (a file scan's are; the number of short hashes is compared). A context of a word so common that it would
 fill a partition by itself is spread over several, by the names of what follows; the words that
 need it, at most one per partition, are the only rows that the driver gets.
 
@@ -61,6 +61,8 @@ LANE = 512
 #: Words of a partition that may be spread (of all words, fewer have a partition's share of the tokens
 #: than there are partitions).
 TOP = 64
+#: Bytes of text in a block, about: its n-grams and their answers are several times as large.
+BLOCK_BYTES = 8 << 20
 #: Bits of a short hash beyond those of the number of training tokens.
 SPARE_BITS = 8
 
@@ -70,11 +72,41 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def _tokens(text: bytes) -> list[bytes]:
+    """The tokens of one text; ``_word_names`` names those of many."""
     words = text.lower().split()
     words.append(END)
     return words
 
 
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\f", np.uint8))
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(name of each token, tokens per text): 64-bit hashes of all words at once, eight bytes a step, with
+    their length, and the end token's name after each text."""
+    data = b" ".join([*texts, b" " * 8]).lower()
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, rest = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))       # the eight bytes from each place on
+    mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    names = mix64(rest.astype(np.uint64) * _LENGTH)
+    at, left = np.arange(len(start)), rest
+    for step in range(0, int(rest.max(initial=0)), 8):
+        if step:
+            more = left > 8
+            at, left = at[more], left[more] - 8
+        names[at] = mix64(names[at] ^ (eight[start[at] + step] & mask[np.minimum(left, 8)]))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    words = np.diff(np.searchsorted(start, begin))
+    out = np.full(len(names) + len(texts), WORDS[END], np.uint64)
+    out[np.arange(len(names)) + np.repeat(np.arange(len(texts)), words)] = names
+    return out, words + 1
+
+
 # -- packed numbers ---------------------------------------------------------------------
 
 def _zip(x) -> bytes:
@@ -128,9 +160,48 @@ def _cuts(names: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(_part(names, parts), np.arange(parts + 1))
 
 
-def _distinct(names: np.ndarray) -> np.ndarray:
-    names = np.sort(names)
-    return names[np.diff(names, prepend=~names[:1]) != 0]
+def _order(values: np.ndarray) -> np.ndarray:
+    """A stable argsort of small non-negative numbers: value and place are sorted as one number."""
+    bits = np.uint64(len(values).bit_length())
+    if not len(values) or int(values.max()) >> (64 - int(bits)):
+        return np.argsort(values, kind="stable")
+    both = (values.astype(np.uint64) << bits) | np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _order_names(names: np.ndarray) -> np.ndarray:
+    """An argsort of names: their leading bits and places are sorted as one number; should names differ
+    in the last bits only, they are sorted as they are."""
+    bits = np.uint64(len(names).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    both = (names & ~low) | np.arange(len(names), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    found = names[order]
+    return order if not (found[1:] < found[:-1]).any() else np.argsort(names)
+
+
+def _unique(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values, which of them each one is) of values and their argsort."""
+    found = values[order]
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    which = np.empty(len(found), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return found[new], which
+
+
+def _by_use(names: np.ndarray, tokens: np.ndarray) -> tuple[list, np.ndarray]:
+    """(the names packed in classes from the most used down, tokens numbered in that order): most
+    numbers are small then, which packs to fewer bytes."""
+    length = np.bincount(tokens, minlength=len(names))
+    use = np.frexp(length.astype(np.float64))[1]                       # bits of the count
+    order = _order(int(use.max(initial=0)) - use)
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    ends = np.flatnonzero(np.diff(use[order])) + 1
+    return [_pack_names(x) for x in np.split(names[order], ends)], number[tokens]
 
 
 # -- the n-grams of a block -------------------------------------------------------------
@@ -154,27 +225,29 @@ class Block:
 
     def shorts(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct short hashes of order k, which of them each n-gram has)."""
-        return np.unique(self.grams[k] >> np.uint64(64 - bits), return_inverse=True)
+        short = self.grams[k] >> np.uint64(64 - bits)
+        return _unique(short, _order(short))
 
 
 class Asked:
     """What a block asks about the contexts of k words, in a fixed order. ``context``: the names; ``at``: which
     context ends at each token, or -1; ``count``: training occurrences. Of what follows them, by context and
-    name: ``of`` (the context), ``name``, ``times``, and ``where`` (a token at which it ends)."""
+    name, in the order of whole names: ``of`` (the context), ``name``, ``times``, and ``where`` (a token at which it ends)."""
 
     def __init__(self, b: Block, k: int, goes_on: list):
         at = b.inside[k]
         use = ~b.last[at] if k == 1 else ~b.last[at] & goes_on[k][at]
-        self.context, which = np.unique(b.grams[k][use], return_inverse=True)
+        names = b.grams[k][use]
+        self.context, which = _unique(names, _order_names(names))
         self.at = np.full(len(b.tokens), -1, np.int64)
         self.at[at[use]] = which
         self.count = np.bincount(which[b.trained[at[use]]], minlength=len(self.context))
         at = b.inside[k + 1]
         use = goes_on[k + 1][at] & (self.at[at - 1] >= 0)
         at, names = at[use], b.grams[k + 1][use] >> np.uint64(8)
+        order = _order_names(b.grams[k + 1][use])          # equal n-grams next to each other
+        at, names = at[order], names[order]
         of = self.at[at - 1]
-        order = np.lexsort((names, of))
-        at, names, of = at[order], names[order], of[order]
         new = np.concatenate([[True], (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         self.of, self.name, self.where = of[first], names[first], at[first]
@@ -185,11 +258,12 @@ class Asked:
 
 def _read(batches):
     """(block id, doc ids, held out, distinct word names, word numbers, tokens per document)."""
-    for block, ids, texts in B.blocks(batches, as_bytes=True):
-        words = [WORDS.of(_tokens(t)) for t in texts]
+    for block, ids, texts in B.blocks(batches, True, BLOCK_BYTES):
+        words, lens = _word_names(texts)
+        del texts
         held = np.array([is_held_out(d) for d in ids])
-        names, tokens = np.unique(np.concatenate(words), return_inverse=True)
-        yield block, ids, held, names, tokens, np.array([len(w) for w in words])
+        names, tokens = _unique(words, _order_names(words))
+        yield block, ids, held, names, tokens, lens
 
 
 # -- words ------------------------------------------------------------------------------
@@ -286,7 +360,8 @@ def _seen_twice(table: pa.Table) -> pa.Table:
     for k in range(len(sent[0])):
         names = [_unpack_names(x[k][0]) for x in sent]
         often = [_bits(x[k][1], len(s)).astype(np.int64) + _bits(x[k][2], len(s)) for x, s in zip(sent, names, strict=True)]
-        distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+        every = np.concatenate(names)
+        distinct, which = _unique(every, _order(every))
         twice = (np.bincount(which, weights=np.concatenate(often), minlength=len(distinct)) >= 2)[which]
         ends = np.cumsum([len(s) for s in names])
         for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -296,15 +371,12 @@ def _seen_twice(table: pa.Table) -> pa.Table:
 
 # -- 2: contexts and what follows them --------------------------------------------------
 
-def _checksum(ids: list, names: np.ndarray, tokens: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(names[tokens]).tobytes(), zlib.crc32(str(ids).encode()))
-
-
 def _send_docs(batches):
     """The block's documents; part -1."""
     def rows():
         for block, ids, held, names, tokens, lens in _read(batches):
-            yield -1, block, True, _zip((ids, held, lens, _pack_names(names), _pack(tokens)))
+            classes, numbers = _by_use(names, tokens)
+            yield -1, block, True, _zip((ids, held, lens, classes, _pack(numbers)))
 
     return B.row_batches(rows(), 1)
 
@@ -312,8 +384,8 @@ def _send_docs(batches):
 def _open(table: pa.Table, order: int, bits: int):
     """(doc ids, held out, Block, Asked of each order, payloads of answers in order of their parts) of one block's rows."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "docs", "payload")), strict=True))
-    ids, held, lens, names, tokens = _unzip(next(x for _, docs, x in rows if docs))
-    b = Block(_unpack_names(names), _unpack(tokens).astype(np.int64), lens, held, order)
+    ids, held, lens, classes, tokens = _unzip(next(x for _, docs, x in rows if docs))
+    b = Block(np.concatenate([_unpack_names(x) for x in classes]), _unpack(tokens).astype(np.int64), lens, held, order)
     answers = sorted(((p, _unzip(x)) for p, docs, x in rows if not docs), key=lambda r: r[0])
     # Answers about short hashes come from parts 0 on, those about contexts from below -1.
     shorts = [x for p, x in answers if p >= 0]
@@ -337,7 +409,7 @@ def _requests(b: Block, asked: Asked, k: int, shares: Shares) -> tuple:
     context = np.repeat(np.arange(len(home)), spread)
     slot = np.arange(len(context)) - np.repeat(np.cumsum(spread) - spread, spread)
     part = (home[context] + slot) % shares.parts
-    order = np.lexsort((context, part))
+    order = _order(part)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     own = (mix64(asked.name) % spread[asked.of].astype(np.uint64)).astype(np.int64)
@@ -354,7 +426,7 @@ def _ask(order: int, bits: int, shares):
         for k in range(1, order):
             a = asked[k]
             part, context, first, entry = _requests(b, a, k, shares.value)
-            follow = np.lexsort((a.name, entry))
+            follow = _order(entry)
             cuts = np.searchsorted(part, np.arange(shares.value.parts + 1))
             ends = np.searchsorted(entry[follow], cuts)
             number = np.bincount(entry, minlength=len(part))
@@ -379,10 +451,12 @@ def _total(table: pa.Table) -> pa.Table:
     for k in range(len(sent[0])):
         contexts = [_unpack_names(x[k][0]) for x in sent]
         counts, numbers, names, times = (np.concatenate([_unpack(x[k][i]) for x in sent]) for i in range(1, 5))
-        h, which = np.unique(np.concatenate(contexts), return_inverse=True)
+        h = np.concatenate(contexts)
+        h, which = _unique(h, _order_names(h))
         c = np.bincount(which, weights=counts, minlength=len(h)).astype(np.int64)
         of = np.repeat(which, numbers.astype(np.int64))
-        order = np.lexsort((names, of))
+        order = _order_names(names)
+        order = order[_order(of[order])]
         new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (of[order][1:] != of[order][:-1])]) \
             if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -531,7 +605,7 @@ def _answers_of(b: Block, asked: list, received: list, shares: Shares) -> list:
             f = np.zeros(n, np.int64)
             f[_bits(bits, n)] = _unpack(x[k - 1][4]).astype(np.int64)
             whole.append(f)
-        follow = np.lexsort((a.name, entry))
+        follow = _order(entry)
         total = np.zeros(len(follow), np.int64)
         total[follow] = np.concatenate(whole)
         out.append((*(np.bincount(context, weights=v, minlength=len(a.context)).astype(np.int64) for v in per), total))

@@ -799,3 +799,31 @@ def test_itq_recall_and_precision(spark, monkeypatch):
 def test_itq_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert itq.near_duplicates(df).count() == 0
+
+
+# -- op8: names and orders of many at once ------------------------------------------------
+
+def test_lm_word_names_of_many_texts():
+    """Equal words of any length have one name wherever they stand, different ones have different names, and
+    each text ends with the end token."""
+    texts = [b"", b" \t\x0b", b"The the THE", b"a ab abc abcdefg abcdefgh abcdefghi", "Ä ä b".encode(),
+             b"x" * 16 + b" " + b"x" * 17 + b"\r\n" + b"x" * 8 + b"\x0c" + b"x" * 24, b" the\x00 the \x1c "]
+    names, lens = lm._word_names(texts)
+    tokens = [lm._tokens(t) for t in texts]
+    assert lens.tolist() == [len(t) for t in tokens]
+    flat = [w for t in tokens for w in t]
+    assert len(set(zip(flat, names.tolist(), strict=True))) == len(set(flat)) == len(set(names.tolist()))
+
+
+def test_lm_orders_and_packed_tokens():
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    names[::7] = names[0] + np.arange(len(names[::7]), dtype=np.uint64) % np.uint64(5)      # differ in the last bits only
+    assert (names[lm._order_names(names)] == np.sort(names)).all()
+    small = rng.integers(0, 9, 500)
+    assert (lm._order(small) == np.argsort(small, kind="stable")).all()
+    distinct, which = lm._unique(names, lm._order_names(names))
+    assert (distinct == np.unique(names)).all() and (distinct[which] == names).all()
+    classes, numbers = lm._by_use(distinct, which)
+    assert (np.concatenate([lm._unpack_names(c) for c in classes])[numbers] == names).all()
+    assert len(lm._order(small[:0])) == len(lm._order_names(names[:0])) == 0
