@@ -50,7 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WORDS, give_back, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import (WORDS, Words, give_back, mix64, order_names, shuffle_partitions, text_rows, unique_of,
+                               window_hashes)
 from quarry.session import materialise
 
 CUTOFF = 2
@@ -78,33 +79,10 @@ def _tokens(text: bytes) -> list[bytes]:
     return words
 
 
-_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\f", np.uint8))
-_LENGTH = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(name of each token, tokens per text): 64-bit hashes of all words at once, eight bytes a step, with
-    their length, and the end token's name after each text."""
-    data = b" ".join([*texts, b" " * 8]).lower()
-    space = _SPACE[np.frombuffer(data, np.uint8)]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edges = np.concatenate([[0], edges])
-    start, rest = edges[::2], edges[1::2] - edges[::2]
-    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))       # the eight bytes from each place on
-    mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-    names = mix64(rest.astype(np.uint64) * _LENGTH)
-    at, left = np.arange(len(start)), rest
-    for step in range(0, int(rest.max(initial=0)), 8):
-        if step:
-            more = left > 8
-            at, left = at[more], left[more] - 8
-        names[at] = mix64(names[at] ^ (eight[start[at] + step] & mask[np.minimum(left, 8)]))
-    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    words = np.diff(np.searchsorted(start, begin))
-    out = np.full(len(names) + len(texts), WORDS[END], np.uint64)
-    out[np.arange(len(names)) + np.repeat(np.arange(len(texts)), words)] = names
-    return out, words + 1
+    """(name of each token, tokens per text)."""
+    words = Words(texts, lower=True)
+    return words.with_ends(words.names(), WORDS[END]), words.per_text + 1
 
 
 # -- packed numbers ---------------------------------------------------------------------
@@ -170,28 +148,6 @@ def _order(values: np.ndarray) -> np.ndarray:
     return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """An argsort of names: their leading bits and places are sorted as one number; should names differ
-    in the last bits only, they are sorted as they are."""
-    bits = np.uint64(len(names).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    both = (names & ~low) | np.arange(len(names), dtype=np.uint64)
-    both.sort()
-    order = (both & low).astype(np.int64)
-    found = names[order]
-    return order if not (found[1:] < found[:-1]).any() else np.argsort(names)
-
-
-def _unique(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct values, which of them each one is) of values and their argsort."""
-    found = values[order]
-    new = np.ones(len(found), bool)
-    np.not_equal(found[1:], found[:-1], out=new[1:])
-    which = np.empty(len(found), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return found[new], which
-
-
 def _by_use(names: np.ndarray, tokens: np.ndarray) -> tuple[list, np.ndarray]:
     """(the names packed in classes from the most used down, tokens numbered in that order): most
     numbers are small then, which packs to fewer bytes."""
@@ -226,7 +182,7 @@ class Block:
     def shorts(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct short hashes of order k, which of them each n-gram has)."""
         short = self.grams[k] >> np.uint64(64 - bits)
-        return _unique(short, _order(short))
+        return unique_of(short, _order(short))
 
 
 class Asked:
@@ -238,14 +194,14 @@ class Asked:
         at = b.inside[k]
         use = ~b.last[at] if k == 1 else ~b.last[at] & goes_on[k][at]
         names = b.grams[k][use]
-        self.context, which = _unique(names, _order_names(names))
+        self.context, which = unique_of(names, order_names(names))
         self.at = np.full(len(b.tokens), -1, np.int64)
         self.at[at[use]] = which
         self.count = np.bincount(which[b.trained[at[use]]], minlength=len(self.context))
         at = b.inside[k + 1]
         use = goes_on[k + 1][at] & (self.at[at - 1] >= 0)
         at, names = at[use], b.grams[k + 1][use] >> np.uint64(8)
-        order = _order_names(b.grams[k + 1][use])          # equal n-grams next to each other
+        order = order_names(b.grams[k + 1][use])          # equal n-grams next to each other
         at, names = at[order], names[order]
         of = self.at[at - 1]
         new = np.concatenate([[True], (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, bool)
@@ -262,7 +218,7 @@ def _read(batches):
         words, lens = _word_names(texts)
         del texts
         held = np.array([is_held_out(d) for d in ids])
-        names, tokens = _unique(words, _order_names(words))
+        names, tokens = unique_of(words, order_names(words))
         yield block, ids, held, names, tokens, lens
 
 
@@ -361,7 +317,7 @@ def _seen_twice(table: pa.Table) -> pa.Table:
         names = [_unpack_names(x[k][0]) for x in sent]
         often = [_bits(x[k][1], len(s)).astype(np.int64) + _bits(x[k][2], len(s)) for x, s in zip(sent, names, strict=True)]
         every = np.concatenate(names)
-        distinct, which = _unique(every, _order(every))
+        distinct, which = unique_of(every, _order(every))
         twice = (np.bincount(which, weights=np.concatenate(often), minlength=len(distinct)) >= 2)[which]
         ends = np.cumsum([len(s) for s in names])
         for answer, lo, hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -452,10 +408,10 @@ def _total(table: pa.Table) -> pa.Table:
         contexts = [_unpack_names(x[k][0]) for x in sent]
         counts, numbers, names, times = (np.concatenate([_unpack(x[k][i]) for x in sent]) for i in range(1, 5))
         h = np.concatenate(contexts)
-        h, which = _unique(h, _order_names(h))
+        h, which = unique_of(h, order_names(h))
         c = np.bincount(which, weights=counts, minlength=len(h)).astype(np.int64)
         of = np.repeat(which, numbers.astype(np.int64))
-        order = _order_names(names)
+        order = order_names(names)
         order = order[_order(of[order])]
         new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (of[order][1:] != of[order][:-1])]) \
             if len(order) else np.zeros(0, bool)

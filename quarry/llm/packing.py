@@ -9,10 +9,11 @@ crosses documents, and because a sequence may have any power of two up to
 Sequence ids are gapless and ordered by bucket: the pieces' counts per
 (bucket, piece of the written table) give each run of pieces its first id.
 
-Word pieces come from the tokenizer's own library, once per distinct
-white-space-bounded word in a task's bounded cache: its pattern never
+Word pieces come from the tokenizer's own library, or from its merges for runs of letters, once per distinct
+word between ASCII white space of a batch and of a task's bounded cache: its pattern never
 matches white space and its normaliser never composes across it, so a text's
-ids are its words' ids one after the other. Special strings inside a text
+ids are its words' ids one after the other. The words of a batch are found, told
+apart and replaced by their ids as arrays; a word is one of the cache only if all its bytes are equal. Special strings inside a text
 are handled inside their word as the library does by default.
 
 Defined results: null text is empty (a document of the end id alone); equal
@@ -21,7 +22,7 @@ rows are packed one by one; ids may be null or repeated; no rows, no pieces.
 
 from __future__ import annotations
 
-import re
+import itertools
 import struct
 import zlib
 from collections import Counter
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, text_rows
+from quarry.llm.common import Words, order_names, text_rows, unique_of
 from quarry.session import materialise
 
 MAX_LENGTH = 2048
@@ -55,39 +56,84 @@ def _byte_chars() -> dict[int, int]:
 BYTE_CHARS = _byte_chars()
 
 
+def letter_encoder(path: str):
+    """The file's merges as rank merges (tiktoken) for runs of lower-case letters, some times faster for one run; None
+    unless the ids are in the order of the merges, since only then the two agree.
+
+    A word's last byte is a symbol of its own (with the end-of-word suffix): it is written as a byte that such runs do not
+    hold, a letter's capital or a continuation byte less 128."""
+    import json
+
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+    order = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if not suffix or model["dropout"] or order != sorted(order) or len(vocab) != 512 + len(order) or min(order) < 512:
+        return None
+    char_bytes = {chr(c): b for b, c in BYTE_CHARS.items()} | {chr(b): b for b in range(256) if b not in BYTE_CHARS}
+    ranks = {}
+    for token, i in vocab.items():
+        ended = token.endswith(suffix)
+        run = bytes(char_bytes[c] for c in (token[:-len(suffix)] if ended else token))
+        if all(c >= 128 or 97 <= c <= 122 for c in run) and not (ended and run[-1] >= 192):
+            ranks[run[:-1] + LAST[run[-1]] if ended else run] = i
+    return tiktoken.Encoding("letters", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})
+
+
+#: The last byte of a run of letters, as ``letter_encoder`` writes it.
+LAST = [bytes([b - 128 if 128 <= b < 192 else b - 32 if 97 <= b <= 122 else b]) for b in range(256)]
+MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes, from the library; bounded."""
+    """word (UTF-8) -> its ids as little-endian unsigned 32-bit bytes, from the library; bounded: of ``limit`` words, those
+    looked up since it was last half full are kept."""
 
-    def __init__(self, path: str, limit: int = 1 << 19, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1 << 20, longest: int = 64):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.normalise, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.letters = letter_encoder(path)
         self.limit, self.longest = limit, longest
 
-    def _encode(self, word: str) -> bytes:
-        """A run of letters is one match of the pattern, so the library's merges take
-        it directly, normalised and in byte characters; a mark after a run of
-        letters is a match of its own; anything else takes the library's whole path."""
+    def _encode(self, word: bytes) -> bytes:
+        """A run of letters is one match of the pattern, so the merges take
+        it directly, normalised and in byte characters; ASCII marks after a run of
+        letters are a match of their own; anything else takes the library's whole path."""
         if word.isalpha():
-            small = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-            if small != word and small.isalpha():
-                return self[small]
-            if small == word:
-                chars = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
-                ids = [t.id for t in self.model.tokenize(chars)]
-                return struct.pack(f"<{len(ids)}I", *ids)
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1]]
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._encode(word)
+            return self._letters(word.lower())
+        text = word.decode()
+        if text.isalpha():
+            small = self.normalise(text)
+            if small.isalpha():
+                return self._letters(small.encode())
+        elif word[-1:] in MARKS:
+            stem = word.rstrip(MARKS)
+            if text[:len(stem) - len(word)].isalpha():
+                return self[stem] + self[word[len(stem):]]
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, run: bytes) -> bytes:
+        if self.letters:
+            return _packed(self.letters._encode_single_piece(run[:-1] + LAST[run[-1]]))
+        return _packed([t.id for t in self.tokenize(run.decode("latin-1").translate(BYTE_CHARS))])
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._encode(word)
         if len(word) <= self.longest:
-            if len(self) >= self.limit:
+            if 2 * len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -103,18 +149,45 @@ def word_ids(path: str) -> WordIds:
     return _CACHES[path]
 
 
+def _first_of_each(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of one word of each name, which of these has the name of each word)."""
+    order = order_names(names)
+    _, which = unique_of(names, order)
+    one = np.empty(int(which.max(initial=-1)) + 1, np.int64)
+    one[which] = np.arange(len(which))
+    return one, which
+
+
+def encode_texts(cache: WordIds, texts: list[bytes], end: bytes) -> list[bytes]:
+    """The ids of each text, ``end`` (at most one id) last. Words are cut at ASCII white space; one that holds
+    other white space takes the library's whole path."""
+    if not texts:
+        return []
+    words = Words(texts)
+    one, which = _first_of_each(words.names())
+    if not words.equal(one[which]):                   # two words of one hash
+        one, which = np.arange(len(which)), np.arange(len(which))
+    spans = zip(words.start[one].tolist(), (words.start + words.length)[one].tolist(), strict=True)
+    data = words.data
+    known = [*map(cache.__getitem__, [data[a:b] for a, b in spans]), end]
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    first = np.cumsum(size) - size
+    token = words.with_ends(which, len(one))
+    n = size[token]
+    before = np.cumsum(n) - n
+    ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[token] - before, n) + np.arange(int(n.sum()))].tobytes()
+    ends = [0, *(4 * np.cumsum(n)[np.cumsum(words.per_text + 1) - 1]).tolist()]
+    return [ids[a:b] for a, b in itertools.pairwise(ends)]
+
+
 def _tokenise(path: str, end_id: int | None):
-    words = re.compile(f"[^{WHITE}]+").findall
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         cache = word_ids(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out = [b"".join(map(cache.__getitem__, words(t))) + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.large_binary())],
-                                                 ["doc_id", "ids"])
+            out = encode_texts(cache, batch.column("text").cast(pa.binary()).to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.large_binary())], ["doc_id", "ids"])
 
     return run
 

@@ -819,11 +819,46 @@ def test_lm_orders_and_packed_tokens():
     rng = np.random.default_rng(5)
     names = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     names[::7] = names[0] + np.arange(len(names[::7]), dtype=np.uint64) % np.uint64(5)      # differ in the last bits only
-    assert (names[lm._order_names(names)] == np.sort(names)).all()
+    assert (names[lm.order_names(names)] == np.sort(names)).all()
     small = rng.integers(0, 9, 500)
     assert (lm._order(small) == np.argsort(small, kind="stable")).all()
-    distinct, which = lm._unique(names, lm._order_names(names))
+    distinct, which = lm.unique_of(names, lm.order_names(names))
     assert (distinct == np.unique(names)).all() and (distinct[which] == names).all()
     classes, numbers = lm._by_use(distinct, which)
     assert (np.concatenate([lm._unpack_names(c) for c in classes])[numbers] == names).all()
-    assert len(lm._order(small[:0])) == len(lm._order_names(names[:0])) == 0
+    assert len(lm._order(small[:0])) == len(lm.order_names(names[:0])) == 0
+
+
+# -- op9: words of many texts at once ---------------------------------------------------
+
+def test_packing_ids_equal_the_library(word_tokenizer, monkeypatch):
+    """Letters of any script and case, marks, other white space, special strings, and a cache that forgets; also with
+    hashes that all collide."""
+    rng = np.random.default_rng(11)
+    pieces = ["the", "The", "THE", "naïve", "NAÏVE", "straße", "İx", "İ", "H̱a", "J̌", "é", "ſ", "Ωmega", "ΣΑΣ", "漢字", "١٢",
+              "don't", "x's.", "...", "'s", "***", "###", "a.b", "é!", "<|endoftext|>", "<|ENDOFTEXT|>", "ab<|startoftext|>c", " ", "a　b",
+              " ", "\x1c", "\x00", "ª", "ǆ", "ß" * 40, "k" * 70, "12", "a1", "😀", "K", "q̣̇"]
+    texts = ["".join(x for p in rng.choice(pieces, n) for x in (str(p), str(rng.choice(["", "", " ", "\n", "\t "])))) for n in range(60)]
+    texts += ["", " ", *pieces]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in ([*word_tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts)]
+    data, end, path = [t.encode() for t in texts], struct.pack("<I", 1), public_tokenizers.path("word_bpe_49k.json")
+    assert packing.encode_texts(packing.WordIds(path), data, end) == want
+    small = packing.WordIds(path, limit=8)
+    assert small.letters is not None
+    assert packing.encode_texts(small, data, end) == want and len(small) + len(small.old) <= 8
+    monkeypatch.setattr(packing.Words, "names", lambda self: np.zeros(len(self.start), np.uint64))
+    assert packing.encode_texts(small, data, end) == want
+    assert packing.encode_texts(small, [], end) == []
+
+
+def test_packing_encodes_a_word_of_a_batch_once():
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return b"\x02\0\0\0" * len(word)
+
+    cache = Counting()
+    assert packing.encode_texts(cache, [b"a bb a", b"bb a"] * 50, b"")[:2] == [b"\x02\0\0\0" * 4, b"\x02\0\0\0" * 3]
+    assert cache.asked == 2
