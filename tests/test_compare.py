@@ -255,3 +255,23 @@ def test_bag_diff_statuses(spark):
 def test_ordered_by_text(spark):
     df = spark.createDataFrame([("SELECT a FROM t ORDER  BY a",), ("select a from t",), ("x order\nby y",)], "q string")
     assert [r[0] for r in df.select(cmp.ordered_by_text(F.col("q"))).collect()] == [True, False, True]
+
+
+def test_one_question_is_not_read_by_one_task(spark):
+    """What belongs to a question of many rows meets them in many tasks, and each row once."""
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                                 "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.range(4000).selectExpr("'q' qid", "array('n:' || id, 's:' || id % 7) cells", "cast(null as long) pos")
+        bags = cmp._bags(rows, rows).checkpoint()
+        spots = cmp._spots(bags)
+        asked = spark.createDataFrame([("q", 1), ("q", 2), ("other", 1)], "qid string, map int")
+        shares = cmp._of_questions(bags, spots, asked).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in shares) == 2 * 8000 and max(r["count"] for r in shares) < 8000
+        sides = cmp._sides(spots).first()
+        assert (sides.n_gold, sides.n_pred, sides.w_gold, sides.w_pred) == (4000, 4000, 2, 2)
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
