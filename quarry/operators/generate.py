@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from quarry.functions.scalar import base26, hash_int, pad_key
 from quarry.operators import synth as sy
 from quarry.session import materialise
+from quarry.sources.tables import spread
 
 # Fixed values of the rules -------------------------------------------------
 MONEY_NAMES = ["amount", "total", "subtotal", "price", "balance", "cost", "fee", "revenue", "mrr", "arr", "tax", "discount",
@@ -223,7 +224,9 @@ def column(f: T.StructField, table: str, key: Column, number: Column, s: Setting
 
 
 def columns(rows: DataFrame, table: str, schema: T.StructType, key: str, number: str, s: Settings) -> DataFrame:
-    """``key`` and a column per field of ``schema`` for each row: one projection, no shuffle."""
+    """``key`` and a column per field of ``schema`` for each row: one projection, of a scan's keys that are
+    dealt to all cores first if it has fewer partitions."""
+    rows = spread(rows.select(*dict.fromkeys([key, number])))
     return rows.select(key, *[column(f, table, F.col(key), F.col(number), s) for f in schema.fields])
 
 

@@ -92,3 +92,14 @@ def test_tenants_follow_their_anchor(spark):
         for r in done[name].values():
             assert r["anchor"] == anchor and r["tenant"] == done[parent][r["parent_key"]]["tenant"]
     assert len({r["parent_key"] for r in done["card"].values()}) == 30
+
+
+def test_columns_of_one_partition_are_made_by_many_tasks(spark):
+    """A narrow scan that one task reads; its rows are the same, and are made on all cores."""
+    keys = spark.range(2000).selectExpr("id + 7 as k", "id as n").repartition(1)
+    schema = T.StructType([f for f in SCHEMA.fields if f.name in ("email", "balance", "phone")])
+    made = gen.columns(keys, "t", schema, "k", "n", SETTINGS)
+    assert made.columns == ["k", *schema.names]
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    fields = [gen.column(f, "t", F.col("k"), F.col("n"), SETTINGS) for f in schema.fields]
+    assert sorted(made.collect(), key=str) == sorted(keys.select("k", *fields).collect(), key=str)
