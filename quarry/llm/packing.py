@@ -10,10 +10,11 @@ Sequence ids are gapless and ordered by bucket: the pieces' counts per
 (bucket, piece of the written table) give each run of pieces its first id.
 
 Word pieces come from the tokenizer's own library, or from its merges for runs of letters, once per distinct
-word between ASCII white space of a batch and of a task's bounded cache: its pattern never
+word between ASCII white space of some megabytes of text and of a worker's bounded table: its pattern never
 matches white space and its normaliser never composes across it, so a text's
-ids are its words' ids one after the other. The words of a batch are found, told
-apart and replaced by their ids as arrays; a word is one of the cache only if all its bytes are equal. Special strings inside a text
+ids are its words' ids one after the other. Words are found, told
+apart, looked up and replaced by their ids as arrays, the table too, at some 50 bytes a word;
+a word is one of the table only if all its bytes are equal. Special strings inside a text
 are handled inside their word as the library does by default.
 
 Defined results: null text is empty (a document of the end id alone); equal
@@ -26,6 +27,7 @@ import itertools
 import struct
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, order_names, text_rows, unique_of
+from quarry.llm.common import Runs, Words, give_back, only_cache, order_names, text_rows, unique_of
 from quarry.session import materialise
 
 MAX_LENGTH = 2048
+#: Bytes of text whose words are looked up together, about: their arrays are some 30 times as large.
+SLICE_BYTES = 1 << 20
+#: Words of a worker's table.
+TABLE_WORDS = 1 << 19
 
 
 def piece_lengths(n: int, limit: int = MAX_LENGTH) -> list[int]:
@@ -139,13 +145,90 @@ class WordIds(dict):
         return ids
 
 
-_CACHES: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The worker's cache for one tokenizer file."""
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(first - before, size) + np.arange(int(size.sum()))
+
+
+class Generation:
+    """Words by name, with their bytes and ids, as arrays. Of words of one name the first stays."""
+
+    def __init__(self):
+        self.names, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)         # by name; the row of each
+        self.words = Runs(np.zeros(8, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.ids, self.first, self.size = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def find(self, names: np.ndarray, words: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row or -1 of each word, where its name belongs, whether its name is there) of words in the order of their names."""
+        at = np.searchsorted(self.names, names)
+        row = np.full(len(names), -1, np.int64)
+        if not len(self.names):
+            return row, at, np.zeros(len(names), bool)
+        there = self.names[np.minimum(at, len(self.names) - 1)] == names
+        maybe = np.flatnonzero(there)
+        found = self.rows[at[maybe]]
+        same = words.same(which[maybe], self.words, found)
+        row[maybe[same]] = found[same]
+        return row, at, there
+
+    def add(self, names: np.ndarray, at: np.ndarray, words: Runs, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        start, length, n = words.start[which], words.length[which], len(self.names)
+        used = len(self.words.data) - 8
+        data = np.concatenate([self.words.data[:used], np.frombuffer(words.data, np.uint8)[_runs(start, length)], np.zeros(8, np.uint8)])
+        self.words = Runs(data, np.append(self.words.start, (used + np.cumsum(length) - length).astype(np.int32)).astype(np.int32),
+                          np.append(self.words.length, length).astype(np.int32))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        self.size, self.ids = np.append(self.size, size).astype(np.int32), np.append(self.ids, ids)
+        self.names = np.insert(self.names, at, names)
+        self.rows = np.insert(self.rows, at, np.arange(n, n + len(names), dtype=np.int32))
+
+
+class WordTable:
+    """The ids of words met, as arrays; bounded: of ``limit`` words, those looked up since it was last half full are kept."""
+
+    def __init__(self, limit: int = TABLE_WORDS, longest: int = 64):
+        self.limit, self.longest, self.new, self.old = limit, longest, Generation(), Generation()
+
+    def __len__(self) -> int:
+        return len(self.new.names) + len(self.old.names)
+
+    def ids(self, cache, words: Words, which: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, ids of each) of words in the order of their names; ``cache`` has those not met."""
+        row, at, there = self.new.find(names, words, which)
+        rest = np.flatnonzero(row < 0)
+        old_row = np.full(len(row), -1, np.int64)
+        old_row[rest] = self.old.find(names[rest], words, which[rest])[0]
+        missing = rest[old_row[rest] < 0]
+        asked = [cache[words.data[a:a + n]] for a, n in zip(words.start[which[missing]].tolist(), words.length[which[missing]].tolist(),
+                                                            strict=True)]
+        sources = [(self.new, row), (self.old, old_row)]
+        size = np.zeros(len(row), np.int64)
+        size[missing] = np.fromiter(map(len, asked), np.int64, len(asked)) // 4
+        for source, rows in sources:
+            size[rows >= 0] = source.size[rows[rows >= 0]]
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), "<u4")
+        out[_runs(first[missing], size[missing])] = np.frombuffer(b"".join(asked), "<u4")
+        for source, rows in sources:
+            mine = rows >= 0
+            out[_runs(first[mine], size[mine])] = source.ids[_runs(source.first[rows[mine]], size[mine])]
+        more = rest[~there[rest] & (words.length[which[rest]] <= self.longest)]
+        if 2 * (len(self.new.names) + len(more)) > self.limit:
+            self.old, self.new, at = self.new, Generation(), np.zeros(len(at), np.int64)
+            more = more[:self.limit // 2]
+        self.new.add(names[more], at[more], words, which[more], out[_runs(first[more], size[more])], size[more])
+        return out, size
+
+
+_CACHES: dict[str, tuple[WordIds, WordTable]] = {}
+
+
+def word_ids(path: str) -> tuple[WordIds, WordTable]:
+    """The worker's cache (of words just asked for, and stems) and table for one tokenizer file."""
+    only_cache(_CACHES.clear)
     if path not in _CACHES:
-        _CACHES[path] = WordIds(path)
+        _CACHES[path] = WordIds(path, 1 << 15), WordTable()
     return _CACHES[path]
 
 
@@ -158,35 +241,55 @@ def _first_of_each(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, which
 
 
-def encode_texts(cache: WordIds, texts: list[bytes], end: bytes) -> list[bytes]:
+def encode_texts(cache, texts: list[bytes], end: bytes, table: WordTable | None = None) -> list[bytes]:
     """The ids of each text, ``end`` (at most one id) last. Words are cut at ASCII white space; one that holds
-    other white space takes the library's whole path."""
+    other white space takes the library's whole path. Words that ``table`` has are not asked of ``cache``."""
     if not texts:
         return []
     words = Words(texts)
-    one, which = _first_of_each(words.names())
+    names = words.names()
+    one, which = _first_of_each(names)
     if not words.equal(one[which]):                   # two words of one hash
-        one, which = np.arange(len(which)), np.arange(len(which))
-    spans = zip(words.start[one].tolist(), (words.start + words.length)[one].tolist(), strict=True)
-    data = words.data
-    known = [*map(cache.__getitem__, [data[a:b] for a, b in spans]), end]
-    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        one, which, table = np.arange(len(which)), np.arange(len(which)), None
+    if table is not None:
+        known, size = table.ids(cache, words, one, names[one])
+    else:
+        spans = zip(words.start[one].tolist(), (words.start + words.length)[one].tolist(), strict=True)
+        data = words.data
+        found = [*map(cache.__getitem__, [data[a:b] for a, b in spans])]
+        known, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    known, size = np.append(known, np.frombuffer(end, "<u4")), np.append(size, len(end) // 4)
     first = np.cumsum(size) - size
     token = words.with_ends(which, len(one))
     n = size[token]
-    before = np.cumsum(n) - n
-    ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[token] - before, n) + np.arange(int(n.sum()))].tobytes()
+    ids = known[_runs(first[token], n)].tobytes()
     ends = [0, *(4 * np.cumsum(n)[np.cumsum(words.per_text + 1) - 1]).tolist()]
     return [ids[a:b] for a, b in itertools.pairwise(ends)]
 
 
+def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``most`` bytes; a longer one is a run alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _tokenise(path: str, end_id: int | None):
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        cache = word_ids(path)
+        cache, table = word_ids(path)
         for batch in batches:
-            out = encode_texts(cache, batch.column("text").cast(pa.binary()).to_pylist(), end)
+            out = []
+            for texts in _slices(batch.column("text").cast(pa.binary()).to_pylist(), SLICE_BYTES):
+                out += encode_texts(cache, texts, end, table)
+            give_back()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.large_binary())], ["doc_id", "ids"])
 
     return run

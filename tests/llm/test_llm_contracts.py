@@ -862,3 +862,52 @@ def test_packing_encodes_a_word_of_a_batch_once():
     cache = Counting()
     assert packing.encode_texts(cache, [b"a bb a", b"bb a"] * 50, b"")[:2] == [b"\x02\0\0\0" * 4, b"\x02\0\0\0" * 3]
     assert cache.asked == 2
+
+
+def test_packing_table_equals_the_library(word_tokenizer, monkeypatch):
+    """Words looked up as arrays: those of more than eight bytes and more than 64, a table that forgets, hashes that collide
+    within a slice and between slices, and slices of one text."""
+    rng = np.random.default_rng(12)
+    words = [str(w) for w in rng.choice(["the", "The", "naïve", "straße", "x's.", "...", "a.b", "漢字", "a　b", "k" * 70, "extraordinary",
+                                         "extraordinarily", "<|endoftext|>ab", "\x1c"], 40)] + [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 5, 40, 200, 3, 80)] * 3
+    want = [struct.pack(f"<{len(i)}I", *i) for i in ([*word_tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts)]
+    data, end, path = [t.encode() for t in texts], struct.pack("<I", 1), public_tokenizers.path("word_bpe_49k.json")
+    cache = packing.WordIds(path)
+    for limit in (0, 1, 8, 50, 1 << 10):
+        table = packing.WordTable(limit)
+        for most in (1, 500, 1 << 20):
+            assert [x for s in packing._slices(data, most) for x in packing.encode_texts(cache, s, end, table)] == want
+            assert len(table) <= max(limit, 0)
+    assert [len(s) for s in packing._slices([b"aaa", b"b", b"", b"cccccc", b"d"], 4)] == [3, 1, 1]
+    found = packing.Words.names
+    monkeypatch.setattr(packing.Words, "names", lambda self: found(self) & np.uint64(7))
+    table = packing.WordTable()
+    assert [x for t in data for x in packing.encode_texts(cache, [t], end, table)] == want
+    one_by_one = [w.encode() for w in words]                       # no two words of a slice: only the table sees equal names
+    library = [struct.pack(f"<{len(i)}I", *i) for i in (word_tokenizer.encode(w, add_special_tokens=False).ids for w in words)]
+    assert [packing.encode_texts(cache, [w], b"", table)[0] for w in one_by_one * 2] == library * 2 and 0 < len(table) <= 8
+
+
+def test_packing_worker_memory():
+    """A worker keeps less than 100 bytes for a word met."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    run = packing._tokenise(public_tokenizers.path("word_bpe_49k.json"), 1)
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    list(run([batch(["a"])]))
+    gc.collect()
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    texts = [" ".join(f"{i:x}q{j:x}" for j in range(1000)) for i in range(200)]
+    for _ in run([batch(texts)]):
+        pass
+    del texts, _
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    packing._CACHES.clear()
+    assert kept < 100 * 200_000
