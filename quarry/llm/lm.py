@@ -20,6 +20,7 @@ Work. The model stays in partitions; no task, and not the driver, holds more
 of it than a partition. A block of documents (see ``blocks``) builds the automaton of its
 own n-grams:
 
+0. Each word of two occurrences or more gets a number from its partition, smaller ones for more frequent words.
 1. Most n-grams occur once. A block sends a short hash of each of its n-grams, and learns
    in one bit whether it occurs twice in all. (A hash has eight bits more than the
    corpus has tokens need, so hardly any n-gram goes on by mistake, and none is missed.)
@@ -27,13 +28,14 @@ own n-grams:
    The partition of a context adds up what follows it: c(h), the kept c(hw) and what bow(h) needs.
 3. The block is answered with these, builds its states and arcs, and traverses its texts.
 
-Documents are read again for each step rather than kept; a block's rows must be the same each
-time (a file scan's are; the number of short hashes is compared). A context of a word so common that it would
+Documents are read again for steps 0, 1 and 2 rather than kept; step 3 reads what step 2 has shuffled. A block's rows must be
+the same each time (a file scan's are; the numbers of words and of short hashes are compared). A context of a word so common that it would
 fill a partition by itself is spread over several, by the names of what follows; the words that
 need it, at most one per partition, are the only rows that the driver gets.
 
-Names have 64 bits, and of what follows one context 56: two n-grams are taken for one
-with probability 2^-56 a pair at most.
+Words and n-grams of the first steps have names of 64 bits: two are taken for one with probability 2^-64 a pair. Kept
+n-grams are named by the numbers of their words, which is exact while these have 64 bits at most; what follows a context,
+by the number of one word.
 
 Defined results: null text is empty (the end token alone); a null id is
 trained on; equal rows each count; an empty training set scores by P alone.
@@ -162,10 +164,26 @@ def _by_use(names: np.ndarray, tokens: np.ndarray) -> tuple[list, np.ndarray]:
 
 # -- the n-grams of a block -------------------------------------------------------------
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _scramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """A permutation of the numbers of so many bits, which makes their leading bits even."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for _ in range(2):
+        x = x * _ODD & mask
+        x ^= x >> half
+    return x
+
+
 class Block:
-    """Texts as numbers of words, and the names of the n-grams that end at each token."""
+    """Texts as numbers of words, and the names of the n-grams that end at each token. ``ids``: the corpus-wide number
+    of each word, of ``width`` bits at most, or -1; ``rare``: of words without a number, their training occurrences."""
 
-    def __init__(self, names: np.ndarray, tokens: np.ndarray, lens: np.ndarray, held: np.ndarray, order: int):
+    def __init__(self, names: np.ndarray, tokens: np.ndarray, lens: np.ndarray, held: np.ndarray, order: int,
+                 ids: np.ndarray | None = None, rare: np.ndarray | None = None, width: int = 32):
+        self.ids = (np.arange(len(names)) if ids is None else ids)[tokens]            # of each token
+        self.rare, self.width = np.zeros(len(names), np.int64) if rare is None else rare, width
         self.names, self.tokens, self.lens, self.order = names, tokens.astype(np.int32), lens, order
         self.doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         self.nth = (np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
@@ -179,31 +197,51 @@ class Block:
             self.inside.append(inside)
             self.grams.append(window_hashes(words, k)[inside - (k - 1)])
 
+    def numbered(self, k: int) -> np.ndarray:
+        """Whether all words have numbers of the n-grams of order k."""
+        at = self.inside[k]
+        return np.logical_and.reduce([self.ids[at - j] >= 0 for j in range(k)])
+
+    def bits(self, k: int) -> int:
+        return min(64, k * self.width)
+
+    def keys(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The names of the n-grams of k words, which have numbers, that end at the tokens."""
+        words = [self.ids[at - j].astype(np.uint64) for j in range(k - 1, -1, -1)]
+        key = words[0]
+        for word in words[1:]:
+            key = key << np.uint64(self.width) | word if k * self.width <= 64 else mix64(key * _ODD + word)
+        return _scramble(key, self.bits(k))
+
     def shorts(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct short hashes of order k, which of them each n-gram has)."""
         short = self.grams[k] >> np.uint64(64 - bits)
         return unique_of(short, _order(short))
 
 
+def _left(names: np.ndarray, bits: int) -> np.ndarray:
+    """Names of so many bits as names of 64, in the same order."""
+    return names << np.uint64(64 - bits)
+
+
 class Asked:
     """What a block asks about the contexts of k words, in a fixed order. ``context``: the names; ``at``: which
     context ends at each token, or -1; ``count``: training occurrences. Of what follows them, by context and
-    name, in the order of whole names: ``of`` (the context), ``name``, ``times``, and ``where`` (a token at which it ends)."""
+    name: ``of`` (the context), ``name`` (the word's number), ``times``, and ``where`` (a token at which it ends)."""
 
     def __init__(self, b: Block, k: int, goes_on: list):
-        at = b.inside[k]
-        use = ~b.last[at] if k == 1 else ~b.last[at] & goes_on[k][at]
-        names = b.grams[k][use]
-        self.context, which = unique_of(names, order_names(names))
+        at, self.bits = b.inside[k], b.bits(k)
+        use = ~b.last[at] & (b.numbered(1) if k == 1 else goes_on[k][at])
+        names = b.keys(at[use], k)
+        self.context, which = unique_of(names, order_names(_left(names, self.bits)))
         self.at = np.full(len(b.tokens), -1, np.int32)
         self.at[at[use]] = which
         self.count = np.bincount(which[b.trained[at[use]]], minlength=len(self.context))
         at = b.inside[k + 1]
-        use = goes_on[k + 1][at] & (self.at[at - 1] >= 0)
-        at, names = at[use], b.grams[k + 1][use] >> np.uint64(8)
-        order = order_names(b.grams[k + 1][use])          # equal n-grams next to each other
-        at, names = at[order], names[order]
-        of = self.at[at - 1]
+        at = at[goes_on[k + 1][at] & (self.at[at - 1] >= 0)]
+        of, names = self.at[at - 1], b.ids[at].astype(np.uint64)
+        order = _order(of.astype(np.uint64) << np.uint64(b.width) | names)          # equal n-grams next to each other
+        at, of, names = at[order], of[order], names[order]
         new = np.concatenate([[True], (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         self.of, self.name, self.where = of[first], names[first], at[first]
@@ -225,12 +263,11 @@ def _read(batches):
 # -- words ------------------------------------------------------------------------------
 
 def _send_words(parts: int):
-    """The block's distinct training words and their counts by partition; its training tokens and documents."""
+    """The block's distinct words and their training occurrences by partition; its training tokens and documents."""
     def rows(batches):
         for block, _, held, names, tokens, lens in _read(batches):
             trained = np.repeat(~held, lens)
             count = np.bincount(tokens[trained], minlength=len(names))
-            names, count = names[count > 0], count[count > 0]
             cuts = _cuts(names, parts)
             yield block % parts, block, True, _zip((int(trained.sum()), int((~held).sum())))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -240,23 +277,65 @@ def _send_words(parts: int):
     return lambda batches: B.row_batches(rows(batches))
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """One row a partition: tokens, documents, distinct words; and its TOP most frequent words with their counts."""
-    tokens = docs = 0
-    names, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for is_docs, payload in zip(table.column("docs").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        x = _unzip(payload)
-        if is_docs:
-            tokens, docs = tokens + x[0], docs + x[1]
-        else:
-            names.append(_unpack_names(x[0]))
-            counts.append(_unpack(x[1]))
-    words, which = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(which, weights=np.concatenate(counts), minlength=len(words)).astype(np.int64)
-    top = np.argsort(-total, kind="stable")[:TOP]
-    return pa.table({"n": [tokens], "docs": [docs], "distinct": [len(words)],
-                     "words": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())),
-                     "counts": pa.array([total[top].tolist()], pa.list_(pa.int64()))})
+_COUNTED = B.ROW + ", n long, texts long, distinct long, numbered long, words array<long>, counts array<long>"
+
+
+def _count_words(parts: int):
+    """One row (docs) a partition: tokens, documents, distinct training words, words with numbers; and its TOP most frequent
+    words with their counts. Answers each block: of its words, whether they occur in training, whether they have
+    numbers, these (by which the partition and a number of its own are told), and the occurrences of the others."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        tokens = docs = 0
+        sent = []
+        for block, is_docs, payload in zip(*(table.column(c).to_pylist() for c in ("block", "docs", "payload")), strict=True):
+            x = _unzip(payload)
+            if is_docs:
+                tokens, docs = tokens + x[0], docs + x[1]
+            else:
+                sent.append((block, _unpack_names(x[0]), _unpack(x[1])))
+        every = np.concatenate([np.empty(0, np.uint64), *(x[1] for x in sent)])
+        words, which = unique_of(every, order_names(every))
+        total = np.bincount(which, weights=np.concatenate([np.empty(0), *(x[2] for x in sent)]), minlength=len(words)).astype(np.int64)
+        by_use = np.argsort(-total, kind="stable")
+        numbered = int((total >= CUTOFF).sum())
+        number = np.empty(len(words), np.int64)
+        number[by_use] = np.arange(len(words))
+        top = by_use[:TOP]
+        rows, lo = [], 0
+        for block, names, _ in sent:
+            at = which[lo:lo + len(names)]
+            lo += len(names)
+            n, often = total[at], total[at] >= CUTOFF
+            rows.append((parts + part, block, False, _zip((len(at), np.packbits(n > 0).tobytes(), np.packbits(often).tobytes(),
+                                                           _pack(number[at][often]), _pack(n[(n > 0) & ~often])))))
+        answers = pa.Table.from_batches([B.batch_of([*rows, (part, -1, True, b"")])])
+        more = {"n": tokens, "texts": docs, "distinct": int((total > 0).sum()), "numbered": numbered}
+        for name, value in more.items():
+            answers = answers.append_column(name, pa.array([None] * len(rows) + [value], pa.int64()))
+        for name, value in (("words", words[top].view(np.int64)), ("counts", total[top])):
+            answers = answers.append_column(name, pa.array([None] * len(rows) + [value.tolist()], pa.list_(pa.int64())))
+        return answers
+
+    return run
+
+
+def _numbers(answers: list, names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, occurrences of words without) of a block's words, from (partition, answer) in the order of the partitions."""
+    ids, rare = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for part, (n, seen, often, number, few) in answers:
+        seen, often = _bits(seen, n), _bits(often, n)
+        own, times = np.full(n, -1), np.zeros(n, np.int64)
+        own[often] = _unpack(number).astype(np.int64) * parts + part
+        times[seen & ~often] = _unpack(few).astype(np.int64)
+        ids.append(own)
+        rare.append(times)
+    if sum(map(len, ids)) != len(names):
+        raise RuntimeError("a block's documents differ from those of an earlier reading")
+    order = order_names(names)
+    out = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    out[0][order], out[1][order] = np.concatenate(ids), np.concatenate(rare)
+    return out
 
 
 class Shares:
@@ -337,14 +416,16 @@ def _send_docs(batches):
     return B.row_batches(rows(), 1)
 
 
-def _open(table: pa.Table, order: int, bits: int):
+def _open(table: pa.Table, order: int, bits: int, parts: int, width: int):
     """(doc ids, held out, Block, Asked of each order, payloads of answers in order of their parts) of one block's rows."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "docs", "payload")), strict=True))
     ids, held, lens, classes, tokens = _unzip(next(x for _, docs, x in rows if docs))
-    b = Block(np.concatenate([_unpack_names(x) for x in classes]), _unpack(tokens).astype(np.int64), lens, held, order)
+    names = np.concatenate([_unpack_names(x) for x in classes])
     answers = sorted(((p, _unzip(x)) for p, docs, x in rows if not docs), key=lambda r: r[0])
-    # Answers about short hashes come from parts 0 on, those about contexts from below -1.
-    shorts = [x for p, x in answers if p >= 0]
+    # Answers about short hashes come from parts 0 on, those about words from ``parts`` on, those about contexts from below -1.
+    ids_of, rare = _numbers([(p - parts, x) for p, x in answers if p >= parts], names, parts)
+    b = Block(names, _unpack(tokens).astype(np.int64), lens, held, order, ids_of, rare, width)
+    shorts = [x for p, x in answers if 0 <= p < parts]
     goes_on = [None, None]
     for k in range(2, order + 1):
         short, which = b.shorts(k, bits)
@@ -352,7 +433,7 @@ def _open(table: pa.Table, order: int, bits: int):
         if len(twice) != len(short):
             raise RuntimeError("a block's documents differ from those of an earlier reading")
         flags = np.zeros(len(b.tokens), bool)
-        flags[b.inside[k]] = twice[which]
+        flags[b.inside[k]] = twice[which] & b.numbered(k)
         goes_on.append(flags)
     asked = [None] + [Asked(b, k, goes_on) for k in range(1, order)]
     return ids, held, b, asked, [(-2 - p, x) for p, x in reversed(answers) if p < -1]
@@ -361,7 +442,7 @@ def _open(table: pa.Table, order: int, bits: int):
 def _requests(b: Block, asked: Asked, k: int, shares: Shares) -> tuple:
     """(part, context, whether it is the first of its context's partitions) of each context entry, by
     part and context; (part, entry number) of each n-gram that follows. Both in a fixed order."""
-    home, spread = _part(asked.context, shares.parts), shares.spread(b, asked, k)
+    home, spread = _part(_left(asked.context, asked.bits), shares.parts), shares.spread(b, asked, k)
     context = np.repeat(np.arange(len(home)), spread)
     slot = np.arange(len(context)) - np.repeat(np.cumsum(spread) - spread, spread)
     part = (home[context] + slot) % shares.parts
@@ -373,10 +454,10 @@ def _requests(b: Block, asked: Asked, k: int, shares: Shares) -> tuple:
     return part[order], context[order], slot[order] == 0, entry
 
 
-def _ask(order: int, bits: int, shares):
+def _ask(order: int, bits: int, width: int, shares):
     """Sends a block's contexts and what follows them by partition."""
     def run(table: pa.Table) -> pa.Table:
-        _, _, b, asked, _ = _open(table, order, bits)
+        _, _, b, asked, _ = _open(table, order, bits, shares.value.parts, width)
         block = table.column("block")[0].as_py()
         by_part: list[list] = [[] for _ in range(shares.value.parts)]
         for k in range(1, order):
@@ -398,37 +479,39 @@ def _ask(order: int, bits: int, shares):
     return run
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _total(width: int):
     """Answers each block: of each context entry c(h), the kept counts in all and their number; of
     what follows, the whole counts (only of the kept)."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "payload")), strict=True))
-    sent = [_unzip(x) for _, _, x in rows]
-    answers: list[list] = [[] for _ in sent]
-    for k in range(len(sent[0])):
-        contexts = [_unpack_names(x[k][0]) for x in sent]
-        counts, numbers, names, times = (np.concatenate([_unpack(x[k][i]) for x in sent]) for i in range(1, 5))
-        h = np.concatenate(contexts)
-        h, which = unique_of(h, order_names(h))
-        c = np.bincount(which, weights=counts, minlength=len(h)).astype(np.int64)
-        of = np.repeat(which, numbers.astype(np.int64))
-        order = order_names(names)
-        order = order[_order(of[order])]
-        new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (of[order][1:] != of[order][:-1])]) \
-            if len(order) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        kept = total >= CUTOFF
-        mine = of[order][first][kept]
-        sums = np.bincount(mine, weights=total[kept], minlength=len(h)).astype(np.int64)
-        number = np.bincount(mine, minlength=len(h))
-        whole = np.empty(len(order), np.int64)
-        whole[order] = np.where(kept, total, 0)[np.cumsum(new) - 1] if len(order) else 0
-        ends, f_ends = np.cumsum([len(x) for x in contexts]), np.cumsum([x[k][3][0] for x in sent])
-        for answer, lo, hi, f_lo, f_hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), [0, *f_ends[:-1].tolist()],
-                                              f_ends.tolist(), strict=True):
-            at, f = which[lo:hi], whole[f_lo:f_hi]
-            answer.append((_pack(c[at]), _pack(sums[at]), _pack(number[at]), (len(f), np.packbits(f > 0).tobytes()), _pack(f[f > 0])))
-    return pa.Table.from_batches([B.batch_of([(-2 - p, b, False, _zip(a)) for (p, b, _), a in zip(rows, answers, strict=True)])])
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "block", "payload")), strict=True))
+        sent = [_unzip(x) for _, _, x in rows]
+        answers: list[list] = [[] for _ in sent]
+        for k in range(len(sent[0])):
+            contexts = [_unpack_names(x[k][0]) for x in sent]
+            counts, numbers, names, times = (np.concatenate([_unpack(x[k][i]) for x in sent]) for i in range(1, 5))
+            h = np.concatenate(contexts)
+            h, which = unique_of(h, order_names(_left(h, min(64, (k + 1) * width))))
+            c = np.bincount(which, weights=counts, minlength=len(h)).astype(np.int64)
+            of = np.repeat(which, numbers.astype(np.int64))
+            order = _order(of.astype(np.uint64) << np.uint64(width) | names)
+            new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (of[order][1:] != of[order][:-1])]) \
+                if len(order) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            kept = total >= CUTOFF
+            mine = of[order][first][kept]
+            sums = np.bincount(mine, weights=total[kept], minlength=len(h)).astype(np.int64)
+            number = np.bincount(mine, minlength=len(h))
+            whole = np.empty(len(order), np.int64)
+            whole[order] = np.where(kept, total, 0)[np.cumsum(new) - 1] if len(order) else 0
+            ends, f_ends = np.cumsum([len(x) for x in contexts]), np.cumsum([x[k][3][0] for x in sent])
+            for answer, lo, hi, f_lo, f_hi in zip(answers, [0, *ends[:-1].tolist()], ends.tolist(), [0, *f_ends[:-1].tolist()],
+                                                  f_ends.tolist(), strict=True):
+                at, f = which[lo:hi], whole[f_lo:f_hi]
+                answer.append((_pack(c[at]), _pack(sums[at]), _pack(number[at]), (len(f), np.packbits(f > 0).tobytes()), _pack(f[f > 0])))
+        return pa.Table.from_batches([B.batch_of([(-2 - p, b, False, _zip(a)) for (p, b, _), a in zip(rows, answers, strict=True)])])
+
+    return run
 
 
 # -- 3: the automaton -------------------------------------------------------------------
@@ -489,7 +572,7 @@ def build(b: Block, asked: list, answers: list, ends: int, space: float) -> tupl
     """(the automaton of a block's n-grams, the count of each of its words); ``answers``: of each order
     (c(h), kept sums, kept numbers) per context and whole counts per n-gram; ``ends``: training texts."""
     words = len(b.names)
-    count = np.zeros(words, np.int64)
+    count = b.rare.copy()
     end = b.tokens[b.last]
     count[end] = ends
     first = np.flatnonzero(asked[1].at >= 0)
@@ -568,9 +651,9 @@ def _answers_of(b: Block, asked: list, received: list, shares: Shares) -> list:
     return out
 
 
-def _traverse(order: int, bits: int, shares, n: int, ends: int, space: float):
-    def run(table: pa.Table) -> pa.Table:
-        ids, held, b, asked, received = _open(table, order, bits)
+def _traverse(order: int, bits: int, width: int, shares, n: int, ends: int, space: float):
+    def run(known: pa.Table, totals: pa.Table) -> pa.Table:
+        ids, held, b, asked, received = _open(pa.concat_tables([known, totals]), order, bits, shares.value.parts, width)
         automaton, count = build(b, asked, _answers_of(b, asked, received, shares.value), ends, space)
         score = automaton.scores(b.tokens, b.lens, order - 1)
         del automaton, asked, received
@@ -593,21 +676,25 @@ def score(df: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     docs = text_rows(df, id_col, text_col)
     parts = 4 * shuffle_partitions(spark)
-    words = materialise(docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part").applyInArrow(
-        _count_words, "n long, docs long, distinct long, words array<long>, counts array<long>"))
-    n, ends, v = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "docs", "distinct")]).first()
+    counted = materialise(docs.mapInArrow(_send_words(parts), B.ROW).groupBy("part").applyInArrow(_count_words(parts), _COUNTED))
+    words = counted.filter("docs")
+    n, ends, v, most = words.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in (
+        (F.sum, "n"), (F.sum, "texts"), (F.sum, "distinct"), (F.max, "numbered"))]).first()
     space = n + 0.5 * (v + 1)
+    width = max(most * parts, 1).bit_length()
     # words with more than a partition's share of the tokens: ``parts`` of them at most
     common = (words.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).filter(F.col("w.counts") * parts > n)
               .select("w.words", "w.counts").collect())
     shares = spark.sparkContext.broadcast(Shares({r[0] % (1 << 64): r[1] for r in common}, n, parts))
     bits = min(64, max(n, 1).bit_length() + SPARE_BITS)
-    # read twice below; a bit an n-gram
+    # a bit an n-gram
     twice = materialise(docs.mapInArrow(_send_shorts(order, parts, bits), B.ROW).groupBy("part").applyInArrow(_seen_twice, B.ROW))
-    known = docs.mapInArrow(_send_docs, B.ROW).unionByName(twice)
-    asked = known.groupBy("block").applyInArrow(_ask(order, bits, shares), B.ROW)
-    totals = asked.groupBy("part").applyInArrow(_total, B.ROW)
-    return (docs.mapInArrow(_send_docs, B.ROW).unionByName(twice).unionByName(totals).groupBy("block")
-            .applyInArrow(_traverse(order, bits, shares, n, ends, space),
+    numbers = counted.filter("NOT docs").select("part", "block", "docs", "payload")
+    known = docs.mapInArrow(_send_docs, B.ROW).unionByName(twice).unionByName(numbers)
+    asked = known.groupBy("block").applyInArrow(_ask(order, bits, width, shares), B.ROW)
+    totals = asked.groupBy("part").applyInArrow(_total(width), B.ROW)
+    # The blocks' rows are shuffled once: Spark reuses the exchange.
+    return (known.groupBy("block").cogroup(totals.groupBy("block"))
+            .applyInArrow(_traverse(order, bits, width, shares, n, ends, space),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                           "base_score double, score double"))

@@ -646,6 +646,40 @@ def test_lm_visits_the_states_of_a_plain_automaton(spark, monkeypatch):
     assert whole.tolist() == pytest.approx([r[6] for r in brute_lm(rows)])
 
 
+def test_lm_asks_by_word_numbers(monkeypatch):
+    """Names made of word numbers are a permutation; words without a number are not asked for, nor n-grams that hold one; names
+    too long for 64 bits are hashed, with the same scores."""
+    for bits in (1, 2, 7, 12):
+        assert sorted(lm._scramble(np.arange(1 << bits, dtype=np.uint64), bits).tolist()) == list(range(1 << bits))
+    rng = np.random.default_rng(4)
+    tokens, lens = rng.integers(0, 9, 60), np.array([20, 40])
+    ids = np.where(np.arange(9) == 4, -1, 3 * np.arange(9))
+    b = lm.Block(np.arange(9, dtype=np.uint64), tokens, lens, np.zeros(2, bool), 3, ids, np.zeros(9, np.int64), 5)
+    flags = [None, None]
+    for k in (2, 3):
+        flags.append(np.zeros(60, bool))
+        flags[k][b.inside[k]] = b.numbered(k)
+    pairs = {(tokens[t - 1], tokens[t]) for t in range(60) if t not in (0, 20, 19, 59)} | {(tokens[t - 1], tokens[t]) for t in (19, 59)}
+    one, two = lm.Asked(b, 1, flags), lm.Asked(b, 2, flags)
+    assert set(one.context.tolist()) == {int(x) for t in range(60) if t not in (19, 59) and tokens[t] != 4
+                                         for x in lm._scramble(np.array([ids[tokens[t]]], np.uint64), 5)}
+    assert sorted(one.name.tolist()) == sorted(ids[y] for x, y in pairs if 4 not in (x, y))
+    assert max(two.context.tolist()) < 1 << 10 and len(two.context) == len({(tokens[t - 1], tokens[t]) for t in range(1, 59)
+                                                                          if t not in (19, 20) and 4 not in tokens[t - 1:t + 1]})
+    rows = [(i, " ".join(rng.choice(list("abcdefghij"), 20))) for i in range(30)]
+    whole, _, b, tokens = lm_automaton(rows)
+    monkeypatch.setattr(lm.Block.__init__, "__defaults__", (None, None, 33))
+    hashed, _, wide, _ = lm_automaton(rows)
+    assert wide.bits(2) == 64 and hashed.scores(tokens, b.lens, 2) == pytest.approx(whole.scores(tokens, b.lens, 2), rel=1e-12)
+
+
+def test_lm_shuffles_documents_once(spark, sf_dir):
+    df = lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+
+
 def test_lm_spreads_common_words(spark):
     """A word of half of all tokens: its context is asked of several partitions, with the same scores."""
     rng = np.random.default_rng(7)
