@@ -945,3 +945,15 @@ def test_packing_worker_memory():
     tracemalloc.stop()
     packing._CACHES.clear()
     assert kept < 100 * 200_000
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    from quarry.llm.common import WORDS
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.word_ids(path)
+    assert packing._CACHES
+    WORDS.of([b"a"])
+    assert not packing._CACHES and b"a" in WORDS
+    packing.word_ids(path)
+    assert packing._CACHES and not WORDS
