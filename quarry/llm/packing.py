@@ -40,7 +40,9 @@ from quarry.session import materialise
 
 MAX_LENGTH = 2048
 #: Bytes of text whose words are looked up together, about: their arrays are some 30 times as large.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows whose ids are held together.
+SLICE_ROWS = 250
 #: Words of a worker's table.
 TABLE_WORDS = 1 << 19
 
@@ -111,6 +113,10 @@ class WordIds(dict):
         self.letters = letter_encoder(path)
         self.limit, self.longest = limit, longest
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def _encode(self, word: bytes) -> bytes:
         """A run of letters is one match of the pattern, so the merges take
         it directly, normalised and in byte characters; ASCII marks after a run of
@@ -188,7 +194,11 @@ class WordTable:
     """The ids of words met, as arrays; bounded: of ``limit`` words, those looked up since it was last half full are kept."""
 
     def __init__(self, limit: int = TABLE_WORDS, longest: int = 64):
-        self.limit, self.longest, self.new, self.old = limit, longest, Generation(), Generation()
+        self.limit, self.longest = limit, longest
+        self.forget()
+
+    def forget(self) -> None:
+        self.new, self.old = Generation(), Generation()
 
     def __len__(self) -> int:
         return len(self.new.names) + len(self.old.names)
@@ -286,11 +296,17 @@ def _tokenise(path: str, end_id: int | None):
     def run(batches):
         cache, table = word_ids(path)
         for batch in batches:
-            out = []
-            for texts in _slices(batch.column("text").cast(pa.binary()).to_pylist(), SLICE_BYTES):
-                out += encode_texts(cache, texts, end, table)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part, out = batch.slice(lo, SLICE_ROWS), []
+                for texts in _slices(part.column("text").cast(pa.binary()).to_pylist(), SLICE_BYTES):
+                    out += encode_texts(cache, texts, end, table)
+                found = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.large_binary())], ["doc_id", "ids"])
+                del part, out, texts
+                yield found
             give_back()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.large_binary())], ["doc_id", "ids"])
+        cache.forget()
+        table.forget()
+        give_back()
 
     return run
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quarry.llm import blocks as B
-from quarry.llm.common import WORDS, bounded_batches, give_back, mix64, shuffle_partitions, text_rows, window_hashes
+from quarry.llm.common import WORDS, bounded_batches, end_task, mix64, shuffle_partitions, text_rows, window_hashes
 from quarry.session import materialise
 
 LENGTH = 35
@@ -143,7 +143,7 @@ def _send(parts: int, length: int):
                 mine = order[x:y]
                 yield int(part[mine[0]]), block, False, pickle.dumps(
                     (a[mine], k[mine], (several[mine] + 2 * busy[mine]).astype(np.uint8)), 5)
-        give_back()
+        end_task()
 
     return lambda batches: B.row_batches(rows(batches))
 
@@ -291,6 +291,7 @@ def _open_runs(length: int):
                     kinds = (pa.int64(),) * 4 + (pa.bool_(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                                      [x.split()[0] for x in _OPEN.split(", ")])
+        end_task()
 
     return run
 
@@ -516,7 +517,7 @@ def cut_documents(df: DataFrame, text_col: str = "text", length: int = LENGTH) -
                 columns = part.columns[:-1]
                 columns[at] = pa.array(cut, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, own)
-        give_back()
+        end_task()
 
     fields = [StructField(f.name, StringType()) if i == at else f for i, f in enumerate(rows.schema.fields[:-1])]
     return rows.mapInArrow(run, StructType(fields)).toDF(*df.columns)

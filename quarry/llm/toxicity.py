@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quarry.llm.common import bounded_batches, broadcast_if_small, give_back, shuffle_partitions
+from quarry.llm.common import bounded_batches, broadcast_if_small, end_task, shuffle_partitions
 from quarry.session import materialise
 
 MAX_TOXIC, MAX_CLEAN = 4096, 8192
@@ -130,7 +130,7 @@ def _feature_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column("toxic"), pa.array([[_hash(x) for x in f] for f in found], pa.list_(pa.int64())),
                  pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["toxic", "features", "counts"])
-    give_back()
+    end_task()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,7 +199,8 @@ def severity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     [*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0]),
                      pa.array((p >= 0.5).sum(axis=1).astype(np.int32))],
                     [*part.schema.names, "severity", "p_toxic", "grade"])
-        give_back()
+        m._cache.clear()
+        end_task()
 
     return df.mapInArrow(run, StructType([*schema.fields, StructField("severity", DoubleType()),
                                           StructField("p_toxic", DoubleType()), StructField("grade", IntegerType())]))

@@ -957,3 +957,25 @@ def test_a_worker_keeps_the_caches_of_one_operator():
     assert not packing._CACHES and b"a" in WORDS
     packing.word_ids(path)
     assert packing._CACHES and not WORDS
+
+
+def test_a_worker_that_waits_keeps_no_words():
+    """At the end of a task the words met go; ids come in short batches, and the next task has the same."""
+    import pyarrow as pa
+
+    from quarry.llm.common import WORDS
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"word{i}a{j}" for j in range(i % 70)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    first, again = ([*packing._tokenise(path, 1)([batch])] for _ in range(2))
+    cache, table = packing._CACHES[path]
+    assert len(table) == len(cache) == len(cache.old) == 0
+    assert max(b.num_rows for b in first) <= packing.SLICE_ROWS and first == again
+    found = pa.Table.from_batches(first)
+    assert found.column("doc_id").to_pylist() == batch.column("doc_id").to_pylist()
+    end = np.array([1], "<u4").tobytes()
+    assert found.column("ids").to_pylist() == packing.encode_texts(packing.WordIds(path), [t.encode() for t in texts], end)
+    assert [*jaccard._set_rows(None, jaccard.SIZE)([batch])] and not WORDS
+    opened = pa.RecordBatch.from_pydict({"node": [1], "copies": [1], "open": [b""], "body": [b"a text without runs"]})
+    assert not [*substring._open_runs(substring.LENGTH)([opened])] and not WORDS
