@@ -273,6 +273,51 @@ def test_jaccard_link_counts(spark):
     assert len({n for n in want if n > jaccard.COMMON}) > 3
 
 
+def test_jaccard_writes_shared_tokens_only(spark, monkeypatch):
+    """What blocks send is shuffled, not written, and a token that only copies of one text hold is not found in it."""
+    written = []
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(jaccard, "materialise", lambda df, keep=jaccard.materialise: written.append(keep(df)) or written[-1])
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:100])] * 20 + [" ".join(words[200:300]), " ".join([*words[200:300], "more"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    _, rows, rare, common = jaccard._holders(df, 5)
+    assert rows.count() == 22 and not any("payload" in w.columns for w in written)
+    nodes = {jaccard.node_of(t.encode()) for t in texts[20:]}
+    assert common.isEmpty() and {r.node for r in rare.collect()} == nodes
+    assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == {i: 20 * (i >= 20) for i in range(22)}
+
+
+def test_jaccard_sent_tokens_come_back():
+    """Whole columns, with little beside them."""
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 75):
+        token, names = rng.integers(0, 2**64, size, np.uint64), rng.integers(-2**63, 2**63, size)
+        counts, holders = rng.integers(1, 60000, size), rng.choice([1, 1, 1, 2, 300], size)
+        one = holders == 1
+        packed = jaccard._pack_tokens(token, names, counts, holders)
+        assert len(packed) <= 18 * size + 20
+        for got, want in zip(jaccard._unpack_tokens(packed), (token[one], names[one], counts[one], token[~one],
+                                                              np.minimum(holders[~one], 255)), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("marks", [1, 3, 1000])
+def test_jaccard_marks_lose_no_pair(spark, monkeypatch, marks):
+    """Tokens of one node may have the same mark."""
+    monkeypatch.setattr(jaccard, "_mark", lambda token: F.expr(f"cast(pmod({token}, {marks}) as int)"))
+    rng = np.random.default_rng(marks)
+    held = [(t, i, 60, i) for i in range(30) for t in rng.choice(40, 12, replace=False).tolist()]
+    tokens = collections.defaultdict(set)
+    for t, i, _, _ in held:
+        tokens[i].add(t)
+    need = (4 * 120 + 8) // 9 - 48 + 1
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if len(tokens[i] & tokens[j]) >= need}
+    df = spark.createDataFrame(held, "token long, node long, n long, component long")
+    got = {(r.u, r.v) for r in jaccard._remaining_pairs(df, True).collect()}
+    assert want and got >= want and (marks < 1000 or got == want)
+
+
 def test_prefix_filter_is_safe():
     classes = np.zeros(jaccard.CELLS, np.uint8)
     rng = np.random.default_rng(5)
